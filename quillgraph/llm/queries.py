@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm import conversations as CV
 from quillgraph.llm import lookalikes as LA
+from quillgraph.llm import quality as QU
 
 
 def _load(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -35,5 +36,13 @@ def p6_one_form(spark: SparkSession, d: str) -> DataFrame:
     return LA.normalise(_load(spark, d, "chunks").select("chunkId", "text").distinct(), "text", "text")
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_conversations, p5_clock_offsets, p6_found, p6_one_form)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return QU.not_prose(_load(spark, d, "documents"))
+
+
+def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return QU.scored(_load(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p5_found, p5_conversations, p5_clock_offsets, p6_found, p6_one_form, p10_found, p10_statistics)}
 SQL: dict[str, str] = {}
