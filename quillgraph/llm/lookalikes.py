@@ -80,7 +80,7 @@ def maybe_odd(text: Column) -> Column:
 def _rebuilt(odd: DataFrame) -> DataFrame:
     """``rk, canon`` from ``rk, text`` (``rk`` unique)."""
     mapping, chains = _tables(odd.sparkSession)
-    pieces = odd.select("rk", F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s)[{SAFE}]+(?=[{SAFE}]|$)|."), F.lit(0))).alias("pos", "piece"))
+    pieces = odd.select("rk", F.posexplode_outer(F.regexp_extract_all("text", F.lit(f"(?s)[{SAFE}]+(?=[{SAFE}]|$)|."), F.lit(0))).alias("pos", "piece"))
     flat = (
         pieces.join(mapping, "piece", "left")
         .select("rk", "pos", F.posexplode(F.coalesce("seq", F.array(F.struct(F.col("piece").alias("c"), F.lit(0).alias("k"))))).alias("sub", "x"))

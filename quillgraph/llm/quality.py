@@ -39,7 +39,7 @@ def document_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text"
     in rows of at least three columns, ``short_share`` in other short lines,
     ``odd_share`` in the rest.
     """
-    lines = docs.select(F.col(key).alias("key"), F.explode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("raw")).withColumn("line", F.trim("raw"))
+    lines = docs.select(F.col(key).alias("key"), F.explode_outer(F.split(F.coalesce(text, F.lit("")), "\n")).alias("raw")).withColumn("line", F.trim("raw"))
     low = F.split(F.lower("line"), r"[^\p{L}\p{M}\p{N}]+")
     lines = lines.withColumn("w", F.filter(low, lambda x: x != "")).select(
         "key", "line",

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm import conversations as CV
+from quillgraph.llm import leakage as LE
 from quillgraph.llm import lookalikes as LA
 from quillgraph.llm import quality as QU
 
@@ -44,5 +45,13 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
     return QU.scored(_load(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_conversations, p5_clock_offsets, p6_found, p6_one_form, p10_found, p10_statistics)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return LE.leaks(_load(spark, d, "documents"), _load(spark, d, "eval_items"))
+
+
+def p8_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    return LE.overlaps(_load(spark, d, "documents"), _load(spark, d, "eval_items"))
+
+
+QUERIES = {f.__name__: f for f in (p5_found, p5_conversations, p5_clock_offsets, p6_found, p6_one_form, p8_found, p8_overlaps, p10_found, p10_statistics)}
 SQL: dict[str, str] = {}
