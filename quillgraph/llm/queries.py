@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillgraph.llm import conversations as CV
 from quillgraph.llm import leakage as LE
 from quillgraph.llm import lookalikes as LA
+from quillgraph.llm import pairs as PA
 from quillgraph.llm import quality as QU
 
 
@@ -15,6 +16,14 @@ def _load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return PA.pair_defects(_load(spark, d, "messages"))
+
+
+def p3_defect_counts(spark: SparkSession, d: str) -> DataFrame:
+    return p3_found(spark, d).groupBy("defect").agg(F.count(F.lit(1)).alias("answers"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return CV.judged(_load(spark, d, "messages"), _load(spark, d, "chats")).where("reason is not null")
 
@@ -53,5 +62,5 @@ def p8_overlaps(spark: SparkSession, d: str) -> DataFrame:
     return LE.overlaps(_load(spark, d, "documents"), _load(spark, d, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_conversations, p5_clock_offsets, p6_found, p6_one_form, p8_found, p8_overlaps, p10_found, p10_statistics)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_defect_counts, p5_found, p5_conversations, p5_clock_offsets, p6_found, p6_one_form, p8_found, p8_overlaps, p10_found, p10_statistics)}
 SQL: dict[str, str] = {}
