@@ -10,12 +10,21 @@ from quillgraph.llm import leakage as LE
 from quillgraph.llm import lookalikes as LA
 from quillgraph.llm import pairs as PA
 from quillgraph.llm import quality as QU
+from quillgraph.llm import scans as SC
 
 
 def _load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return SC.noise(_load(spark, d, "parsed_elements"))
+
+
+def p2_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return SC.repaired(_load(spark, d, "parsed_elements"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return PA.pair_defects(_load(spark, d, "messages"))
 
@@ -62,5 +71,5 @@ def p8_overlaps(spark: SparkSession, d: str) -> DataFrame:
     return LE.overlaps(_load(spark, d, "documents"), _load(spark, d, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_defect_counts, p5_found, p5_conversations, p5_clock_offsets, p6_found, p6_one_form, p8_found, p8_overlaps, p10_found, p10_statistics)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_repaired, p3_found, p3_defect_counts, p5_found, p5_conversations, p5_clock_offsets, p6_found, p6_one_form, p8_found, p8_overlaps, p10_found, p10_statistics)}
 SQL: dict[str, str] = {}
