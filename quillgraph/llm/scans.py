@@ -5,7 +5,7 @@ all texts, the channel gives probabilities to confusions of similar glyphs.
 Words below the vocabulary threshold are folded to a glyph-class key and joined
 with the vocabulary on it, which finds every candidate whatever the number of
 confused letters; lines that hold such words are decoded by Viterbi over the
-candidates with the bigrams joined in. Running headers are boundary lines that
+candidates with the bigrams joined in. Running headers are title-like lines that
 recur in their document or are made of the words of such lines; page numbers
 are lines with nothing but the page's number; parted words are joined where the
 whole is a word or the two parts are none on their own.
@@ -122,17 +122,20 @@ def lexicon(words: DataFrame, total: int) -> DataFrame:
     return pairs.withColumn("k", cost("word", "seen")).where("k <= 3").select("seen", "word", "k")
 
 
-def boundary_lines(paragraphs: DataFrame) -> DataFrame:
-    """The first and last two lines of paragraphs of several lines that could be a title: ``docName, elementId, line, key``.
+def title_lines(paragraphs: DataFrame) -> DataFrame:
+    """The lines of paragraphs of several lines that could be a title: ``docName, elementId, line, key``.
 
-    ``key`` is the line without its page number at either end, lower-cased and folded.
+    A title may stand anywhere, as pages end inside paragraphs. It has no
+    punctuation at its end and, in Latin script, capitals; without a number at
+    its end it is short. ``key`` is the line without its page number at either
+    end, lower-cased and folded.
     """
-    t = paragraphs.where(F.col("text").contains("\n")).select("docName", "elementId", F.split("text", "\r?\n").alias("l"))
-    ends = t.select("docName", "elementId", F.explode_outer(F.expr("array_distinct(concat(slice(l, 1, 2), slice(l, greatest(size(l) - 1, 1), 2)))")).alias("line"))
+    ends = paragraphs.where(F.col("text").contains("\n")).select("docName", "elementId", F.explode_outer(F.split("text", "\r?\n")).alias("line"))
     bare = F.trim(F.regexp_replace(F.regexp_replace("line", _BEFORE, ""), _AFTER, ""))
     title = F.col("bare").rlike(r"^(?:[\p{Lu}0-9][\p{L}\p{M}0-9'&./-]*|of|and|the|for|in|on|to)(?:\s+(?:[\p{Lu}0-9][\p{L}\p{M}0-9'&./-]*|of|and|the|for|in|on|to))*$") | (F.col("bare").rlike(r"^[\u0621-\u064a]") & (F.size(F.split("bare", r"\s+")) <= 7))
+    short = F.col("bare").rlike(rf"{_NUMBER}$") | ((F.length("bare") <= 38) & (F.size(F.split("bare", r"\s+")) <= 5))
     lines = ends.where((F.length("line") <= 90) & F.col("line").rlike(r"\p{L}") & ~F.col("line").rlike(rf"[.!?:;,،؛؟{_HYPHENS}]\s*$") & ~F.col("line").rlike(PAGE_LINE))
-    return lines.withColumn("bare", bare).where(title).select("docName", "elementId", "line", fold(F.lower(F.regexp_replace("bare", r"\s+", " "))).alias("key"))
+    return lines.withColumn("bare", bare).where(title & short).select("docName", "elementId", "line", fold(F.lower(F.regexp_replace("bare", r"\s+", " "))).alias("key"))
 
 
 #: How a number at the end of a folded key looks: folding takes some digits for letters.
@@ -146,7 +149,7 @@ def header_lines(paragraphs: DataFrame) -> DataFrame:
     document shows its title once, the line counts if it ends with a number and
     all its words are words of such titles.
     """
-    b = cut(boundary_lines(paragraphs).distinct())
+    b = cut(title_lines(paragraphs).distinct())
     often = b.groupBy("docName", "key").agg(F.count_distinct("elementId").alias("n")).where("n >= 2")
     top = often.groupBy("docName").agg(F.max("n").alias("top"))
     # wrapped lines recur by chance in long documents, but never as often as the title; without a number they need a third place
