@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillgraph.llm import conversations as CV
 from quillgraph.llm import leakage as LE
 from quillgraph.llm import lookalikes as LA
+from quillgraph.llm import names as NA
 from quillgraph.llm import pairs as PA
 from quillgraph.llm import quality as QU
 from quillgraph.llm import scans as SC
@@ -17,6 +18,16 @@ def _load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return NA.same_entity_pairs(_load(spark, d, "ls_import"))
+
+
+def p1_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Each spelling with its entity and how many spellings that has."""
+    c = NA.clusters(NA.name_texts(NA.spans_of(_load(spark, d, "ls_import"))))
+    return c.join(c.groupBy("cluster").agg(F.count(F.lit(1)).alias("spellings")), "cluster")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return SC.noise(_load(spark, d, "parsed_elements"))
 
@@ -71,5 +82,5 @@ def p8_overlaps(spark: SparkSession, d: str) -> DataFrame:
     return LE.overlaps(_load(spark, d, "documents"), _load(spark, d, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_repaired, p3_found, p3_defect_counts, p5_found, p5_conversations, p5_clock_offsets, p6_found, p6_one_form, p8_found, p8_overlaps, p10_found, p10_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_entities, p2_found, p2_repaired, p3_found, p3_defect_counts, p5_found, p5_conversations, p5_clock_offsets, p6_found, p6_one_form, p8_found, p8_overlaps, p10_found, p10_statistics)}
 SQL: dict[str, str] = {}
