@@ -34,12 +34,13 @@ LEGAL = set("limited ltd holding hold hldg sae plc inc llc company_ co_ ش م".s
 ORG_WORDS = set("bank bk corporation corp company co fund fd leasing lsg insurance ins holding hold hldg limited ltd sae authority commission agency association".split())
 ORG_AR = set("بنك البنك شركة الشركة مؤسسة المؤسسة صندوق الصندوق هيئة الهيئة مصرف المصرف".split())
 FORMS = {
-    "abdelrahman": "عبدالرحمن", "ahmed": "ahmad ahmet", "alexander": "alex sandy", "andrew": "andy drew", "anthony": "tony", "catherine": "katherine kathryn cathy kate katie kathy cath", "charles": "charlie chuck chas",
+    "ahmed": "ahmad ahmet", "alexander": "alex sandy", "andrew": "andy drew", "anthony": "tony", "catherine": "katherine kathryn cathy kate katie kathy cath", "charles": "charlie chuck chas",
     "daniel": "dan danny", "edward": "ed eddie ted ned", "elizabeth": "liz beth lizzie betty eliza lisa elisabeth", "fatima": "fatma fatimah fatema", "gabriella": "gaby gabby ella gabriela", "hussein": "hussain husein hossein husayn hosein",
     "ibrahim": "ebrahim ibraheem brahim", "james": "jim jimmy jas", "joseph": "joe joey jos youssef yusuf yousef", "leonard": "len lenny leo", "margaret": "maggie meg peggy marge", "michael": "mike mick micky",
     "mohamed": "muhammad mohammed mohammad mohd muhammed mohamad", "nicholas": "nick nicky nicolas nico", "omar": "umar omer", "patricia": "pat patty tricia trish", "richard": "rick dick rich", "robert": "bob bobby rob robbie robt",
     "samuel": "sam sammy saml", "theodore": "theo ted teddy", "thomas": "tom tommy thos", "victoria": "vicky vic tori vicki", "william": "bill will billy willy wm liam", "yasmine": "yasmin jasmine yasmeen jasmin", "zachary": "zach zack zac zak",
     "جمال": "جيمي جيمى", "احمد": "حماده", "محمد": "حماده ميدو", "نورا": "نوره نور", "فاطمه": "فطوم بطه", "ابراهيم": "هيما", "ليلي": "لولا لوله", "يحيي": "يحيا", "خديجه": "خدوجه", "كريم": "كيمو", "طارق": "طروق", "مني": "منمن", "ساره": "سوسو", "اسامه": "اوسا",
+    "عبدالرحمن": "عبده رحمن", "عبدالعزيز": "عزوز عبده", "عبدالله": "عبده",
 }
 NICK = {short: full for full, shorts in FORMS.items() for short in [full, *shorts.split()]}
 NICKS: dict[str, set[str]] = {}
@@ -63,7 +64,7 @@ def parse(text: str) -> tuple[str, list[str]]:
     if re.search("[ء-ي]", t):
         parts = [p.strip() for p in re.split("[،,]", t) if p.strip()]
         t = " ".join([*parts[1:], parts[0]]) if parts else ""
-        t = re.sub(r"(?<!\S)(عبد)\s+(?=ال)", r"\1", t)
+        t = re.sub(r"(?<!\S)(عبد)\s+(?=\S)", r"\1", t)
         t = re.sub(r"(?<!\S)(هبه)\s+(الله)", r"\1\2", t)
         w = [x for x in re.split(r"[\s./()\-]+", t) if x]
         while len(w) > 1 and w[0] in _TITLES:
@@ -76,7 +77,7 @@ def parse(text: str) -> tuple[str, list[str]]:
     t = " ".join([*parts[1:], parts[0]]) if parts else ""
     t = re.sub(r"\b(?:S\s*\.?\s*A\s*\.?\s*E)\b\.?", " SAE ", t, flags=re.I)
     t = re.sub(r"\b((?:[A-Za-z]\.){2,})", lambda g: " =" + g.group(1).replace(".", "") + " ", t)
-    t = re.sub(r"\b([Cc][Oo])-(?=[A-Za-z])", r"\1", t)
+    t = re.sub(r"\b([Cc][Oo])-(?=[A-Za-z])|(?<=[A-Za-z])'(?=[A-Za-z])", r"\1", t)
     raw = [x for x in re.split(r"[\s.()/\-]+", t) if x and x not in "&'"]
     low = [x.lower() for x in raw]
     org = low[:1] == ["the"] or "of" in low or any(x in ORG_WORDS for x in low) or any(x.startswith("=") for x in low)

@@ -33,7 +33,9 @@ SMALL = 500_000
 WIDE = {"w": "vv", "u": "ii", "m": "rn", "d": "cl", "h": "li", "\u0644\u0627": "\u0627\u0644"}
 CLASSES = ["ec", "il1", "tf", "o0", "s5", "g9", "b6", "تث", "جحخ", "قف", "زر", "شس", "ضص", "طظ", "عغ", "دذ"]
 _HYPHENS = "\\-\u00ad\u00ac\u2010\u0640"
-#: A word parted at a line's end, the two parts captured.
+#: Where a word is parted at a line's end; starts with the rare character, so that texts are scanned fast.
+GAP = rf"(?<=[\p{{L}}\p{{M}}])[{_HYPHENS}][ \t]*\r?\n[ \t]*(?=[\p{{L}}\p{{M}}])"
+#: The same with the two parts and the mark captured.
 PARTED = rf"([\p{{L}}\p{{M}}]+)([{_HYPHENS}])[ \t]*\r?\n[ \t]*([\p{{L}}\p{{M}}]+)"
 _NUMBER = "[0-9\u0660-\u0669]"
 #: A line with nothing but a page number, with or without the number of pages; the number captured.
@@ -81,22 +83,33 @@ def confusions(word: str, seen: str) -> int:
     return best.get((len(word), len(seen)), 99)
 
 
+#: Characters between words, as ranges (cheaper to test than Unicode classes).
+_BETWEEN = "[\\x00-/:-@\\[-`{-\u00a9\u00ab-\u00b4\u00b6-\u00b9\u00bb-\u00bf\u00d7\u00f7\u0600-\u060f\u061b-\u061f\u0640\u066a-\u066d\u06d4\u2000-\u206f\u2190-\u2bff\u2e00-\u2e7f\u3000-\u303f]+"
+
+
 def joined(text: Column) -> Column:
-    return F.regexp_replace(text, PARTED, "$1$3")
+    return F.when(F.contains(text, F.lit("\n")), F.regexp_replace(text, GAP, "")).otherwise(text)
 
 
 def tokens(text: Column) -> Column:
-    """Runs of letters and digits in their case; numbers become ``#``."""
-    t = F.regexp_replace(joined(text), rf"(?<![\p{{L}}\p{{M}}0-9]){_NUMBER}+(?![\p{{L}}\p{{M}}0-9])", "#")
-    return F.filter(F.split(t, r"[^\p{L}\p{M}\p{N}#]+"), lambda w: w != "")
+    """Runs of letters and digits in their case; the first and last may be empty."""
+    return F.split(joined(text), _BETWEEN)
+
+
+def raw_bigrams(texts: DataFrame, text: str) -> DataFrame:
+    """``a, b, n``: how often token ``b`` follows ``a`` in the texts' own case; null ``b`` at the end of a text."""
+    t = texts.select(tokens(F.col(text)).alias("t")).select(F.explode_outer(F.expr("arrays_zip(t, slice(t, 2, size(t)))")).alias("p")).select(F.col("p.t").alias("a"), F.col("p.1").alias("b"))
+    return t.where("a != ''").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _shape(c: str) -> Column:
+    """Lower-cased; numbers become ``#``."""
+    return F.when(F.col(c).rlike(rf"^{_NUMBER}+$"), "#").otherwise(F.lower(c))
 
 
-def bigram_counts(texts: DataFrame, text: str) -> DataFrame:
-    """``a, b, n, low``: how often ``b`` follows ``a`` (lower-cased; '' at the end) and how often ``a`` was in lower case."""
-    t = texts.select(tokens(F.col(text)).alias("t"))
-    flat = t.select(F.explode_outer(F.expr("transform(t, (x, i) -> struct(x as a, coalesce(lower(get(t, i + 1)), '') as b))")).alias("p")).where("p is not null")
-    raw = flat.groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n"))
-    return raw.groupBy(F.lower("a").alias("a"), "b").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("a") == F.lower("a"), F.col("n")).otherwise(0)).alias("low"))
+def bigram_counts(raw: DataFrame) -> DataFrame:
+    """``a, b, n, low``: bigrams without case ('' for none), ``low`` of them with ``a`` in lower case."""
+    return raw.select(_shape("a").alias("a"), F.coalesce(_shape("b"), F.lit("")).alias("b"), "n", (F.col("a") == F.lower("a")).alias("l")).groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("l"), F.col("n")).otherwise(0)).alias("low"))
 
 
 def word_counts(bigrams: DataFrame) -> DataFrame:
@@ -181,7 +194,7 @@ def parted_words(paragraphs: DataFrame, words: DataFrame, bigrams: DataFrame) ->
     word's own: it does not where the whole is no word of the texts while the
     two parts follow each other as words elsewhere.
     """
-    hit = paragraphs.where(F.col("text").rlike(PARTED)).withColumn("m", F.regexp_extract_all("text", F.lit(PARTED), F.lit(0)))
+    hit = paragraphs.where(F.col("text").contains("\n") & F.col("text").rlike(GAP)).withColumn("m", F.regexp_extract_all("text", F.lit(PARTED), F.lit(0)))
     p = hit.select("elementId", F.explode_outer("m").alias("m")).select("elementId", *[F.regexp_extract("m", PARTED, i + 1).alias(c) for i, c in enumerate(("left", "mark", "right"))]).distinct()
     plain = p.where((F.col("mark") == "-") & F.col("left").rlike("[A-Za-z]")).withColumn("w", F.lower(F.concat("left", "right")))
     whole = plain.join(words.select(F.col("word").alias("w"), F.col("n").alias("nw")), "w", "left").withColumns({"a": F.lower("left"), "b": F.lower("right")})
@@ -219,20 +232,20 @@ def viterbi(seen: list[str], options: dict[str, list[tuple[str, int]]], pair: di
     return out[::-1]
 
 
-def _suspect_rows(paragraphs: DataFrame, lex: DataFrame) -> DataFrame:
-    """Distinct elements that hold a word of the lexicon."""
-    flat = paragraphs.select("elementId", F.explode_outer(F.array_distinct(F.transform(tokens(F.col("text")), lambda x: F.lower(x)))).alias("seen"))
-    return flat.join(_small(lex.select("seen").distinct()), "seen", "left_semi").select("elementId").distinct()
+def _suspect_rows(paragraphs: DataFrame, seen: DataFrame) -> DataFrame:
+    """Distinct elements that hold a token of ``seen`` (in its own case)."""
+    flat = paragraphs.select("elementId", F.explode_outer(tokens(F.col("text"))).alias("a"))
+    return flat.join(_small(seen), "a", "left_semi").select("elementId").distinct()
 
 
-def corrections(paragraphs: DataFrame, headers: DataFrame, bigrams: DataFrame, words: DataFrame, lex: DataFrame, total: int) -> DataFrame:
+def corrections(paragraphs: DataFrame, headers: DataFrame, bigrams: DataFrame, words: DataFrame, lex: DataFrame, seen: DataFrame, total: int) -> DataFrame:
     """``elementId, seen, word``: misread words and what Viterbi reads them as, headers left out."""
-    ids = _suspect_rows(paragraphs, lex)
+    ids = _suspect_rows(paragraphs, seen)
     h = headers.groupBy("elementId").agg(F.collect_set("line").alias("headers"))
     rows = paragraphs.select("elementId", "text").distinct().join(ids, "elementId", "left_semi").join(h, "elementId", "left")
     drop = F.expr("filter(split(text, '\\\\r?\\\\n'), l -> headers is null or not array_contains(headers, l))")
     body = rows.select("elementId", F.array_join(drop, "\n").alias("body"))
-    lines = body.withColumn("t", F.transform(tokens(F.col("body")), lambda x: F.lower(x))).select("elementId", F.monotonically_increasing_id().alias("row"), "t")
+    lines = body.withColumn("t", F.filter(F.transform(tokens(F.col("body")), lambda x: F.when(x.rlike(rf"^{_NUMBER}+$"), "#").otherwise(F.lower(x))), lambda x: x != "")).select("elementId", F.monotonically_increasing_id().alias("row"), "t")
     lines = cut(lines)  # the row numbers must not change when a lost task is run again
     at = lines.select("row", F.posexplode_outer("t").alias("i", "seen")).where("seen is not null")
     spots = at.join(_small(lex), "seen")
@@ -267,14 +280,16 @@ class Model:
     def __init__(self, elements: DataFrame) -> None:
         e = elements.select("docName", "page", "elementType", "elementId", "text").where("text is not null")
         self.paragraphs = e.where("elementType = 'paragraph' and elementId is not null")
-        self.bigrams = cut(bigram_counts(e, "text"))
+        raw = cut(raw_bigrams(e, "text"))
+        self.bigrams = cut(bigram_counts(raw))
         self.words = cut(word_counts(self.bigrams))
         self.total = int(self.words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
         self.lexicon = cut(lexicon(self.words, self.total))
+        self.seen = cut(raw.select("a").distinct().join(self.lexicon.select(F.col("seen").alias("low")).distinct(), F.lower("a") == F.col("low"), "left_semi"))
         self.headers = cut(header_lines(self.paragraphs))
 
     def corrections(self) -> DataFrame:
-        return corrections(self.paragraphs, self.headers, self.bigrams, self.words, self.lexicon, self.total)
+        return corrections(self.paragraphs, self.headers, self.bigrams, self.words, self.lexicon, self.seen, self.total)
 
     def parted(self) -> DataFrame:
         return parted_words(self.paragraphs, self.words, self.bigrams)
