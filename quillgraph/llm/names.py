@@ -1,13 +1,15 @@
 """Variant spellings of the names of persons and organisations (problem 1).
 
-Every distinct spelling becomes a vector of character trigrams weighted by
-their rarity. A distributed join over the trigrams yields all pairs of
-spellings above a cosine threshold: only the rarest trigrams of a vector, those
-that a pair above the threshold must share, take part (prefix filtering), so
-the common ones never meet. Each pair is then scored by aligning its words
-(typos, abbreviations, initials, nicknames, order); the scored pairs are
-grouped into connected components, and average-linkage clustering inside each
-component decides who is one person or organisation.
+A spelling is parsed into its head (a family's or a brand's word) and the words
+around it. Head words become vectors of character 4-grams weighted by their
+rarity; a distributed sparse join gives every pair of words above a cosine
+threshold, of which only grams that such a pair must share take part (prefix
+filtering), and each word is led to its top neighbour that is one typing error
+away and more frequent. Spellings with one head, their given names and kinds
+brought to full forms, are grouped by average-linkage clustering over a
+likeness of the words around the head (abbreviations, acronyms, initials,
+nicknames, order): members of a family and sister companies share the head and
+stay apart.
 """
 
 from __future__ import annotations
@@ -22,11 +24,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillgraph.operators.components import connected_components
 from quillgraph.runtime import cut
 
-#: Least cosine of a candidate pair, and least average similarity inside a cluster.
-COSINE, LINK = 0.25, 0.4
+#: Least cosine of a pair of head words, and least average likeness inside a cluster.
+COSINE, LINK = 0.2, 0.4
 
 # Titles, legal forms, kinds of organisations, given names with their short and other forms.
 TITLES = set("dr mr mrs ms miss prof eng sir madam professor doctor engineer الدكتور دكتور الدكتورة د م أ ا السيد السيدة المستشار المستشارة المهندس المهندسة الاستاذ الأستاذ الاستاذة استاذ الشيخ الحاج".split())
@@ -35,14 +36,19 @@ ORG_WORDS = set("bank bk corporation corp company co fund fd leasing lsg insuran
 ORG_AR = set("بنك البنك شركة الشركة مؤسسة المؤسسة صندوق الصندوق هيئة الهيئة مصرف المصرف".split())
 FORMS = {
     "ahmed": "ahmad ahmet", "alexander": "alex sandy", "andrew": "andy drew", "anthony": "tony", "catherine": "katherine kathryn cathy kate katie kathy cath", "charles": "charlie chuck chas",
-    "daniel": "dan danny", "edward": "ed eddie ted ned", "elizabeth": "liz beth lizzie betty eliza lisa elisabeth", "fatima": "fatma fatimah fatema", "gabriella": "gaby gabby ella gabriela", "hussein": "hussain husein hossein husayn hosein",
+    "daniel": "dan danny", "edward": "ed eddie ted ned", "elizabeth": "liz beth lizzie betty eliza lisa elisabeth", "fatima": "tima fatma fatimah fatema", "gabriella": "gaby gabby ella gabriela", "hussein": "hussain husein hossein husayn hosein",
     "ibrahim": "ebrahim ibraheem brahim", "james": "jim jimmy jas", "joseph": "joe joey jos youssef yusuf yousef", "leonard": "len lenny leo", "margaret": "maggie meg peggy marge", "michael": "mike mick micky",
     "mohamed": "muhammad mohammed mohammad mohd muhammed mohamad", "nicholas": "nick nicky nicolas nico", "omar": "umar omer", "patricia": "pat patty tricia trish", "richard": "rick dick rich", "robert": "bob bobby rob robbie robt",
     "samuel": "sam sammy saml", "theodore": "theo ted teddy", "thomas": "tom tommy thos", "victoria": "vicky vic tori vicki", "william": "bill will billy willy wm liam", "yasmine": "yasmin jasmine yasmeen jasmin", "zachary": "zach zack zac zak",
     "جمال": "جيمي جيمى", "احمد": "حماده", "محمد": "حماده ميدو", "نورا": "نوره نور", "فاطمه": "فطوم بطه", "ابراهيم": "هيما", "ليلي": "لولا لوله", "يحيي": "يحيا", "خديجه": "خدوجه", "كريم": "كيمو", "طارق": "طروق", "مني": "منمن", "ساره": "سوسو", "اسامه": "اوسا",
-    "عبدالرحمن": "عبده رحمن", "عبدالعزيز": "عزوز عبده", "عبدالله": "عبده",
+    "رضا": "رضى", "هبهالله": "هبه", "عبدالرحمن": "عبده رحمن", "عبدالعزيز": "عزوز عبده", "عبدالله": "عبده",
 }
-NICK = {short: full for full, shorts in FORMS.items() for short in [full, *shorts.split()]}
+#: Words of an organisation's kind or field, of which its brand is none.
+FIELDS = set(
+    "bank corporation company fund leasing insurance finance investment export import industrial commercial cooperative agricultural housing maritime national international development reconstruction "
+    "central general federal reserve trust capital securities exchange union group services authority regulatory commission agency association trading savings credit mortgage "
+    "بنك شركه مؤسسه مءسسه موسسه صندوق هييه هيءه مصرف تجاري زراعي عقاري صناعي بحري وطني استثماري دولي تعاوني مركزي عربي اهلي اسلامي عام ماليه".split()
+)
 NICKS: dict[str, set[str]] = {}
 for _full, _shorts in FORMS.items():
     for _s in [_full, *_shorts.split()]:
@@ -176,51 +182,55 @@ def _initials(acronym: str, w: list[str]) -> bool:
     return acronym == letters or len(acronym) == len(letters) >= 2 and sorted(acronym) == sorted(letters)
 
 
-def alike(kind: str, a: list[str], b: list[str], rare: dict[str, float]) -> float:
-    """0 to 1: are two spellings of one kind the same entity?
+def _full_field(w: str) -> str:
+    """The field or kind that a word stands for, itself where none or several do."""
+    if w in FIELDS or w[0] == "=":
+        return w
+    got = {f for f in FIELDS if _abbreviates(w, f)} or ({f for f in FIELDS if edits(w, f, 1) <= 1} if len(w) >= 5 else set())
+    first = {f for f in got if f.startswith(w)}
+    return next(iter(got)) if len(got) == 1 else next(iter(first)) if len(first) == 1 else w
 
-    The rarest word that both have (the family's or the brand's name) has to
-    be there but for typing errors; the words around it are compared in order.
-    """
-    best = (0.0, 0.0, -1, -1)
-    for i, x in enumerate(a):
-        for j, y in enumerate(b):
-            if len(x) < 3 or len(y) < 3 or x[0] == "=" or y[0] == "=" or kind == "person" and (_full(x) or _full(y)):
-                continue
-            s = _typo(x, y)
-            if s:
-                best = max(best, (min(rare.get(x, 0), rare.get(y, 0)), s, i, j))
-    weight, s, i, j = best
-    if i < 0:
+
+def is_field(w: str) -> bool:
+    return w[0] == "=" or _full_field(w) in FIELDS or any(_abbreviates(w, f) for f in FIELDS)
+
+
+def heads(kind: str, words: list[str]) -> list[str]:
+    """The words that may be the family's or the brand's: those that are no given name, field or kind."""
+    got = [w for w in words if len(w) >= 3 and not (is_field(w) if kind == "org" else _full(w))]
+    return got or [w for w in words if w[0] != "="][-1:] or words[-1:]
+
+
+def around(kind: str, words: list[str], head: str) -> list[str]:
+    """The words around the head in full forms: given names of nicknames and typing errors, fields of abbreviations."""
+    i = words.index(head)
+    rest = words[:i] + words[i + 1 :]
+    if kind == "org":
+        return [_full_field(w) for w in rest]
+    return [next(iter(f)) if len(f := _full(w)) == 1 else w for w in rest]
+
+
+def alike(kind: str, ra: list[str], rb: list[str]) -> float:
+    """0 to 1: are two spellings with one head the same entity? Judged by the words around it, in order."""
+    if ra == rb:
+        return 1.0
+    if not ra or not rb:
         return 0.0
-    ra, rb = a[:i] + a[i + 1 :], b[:j] + b[j + 1 :]
+    score = 1.0
     if kind == "person":
-        if not ra or not rb:
-            return 0.0
-        score = s
         for x, y in zip(ra, rb):
-            g = _given(x, y)
-            if not g:
-                return 0.0
-            score *= g
+            score *= _given(x, y)
         return score * 0.9 ** abs(len(ra) - len(rb))
-    if not ra or not rb:
-        return 0.0
-    if ra[0][0] == "=" or rb[0][0] == "=":
-        x, y = (ra, rb) if ra[0][0] == "=" else (rb, ra)
+    x, y = (ra, rb) if ra[0][0] == "=" else (rb, ra)
+    if x[0][0] == "=":
         if y[0][0] == "=":
             d = edits(x[0][1:], y[0][1:], 1)
-            return s * (1.0 if d == 0 else 0.8 if d == 1 and len(x[0]) > 4 else 0.0)
-        return s * 0.9 if _initials(x[0][1:], y) else 0.0
-    arabic = re.search("[ء-ي]", ra[0] + rb[0])
-    if len(ra) != len(rb) and not arabic:
+            return 1.0 if d == 0 else 0.8 if d == 1 and len(x[0]) > 4 else 0.0
+        return 0.9 if _initials(x[0][1:], y) else 0.0
+    if len(ra) != len(rb) and not re.search("[ء-ي]", ra[0] + rb[0]):
         return 0.0
-    score = s
     for x, y in zip(ra, rb):
-        g = _word(x, y)
-        if not g:
-            return 0.0
-        score *= g
+        score *= _word(x, y)
     return score * 0.9 ** abs(len(ra) - len(rb))
 
 
@@ -261,47 +271,73 @@ def _parsed(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"kind": [k for k, _ in got], "words": [w for _, w in got]})
 
 
-def _grams(words: str) -> Column:
-    return F.expr(f"array_distinct(flatten(transform(filter({words}, w -> not startswith(w, '=') and length(w) > 1), w -> transform(sequence(0, length(w) - 1), i -> substring(concat('^', w, '$'), i + 1, 3)))))")
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _heads(kind: pd.Series, words: pd.Series) -> pd.Series:
+    return pd.Series([heads(k, list(w)) for k, w in zip(kind, words)])
 
 
-def candidate_pairs(nodes: DataFrame) -> DataFrame:
-    """All pairs ``a < b`` of one kind whose trigram vectors have a cosine of ``COSINE`` or more.
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _around(kind: pd.Series, words: pd.Series, head: pd.Series) -> pd.Series:
+    return pd.Series([around(k, list(w), h) for k, w, h in zip(kind, words, head)])
 
-    ``nodes`` has unique ``node`` with ``kind`` and ``words``. Weights are
-    inverse document frequencies; acronyms have no trigrams. Trigrams are ordered from rare to
-    common; the tail whose weights sum to a norm below the threshold cannot by
-    itself lift a pair over it and is not joined.
+
+@F.pandas_udf(T.IntegerType())
+def _edits(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([edits(x, y, 1) for x, y in zip(a, b)])
+
+
+def similar_words(words: DataFrame) -> DataFrame:
+    """All pairs ``a, b, cosine`` of different words of one kind with a cosine of ``COSINE`` or more.
+
+    ``words`` has unique ``kind, word``. Weights are inverse document
+    frequencies of the 4-grams. Grams are ordered from rare to common; the tail
+    whose weights have a norm below the threshold cannot by itself lift a pair
+    over it and is not joined, so the commonest grams never meet.
     """
-    total = nodes.count()
-    g = nodes.select("node", "kind", F.explode(_grams("words")).alias("g"))
+    total = max(words.count(), 1)
+    grams = F.expr("array_distinct(transform(sequence(1, greatest(length(word) - 1, 1)), i -> substring(concat('^', word, '$'), i, 4)))")
+    g = words.select("kind", "word", F.explode_outer(grams).alias("g"))
     df = g.groupBy("kind", "g").agg(F.count(F.lit(1)).alias("df"))
-    w = g.join(df, ["kind", "g"]).select("node", "kind", F.struct(F.log(F.lit(float(total + 1)) / F.col("df")).alias("w"), F.xxhash64("g").alias("g")).alias("x"))
-    vec = w.groupBy("node", "kind").agg(F.sort_array(F.collect_list("x"), asc=False).alias("v")).withColumn("norm", F.expr("sqrt(aggregate(v, 0D, (s, x) -> s + x.w * x.w))"))
-    vec = cut(vec.withColumn("v", F.expr("transform(v, x -> struct(x.g as g, x.w / greatest(norm, 1e-9) as w))")).drop("norm"))
-    # how much of the square sum stands before each place: the prefix ends where the rest falls below the threshold
-    before = F.expr("aggregate(v, named_struct('s', 0D, 'out', cast(array() as array<bigint>)), (a, x) -> named_struct('s', a.s + x.w * x.w, 'out', case when sqrt(greatest(1 - a.s, 0D)) >= %s then array_append(a.out, x.g) else a.out end), a -> a.out)" % COSINE)
-    pre = vec.select("node", "kind", F.explode(before).alias("g"))
-    met = pre.alias("x").join(pre.alias("y"), (F.col("x.g") == F.col("y.g")) & (F.col("x.kind") == F.col("y.kind")) & (F.col("x.node") < F.col("y.node"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    return met.join(vec.select(F.col("node").alias("a"), F.col("v").alias("va")), "a").join(vec.select(F.col("node").alias("b"), F.col("v").alias("vb")), "b").withColumn(
-        "cosine", F.expr("aggregate(va, 0D, (s, x) -> s + x.w * coalesce(get(filter(vb, y -> y.g = x.g), 0).w, 0D))")
-    ).where(F.col("cosine") >= COSINE).select("a", "b", "cosine")
-
-
-def _clusters(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Average linkage over the scored pairs of one component."""
-    nodes = sorted(set(pdf["a"]) | set(pdf["b"]))
-    at = {x: i for i, x in enumerate(nodes)}
-    n = len(nodes)
-    s = np.zeros((n, n))
-    for a, b, v in zip(pdf["a"], pdf["b"], pdf["score"]):
-        s[at[a], at[b]] = s[at[b], at[a]] = v
-    size = np.ones(n)
-    label = np.arange(n)
+    x = F.struct(F.log(F.lit(float(total + 1)) / F.col("df")).alias("w"), F.xxhash64("g").alias("g"))
+    vec = g.join(df, ["kind", "g"]).groupBy("kind", "word").agg(F.sort_array(F.collect_list(x), asc=False).alias("v")).withColumn("norm", F.expr("greatest(sqrt(aggregate(v, 0D, (s, x) -> s + x.w * x.w)), 1e-9D)"))
+    vec = cut(vec.select("kind", "word", F.expr("transform(v, x -> struct(x.g as g, x.w / norm as w))").alias("v")))
+    # the square sum before each place tells where the rest falls below the threshold
+    prefix = F.expr(
+        f"aggregate(v, named_struct('s', 0D, 'out', cast(array() as array<struct<g: bigint, w: double>>)), (a, x) -> named_struct('s', a.s + x.w * x.w, 'out', case when sqrt(greatest(1 - a.s, 0D)) >= {COSINE} then array_append(a.out, x) else a.out end), a -> a.out)"
+    )
+    pre = vec.select("kind", "word", F.explode_outer(prefix).alias("x")).where("x is not null").select("kind", "word", "x.g")
+    met = pre.alias("l").join(pre.alias("r"), (F.col("l.g") == F.col("r.g")) & (F.col("l.kind") == F.col("r.kind")) & (F.col("l.word") < F.col("r.word"))).select("l.kind", F.col("l.word").alias("a"), F.col("r.word").alias("b")).distinct()
+    both = met.join(vec.select("kind", F.col("word").alias("a"), F.col("v").alias("va")), ["kind", "a"]).join(vec.select("kind", F.col("word").alias("b"), F.col("v").alias("vb")), ["kind", "b"])
+    dot = F.expr("aggregate(va, 0D, (s, x) -> s + x.w * coalesce(get(filter(vb, y -> y.g = x.g), 0).w, 0D))")
+    return both.withColumn("cosine", dot).where(F.col("cosine") >= COSINE).select("kind", "a", "b", "cosine")
+
+
+def leading_words(words: DataFrame) -> DataFrame:
+    """``kind, word, lead, n``: the spelling that each head word is taken for.
+
+    Of a word's neighbours one typing error away, the top one by frequency (then
+    likeness, then order) leads it if it comes before the word itself in that
+    order; leads are followed three steps.
+    """
+    near = similar_words(words).where(_edits("a", "b") <= 1)
+    both = near.select("kind", F.col("a").alias("word"), F.col("b").alias("to"), "cosine").unionByName(near.select("kind", F.col("b").alias("word"), F.col("a").alias("to"), "cosine"))
+    rated = both.join(words.select("kind", F.col("word").alias("to"), F.col("n").alias("nt")), ["kind", "to"]).join(words.select("kind", "word", "n"), ["kind", "word"])
+    up = rated.where("nt > n or (nt = n and to < word)").groupBy("kind", "word").agg(F.max(F.struct("nt", "cosine", "to")).alias("m")).select("kind", "word", F.col("m.to").alias("lead"))
+    up = cut(words.join(up, ["kind", "word"], "left").select("kind", "word", "n", F.coalesce("lead", "word").alias("lead")))
+    for _ in range(2):
+        step = up.select("kind", F.col("word").alias("lead"), F.col("lead").alias("further"))
+        up = up.join(step, ["kind", "lead"], "left").select("kind", "word", "n", F.coalesce("further", "lead").alias("lead"))
+    return cut(up)
+
+
+def linked(n: int, likeness: np.ndarray, least: float) -> np.ndarray:
+    """Average-linkage labels of ``n`` points with a symmetric likeness."""
+    s = likeness.copy()
+    size, label = np.ones(n), np.arange(n)
     np.fill_diagonal(s, -1)
-    while True:
+    while n > 1:
         i, j = divmod(int(s.argmax()), n)
-        if s[i, j] < LINK:
+        if s[i, j] < least:
             break
         i, j = min(i, j), max(i, j)
         s[i] = s[:, i] = (s[i] * size[i] + s[j] * size[j]) / (size[i] + size[j])
@@ -309,28 +345,38 @@ def _clusters(pdf: pd.DataFrame) -> pd.DataFrame:
         s[j] = s[:, j] = -1
         size[i] += size[j]
         label[label == j] = i
-    return pd.DataFrame({"node": nodes, "cluster": [nodes[k] for k in label]})
+    return label
+
+
+def _family(pdf: pd.DataFrame) -> pd.DataFrame:
+    kind, rest = pdf["kind"].iloc[0], [list(r) for r in pdf["rest"]]
+    n = len(rest)
+    s = np.zeros((n, n))
+    for i in range(n):
+        for j in range(i):
+            s[i, j] = s[j, i] = alike(kind, rest[i], rest[j])
+    return pd.DataFrame({"key": pdf["key"], "cluster": pdf["key"].to_numpy()[linked(n, s, LINK)]})
 
 
 def clusters(texts: DataFrame) -> DataFrame:
-    """``text, cluster`` for distinct name texts; one cluster per person or organisation."""
+    """``text, cluster`` for distinct name texts; one cluster per person or organisation.
+
+    A family's spellings meet in one task, but only as distinct sequences of
+    full forms: given names, fields and initials, which a head's popularity
+    does not multiply.
+    """
     parsed = texts.select("text", _parsed("text").alias("p")).select("text", "p.kind", "p.words").where(F.size("words") > 0)
-    keyed = cut(parsed.withColumn("node", F.xxhash64("kind", "words")))
-    nodes = keyed.select("node", "kind", "words").dropDuplicates(["node"])
-    rare = nodes.select("kind", F.explode(F.array_distinct("words")).alias("w")).groupBy("kind", "w").agg(F.count(F.lit(1)).alias("n"))
-    rated = nodes.select("node", "kind", "words", F.explode(F.array_distinct("words")).alias("w")).join(rare, ["kind", "w"]).groupBy("node", "kind", "words").agg(F.map_from_entries(F.collect_list(F.struct("w", (1.0 / F.col("n")).alias("r")))).alias("rare"))
-    pairs = candidate_pairs(nodes)
-    fed = pairs.join(rated.select(F.col("node").alias("a"), "kind", F.col("words").alias("wa"), F.col("rare").alias("ra")), "a").join(rated.select(F.col("node").alias("b"), F.col("words").alias("wb"), F.col("rare").alias("rb")), "b")
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            got = [alike(k, list(x), list(y), {**dict(r), **dict(q)}) for k, x, y, r, q in zip(p["kind"], p["wa"], p["wb"], p["ra"], p["rb"])]
-            yield pd.DataFrame({"a": p["a"], "b": p["b"], "score": got})
-
-    scored = cut(fed.mapInPandas(score, "a long, b long, score double").where("score > 0"))
-    comp = connected_components(scored, "a", "b")
-    grouped = scored.join(comp.withColumnRenamed("node", "a"), "a").groupBy("component").applyInPandas(_clusters, "node long, cluster long")
-    return keyed.join(grouped, "node", "left").select("text", F.coalesce("cluster", "node").alias("cluster"))
+    parsed = cut(parsed.withColumn("heads", _heads("kind", "words")))
+    options = parsed.select("text", "kind", F.explode("heads").alias("word"))
+    words = options.groupBy("kind", "word").agg(F.count(F.lit(1)).alias("n"))
+    lead = leading_words(words)
+    weight = lead.groupBy("kind", "lead").agg(F.sum("n").alias("all"))
+    head = options.join(lead.select("kind", "word", "lead"), ["kind", "word"]).join(weight, ["kind", "lead"]).groupBy("text").agg(F.max(F.struct("all", "word", "lead")).alias("h"))
+    # of several possible heads the one that more spellings share is the family's
+    keyed = parsed.join(head, "text").select("text", "kind", F.col("h.lead").alias("head"), _around("kind", "words", "h.word").alias("rest"))
+    keyed = cut(keyed.withColumn("key", F.xxhash64("kind", "head", "rest")))
+    got = keyed.select("kind", "head", "rest", "key").distinct().groupBy("kind", "head").applyInPandas(_family, "key long, cluster long")
+    return keyed.select("text", "key").join(got, "key").select("text", "cluster")
 
 
 def same_entity_pairs(tasks: DataFrame) -> DataFrame:
