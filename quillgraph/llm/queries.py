@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from quillgraph.llm import conversations as CV
 from quillgraph.llm import leakage as LE
 from quillgraph.llm import lookalikes as LA
+from quillgraph.llm import mixing as MI
 from quillgraph.llm import names as NA
+from quillgraph.llm import packing as PK
 from quillgraph.llm import pairs as PA
 from quillgraph.llm import quality as QU
 from quillgraph.llm import scans as SC
@@ -66,6 +68,14 @@ def p6_one_form(spark: SparkSession, d: str) -> DataFrame:
     return LA.normalise(_load(spark, d, "chunks").select("chunkId", "text").distinct(), "text", "text")
 
 
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return MI.mixture(_load(spark, d, "documents"), _load(spark, d, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return MI.mixture(_load(spark, d, "documents"), _load(spark, d, "mix_targets"))[1]
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return QU.not_prose(_load(spark, d, "documents"))
 
@@ -74,6 +84,16 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
     return QU.scored(_load(spark, d, "documents"))
 
 
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    chunks = _load(spark, d, "v2_chunks")
+    lanes = max(1, -(-chunks.count() // PK.LANE))
+    return PK.containers(PK.element_items(_load(spark, d, "parsed_elements")).unionByName(PK.chunk_items(chunks, lanes)))
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    return PK.fill_report(p7_containers(spark, d))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return LE.leaks(_load(spark, d, "documents"), _load(spark, d, "eval_items"))
 
@@ -82,5 +102,5 @@ def p8_overlaps(spark: SparkSession, d: str) -> DataFrame:
     return LE.overlaps(_load(spark, d, "documents"), _load(spark, d, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_entities, p2_found, p2_repaired, p3_found, p3_defect_counts, p5_found, p5_conversations, p5_clock_offsets, p6_found, p6_one_form, p8_found, p8_overlaps, p10_found, p10_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_entities, p2_found, p2_repaired, p3_found, p3_defect_counts, p5_found, p5_conversations, p5_clock_offsets, p6_found, p6_one_form, p7_containers, p7_fill, p8_found, p8_overlaps, p9_mixture, p9_shares, p10_found, p10_statistics)}
 SQL: dict[str, str] = {}
