@@ -147,7 +147,10 @@ def title_lines(paragraphs: DataFrame) -> DataFrame:
     bare = F.trim(F.regexp_replace(F.regexp_replace("line", _BEFORE, ""), _AFTER, ""))
     title = F.col("bare").rlike(r"^(?:[\p{Lu}0-9][\p{L}\p{M}0-9'&./-]*|of|and|the|for|in|on|to)(?:\s+(?:[\p{Lu}0-9][\p{L}\p{M}0-9'&./-]*|of|and|the|for|in|on|to))*$") | (F.col("bare").rlike(r"^[\u0621-\u064a]") & (F.size(F.split("bare", r"\s+")) <= 7))
     short = F.col("bare").rlike(rf"{_NUMBER}$") | ((F.length("bare") <= 38) & (F.size(F.split("bare", r"\s+")) <= 5))
-    lines = ends.where((F.length("line") <= 90) & F.col("line").rlike(r"\p{L}") & ~F.col("line").rlike(rf"[.!?:;,،؛؟{_HYPHENS}]\s*$") & ~F.col("line").rlike(PAGE_LINE))
+    # cheap tests first: most lines are too long, or hold no number at either end
+    number = rf"{_NUMBER}"
+    ends = ends.where((F.length("line") <= 38) | ((F.length("line") <= 90) & (F.left("line", F.lit(9)).rlike(number) | F.right("line", F.lit(9)).rlike(number))))
+    lines = ends.where(F.col("line").rlike(r"\p{L}") & ~F.col("line").rlike(rf"[.!?:;,،؛؟{_HYPHENS}]\s*$") & ~F.col("line").rlike(PAGE_LINE))
     return lines.withColumn("bare", bare).where(title & short).select("docName", "elementId", "line", fold(F.lower(F.regexp_replace("bare", r"\s+", " "))).alias("key"))
 
 
@@ -196,6 +199,7 @@ def parted_words(paragraphs: DataFrame, words: DataFrame, bigrams: DataFrame) ->
     """
     hit = paragraphs.where(F.col("text").contains("\n") & F.col("text").rlike(GAP)).withColumn("m", F.regexp_extract_all("text", F.lit(PARTED), F.lit(0)))
     p = hit.select("elementId", F.explode_outer("m").alias("m")).select("elementId", *[F.regexp_extract("m", PARTED, i + 1).alias(c) for i, c in enumerate(("left", "mark", "right"))]).distinct()
+    p = cut(p)  # read by both branches below
     plain = p.where((F.col("mark") == "-") & F.col("left").rlike("[A-Za-z]")).withColumn("w", F.lower(F.concat("left", "right")))
     whole = plain.join(words.select(F.col("word").alias("w"), F.col("n").alias("nw")), "w", "left").withColumns({"a": F.lower("left"), "b": F.lower("right")})
     apart = whole.join(bigrams.select("a", "b", F.col("n").alias("nb")), ["a", "b"], "left")
@@ -240,9 +244,9 @@ def _suspect_rows(paragraphs: DataFrame, seen: DataFrame) -> DataFrame:
 
 def corrections(paragraphs: DataFrame, headers: DataFrame, bigrams: DataFrame, words: DataFrame, lex: DataFrame, seen: DataFrame, total: int) -> DataFrame:
     """``elementId, seen, word``: misread words and what Viterbi reads them as, headers left out."""
-    ids = _suspect_rows(paragraphs, seen)
+    ids = _small(cut(_suspect_rows(paragraphs, seen)))
     h = headers.groupBy("elementId").agg(F.collect_set("line").alias("headers"))
-    rows = paragraphs.select("elementId", "text").distinct().join(ids, "elementId", "left_semi").join(h, "elementId", "left")
+    rows = paragraphs.select("elementId", "text").join(ids, "elementId", "left_semi").distinct().join(h, "elementId", "left")
     drop = F.expr("filter(split(text, '\\\\r?\\\\n'), l -> headers is null or not array_contains(headers, l))")
     body = rows.select("elementId", F.array_join(drop, "\n").alias("body"))
     lines = body.withColumn("t", F.filter(F.transform(tokens(F.col("body")), lambda x: F.when(x.rlike(rf"^{_NUMBER}+$"), "#").otherwise(F.lower(x))), lambda x: x != "")).select("elementId", F.monotonically_increasing_id().alias("row"), "t")
