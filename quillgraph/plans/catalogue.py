@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quillgraph.plans import reference_queries
+from quillgraph.plans import graph_queries, reference_queries
 
-_MODULES = [reference_queries]
+_MODULES = [graph_queries, reference_queries]
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
-FLAGSHIP = "p4_orphans_per_period"
+FLAGSHIP = "ppr_projected_chunks"
