@@ -34,7 +34,7 @@ WIDE = {"w": "vv", "u": "ii", "m": "rn", "d": "cl", "h": "li", "\u0644\u0627": "
 CLASSES = ["ec", "il1", "tf", "o0", "s5", "g9", "b6", "تث", "جحخ", "قف", "زر", "شس", "ضص", "طظ", "عغ", "دذ"]
 _HYPHENS = "\\-\u00ad\u00ac\u2010\u0640"
 #: Where a word is parted at a line's end; starts with the rare character, so that texts are scanned fast.
-GAP = rf"(?<=[\p{{L}}\p{{M}}])[{_HYPHENS}][ \t]*\r?\n[ \t]*(?=[\p{{L}}\p{{M}}])"
+GAP = rf"[{_HYPHENS}](?<=[\p{{L}}\p{{M}}][{_HYPHENS}])[ \t]*\r?\n[ \t]*(?=[\p{{L}}\p{{M}}])"
 #: The same with the two parts and the mark captured.
 PARTED = rf"([\p{{L}}\p{{M}}]+)([{_HYPHENS}])[ \t]*\r?\n[ \t]*([\p{{L}}\p{{M}}]+)"
 _NUMBER = "[0-9\u0660-\u0669]"
@@ -83,8 +83,8 @@ def confusions(word: str, seen: str) -> int:
     return best.get((len(word), len(seen)), 99)
 
 
-#: Characters between words, as ranges (cheaper to test than Unicode classes).
-_BETWEEN = "[\\x00-/:-@\\[-`{-\u00a9\u00ab-\u00b4\u00b6-\u00b9\u00bb-\u00bf\u00d7\u00f7\u0600-\u060f\u061b-\u061f\u0640\u066a-\u066d\u06d4\u2000-\u206f\u2190-\u2bff\u2e00-\u2e7f\u3000-\u303f]+"
+#: Characters between words, as the complement of few ranges (cheaper to test than Unicode classes).
+_BETWEEN = "[^a-z\u0620-\u063f\u0641-\u0669A-Z0-9\u00c0-\u05ff\u066e-\u06d3\u06d5-\u1fff\u3040-\uffff\\x{10000}-\\x{10ffff}]+"
 
 
 def joined(text: Column) -> Column:
