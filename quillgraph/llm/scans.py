@@ -135,37 +135,41 @@ def lexicon(words: DataFrame, total: int) -> DataFrame:
     return pairs.withColumn("k", cost("word", "seen")).where("k <= 3").select("seen", "word", "k")
 
 
-def title_lines(paragraphs: DataFrame) -> DataFrame:
-    """The lines of paragraphs of several lines that could be a title: ``docName, elementId, line, key``.
-
-    A title may stand anywhere, as pages end inside paragraphs. It has no
-    punctuation at its end and, in Latin script, capitals; without a number at
-    its end it is short. ``key`` is the line without its page number at either
-    end, lower-cased and folded.
+def odd_lines(paragraphs: DataFrame) -> DataFrame:
+    """Lines of paragraphs of several lines that could be page furniture: ``docName, elementId, page, line, no, key``.
+
+    ``no`` is the number of a line with nothing but a page number. Any other
+    line may be a title, wherever it stands, as pages end inside paragraphs: it
+    has no punctuation at its end and, in Latin script, capitals; without a
+    number at its end it is short. ``key`` is the title without its page number
+    at either end, lower-cased and folded.
     """
-    ends = paragraphs.where(F.col("text").contains("\n")).select("docName", "elementId", F.explode_outer(F.split("text", "\r?\n")).alias("line"))
-    bare = F.trim(F.regexp_replace(F.regexp_replace("line", _BEFORE, ""), _AFTER, ""))
-    title = F.col("bare").rlike(r"^(?:[\p{Lu}0-9][\p{L}\p{M}0-9'&./-]*|of|and|the|for|in|on|to)(?:\s+(?:[\p{Lu}0-9][\p{L}\p{M}0-9'&./-]*|of|and|the|for|in|on|to))*$") | (F.col("bare").rlike(r"^[\u0621-\u064a]") & (F.size(F.split("bare", r"\s+")) <= 7))
-    short = F.col("bare").rlike(rf"{_NUMBER}$") | ((F.length("bare") <= 38) & (F.size(F.split("bare", r"\s+")) <= 5))
+    ends = paragraphs.where(F.col("text").contains("\n")).select("docName", "elementId", "page", F.explode_outer(F.split("text", "\r?\n")).alias("line"))
     # cheap tests first: most lines are too long, or hold no number at either end
     number = rf"{_NUMBER}"
     ends = ends.where((F.length("line") <= 38) | ((F.length("line") <= 90) & (F.left("line", F.lit(9)).rlike(number) | F.right("line", F.lit(9)).rlike(number))))
-    lines = ends.where(F.col("line").rlike(r"\p{L}") & ~F.col("line").rlike(rf"[.!?:;,،؛؟{_HYPHENS}]\s*$") & ~F.col("line").rlike(PAGE_LINE))
-    return lines.withColumn("bare", bare).where(title & short).select("docName", "elementId", "line", fold(F.lower(F.regexp_replace("bare", r"\s+", " "))).alias("key"))
+    no = F.when((F.length("line") <= 38) & F.col("line").rlike(number), F.nullif(F.regexp_extract("line", PAGE_LINE, 1), F.lit("")))
+    bare = F.trim(F.regexp_replace(F.regexp_replace("line", _BEFORE, ""), _AFTER, ""))
+    title = F.col("bare").rlike(r"^(?:[\p{Lu}0-9][\p{L}\p{M}0-9'&./-]*|of|and|the|for|in|on|to)(?:\s+(?:[\p{Lu}0-9][\p{L}\p{M}0-9'&./-]*|of|and|the|for|in|on|to))*$") | (F.col("bare").rlike(r"^[\u0621-\u064a]") & (F.size(F.split("bare", r"\s+")) <= 7))
+    short = F.col("bare").rlike(rf"{_NUMBER}$") | ((F.length("bare") <= 38) & (F.size(F.split("bare", r"\s+")) <= 5))
+    open_end = F.col("line").rlike(r"\p{L}") & ~F.col("line").rlike(rf"[.!?:;,،؛؟{_HYPHENS}]\s*$")
+    lines = ends.withColumn("no", no).where(F.col("no").isNotNull() | open_end).withColumn("bare", F.when(F.col("no").isNull(), bare))
+    key = F.when(title & short, fold(F.lower(F.regexp_replace("bare", r"\s+", " "))))
+    return lines.select("docName", "elementId", "page", "line", "no", key.alias("key")).where("no is not null or key is not null")
 
 
 #: How a number at the end of a folded key looks: folding takes some digits for letters.
 _KEY_NUMBER = r"\s[0-9oigsb\u0660-\u0669]+"
 
 
-def header_lines(paragraphs: DataFrame) -> DataFrame:
+def header_lines(odd: DataFrame) -> DataFrame:
     """Distinct ``elementId, line`` that are the running header of their document.
 
     A key that stands in two elements of a document is its title. Where a
     document shows its title once, the line counts if it ends with a number and
     all its words are words of such titles.
     """
-    b = cut(title_lines(paragraphs).distinct())
+    b = odd.where("key is not null").select("docName", "elementId", "line", "key").distinct()
     often = b.groupBy("docName", "key").agg(F.count_distinct("elementId").alias("n")).where("n >= 2")
     top = often.groupBy("docName").agg(F.max("n").alias("top"))
     # wrapped lines recur by chance in long documents, but never as often as the title; without a number they need a third place
@@ -183,11 +187,9 @@ def western(c: Column) -> Column:
     return F.translate(c, "٠١٢٣٤٥٦٧٨٩", "0123456789").cast("int")
 
 
-def page_numbers(paragraphs: DataFrame) -> DataFrame:
+def page_numbers(odd: DataFrame) -> DataFrame:
     """Elements with a line of nothing but their page's number; any number will do where the page is null."""
-    got = F.regexp_extract_all("text", F.lit(PAGE_LINE), F.lit(1))
-    p = paragraphs.where(F.col("text").contains("\n") & F.col("text").rlike(PAGE_LINE)).select("elementId", "page", F.explode_outer(got).alias("no"))
-    return p.where(F.col("page").isNull() | (western(F.col("no")) == F.col("page"))).select("elementId").distinct()
+    return odd.where("no is not null").where(F.col("page").isNull() | (western(F.col("no")) == F.col("page"))).select("elementId").distinct()
 
 
 def parted_words(paragraphs: DataFrame, words: DataFrame, bigrams: DataFrame) -> DataFrame:
@@ -290,7 +292,8 @@ class Model:
         self.total = int(self.words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
         self.lexicon = cut(lexicon(self.words, self.total))
         self.seen = cut(raw.select("a").distinct().join(self.lexicon.select(F.col("seen").alias("low")).distinct(), F.lower("a") == F.col("low"), "left_semi"))
-        self.headers = cut(header_lines(self.paragraphs))
+        self.odd = cut(odd_lines(self.paragraphs))
+        self.headers = cut(header_lines(self.odd))
 
     def corrections(self) -> DataFrame:
         return corrections(self.paragraphs, self.headers, self.bigrams, self.words, self.lexicon, self.seen, self.total)
@@ -310,7 +313,7 @@ def noise(elements: DataFrame) -> DataFrame:
         ("line_break", m.parted().select("elementId")),
         ("misread", m.corrections().select("elementId")),
         ("running_header", m.headers.select("elementId")),
-        ("page_number", page_numbers(m.paragraphs)),
+        ("page_number", page_numbers(m.odd)),
     ]
     out = None
     for name, ids in kinds:
