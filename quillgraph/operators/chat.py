@@ -134,4 +134,5 @@ def cascade_delete(users: DataFrame, chats: DataFrame, messages: DataFrame, cita
 
 def session_users(users: DataFrame, sessions: DataFrame, token: str) -> DataFrame:
     """The user of a session token, looked up by the token's hash."""
-    return sessions.where(F.col("tokenHash") == F.sha2(F.lit(token), 256)).join(users, sessions["userId"] == users["id"]).select(users["*"])
+    ids = sessions.where(F.col("tokenHash") == F.sha2(F.lit(token), 256)).select(F.col("userId").alias("_u")).distinct()
+    return users.join(ids, F.col("id") == F.col("_u"), "left_semi")

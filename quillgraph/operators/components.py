@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from quillgraph.runtime import cut
 
 
+def _signature(edges: DataFrame) -> tuple:
+    """Number and hash sum of distinct edges: equal for equal sets, one small aggregate."""
+    h = F.xxhash64("u", "v")
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(h.cast("decimal(38,0)")), F.bit_xor(h)).first())
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """``node, component`` (the smallest node id reachable) for every endpoint.
 
@@ -20,6 +26,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
     nodes = cut(e.select(F.explode(F.array("u", "v")).alias("node")).distinct())
     cur = cut(e.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    mark = _signature(cur)
     for _ in range(max_rounds):
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -27,8 +34,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         small_low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_low, "u")
         nxt = cut(small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small_low.select("u", F.col("m").alias("v"))).distinct())
-        changed = nxt.join(cur, ["u", "v"], "left_anti").limit(1).count() + cur.join(nxt, ["u", "v"], "left_anti").limit(1).count()
-        cur = nxt
-        if not changed:
+        cur, before, mark = nxt, mark, _signature(nxt)
+        if mark == before:
             break
     return nodes.join(cur.select(F.col("u").alias("node"), F.col("v").alias("c")), "node", "left").select("node", F.coalesce("c", "node").alias("component"))

@@ -52,15 +52,15 @@ def recall_hits(retrieved: DataFrame, gold: DataFrame, ks: Sequence[int] = (1, 2
 def agreement(labels: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """One row with NMI, ARI and entropies of two labelings of the same items; 1 where both are constant."""
     t = labels.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    tot = t.agg(F.sum("n").alias("N"))
+    tot = t.agg(F.sum("n").alias("total"))
     ra = t.groupBy("a").agg(F.sum("n").alias("na"))
     rb = t.groupBy("b").agg(F.sum("n").alias("nb"))
     comb = lambda c: c * (c - 1) / 2
-    ha = ra.crossJoin(tot).agg(F.sum(-F.col("na") / F.col("N") * F.log(F.col("na") / F.col("N"))).alias("ha"), F.sum(comb(F.col("na"))).alias("ca"))
-    hb = rb.crossJoin(tot).agg(F.sum(-F.col("nb") / F.col("N") * F.log(F.col("nb") / F.col("N"))).alias("hb"), F.sum(comb(F.col("nb"))).alias("cb"))
-    mi = t.join(ra, "a").join(rb, "b").crossJoin(tot).agg(F.sum(F.col("n") / F.col("N") * F.log(F.col("n") * F.col("N") / (F.col("na") * F.col("nb")))).alias("mi"), F.sum(comb(F.col("n"))).alias("cab"), F.max("N").alias("N"))
+    ha = ra.crossJoin(tot).agg(F.sum(-F.col("na") / F.col("total") * F.log(F.col("na") / F.col("total"))).alias("ha"), F.sum(comb(F.col("na"))).alias("ca"))
+    hb = rb.crossJoin(tot).agg(F.sum(-F.col("nb") / F.col("total") * F.log(F.col("nb") / F.col("total"))).alias("hb"), F.sum(comb(F.col("nb"))).alias("cb"))
+    mi = t.join(ra, "a").join(rb, "b").crossJoin(tot).agg(F.sum(F.col("n") / F.col("total") * F.log(F.col("n") * F.col("total") / (F.col("na") * F.col("nb")))).alias("mi"), F.sum(comb(F.col("n"))).alias("cab"), F.max("total").alias("total"))
     j = mi.crossJoin(ha).crossJoin(hb)
-    expected = F.col("ca") * F.col("cb") / comb(F.col("N"))
+    expected = F.col("ca") * F.col("cb") / comb(F.col("total"))
     best = (F.col("ca") + F.col("cb")) / 2
     nmi = F.when(F.col("ha") + F.col("hb") == 0, F.lit(1.0)).otherwise(2 * F.col("mi") / (F.col("ha") + F.col("hb")))
     return j.select(nmi.alias("nmi"), F.when(best == expected, F.lit(1.0)).otherwise((F.col("cab") - expected) / (best - expected)).alias("ari"), "ha", "hb")
