@@ -129,9 +129,9 @@ SQL = {
     "summariser_trigger": f"WITH {_MARK} SELECT chatId, count(*) AS messages, sum({_TOKENS.format('content')})::BIGINT AS tokens, (count(*)>=6 OR sum({_TOKENS.format('content')})>=1000) AS due FROM fr GROUP BY 1",
     "message_paging": f"WITH {_M} SELECT id, createdAt FROM mm WHERE createdAt IS NOT NULL ORDER BY createdAt DESC, id LIMIT 25 OFFSET 50",
     "chat_summaries": f"WITH {_M} SELECT chatId, count(*) AS messages, max(createdAt) AS updatedAt, substr(arg_min(content, struct_pack(a:=createdAt,b:=id)) FILTER (WHERE lower(trim(role)) IN ('user','human') AND createdAt IS NOT NULL AND content IS NOT NULL),1,60) AS title FROM mm WHERE chatId IS NOT NULL GROUP BY 1",
-    "promoter_state": f"WITH {_PROM} SELECT userId, category, key, value, 'inferred' AS source, round(confidence,4) AS confidence FROM pr",
+    "promoter_state": f"WITH {_PROM} SELECT userId, category, key, value, 'inferred' AS source, round(confidence,4)::DOUBLE AS confidence FROM pr",
     "pii_gate": f"WITH {_STM} SELECT regexp_matches(content,'\\b[0-9]{{10,}}\\b') AS blocked, count(*) AS n FROM stm GROUP BY 1",
-    "prompt_memory": f"WITH {_PROM}, r AS (SELECT *, row_number() OVER (PARTITION BY userId ORDER BY confidence DESC, key) AS rn FROM pr WHERE category IN ('preference','instruction')) SELECT userId, rn::INT AS rn, category, key, round(confidence,4) AS confidence FROM r WHERE rn<=2",
+    "prompt_memory": f"WITH {_PROM}, r AS (SELECT *, row_number() OVER (PARTITION BY userId ORDER BY confidence DESC, key) AS rn FROM pr WHERE category IN ('preference','instruction')) SELECT userId, rn::INT AS rn, category, key, round(confidence,4)::DOUBLE AS confidence FROM r WHERE rn<=2",
     "prompt_budget": f"WITH c AS (SELECT DISTINCT ON (chunkId) chunkId, text, {_TOKENS.format('text')} AS n FROM chunks) SELECT chunkId, (1+4+least(n,600)+least(n,20000)+{_TOKENS.format('chunkId')})::INT AS words, true AS ordered, true AS last FROM c",
     "overflow_ladder": "WITH t AS (SELECT token_estimate AS t, 120 AS s, 40 AS m, token_estimate*2 AS c FROM v2_chunks WHERE token_estimate IS NOT NULL) SELECT CASE WHEN t+s+m+c<=900 THEN 'fits' WHEN s+m+c<=900 THEN 'drop_turns' WHEN m+c<=900 THEN 'shorten_summary' WHEN c<=900 THEN 'drop_memory' ELSE 'drop_chunk' END AS step, count(*) AS n FROM t GROUP BY 1",
     "citation_rank": "WITH c AS (SELECT DISTINCT * FROM message_citations WHERE chunkId IS NOT NULL AND score IS NOT NULL) SELECT messageId, row_number() OVER (PARTITION BY messageId ORDER BY -score, id, chunkId)::INT AS rank, id FROM c",
