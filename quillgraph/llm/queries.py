@@ -103,4 +103,23 @@ def p8_overlaps(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_entities, p2_found, p2_repaired, p3_found, p3_defect_counts, p5_found, p5_conversations, p5_clock_offsets, p6_found, p6_one_form, p7_containers, p7_fill, p8_found, p8_overlaps, p9_mixture, p9_shares, p10_found, p10_statistics)}
-SQL: dict[str, str] = {}
+_P5 = r"""
+WITH x AS (
+  SELECT id, chatId, createdAt AS ts, coalesce(regexp_matches(content, '[\p{L}\p{N}]'), false) AS said,
+    CASE WHEN lower(trim(role)) IN ('user','human') THEN 'user' WHEN lower(trim(role)) IN ('assistant','bot','ai') THEN 'assistant' WHEN lower(trim(role))='system' THEN 'system' ELSE 'unknown' END AS kind
+  FROM messages
+), m AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY (ts IS NULL), ts, chatId NULLS FIRST, kind, said) AS r FROM x) WHERE r=1 AND chatId IS NOT NULL
+), f AS (
+  SELECT chatId, bool_or(kind IN ('user','assistant') AND said) AS spoken, bool_or(ts IS NULL) AS undated, bool_or(kind='unknown') AS unknown FROM m GROUP BY 1
+), t AS (
+  SELECT chatId, kind, row_number() OVER w AS n, lead(kind) OVER w AS nk, lead(said) OVER w AS ns FROM m WHERE kind<>'system' AND ts IS NOT NULL
+  WINDOW w AS (PARTITION BY chatId ORDER BY ts, CASE kind WHEN 'user' THEN 1 WHEN 'assistant' THEN 2 ELSE 3 END, id)
+), g AS (
+  SELECT chatId, bool_or(n=1 AND kind<>'user') AS odd_start, bool_or(kind='assistant' AND nk='assistant') AS twice, bool_or(kind='user' AND NOT (coalesce(nk,'')='assistant' AND coalesce(ns,false))) AS open FROM t GROUP BY 1
+), c AS (SELECT DISTINCT id FROM chats WHERE id IS NOT NULL), a AS (SELECT id AS chatId FROM c UNION SELECT chatId FROM f), j AS (
+  SELECT a.chatId, CASE WHEN NOT coalesce(spoken,false) THEN 'empty' WHEN c.id IS NULL OR undated OR unknown OR coalesce(odd_start,false) OR coalesce(twice,false) THEN 'broken' WHEN open THEN 'missing_reply' END AS reason
+  FROM a LEFT JOIN f USING (chatId) LEFT JOIN g USING (chatId) LEFT JOIN c ON c.id=a.chatId
+) SELECT chatId, reason FROM j WHERE reason IS NOT NULL
+"""
+SQL: dict[str, str] = {"p5_found": _P5}
