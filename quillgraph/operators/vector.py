@@ -79,6 +79,21 @@ def nearest(vectors: DataFrame, base: DataFrame) -> DataFrame:
     return s.groupBy("id").agg(F.max(F.struct("score", (-F.col("near")).alias("n"))).alias("m")).select("id", (-F.col("m.n")).alias("near"), "m.score")
 
 
+def search_all(queries: DataFrame, base: DataFrame, k: int, parts: int = 8) -> DataFrame:
+    """``query, id, score``: the top ``k`` of ``base`` for every query vector, itself left out, ties by id.
+
+    Base vectors are dealt over ``parts`` cells and queries are sent to each;
+    a cell keeps its own top ``k`` per query, and only those are ranked
+    together. Exact, and no cell holds the whole base.
+    """
+    q = queries.where("vector is not null").select(F.col("id").alias("query"), unit(F.col("vector")).alias("u"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("cell"))
+    b = base.where("vector is not null").select("id", unit(F.col("vector")).alias("v"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("cell"))
+    s = q.join(b, "cell").where("query != id").select("query", "cell", "id", dot(F.col("u"), F.col("v")).alias("score"))
+    order = [F.desc("score"), F.asc("id")]
+    local = s.withColumn("rn", F.row_number().over(W.Window.partitionBy("query", "cell").orderBy(*order))).where(F.col("rn") <= k)
+    return local.withColumn("rn", F.row_number().over(W.Window.partitionBy("query").orderBy(*order))).where(F.col("rn") <= k).drop("rn", "cell")
+
+
 def tier(score: Column) -> Column:
     """Half-open similarity tiers at .80 .85 .90 .95."""
     return F.when(score >= 0.95, "0.95+").when(score >= 0.90, "0.90-0.95").when(score >= 0.85, "0.85-0.90").when(score >= 0.80, "0.80-0.85").otherwise("<0.80")

@@ -75,7 +75,7 @@ def alias_prepend_upsert(spark, d):
 def edge_upsert_chunkids(spark, d):
     e = load(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_returnflag").alias("predicate"), F.col("l_partkey").alias("dst"), F.col("l_orderkey").alias("chunk"))
     n = load(spark, d, "supplier").select(F.col("s_suppkey").alias("id"))
-    m = E.merge_edges(e.where("dst <= 100"), n)
+    m = E.merge_edges(e, n)
     return m.select("src", "predicate", "dst", F.array_join(F.transform("chunkIds", lambda x: x.cast("string")), "|").alias("chunkIds"))
 
 
@@ -152,7 +152,7 @@ SQL = {
     "triple_drop_counts": f"WITH {_TRIP} SELECT count(*) AS raw, count(*) FILTER (WHERE src IS NULL OR dst IS NULL) AS unmatched, count(*) FILTER (WHERE src=dst) AS self_ref FROM j",
     "alias_union_upsert": "WITH o AS (SELECT p_brand AS b, list_sort(list(DISTINCT p_type)) AS t FROM part WHERE p_partkey%2=0 GROUP BY 1), n AS (SELECT p_brand AS b, list_sort(list(DISTINCT p_type)) AS t FROM part WHERE p_partkey%2=1 GROUP BY 1), c AS (SELECT p_brand AS b, count(DISTINCT p_partkey)::INT AS chunks FROM part GROUP BY 1) SELECT c.b AS canonicalId, array_to_string(list_concat(coalesce(o.t,[]), list_filter(coalesce(n.t,[]), lambda x: NOT list_contains(coalesce(o.t,[]),x))),'|') AS aliases, chunks FROM c LEFT JOIN o USING (b) LEFT JOIN n USING (b)",
     "alias_prepend_upsert": "WITH o AS (SELECT p_brand, list_sort(list(DISTINCT p_type)) AS t FROM part WHERE p_partkey%2=0 GROUP BY 1), n AS (SELECT p_brand, list_sort(list(DISTINCT p_type)) AS t FROM part WHERE p_partkey%2=1 GROUP BY 1) SELECT p_brand, array_to_string(list_concat(list_filter(n.t, lambda x: NOT list_contains(o.t,x)), o.t),'|') AS aliases FROM o JOIN n USING (p_brand)",
-    "edge_upsert_chunkids": "SELECT l_suppkey AS src, l_returnflag AS predicate, l_partkey AS dst, array_to_string(list_sort(list(DISTINCT l_orderkey)),'|') AS chunkIds FROM lineitem WHERE l_partkey<=100 AND l_suppkey IN (SELECT s_suppkey FROM supplier) AND l_partkey IN (SELECT s_suppkey FROM supplier) GROUP BY ALL",
+    "edge_upsert_chunkids": "SELECT l_suppkey AS src, l_returnflag AS predicate, l_partkey AS dst, array_to_string(list_sort(list(DISTINCT l_orderkey)),'|') AS chunkIds FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier) AND l_partkey IN (SELECT s_suppkey FROM supplier) GROUP BY ALL",
     "node_upsert": "WITH u AS (SELECT c_custkey, 0.0 AS c_acctbal FROM customer WHERE c_custkey%2=0 UNION ALL SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey%3<>0 AND c_custkey%2<>0) SELECT c_acctbal=0 AS fresh, count(*) AS n, sum(c_custkey)::BIGINT AS keys FROM u GROUP BY 1",
     "insert_if_absent": "WITH u AS (SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey%3<>0 UNION ALL SELECT c_custkey, -1.0 FROM customer WHERE c_custkey%3=0) SELECT c_acctbal=-1 AS fresh, count(*) AS n FROM u GROUP BY 1",
     "detach_delete": "WITH m AS (SELECT DISTINCT l_orderkey AS chunk, l_suppkey AS entity FROM lineitem), e AS (SELECT a.entity AS src, b.entity AS dst, count(*) AS weight FROM m a JOIN m b ON a.chunk=b.chunk AND a.entity<b.entity GROUP BY 1,2) SELECT (SELECT count(*) FROM supplier WHERE s_suppkey%7<>0) AS nodes, count(*) AS edges, sum(weight)::BIGINT AS weight FROM e WHERE src%7<>0 AND dst%7<>0",

@@ -26,6 +26,11 @@ def _strong(spark: SparkSession, d: str) -> DataFrame:
     return e.select((F.col("src") * 1_000_000 + F.col("dst")).alias("edge_id"), "src", "dst", "weight")
 
 
+def _seeds(spark, d):
+    """The searches' starting points: every hundredth part."""
+    return load(spark, d, "part").where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("node"))
+
+
 def mention_edges(spark, d):
     return _mentions(spark, d).groupBy("entity").agg(F.count(F.lit(1)).alias("chunks"))
 
@@ -52,29 +57,29 @@ def neighbour_degree_range(spark, d):
 
 def one_hop_neighbours(spark, d):
     e = _strong(spark, d)
-    return G.neighbours(e).where("node <= 50")
+    return G.neighbours(e)
 
 
 def khop_subgraph(spark, d):
     e = _strong(spark, d)
-    seeds = e.sparkSession.range(1, 6).withColumnRenamed("id", "node")
+    seeds = _seeds(spark, d)
     k = G.khop(e, seeds, 2)
     return k.select("node", "hop", G.hop_label(F.col("hop")).alias("label"))
 
 
 def induced_edges(spark, d):
     e = _strong(spark, d)
-    seeds = e.sparkSession.range(1, 6).withColumnRenamed("id", "node")
+    seeds = _seeds(spark, d)
     return G.induced_edges(e, G.khop(e, seeds, 1)).select("src", "dst", "weight")
 
 
 def trail_paths_depth2(spark, d):
-    p = G.trail_paths(_strong(spark, d), spark.range(1, 21).withColumnRenamed("id", "node"), 2)
+    p = G.trail_paths(_strong(spark, d), _seeds(spark, d), 2)
     return p.select("seed", "target", "hops", F.array_join(F.transform("nodes", lambda x: x.cast("string")), ">").alias("path"))
 
 
 def trail_paths_depth3(spark, d):
-    p = G.trail_paths(_strong(spark, d), spark.range(1, 6).withColumnRenamed("id", "node"), 3)
+    p = G.trail_paths(_strong(spark, d), _seeds(spark, d), 3)
     return p.groupBy("seed", "target", "hops").agg(F.count(F.lit(1)).alias("paths"))
 
 
@@ -148,11 +153,11 @@ SQL = {
     "adjacency_index": f"WITH {_PCO}, n AS (SELECT src AS node FROM pco UNION SELECT dst FROM pco) SELECT node, row_number() OVER (ORDER BY node)-1 AS idx FROM n",
     "degree_table": f"WITH {_CO} SELECT node, sum(weight)::DOUBLE AS degree, count(*) AS neighbours FROM (SELECT src AS node, weight FROM co UNION ALL SELECT dst, weight FROM co) GROUP BY 1",
     "neighbour_degree_range": f"WITH {_ST} SELECT node, count(DISTINCT neighbour) AS n FROM nb GROUP BY 1 HAVING count(DISTINCT neighbour) BETWEEN 5 AND 50",
-    "one_hop_neighbours": f"WITH {_ST} SELECT node, neighbour FROM nb WHERE node<=50",
-    "khop_subgraph": f"WITH {_ST}, h0 AS (SELECT range AS node, 0 AS hop FROM range(1,6)), h1 AS (SELECT DISTINCT neighbour AS node, 1 AS hop FROM nb JOIN h0 USING (node) WHERE neighbour NOT IN (SELECT node FROM h0)), h2 AS (SELECT DISTINCT neighbour AS node, 2 AS hop FROM nb JOIN h1 USING (node) WHERE neighbour NOT IN (SELECT node FROM h0 UNION SELECT node FROM h1)), a AS (SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2) SELECT node, hop, CASE hop WHEN 0 THEN 'seed' WHEN 1 THEN '1' ELSE '2+' END AS label FROM a",
-    "induced_edges": f"WITH {_ST}, h AS (SELECT range AS node FROM range(1,6) UNION SELECT neighbour FROM nb WHERE node BETWEEN 1 AND 5) SELECT src,dst,weight FROM st WHERE src IN (SELECT node FROM h) AND dst IN (SELECT node FROM h)",
-    "trail_paths_depth2": f"WITH {_ST}, p1 AS (SELECT node AS seed, nxt AS target, [node,nxt] AS nodes, [edge_id] AS es FROM step WHERE node BETWEEN 1 AND 20), p2 AS (SELECT seed, s.nxt AS target, list_append(nodes,s.nxt) AS nodes, list_append(es,edge_id) AS es FROM p1 JOIN step s ON p1.target=s.node WHERE NOT list_contains(es,edge_id)) SELECT seed,target,1 AS hops, array_to_string(nodes,'>') AS path FROM p1 UNION ALL SELECT seed,target,2,array_to_string(nodes,'>') FROM p2",
-    "trail_paths_depth3": f"WITH {_ST}, p1 AS (SELECT node AS seed, nxt AS target, [edge_id] AS es FROM step WHERE node BETWEEN 1 AND 5), p2 AS (SELECT seed, s.nxt AS target, list_append(es,edge_id) AS es FROM p1 JOIN step s ON p1.target=s.node WHERE NOT list_contains(es,edge_id)), p3 AS (SELECT seed, s.nxt AS target, list_append(es,edge_id) AS es FROM p2 JOIN step s ON p2.target=s.node WHERE NOT list_contains(es,edge_id)) SELECT seed,target,hops,count(*) AS paths FROM (SELECT seed,target,1 AS hops FROM p1 UNION ALL SELECT seed,target,2 FROM p2 UNION ALL SELECT seed,target,3 FROM p3) GROUP BY ALL",
+    "one_hop_neighbours": f"WITH {_ST} SELECT node, neighbour FROM nb",
+    "khop_subgraph": f"WITH {_ST}, h0 AS (SELECT p_partkey AS node, 0 AS hop FROM part WHERE p_partkey%100=0), h1 AS (SELECT DISTINCT neighbour AS node, 1 AS hop FROM nb JOIN h0 USING (node) WHERE neighbour NOT IN (SELECT node FROM h0)), h2 AS (SELECT DISTINCT neighbour AS node, 2 AS hop FROM nb JOIN h1 USING (node) WHERE neighbour NOT IN (SELECT node FROM h0 UNION SELECT node FROM h1)), a AS (SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2) SELECT node, hop, CASE hop WHEN 0 THEN 'seed' WHEN 1 THEN '1' ELSE '2+' END AS label FROM a",
+    "induced_edges": f"WITH {_ST}, h AS (SELECT p_partkey AS node FROM part WHERE p_partkey%100=0 UNION SELECT neighbour FROM nb WHERE node%100=0) SELECT src,dst,weight FROM st WHERE src IN (SELECT node FROM h) AND dst IN (SELECT node FROM h)",
+    "trail_paths_depth2": f"WITH {_ST}, p1 AS (SELECT node AS seed, nxt AS target, [node,nxt] AS nodes, [edge_id] AS es FROM step WHERE node%100=0), p2 AS (SELECT seed, s.nxt AS target, list_append(nodes,s.nxt) AS nodes, list_append(es,edge_id) AS es FROM p1 JOIN step s ON p1.target=s.node WHERE NOT list_contains(es,edge_id)) SELECT seed,target,1 AS hops, array_to_string(nodes,'>') AS path FROM p1 UNION ALL SELECT seed,target,2,array_to_string(nodes,'>') FROM p2",
+    "trail_paths_depth3": f"WITH {_ST}, p1 AS (SELECT node AS seed, nxt AS target, [edge_id] AS es FROM step WHERE node%100=0), p2 AS (SELECT seed, s.nxt AS target, list_append(es,edge_id) AS es FROM p1 JOIN step s ON p1.target=s.node WHERE NOT list_contains(es,edge_id)), p3 AS (SELECT seed, s.nxt AS target, list_append(es,edge_id) AS es FROM p2 JOIN step s ON p2.target=s.node WHERE NOT list_contains(es,edge_id)) SELECT seed,target,hops,count(*) AS paths FROM (SELECT seed,target,1 AS hops FROM p1 UNION ALL SELECT seed,target,2 FROM p2 UNION ALL SELECT seed,target,3 FROM p3) GROUP BY ALL",
     "ppr_fixed_iters": _ppr_sql() + f" SELECT node, round(score,8) AS score FROM r{ROUNDS}",
     "ppr_projected_chunks": _ppr_sql() + f" SELECT chunk, round(sum(score),7) AS score FROM m JOIN r{ROUNDS} r ON m.entity=r.node WHERE score>1e-6 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
     "node_specificity": f"WITH {_M}, n AS (SELECT entity, count(*) AS c FROM m WHERE entity BETWEEN 1 AND 10 GROUP BY 1), w AS (SELECT entity AS node, 0.1/c AS mass FROM n) SELECT node, round(mass/(SELECT sum(mass) FROM w),9) AS mass FROM w",

@@ -15,13 +15,13 @@ from quillgraph.sources.tables import load
 
 
 def _retrieved(spark, d):
-    """Ten nearest vectors for every fiftieth one; the same label is relevant, hop = label mod 3."""
+    """Ten nearest vectors for every hundredth one; the same label is relevant, hop = label mod 3."""
     e = load(spark, d, "embeddings").select("vec_id", "embedding", "label")
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("qe"), F.col("label").alias("ql"))
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("qe"), F.col("label").alias("ql"))
     s = q.join(e, F.col("query") != F.col("vec_id")).withColumn("score", cosine(F.col("embedding"), F.col("qe")))
     r = s.withColumn("rank", F.row_number().over(W.Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")))
     top = r.where("rank <= 10").select("query", F.col("vec_id").alias("item"), "rank", (F.col("ql") % 3).alias("hop"))
-    gold = s.where("ql = label and vec_id % 7 = 0").select("query", F.col("vec_id").alias("item"))
+    gold = s.where("ql = label").select("query", F.col("vec_id").alias("item"))
     return top, gold
 
 
@@ -131,7 +131,7 @@ def explorer_type_counts(spark, d):
 def _entities(spark, d):
     e = load(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.col("label").cast("string").alias("type"))
     n = load(spark, d, "lineitem").groupBy((F.col("l_partkey") % 500).alias("id")).agg(F.count(F.lit(1)).alias("mentions"))
-    return e.where("id < 500").join(n, "id", "left").select("id", F.concat(F.lit("n "), (F.col("id") % 211).cast("string")).alias("name"), "type", "vector", F.coalesce("mentions", F.lit(0)).alias("mentions"))
+    return e.join(n, "id", "left").select("id", F.concat(F.lit("n "), (F.col("id") % 211).cast("string")).alias("name"), "type", "vector", F.coalesce("mentions", F.lit(0)).alias("mentions"))
 
 
 def alignment_components(spark, d):
@@ -150,14 +150,14 @@ def leiden_hierarchy(spark, d):
 
 
 _E = "list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
-_R = f"s AS (SELECT q.vec_id AS query, q.label AS ql, e.vec_id AS item, e.label AS label, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_E} DESC, e.vec_id) AS rank FROM embeddings q JOIN embeddings e ON q.vec_id<>e.vec_id WHERE q.vec_id%50=0), g AS (SELECT query, item FROM s WHERE ql=label AND item%7=0), t AS (SELECT query, item, rank, ql%3 AS hop FROM s WHERE rank<=10), n AS (SELECT query, count(*) AS rel FROM g GROUP BY 1)"
+_R = f"s AS (SELECT q.vec_id AS query, q.label AS ql, e.vec_id AS item, e.label AS label, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_E} DESC, e.vec_id) AS rank FROM embeddings q JOIN embeddings e ON q.vec_id<>e.vec_id WHERE q.vec_id%100=0), g AS (SELECT query, item FROM s WHERE ql=label), t AS (SELECT query, item, rank, ql%3 AS hop FROM s WHERE rank<=10), n AS (SELECT query, count(*) AS rel FROM g GROUP BY 1)"
 _H = ", ".join(f"count(*) FILTER (WHERE g.item IS NOT NULL AND rank<={k}) AS f{k}" for k in (1, 2, 5, 10))
 _HS = ", ".join(f"round(avg(CASE WHEN coalesce(rel,0)>0 THEN f{k}/rel ELSE 0 END),9) AS recall_{k}, round(avg((f{k}>0)::INT),9) AS hit_{k}" for k in (1, 2, 5, 10))
 _SP = "sp AS (SELECT DISTINCT c AS chunkId, dn AS docName, mv, r.id AS id, r.value.text AS text, r.value.labels[1] AS type, r.value.start AS st, r.value.\"end\" AS en FROM (SELECT c, dn, p.model_version AS mv, unnest(p.result) AS r FROM (SELECT meta.chunkId AS c, meta.docName AS dn, unnest(predictions) AS p FROM ls_import)) WHERE r.type='labels')"
 _TK = "x AS (SELECT DISTINCT ON (meta.chunkId) meta.chunkId AS chunkId, string_split(data.text,' ') AS w FROM ls_import WHERE meta.chunkId IS NOT NULL), y AS (SELECT chunkId, unnest(w) AS word, generate_subscripts(w,1)-1 AS i FROM x), tk AS (SELECT chunkId, i, word, coalesce(sum(length(word)+1) OVER (PARTITION BY chunkId ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0)::INT AS st FROM y)"
 _LB = "us AS (SELECT DISTINCT chunkId, st AS ss, en AS se FROM sp WHERE chunkId IS NOT NULL), j AS (SELECT tk.chunkId, i, ss, se, row_number() OVER (PARTITION BY tk.chunkId, ss, se ORDER BY i) AS rn FROM tk JOIN us ON us.chunkId=tk.chunkId AND tk.st>=ss AND tk.st+length(word)<=se), m AS (SELECT chunkId, i, arg_max(rn, struct_pack(a:=ss,b:=se)) AS rn FROM j GROUP BY 1,2), lb AS (SELECT tk.*, CASE WHEN m.rn=1 THEN 'B' WHEN m.rn>1 THEN 'I' ELSE 'O' END AS label FROM tk LEFT JOIN m USING (chunkId, i))"
 _CO = "lm AS (SELECT DISTINCT l_orderkey AS c, l_suppkey AS e FROM lineitem), co AS (SELECT a.e AS src, b.e AS dst, count(*) AS w FROM lm a JOIN lm b ON a.c=b.c AND a.e<b.e GROUP BY 1,2), adj AS (SELECT src,dst,w FROM co UNION ALL SELECT dst,src,w FROM co)"
-_EN = "nn AS (SELECT l_partkey%500 AS id, count(*) AS mentions FROM lineitem GROUP BY 1), en AS (SELECT vec_id AS id, 'n '||(vec_id%211) AS name, label AS type, embedding::DOUBLE[] AS v, coalesce(mentions,0) AS mentions FROM embeddings LEFT JOIN nn ON nn.id=vec_id WHERE vec_id<500), lk AS (SELECT a.id AS a, b.id AS b FROM en a JOIN en b ON a.type=b.type AND a.id<>b.id WHERE a.name=b.name OR list_cosine_similarity(a.v,b.v)>=0.4), w(node,r) AS (SELECT a,a FROM lk UNION SELECT lk.b, w.r FROM w JOIN lk ON lk.a=w.node AND w.r<lk.b), cl AS (SELECT node AS id, min(r) AS cluster FROM w GROUP BY 1)"
+_EN = "nn AS (SELECT l_partkey%500 AS id, count(*) AS mentions FROM lineitem GROUP BY 1), en AS (SELECT vec_id AS id, 'n '||(vec_id%211) AS name, label AS type, embedding::DOUBLE[] AS v, coalesce(mentions,0) AS mentions FROM embeddings LEFT JOIN nn ON nn.id=vec_id), lk AS (SELECT a.id AS a, b.id AS b FROM en a JOIN en b ON a.type=b.type AND a.id<>b.id WHERE a.name=b.name OR list_cosine_similarity(a.v,b.v)>=0.4), w(node,r) AS (SELECT a,a FROM lk UNION SELECT lk.b, w.r FROM w JOIN lk ON lk.a=w.node AND w.r<lk.b), cl AS (SELECT node AS id, min(r) AS cluster FROM w GROUP BY 1)"
 
 QUERIES = {
     f.__name__: f

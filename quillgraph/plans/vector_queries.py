@@ -35,6 +35,11 @@ def vector_topk(spark, d):
     return V.vector_search(_vectors(spark, d), _query(spark, d), 20).select("id", F.round("score", 6).alias("score"))
 
 
+def vector_topk_all(spark, d):
+    v = _vectors(spark, d)
+    return V.search_all(v.where("id % 100 = 0"), v, 20).select("query", "id", F.round("score", 6).alias("score"))
+
+
 def vector_topk_rbac(spark, d):
     return V.vector_search(_vectors(spark, d), _query(spark, d), 10, _allowed(spark, d)).select("id", "type", F.round("score", 6).alias("score"))
 
@@ -57,12 +62,12 @@ def synonym_pairs(spark, d):
 
 def nearest_entity(spark, d):
     v = _vectors(spark, d)
-    return V.nearest(v.where("id % 5 = 0"), v.where("id % 5 != 0")).select("id", "near", F.round("score", 6).alias("score"))
+    return V.nearest(v.where("id % 100 = 0"), v.where("id % 100 != 0")).select("id", "near", F.round("score", 6).alias("score"))
 
 
 def similarity_tiers(spark, d):
     v = _vectors(spark, d)
-    n = V.nearest(v.where("id % 5 = 0"), v.where("id % 5 != 0"))
+    n = V.nearest(v.where("id % 100 = 0"), v.where("id % 100 != 0"))
     t = n.groupBy(V.tier(F.col("score") * 2.2).alias("tier")).agg(F.count(F.lit(1)).alias("n"))
     return t.crossJoin(t.agg(F.sum("n").alias("all"))).select("tier", "n", F.round(100.0 * F.col("n") / F.col("all"), 4).alias("percent"))
 
@@ -73,7 +78,7 @@ def bm25_topk(spark, d):
 
 def inverted_index(spark, d):
     p = T.postings(load(spark, d, "documents"), "doc_id", "text")
-    return p.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).where("df >= 40")
+    return p.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
 def hybrid_rrf(spark, d):
@@ -102,7 +107,7 @@ def khop_retrieval(spark, d):
 
 def path_scores_chunk_max(spark, d):
     m, e = _trails(spark, d)
-    paths = G.trail_paths(e, spark.range(1, 21).withColumnRenamed("id", "node"), 2).withColumn("path_id", F.array_join(F.transform("nodes", lambda x: x.cast("string")), ">"))
+    paths = G.trail_paths(e, load(spark, d, "part").where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("node")), 2).withColumn("path_id", F.array_join(F.transform("nodes", lambda x: x.cast("string")), ">"))
     s = R.path_scores(paths.select("path_id", "nodes").distinct(), V.scored(_vectors(spark, d), _query(spark, d)))
     c = s.select("path_id", F.explode("nodes").alias("entity")).join(m, "entity").select("path_id", "chunk").distinct()
     return R.chunk_max(s, c).select("chunk", F.round("score", 6).alias("score"))
@@ -126,11 +131,12 @@ _TRAIL = (
 
 QUERIES = {
     f.__name__: f
-    for f in (vector_topk, vector_topk_rbac, vector_overfetch_compat, reltype_selection, seed_masses, synonym_pairs, nearest_entity, similarity_tiers, bm25_topk, inverted_index, hybrid_rrf, clearance_matrix, khop_retrieval, path_scores_chunk_max)
+    for f in (vector_topk, vector_topk_all, vector_topk_rbac, vector_overfetch_compat, reltype_selection, seed_masses, synonym_pairs, nearest_entity, similarity_tiers, bm25_topk, inverted_index, hybrid_rrf, clearance_matrix, khop_retrieval, path_scores_chunk_max)
 }
-_NEAR = "n AS (SELECT a.vec_id AS id, b.vec_id AS near, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) AS rn FROM embeddings a, embeddings b WHERE a.vec_id%5=0 AND b.vec_id%5<>0)"
+_NEAR = "n AS (SELECT a.vec_id AS id, b.vec_id AS near, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) AS rn FROM embeddings a, embeddings b WHERE a.vec_id%100=0 AND b.vec_id%100<>0)"
 SQL = {
     "vector_topk": f"{_Q} SELECT id, round(score,6) AS score FROM s ORDER BY s.score DESC, id LIMIT 20",
+    "vector_topk_all": "WITH s AS (SELECT q.vec_id AS query, e.vec_id AS id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id) AS rn FROM embeddings q, embeddings e WHERE q.vec_id%100=0 AND q.vec_id<>e.vec_id) SELECT query, id, round(score,6) AS score FROM s WHERE rn<=20",
     "vector_topk_rbac": f"{_Q} SELECT id, type, round(score,6) AS score FROM s WHERE type IN (1,3,5,7) ORDER BY s.score DESC, id LIMIT 10",
     "vector_overfetch_compat": f"{_Q}, p AS (SELECT * FROM s ORDER BY score DESC, id LIMIT 40) SELECT id, type, round(score,6) AS score FROM p WHERE type IN (1,3,5,7) ORDER BY p.score DESC, id LIMIT 10",
     "reltype_selection": f"WITH c AS (SELECT label, list(m ORDER BY i) AS v FROM (SELECT label, i, avg(embedding[i]::DOUBLE) AS m FROM embeddings, range(1,65) r(i) GROUP BY ALL) GROUP BY 1), s AS (SELECT label AS id, list_cosine_similarity(v, q.embedding::DOUBLE[]) AS score FROM c, (SELECT embedding FROM embeddings WHERE vec_id={QUERY_ID}) q), r AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rank FROM s) SELECT id, round(score,6) AS score FROM r WHERE (score>=0.25 AND rank<=5) OR rank=1",
@@ -139,9 +145,9 @@ SQL = {
     "nearest_entity": f"WITH {_NEAR} SELECT id, near, round(score,6) AS score FROM n WHERE rn=1",
     "similarity_tiers": f"WITH {_NEAR}, t AS (SELECT CASE WHEN score*2.2>=0.95 THEN '0.95+' WHEN score*2.2>=0.9 THEN '0.90-0.95' WHEN score*2.2>=0.85 THEN '0.85-0.90' WHEN score*2.2>=0.8 THEN '0.80-0.85' ELSE '<0.80' END AS tier FROM n WHERE rn=1) SELECT tier, count(*) AS n, round(100.0*count(*)/(SELECT count(*) FROM t),4) AS percent FROM t GROUP BY 1",
     "bm25_topk": f"WITH {_BM} SELECT key AS doc_id, round(score,6) AS score FROM bm ORDER BY round(bm.score,6) DESC, key LIMIT 25",
-    "inverted_index": f"WITH x AS (SELECT doc_id, unnest({_TERMS}) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM x GROUP BY ALL) SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM tf GROUP BY 1 HAVING count(*)>=40",
+    "inverted_index": f"WITH x AS (SELECT doc_id, unnest({_TERMS}) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM x GROUP BY ALL) SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM tf GROUP BY 1",
     "hybrid_rrf": f"{_Q}, {_BM}, v AS (SELECT id, row_number() OVER (ORDER BY round(score,6) DESC, id)-1 AS rank, 0 AS l FROM (SELECT * FROM s ORDER BY score DESC, id LIMIT 20)), f AS (SELECT id, row_number() OVER (ORDER BY score DESC, id)-1 AS rank, 1 AS l FROM (SELECT key AS id, round(score,6) AS score FROM bm ORDER BY 2 DESC, 1 LIMIT 20)), u AS (SELECT * FROM v UNION ALL SELECT * FROM f) SELECT id, round(sum(1.0/(61+rank)),9) AS score FROM u GROUP BY id ORDER BY sum(1.0/(61+rank)) DESC, min(l*1000+rank) LIMIT 10",
     "clearance_matrix": f"SELECT c.clearance, count(*) AS chunks, count(DISTINCT docName) AS docs FROM chunks, (VALUES ('public',1),('internal',2),('confidential',3),('restricted',4)) c(clearance,r) WHERE {_RANK}<=c.r GROUP BY 1",
     "khop_retrieval": f"{_Q}, seeds AS (SELECT id AS node FROM s ORDER BY score DESC, id LIMIT 8), {_TRAIL} SELECT chunk, score FROM r ORDER BY raw DESC, chunk LIMIT 20",
-    "path_scores_chunk_max": f"{_Q}, seeds AS (SELECT range AS node FROM range(1,21)), {_TRAIL} SELECT chunk, score FROM r",
+    "path_scores_chunk_max": f"{_Q}, seeds AS (SELECT p_partkey AS node FROM part WHERE p_partkey%100=0), {_TRAIL} SELECT chunk, score FROM r",
 }
