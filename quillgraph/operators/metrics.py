@@ -101,3 +101,24 @@ def stratified_sample(df: DataFrame, strata: str, key: str, n: int, groups: int,
 
 def mean_spread(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("spread"))
+
+
+def majority_share(labels: DataFrame, found: str = "found", true: str = "true") -> DataFrame:
+    """One row: the share of items whose true label is the commonest of their found group."""
+    n = labels.groupBy(found, true).agg(F.count(F.lit(1)).alias("n"))
+    g = n.groupBy(found).agg(F.max("n").alias("most"), F.sum("n").alias("all"))
+    return g.agg((F.sum("most") / F.sum("all")).alias("share"))
+
+
+def train_split(df: DataFrame, key: str, share: float = 0.8, seed: int = 42) -> DataFrame:
+    """Column ``part``: train or test by the hash of the key, so that a row never changes sides when rows are added."""
+    h = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(10_000))
+    return df.withColumn("part", F.when(h < int(share * 10_000), "train").otherwise("test"))
+
+
+def ingest_counts(elements: DataFrame, chunks: DataFrame, mentions: DataFrame) -> DataFrame:
+    """Per document: elements, chunks and distinct mentioned entities; 0 where a stage has none."""
+    e = elements.groupBy("docName").agg(F.count_distinct("elementId").alias("elements"))
+    c = chunks.groupBy("docName").agg(F.count_distinct("chunkId").alias("chunks"))
+    m = mentions.groupBy("docName").agg(F.count_distinct("text").alias("entities"))
+    return e.join(c, "docName", "full").join(m, "docName", "full").na.fill(0, ["elements", "chunks", "entities"])

@@ -84,6 +84,32 @@ def khop_chunks(edges: DataFrame, mentions: DataFrame, entities: DataFrame, quer
     return chunk_max(p, c).orderBy(F.desc("score"), "chunk").limit(top)
 
 
+def seed_entities(entities: DataFrame, query: DataFrame, mentions: DataFrame, chunks: DataFrame, k: int = 8) -> DataFrame:
+    """The ``k`` entities nearest to the query among those that an allowed chunk mentions."""
+    seen = mentions.join(chunks.select("chunk").distinct(), "chunk", "left_semi").select(F.col("entity").alias("id")).distinct()
+    return V.scored(entities.join(seen, "id", "left_semi"), query).orderBy(F.desc("score"), "id").limit(k)
+
+
+def graph_search(edges: DataFrame, relations: DataFrame, entities: DataFrame, mentions: DataFrame, chunks: DataFrame, query: DataFrame, seeds: int = 8, depth: int = 3, k: int = 5) -> DataFrame:
+    """``chunk, score, paths``: graph retrieval over typed edges.
+
+    ``edges`` has ``edge_id, src, dst, type, chunkIds``. The relation types
+    nearest to the query prune the edges before any expansion; trails from the
+    allowed seeds score the mix of mean entity and mean relation cosine; a
+    chunk on a path's edges gets its best path. ``chunks`` are the allowed
+    ones (``chunk``).
+    """
+    types = V.relation_selection(relations, query).select(F.col("id").alias("type"))
+    pruned = edges.join(types, "type", "left_semi")
+    start = seed_entities(entities, query, mentions, chunks, seeds).select(F.col("id").alias("node"))
+    p = G.trail_paths(pruned, start, depth).withColumn("path_id", F.concat_ws(">", F.transform("nodes", lambda x: x.cast("string")), F.transform("edges", lambda x: x.cast("string"))))
+    on = p.select("path_id", F.explode("edges").alias("edge_id")).join(pruned.select("edge_id", "type", "chunkIds"), "edge_id")
+    kinds = on.groupBy("path_id").agg(F.collect_list("type").alias("relations"))
+    scored = path_scores(p.select("path_id", "nodes").join(kinds, "path_id"), V.scored(entities, query), V.scored(relations, query))
+    through = on.select("path_id", F.explode("chunkIds").alias("chunk")).distinct().join(chunks.select("chunk").distinct(), "chunk", "left_semi")
+    return chunk_max(scored, through).orderBy(F.desc("score"), "chunk").limit(k)
+
+
 def retrieve(mode: str, k: int, clearance: str, searches: dict[str, Callable[[int, str], DataFrame]], empty: DataFrame) -> DataFrame:
     """The dispatcher: an unknown mode or clearance gives no hits."""
     if mode not in searches or clearance not in LEVELS:

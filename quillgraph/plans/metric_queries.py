@@ -8,6 +8,7 @@ from pyspark.sql import window as W
 from quillgraph.functions.vectors import cosine
 from quillgraph.operators import align as A
 from quillgraph.operators import community as CM
+from quillgraph.operators import discovery as D
 from quillgraph.operators import graph as G
 from quillgraph.operators import metrics as M
 from quillgraph.operators import ner as N
@@ -159,11 +160,39 @@ _LB = "us AS (SELECT DISTINCT chunkId, st AS ss, en AS se FROM sp WHERE chunkId
 _CO = "lm AS (SELECT DISTINCT l_orderkey AS c, l_suppkey AS e FROM lineitem), co AS (SELECT a.e AS src, b.e AS dst, count(*) AS w FROM lm a JOIN lm b ON a.c=b.c AND a.e<b.e GROUP BY 1,2), adj AS (SELECT src,dst,w FROM co UNION ALL SELECT dst,src,w FROM co)"
 _EN = "nn AS (SELECT l_partkey%500 AS id, count(*) AS mentions FROM lineitem GROUP BY 1), en AS (SELECT vec_id AS id, 'n '||(vec_id%211) AS name, label AS type, embedding::DOUBLE[] AS v, coalesce(mentions,0) AS mentions FROM embeddings LEFT JOIN nn ON nn.id=vec_id), lk AS (SELECT a.id AS a, b.id AS b FROM en a JOIN en b ON a.type=b.type AND a.id<>b.id WHERE a.name=b.name OR list_cosine_similarity(a.v,b.v)>=0.4), w(node,r) AS (SELECT a,a FROM lk UNION SELECT lk.b, w.r FROM w JOIN lk ON lk.a=w.node AND w.r<lk.b), cl AS (SELECT node AS id, min(r) AS cluster FROM w GROUP BY 1)"
 
+def majority_share(spark, d):
+    l = load(spark, d, "embeddings").select((F.col("vec_id") % 7).alias("found"), F.col("label").alias("true"))
+    return M.majority_share(l).select(F.round("share", 9).alias("share"))
+
+
+def train_split(spark, d):
+    return M.train_split(load(spark, d, "documents"), "doc_id").groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+
+
+def ingest_counts(spark, d):
+    return M.ingest_counts(load(spark, d, "parsed_elements"), load(spark, d, "chunks"), _spans(spark, d))
+
+
+def report_members(spark, d):
+    s = load(spark, d, "supplier")
+    return D.report_members(_adj(spark, d), s.select(F.col("s_suppkey").alias("node"), F.col("s_nationkey").alias("label")), s.select(F.col("s_suppkey").alias("node"), (F.col("s_suppkey") % 9 + 1).alias("words")), 12)
+
+
+def unknown_phrases(spark, d):
+    c = load(spark, d, "chunks").select("chunkId", F.explode("sectionPath").alias("phrase")).distinct()
+    return D.unknown_phrases(c, _spans(spark, d)).select("phrase", "n", F.size("chunkIds").alias("chunks"))
+
+
+def phrase_clusters(spark, d):
+    v = load(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return D.phrase_clusters(v).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         recall_precision_mrr, recall_hit_by_hop, nmi_ari, modularity, plurality_parent, percentile_probe, rank_probe, mean_spread, json_fields, span_prf, gazetteer_build, span_offsets, bio_labels, bio_spans, annotation_roundtrip, explorer_search,
-        explorer_type_counts, alignment_components, merge_cluster, leiden_hierarchy,
+        explorer_type_counts, alignment_components, merge_cluster, leiden_hierarchy, majority_share, train_split, ingest_counts, report_members, unknown_phrases, phrase_clusters,
     )
 }
 SQL = {
@@ -186,4 +215,8 @@ SQL = {
     "explorer_type_counts": "SELECT p_brand, count(*) AS nodes, count(DISTINCT p_type) AS types FROM part GROUP BY 1",
     "alignment_components": f"WITH RECURSIVE {_EN} SELECT id, cluster FROM cl",
     "merge_cluster": f"WITH RECURSIVE {_EN}, r AS (SELECT cl.id, cluster, first_value(en.id) OVER (PARTITION BY cluster ORDER BY mentions DESC, length(name) DESC, en.id) AS canonical FROM cl JOIN en USING (id)) SELECT id, canonical FROM r",
+    "majority_share": "WITH n AS (SELECT vec_id%7 AS f, label, count(*) AS n FROM embeddings GROUP BY 1,2), g AS (SELECT f, max(n) AS m, sum(n) AS a FROM n GROUP BY 1) SELECT round(sum(m)/sum(a),9) AS share FROM g",
+    "ingest_counts": f"WITH {_SP}, e AS (SELECT docName, count(DISTINCT elementId) AS elements FROM parsed_elements GROUP BY 1), c AS (SELECT docName, count(DISTINCT chunkId) AS chunks FROM chunks GROUP BY 1), m AS (SELECT docName, count(DISTINCT text) AS entities FROM sp GROUP BY 1), a AS (SELECT docName FROM e UNION SELECT docName FROM c UNION SELECT docName FROM m WHERE docName IS NOT NULL) SELECT a.docName, coalesce(elements,0) AS elements, coalesce(chunks,0) AS chunks, coalesce(entities,0) AS entities FROM a LEFT JOIN e USING (docName) LEFT JOIN c USING (docName) LEFT JOIN m USING (docName)",
+    "report_members": f"WITH {_CO}, dg AS (SELECT src AS node, sum(w) AS degree FROM adj GROUP BY 1), j AS (SELECT s_suppkey AS node, s_nationkey AS label, degree, s_suppkey%9+1 AS words FROM supplier LEFT JOIN dg ON node=s_suppkey), r AS (SELECT *, row_number() OVER w AS rank, sum(words) OVER (w ROWS UNBOUNDED PRECEDING) AS used FROM j WINDOW w AS (PARTITION BY label ORDER BY degree DESC NULLS LAST, node)) SELECT label, node, rank::INT AS rank FROM r WHERE used<=12",
+    "unknown_phrases": f"WITH {_SP}, c AS (SELECT DISTINCT chunkId, unnest(sectionPath) AS phrase FROM chunks), n AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM sp WHERE sp.chunkId=c.chunkId AND sp.text=c.phrase)) SELECT phrase, count(*) AS n, count(DISTINCT chunkId)::INT AS chunks FROM n GROUP BY 1 HAVING count(*)>=3",
 }

@@ -97,3 +97,16 @@ def test_merge(spark):
     out = A.merged(e, spark.createDataFrame([("c", 2), ("c", 1)], "chunk string, entity long"), spark.createDataFrame([(2, "k", 4, 1.0), (1, "k", 4, 2.0), (1, "k", 3, 1.0)], "src long, type string, dst long, weight double"), m)
     assert {r.id for r in out["entities"].collect()} == {1, 4}
     assert [(r.src, r.dst, r.weight) for r in out["edges"].collect()] == [(1, 4, 3.0)] and out["mentions"].count() == 1
+
+
+def test_graph_search(spark):
+    vec = lambda rows: spark.createDataFrame(rows, "id string, vector array<double>")
+    edges = spark.createDataFrame([(1, "a", "b", "KNOWS", ["c1"]), (2, "b", "d", "KNOWS", ["c2", None]), (3, "a", "d", "FAR", ["c3"])], "edge_id long, src string, dst string, type string, chunkIds array<string>")
+    ents = vec([("a", [1.0, 0.0]), ("b", [0.9, 0.1]), ("d", [0.0, 1.0])])
+    rels = vec([("KNOWS", [1.0, 0.0]), ("FAR", [-1.0, 0.0])])
+    mentions = spark.createDataFrame([("a", "c1"), ("b", "c2"), ("d", "c3")], "entity string, chunk string")
+    q = vec([("q", [1.0, 0.0])])
+    allowed = spark.createDataFrame([("c1",), ("c3",)], "chunk string")
+    got = R.graph_search(edges, rels, ents, mentions, allowed, q, seeds=1, depth=2).collect()
+    assert [r.chunk for r in got] == ["c1"] and got[0].score == pytest.approx(0.6 * (1 + 0.9 / (0.82**0.5)) / 2 + 0.4)
+    assert R.retrieve("graph", 5, "nobody", {"graph": lambda k, c: allowed}, allowed).count() == 0 and R.retrieve("graph", 5, "internal", {"graph": lambda k, c: allowed}, allowed).count() == 2
