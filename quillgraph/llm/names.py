@@ -389,3 +389,17 @@ def same_entity_pairs(tasks: DataFrame) -> DataFrame:
     c = clusters(name_texts(spans))
     m = spans.select("id", "text").join(c, "text").select("id", "cluster").distinct()
     return m.alias("x").join(m.alias("y"), (F.col("x.cluster") == F.col("y.cluster")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("id_a"), F.col("y.id").alias("id_b")).distinct()
+
+
+def chunk_mentions(tasks: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``chunkId, start, end, text, cluster``: where the chunks themselves hold the names of spans.
+
+    A span counts where its characters stand at its place in the chunk's text;
+    tasks without a chunk, and places that differ, give nothing.
+    """
+    r = tasks.select("meta.chunkId", F.explode("predictions").alias("p")).select("chunkId", F.explode("p.result").alias("r"))
+    s = r.select("chunkId", F.col("r.value.start").alias("start"), F.col("r.value.end").alias("end"), F.col("r.value.text").alias("text")).where("chunkId is not null and text is not null").distinct()
+    c = clusters(name_texts(spans_of(tasks)))
+    t = chunks.select("chunkId", F.col("text").alias("body")).distinct()
+    held = s.join(t, "chunkId").where(F.substring("body", F.col("start") + 1, F.col("end") - F.col("start")) == F.col("text")).drop("body")
+    return held.join(c, "text").select("chunkId", "start", "end", "text", "cluster").distinct()

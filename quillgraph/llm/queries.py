@@ -30,6 +30,10 @@ def p1_entities(spark: SparkSession, d: str) -> DataFrame:
     return c.join(c.groupBy("cluster").agg(F.count(F.lit(1)).alias("spellings")), "cluster")
 
 
+def p1_chunk_mentions(spark: SparkSession, d: str) -> DataFrame:
+    return NA.chunk_mentions(_load(spark, d, "ls_import"), _load(spark, d, "chunks"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return SC.noise(_load(spark, d, "parsed_elements"))
 
@@ -102,7 +106,7 @@ def p8_overlaps(spark: SparkSession, d: str) -> DataFrame:
     return LE.overlaps(_load(spark, d, "documents"), _load(spark, d, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_entities, p2_found, p2_repaired, p3_found, p3_defect_counts, p5_found, p5_conversations, p5_clock_offsets, p6_found, p6_one_form, p7_containers, p7_fill, p8_found, p8_overlaps, p9_mixture, p9_shares, p10_found, p10_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_entities, p1_chunk_mentions, p2_found, p2_repaired, p3_found, p3_defect_counts, p5_found, p5_conversations, p5_clock_offsets, p6_found, p6_one_form, p7_containers, p7_fill, p8_found, p8_overlaps, p9_mixture, p9_shares, p10_found, p10_statistics)}
 _P5 = r"""
 WITH x AS (
   SELECT id, chatId, createdAt AS ts, coalesce(regexp_matches(content, '[\p{L}\p{N}]'), false) AS said,
