@@ -115,10 +115,11 @@ def message_orphans(citations: DataFrame, messages: DataFrame) -> DataFrame:
 def orphan_references(citations: DataFrame, chunks: DataFrame, messages: DataFrame, audit: DataFrame) -> DataFrame:
     """Distinct ``(id, target, period, kind)`` over both targets.
 
-    ``period`` is the UTC month of ``createdAt`` (null where that is null).
+    ``period`` is the month of ``createdAt`` in UTC, whatever the session's time
+    zone (null where ``createdAt`` is null).
     """
     both = chunk_orphans(citations, chunks, audit).unionByName(message_orphans(citations, messages))
-    return both.select("id", "target", F.date_format("createdAt", "yyyy-MM").alias("period"), "kind").distinct()
+    return both.select("id", "target", F.date_format(F.to_utc_timestamp("createdAt", F.current_timezone()), "yyyy-MM").alias("period"), "kind").distinct()
 
 
 def orphan_report(orphans: DataFrame) -> DataFrame:
