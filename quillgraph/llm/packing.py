@@ -146,9 +146,11 @@ def containers(items: DataFrame, capacity: int = 512) -> DataFrame:
 
 def element_items(elements: DataFrame, chars_per_token: int = 4) -> DataFrame:
     """Parsed elements as items: grouped by document, in lanes of their reading order, one source per element type."""
-    seq = F.coalesce(F.regexp_extract("elementId", r"([0-9]{1,18})$", 1).try_cast("bigint"), F.lit(0))
+    seq = F.regexp_extract("elementId", r"([0-9]{1,18})$", 1).try_cast("bigint")
+    # elements without a number have no order and are dealt over hash lanes of their own
+    lane = F.coalesce(F.floor(seq / LANE), -1 - F.pmod(F.xxhash64("elementId"), F.lit(64)))
     return elements.select(
-        F.col("docName").alias("grp"), F.floor(seq / LANE).alias("lane"), F.col("elementId").alias("item"), F.col("elementType").alias("source"), F.ceil(F.length(F.coalesce("text", F.lit(""))) / chars_per_token).alias("tokens")
+        F.col("docName").alias("grp"), lane.alias("lane"), F.col("elementId").alias("item"), F.col("elementType").alias("source"), F.ceil(F.length(F.coalesce("text", F.lit(""))) / chars_per_token).alias("tokens")
     )
 
 
