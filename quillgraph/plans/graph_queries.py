@@ -26,6 +26,11 @@ def _strong(spark: SparkSession, d: str) -> DataFrame:
     return e.select((F.col("src") * 1_000_000 + F.col("dst")).alias("edge_id"), "src", "dst", "weight")
 
 
+def _whole(spark: SparkSession, d: str) -> DataFrame:
+    """All co-mention edges of parts, whatever their weight."""
+    return _part_edges(spark, d).select((F.col("src") * (1 << 32) + F.col("dst")).alias("edge_id"), "src", "dst", "weight")
+
+
 def _seeds(spark, d):
     """The searches' starting points: every hundredth part."""
     return load(spark, d, "part").where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("node"))
@@ -51,35 +56,35 @@ def degree_table(spark, d):
     return G.degrees(G.adjacency(G.comention_edges(_mentions(spark, d))))
 
 
-def neighbour_degree_range(spark, d):
-    return G.neighbours(_strong(spark, d)).groupBy("node").agg(F.count_distinct("neighbour").alias("n")).where("n between 5 and 50")
+def neighbour_degree_range(spark, d, edges=_strong):
+    return G.neighbours(edges(spark, d)).groupBy("node").agg(F.count_distinct("neighbour").alias("n")).where("n between 5 and 50")
 
 
-def one_hop_neighbours(spark, d):
-    e = _strong(spark, d)
+def one_hop_neighbours(spark, d, edges=_strong):
+    e = edges(spark, d)
     return G.neighbours(e)
 
 
-def khop_subgraph(spark, d):
-    e = _strong(spark, d)
+def khop_subgraph(spark, d, edges=_strong):
+    e = edges(spark, d)
     seeds = _seeds(spark, d)
     k = G.khop(e, seeds, 2)
     return k.select("node", "hop", G.hop_label(F.col("hop")).alias("label"))
 
 
-def induced_edges(spark, d):
-    e = _strong(spark, d)
+def induced_edges(spark, d, edges=_strong):
+    e = edges(spark, d)
     seeds = _seeds(spark, d)
     return G.induced_edges(e, G.khop(e, seeds, 1)).select("src", "dst", "weight")
 
 
-def trail_paths_depth2(spark, d):
-    p = G.trail_paths(_strong(spark, d), _seeds(spark, d), 2)
+def trail_paths_depth2(spark, d, edges=_strong):
+    p = G.trail_paths(edges(spark, d), _seeds(spark, d), 2)
     return p.select("seed", "target", "hops", F.array_join(F.transform("nodes", lambda x: x.cast("string")), ">").alias("path"))
 
 
-def trail_paths_depth3(spark, d):
-    p = G.trail_paths(_strong(spark, d), _seeds(spark, d), 3)
+def trail_paths_depth3(spark, d, edges=_strong):
+    p = G.trail_paths(edges(spark, d), _seeds(spark, d), 3)
     return p.groupBy("seed", "target", "hops").agg(F.count(F.lit(1)).alias("paths"))
 
 
@@ -122,10 +127,45 @@ def graph_layers(spark, d):
 
 
 def part_components(spark, d):
-    c = CC.connected_components(_part_edges(spark, d).where("weight >= 3"))
+    return _component_sizes(_part_edges(spark, d).where("weight >= 3"))
+
+
+def _component_sizes(edges):
+    c = CC.connected_components(edges)
     return c.groupBy("component").agg(F.count(F.lit(1)).alias("nodes"), F.max("node").alias("largest"))
 
 
+# The SQL of the queries above keeps edges of weight 2 (components: 3) and more; these run over the whole graph.
+
+
+def neighbour_degree_range_whole(spark, d):
+    return neighbour_degree_range(spark, d, _whole)
+
+
+def one_hop_neighbours_whole(spark, d):
+    return one_hop_neighbours(spark, d, _whole)
+
+
+def khop_subgraph_whole(spark, d):
+    return khop_subgraph(spark, d, _whole)
+
+
+def induced_edges_whole(spark, d):
+    return induced_edges(spark, d, _whole)
+
+
+def trail_paths_depth2_whole(spark, d):
+    return trail_paths_depth2(spark, d, _whole)
+
+
+def trail_paths_depth3_whole(spark, d):
+    return trail_paths_depth3(spark, d, _whole)
+
+
+def part_components_whole(spark, d):
+    return _component_sizes(_part_edges(spark, d))
+
+
 _M = "m AS (SELECT DISTINCT l_orderkey AS chunk, l_suppkey AS entity FROM lineitem)"
 _CO = _M + ", co AS (SELECT a.entity AS src, b.entity AS dst, count(*) AS weight FROM m a JOIN m b ON a.chunk=b.chunk AND a.entity<b.entity GROUP BY 1,2)"
 _PCO = "pm AS (SELECT DISTINCT l_orderkey AS chunk, l_partkey AS entity FROM lineitem), pco AS (SELECT a.entity AS src, b.entity AS dst, count(*) AS weight FROM pm a JOIN pm b ON a.chunk=b.chunk AND a.entity<b.entity GROUP BY 1,2)"
@@ -144,6 +184,7 @@ QUERIES = {
     for f in (
         mention_edges, comention_edges, comention_top_pairs, adjacency_index, degree_table, neighbour_degree_range, one_hop_neighbours, khop_subgraph, induced_edges, trail_paths_depth2, trail_paths_depth3,
         ppr_fixed_iters, ppr_projected_chunks, ppr_converged, node_specificity, ppr_seed_vector, graph_layers, part_components,
+        neighbour_degree_range_whole, one_hop_neighbours_whole, khop_subgraph_whole, induced_edges_whole, trail_paths_depth2_whole, trail_paths_depth3_whole, part_components_whole,
     )
 }
 SQL = {

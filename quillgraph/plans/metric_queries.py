@@ -146,8 +146,8 @@ def merge_cluster(spark, d):
 
 def leiden_hierarchy(spark, d):
     m = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("chunk"), F.col("l_partkey").alias("entity"))
-    adj = G.adjacency(G.comention_edges(m).where("weight >= 3"))
-    return CM.long_hierarchy(CM.hierarchy(adj, rounds=6, levels=2)).groupBy("level").agg(F.count_distinct("label").alias("communities"), F.count(F.lit(1)).alias("nodes"))
+    adj = G.adjacency(G.comention_edges(m))
+    return CM.long_hierarchy(CM.hierarchy(adj)).groupBy("level").agg(F.count_distinct("label").alias("communities"), F.count(F.lit(1)).alias("nodes"))
 
 
 _E = "list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"

@@ -94,25 +94,36 @@ def clearance_matrix(spark, d):
     return c.where(F.col("need") <= need).groupBy("clearance").agg(F.count(F.lit(1)).alias("chunks"), F.count_distinct("docName").alias("docs"))
 
 
-def _trails(spark, d):
+def _trails(spark, d, least=2):
     m = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("chunk"), F.col("l_partkey").alias("entity")).distinct()
-    e = G.comention_edges(m).where("weight >= 2").select((F.col("src") * 1_000_000 + F.col("dst")).alias("edge_id"), "src", "dst", "weight")
+    e = G.comention_edges(m).where(F.col("weight") >= least).select((F.col("src") * (1 << 32) + F.col("dst")).alias("edge_id"), "src", "dst", "weight")
     return m, e
 
 
-def khop_retrieval(spark, d):
-    m, e = _trails(spark, d)
+def khop_retrieval(spark, d, least=2):
+    m, e = _trails(spark, d, least)
     return R.khop_chunks(e, m, _vectors(spark, d), _query(spark, d), seeds=8, depth=2, top=20).select("chunk", F.round("score", 6).alias("score"))
 
 
-def path_scores_chunk_max(spark, d):
-    m, e = _trails(spark, d)
+def path_scores_chunk_max(spark, d, least=2):
+    m, e = _trails(spark, d, least)
     paths = G.trail_paths(e, load(spark, d, "part").where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("node")), 2).withColumn("path_id", F.array_join(F.transform("nodes", lambda x: x.cast("string")), ">"))
     s = R.path_scores(paths.select("path_id", "nodes").distinct(), V.scored(_vectors(spark, d), _query(spark, d)))
     c = s.select("path_id", F.explode("nodes").alias("entity")).join(m, "entity").select("path_id", "chunk").distinct()
     return R.chunk_max(s, c).select("chunk", F.round("score", 6).alias("score"))
 
 
+# The SQL of the two queries above keeps edges of weight 2 and more; these run over the whole graph.
+
+
+def khop_retrieval_whole(spark, d):
+    return khop_retrieval(spark, d, 1)
+
+
+def path_scores_chunk_max_whole(spark, d):
+    return path_scores_chunk_max(spark, d, 1)
+
+
 _COS = "list_cosine_similarity(a.embedding::DOUBLE[], q.embedding::DOUBLE[])"
 _Q = f"WITH q AS (SELECT embedding FROM embeddings WHERE vec_id={QUERY_ID}), s AS (SELECT vec_id AS id, label AS type, {_COS} AS score FROM embeddings a, q)"
 _TERMS = "list_filter(regexp_split_to_array(lower(coalesce(text,'')), '[^\\p{L}\\p{N}_]+'), lambda x: x<>'')"
@@ -131,7 +142,7 @@ _TRAIL = (
 
 QUERIES = {
     f.__name__: f
-    for f in (vector_topk, vector_topk_all, vector_topk_rbac, vector_overfetch_compat, reltype_selection, seed_masses, synonym_pairs, nearest_entity, similarity_tiers, bm25_topk, inverted_index, hybrid_rrf, clearance_matrix, khop_retrieval, path_scores_chunk_max)
+    for f in (vector_topk, vector_topk_all, vector_topk_rbac, vector_overfetch_compat, reltype_selection, seed_masses, synonym_pairs, nearest_entity, similarity_tiers, bm25_topk, inverted_index, hybrid_rrf, clearance_matrix, khop_retrieval, path_scores_chunk_max, khop_retrieval_whole, path_scores_chunk_max_whole)
 }
 _NEAR = "n AS (SELECT a.vec_id AS id, b.vec_id AS near, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) AS rn FROM embeddings a, embeddings b WHERE a.vec_id%100=0 AND b.vec_id%100<>0)"
 SQL = {
