@@ -2,7 +2,8 @@
 
 Lines are exploded, measured with built-in expressions and summed per document
 (partial sums before the shuffle). Per script, the mean and covariance of prose
-are estimated robustly over all documents: a start by medians and median
+are estimated robustly over the documents that stand mostly in running text, so
+that the share of the others has no weight: a start by medians and median
 deviations, then concentration steps that keep the documents nearest to the
 current centre. A document's squared Mahalanobis distance splits into one
 contribution per statistic. Outliers whose lines are mostly no prose are listed
@@ -25,6 +26,8 @@ COMMON_AR = "في من على إلى عن أن إن فإن بعد قبل خلا
 STATS = ["log_words", "mean_word_len", "symbol_ratio", "digit_ratio", "line_end_share", "log_line_words", "common_share", "distinct_share", "plain_share"]
 #: Share of documents that a concentration step keeps; squared distance beyond which a document is an outlier.
 KEEP, CUT = 0.75, 27.9
+#: Least share of characters in running text of a document that counts as prose.
+PROSE = 0.5
 
 
 def _count(c: Column, pattern: str) -> Column:
@@ -122,11 +125,12 @@ def _terms(model: dict[str, tuple[np.ndarray, np.ndarray]]) -> list[Column]:
 
 
 def prose_model(stats: DataFrame, steps: int = 2) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Per script (mean, inverse covariance) of prose, from all documents.
+    """Per script (mean, inverse covariance) of prose, from all documents with ``PROSE`` of running text.
 
-    Only sums of products per script come to the driver: a few hundred numbers
+    A script without any such document has no model. Only sums of products per script come to the driver: a few hundred numbers
     whatever the number of documents.
     """
+    stats = stats.where(F.col("plain_share") >= PROSE)
     start = _start(stats)
     model = {k: (np.array([m for m, _ in v]), np.diag([1 / s**2 for _, s in v])) for k, v in start.items()}
     pairs = [(i, j) for i in range(len(STATS)) for j in range(i, len(STATS))]
@@ -153,7 +157,8 @@ def prose_model(stats: DataFrame, steps: int = 2) -> dict[str, tuple[np.ndarray,
 def scored(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Statistics with ``distance2``, one ``c_<statistic>`` each and ``form``.
 
-    ``form`` is null for prose. A document is listed where it is an outlier and
+    ``form`` is null for prose. A document is listed where it is an outlier, or
+    its script has no prose to compare it with, and
     less than half of its characters stand in running text: ``table`` where most
     of the rest stands in at least two rows of columns, ``list`` where it stands
     in at least two short entries that differ, ``junk`` otherwise. An empty
@@ -162,13 +167,13 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     stats = cut(document_statistics(docs, key, text))
     model = prose_model(stats)
     if not model:
-        empty = [F.lit(None).cast("double").alias(f"c_{s}") for s in STATS]
-        return stats.select("*", F.lit(None).cast("double").alias("distance2"), *empty, F.lit(None).cast("string").alias("form"))
-    out = stats.withColumns({f"c_{s}": c for s, c in zip(STATS, _terms(model))})
-    out = out.withColumn("distance2", sum((F.col(f"c_{s}") for s in STATS), F.lit(0.0)))
+        out = stats.withColumns({c: F.lit(None).cast("double") for c in (*(f"c_{s}" for s in STATS), "distance2")})
+    else:
+        out = stats.withColumns({f"c_{s}": c for s, c in zip(STATS, _terms(model))})
+        out = out.withColumn("distance2", sum((F.col(f"c_{s}") for s in STATS), F.lit(0.0)))
     rest = F.greatest(1 - F.col("plain_share"), F.lit(1e-9))
     form = (
-        F.when((F.col("distance2") <= CUT) | (F.col("plain_share") >= 0.5), F.lit(None).cast("string"))
+        F.when((F.col("distance2") <= CUT) | (F.col("plain_share") >= PROSE), F.lit(None).cast("string"))
         .when((F.col("rows") >= 2) & (F.col("table_share") >= 0.5 * rest), "table")
         .when((F.col("entries") >= 2) & (F.col("short_share") >= 0.5 * rest) & ((F.col("line_variety") >= 0.85) | (F.col("marked") * 2 >= F.col("lines"))), "list")
         .otherwise("junk")

@@ -92,6 +92,17 @@ def test_forms(spark):
     assert sum(s[f"c_{x}"] for x in QU.STATS) == pytest.approx(s.distance2)
 
 
+def test_tables_may_be_most_documents(spark):
+    rng = random.Random(2)
+    prose = [(i, " ".join(rng.sample((PROSE * 3).split(), 30)) + ".\n" + PROSE) for i in range(40)]
+    tables = [(100 + i, "\n".join(f"{rng.choice(WORDS)}\t{rng.randint(1, 999)}\t{rng.random():.2f}" for _ in range(8))) for i in range(50)]
+    arabic = [(200 + i, "\n".join(f"{rng.choice(['دفتر', 'فرع', 'تقرير'])}\t{rng.randint(1, 999)}\t{rng.randint(1, 99)}" for _ in range(8))) for i in range(20)]
+    got = {r.doc_id: r.form for r in QU.not_prose(spark.createDataFrame(prose + tables + arabic, "doc_id long, text string")).collect()}
+    assert got == {i: "table" for i, _ in tables + arabic}
+    only = QU.not_prose(spark.createDataFrame(arabic, "doc_id long, text string"))
+    assert only.count() == len(arabic)
+
+
 def test_confusions():
     assert SC.confusions("decision", "decislon") == 1 and SC.confusions("settlement", "settlernent") == 1 and SC.confusions("cat", "dog") == 99
     assert SC._fold("decislon") == SC._fold("decision") and SC._fold("circiilates") == SC._fold("circulates")
