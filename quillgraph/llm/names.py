@@ -86,11 +86,11 @@ def parse(text: str) -> tuple[str, list[str]]:
     t = re.sub(r"\b([Cc][Oo])-(?=[A-Za-z])|(?<=[A-Za-z])'(?=[A-Za-z])", r"\1", t)
     raw = [x for x in re.split(r"[\s.()/\-]+", t) if x and x not in "&'"]
     low = [x.lower() for x in raw]
-    org = low[:1] == ["the"] or "of" in low or any(x in ORG_WORDS for x in low) or any(x.startswith("=") for x in low)
+    upper = t.upper() == t
+    org = low[:1] == ["the"] or "of" in low or any(x in ORG_WORDS for x in low) or any(x.startswith("=") for x in low) or (not upper and _has_acronym(raw, low))
     if not org:
         w = [x for x in low if x not in TITLES]
         return "person", w or low
-    upper = t.upper() == t
     out = []
     for x, y in zip(raw, low):
         if y in ("the", "of", "and", "for") or y in LEGAL:
@@ -103,6 +103,16 @@ def parse(text: str) -> tuple[str, list[str]]:
 _SHORT = set("bk co ins inv ind dev exp fin fd nat mar int agri comm corp lsg hsg coop recon".split())
 
 
+def _has_acronym(raw: list[str], low: list[str]) -> bool:
+    """Does an undotted acronym follow a brand? Words beside a title, an initial or a known given name belong to a person."""
+    if any(y in TITLES or len(y) == 1 or _full(y) for y in low):
+        return False
+    return any(2 <= len(x) <= 5 and x.isupper() and y not in _GENERATION for x, y in zip(raw[1:], low[1:]))
+
+
+_GENERATION = set("jr sr ii iii iv".split())
+
+
 def edits(a: str, b: str, most: int = 2) -> int:
     """Damerau-Levenshtein distance, ``most + 1`` beyond ``most``."""
     if a == b:

@@ -113,3 +113,12 @@ def test_tokens(spark):
     texts = ["Hello world", "بنك", "", None, "<|endoftext|>"]
     got = [r.n for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", TK.token_count(F.col("t")).alias("n")).orderBy("i").collect()]
     assert got == [len(e.encode_ordinary(t or "")) for t in texts] and got[4] > 1
+
+
+def test_undotted_acronyms_are_organisations(spark):
+    for brand, short, long in (("Thebiweli", "CEIC", "Commercial Export Insurance Company"), ("Yuhasohi", "CMF", "Commercial Maritime Fund"), ("Rishisheju", "AB", "Agricultural Bank")):
+        assert NA.parse(f"{brand} {short}") == NA.parse(f"{brand} {'.'.join(short)}.") == ("org", [brand.lower(), "=" + short.lower()])
+        assert NA.parse(f"{brand} {long}")[0] == "org"
+    assert [NA.parse(t)[0] for t in ("Ahmed OMAR", "Dr. Salem AMIN", "J. Webu SAD", "AHMED HASSAN", "Daniel Guverelo JR")] == ["person"] * 5
+    got = {r.text: r.cluster for r in NA.clusters(spark.createDataFrame([("Thebiweli CEIC",), ("Thebiweli C.E.I.C.",), ("Thebiweli Commercial Export Insurance Company",)], "text string")).collect()}
+    assert len(set(got.values())) == 1
