@@ -1,11 +1,12 @@
 """Variant spellings of the names of persons and organisations (problem 1).
 
 A spelling is parsed into its head (a family's or a brand's word) and the words
-around it. Head words become vectors of character 4-grams weighted by their
-rarity; a distributed sparse join gives every pair of words above a cosine
-threshold, of which only grams that such a pair must share take part (prefix
-filtering), and each word is led to its top neighbour that is one typing error
-away and more frequent. Spellings with one head, their given names and kinds
+around it. Head words one typing error apart meet by what is left of them
+without one letter, which finds every such pair, and each word is led to its
+top neighbour that is more frequent. Among equally frequent ones the likeness
+of character 4-grams weighted by their rarity decides; a distributed sparse
+join gives it for every pair of words above a cosine threshold, of which only
+grams that such a pair must share take part (prefix filtering). Spellings with one head, their given names and kinds
 brought to full forms, are grouped by average-linkage clustering over a
 likeness of the words around the head (abbreviations, acronyms, initials,
 nicknames, order): members of a family and sister companies share the head and
@@ -322,6 +323,18 @@ def similar_words(words: DataFrame) -> DataFrame:
     return both.withColumn("cosine", dot).where(F.col("cosine") >= COSINE).select("kind", "a", "b", "cosine")
 
 
+def one_edit_pairs(words: DataFrame) -> DataFrame:
+    """All pairs ``kind, a, b`` of different words of three letters or more that are one typing error apart.
+
+    Two such words, swapped letters included, agree once at most one letter of
+    each is left out; a word has one row more than letters.
+    """
+    keys = F.expr("array_distinct(concat(array(word), transform(sequence(1, length(word)), i -> concat(substring(word, 1, i - 1), substring(word, i + 1)))))")
+    k = words.where("length(word) >= 3").select("kind", "word", F.explode(keys).alias("k"))
+    met = k.alias("l").join(k.alias("r"), (F.col("l.k") == F.col("r.k")) & (F.col("l.kind") == F.col("r.kind")) & (F.col("l.word") < F.col("r.word")))
+    return met.select("l.kind", F.col("l.word").alias("a"), F.col("r.word").alias("b")).distinct().where(_edits("a", "b") <= 1)
+
+
 def leading_words(words: DataFrame) -> DataFrame:
     """``kind, word, lead, n``: the spelling that each head word is taken for.
 
@@ -329,7 +342,7 @@ def leading_words(words: DataFrame) -> DataFrame:
     likeness, then order) leads it if it comes before the word itself in that
     order; leads are followed three steps.
     """
-    near = similar_words(words).where(_edits("a", "b") <= 1)
+    near = one_edit_pairs(words).join(similar_words(words), ["kind", "a", "b"], "left").fillna(0.0, ["cosine"])
     both = near.select("kind", F.col("a").alias("word"), F.col("b").alias("to"), "cosine").unionByName(near.select("kind", F.col("b").alias("word"), F.col("a").alias("to"), "cosine"))
     rated = both.join(words.select("kind", F.col("word").alias("to"), F.col("n").alias("nt")), ["kind", "to"]).join(words.select("kind", "word", "n"), ["kind", "word"])
     up = rated.where("nt > n or (nt = n and to < word)").groupBy("kind", "word").agg(F.max(F.struct("nt", "cosine", "to")).alias("m")).select("kind", "word", F.col("m.to").alias("lead"))

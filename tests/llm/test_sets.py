@@ -122,3 +122,13 @@ def test_undotted_acronyms_are_organisations(spark):
     assert [NA.parse(t)[0] for t in ("Ahmed OMAR", "Dr. Salem AMIN", "J. Webu SAD", "AHMED HASSAN", "Daniel Guverelo JR")] == ["person"] * 5
     got = {r.text: r.cluster for r in NA.clusters(spark.createDataFrame([("Thebiweli CEIC",), ("Thebiweli C.E.I.C.",), ("Thebiweli Commercial Export Insurance Company",)], "text string")).collect()}
     assert len(set(got.values())) == 1
+
+
+def test_every_pair_one_edit_apart(spark):
+    rng = random.Random(8)
+    words = sorted({"ahmed", "amhed", "fevolato", "fevloato", "wefepos", "wefpeos", "abd", "bad"} | {"".join(rng.choice("abc") for _ in range(rng.randint(3, 5))) for _ in range(60)})
+    df = spark.createDataFrame([("person", w, 1 + (w in ("ahmed", "wefepos"))) for w in words], "kind string, word string, n long")
+    got = {(r.a, r.b) for r in NA.one_edit_pairs(df).collect()}
+    assert got == {(a, b) for a in words for b in words if a < b and NA.edits(a, b, 1) == 1} and ("ahmed", "amhed") in got
+    lead = {r.word: r.lead for r in NA.leading_words(df).collect()}
+    assert lead["amhed"] == "ahmed" and lead["wefpeos"] == "wefepos"
