@@ -43,19 +43,20 @@ def _triples(spark, d):
     return t.select(F.upper("s_name").alias("subject"), F.col("l_returnflag").alias("predicate"), F.when(F.col("l_linenumber") == 7, F.col("s_name")).otherwise(F.col("p_name")).alias("object"))
 
 
-def _surfaces(spark, d):
+def _surfaces(spark, d, thinned=True):
+    """Surfaces of suppliers and parts; thinned, as in the SQL, to every fiftieth part."""
     s = load(spark, d, "supplier").select(F.lower("s_name").alias("surface"), F.concat(F.lit("s"), "s_suppkey").alias("id"))
-    p = load(spark, d, "part").where("p_partkey % 50 = 1").groupBy(F.lower("p_name").alias("surface")).agg(F.min("p_partkey").alias("k")).select("surface", F.concat(F.lit("p"), "k").alias("id"))
+    p = load(spark, d, "part").where("p_partkey % 50 = 1" if thinned else "true").groupBy(F.lower("p_name").alias("surface")).agg(F.min("p_partkey").alias("k")).select("surface", F.concat(F.lit("p"), "k").alias("id"))
     return s.unionByName(p)
 
 
-def triple_edges(spark, d):
-    e, _ = E.triple_edges(_triples(spark, d), _surfaces(spark, d))
+def triple_edges(spark, d, thinned=True):
+    e, _ = E.triple_edges(_triples(spark, d), _surfaces(spark, d, thinned))
     return e.select("src", "dst", "weight", F.array_join("predicates", "|").alias("predicates"))
 
 
-def triple_drop_counts(spark, d):
-    return E.triple_edges(_triples(spark, d), _surfaces(spark, d))[1]
+def triple_drop_counts(spark, d, thinned=True):
+    return E.triple_edges(_triples(spark, d), _surfaces(spark, d, thinned))[1]
 
 
 def alias_union_upsert(spark, d):
@@ -110,15 +111,15 @@ def link_names(spark, d):
     return load(spark, d, "orders").select(X.link_name(F.col("o_orderpriority")).alias("link"), X.link_name(F.concat(F.lit("--"), "o_orderstatus", F.lit(" .. "))).alias("status")).groupBy("link", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
-def orphan_endpoints(spark, d):
+def orphan_endpoints(spark, d, thinned=True):
     t = _triples(spark, d)
     ends = t.select(F.lower(F.trim("subject")).alias("surface")).union(t.select(F.lower(F.trim("object"))))
-    return ends.distinct().join(_surfaces(spark, d), "surface", "left_anti")
+    return ends.distinct().join(_surfaces(spark, d, thinned), "surface", "left_anti")
 
 
-def token_subset_match(spark, d):
-    o = orphan_endpoints(spark, d).select("surface", X.word_set(F.col("surface")).alias("t"))
-    e = _surfaces(spark, d).select("id", F.col("surface").alias("name"), X.word_set(F.col("surface")).alias("u"))
+def token_subset_match(spark, d, thinned=True):
+    o = orphan_endpoints(spark, d, thinned).select("surface", X.word_set(F.col("surface")).alias("t"))
+    e = _surfaces(spark, d, thinned).select("id", F.col("surface").alias("name"), X.word_set(F.col("surface")).alias("u"))
     w = o.select("surface", "t", F.explode("t").alias("w")).join(e.select("id", "name", "u", F.explode("u").alias("w")), "w").drop("w").distinct()
     sup = F.size(F.array_except("t", "u")) == 0
     sub = F.size(F.array_except("u", "t")) == 0
@@ -126,6 +127,25 @@ def token_subset_match(spark, d):
     return c.groupBy("surface").agg(F.min(F.struct("rank", "name")).alias("m")).select("surface", "m.rank", "m.name")
 
 
+# The SQL of the four queries on triples takes every fiftieth part as a surface; these take all.
+
+
+def triple_edges_whole(spark, d):
+    return triple_edges(spark, d, False)
+
+
+def triple_drop_counts_whole(spark, d):
+    return triple_drop_counts(spark, d, False)
+
+
+def orphan_endpoints_whole(spark, d):
+    return orphan_endpoints(spark, d, False)
+
+
+def token_subset_match_whole(spark, d):
+    return token_subset_match(spark, d, False)
+
+
 _SPANS = "sp AS (SELECT DISTINCT r.id AS seq, c AS chunkId, dn AS docName, r.value.text AS text, r.value.labels[1] AS type FROM (SELECT c, dn, unnest(p.result) AS r FROM (SELECT meta.chunkId AS c, meta.docName AS dn, unnest(predictions) AS p FROM ls_import)) WHERE c IS NOT NULL AND r.value.text IS NOT NULL)"
 _NORM = "trim(regexp_replace(translate(regexp_replace(text,'[\\x{064B}-\\x{065F}]','','g'),'أإآى','اااي'),'\\s+',' ','g'))"
 _TYPES = ",".join(repr(t) for t in E.TYPES)
@@ -141,7 +161,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         canonical_entities_global, canonical_entities_docscoped, typed_relationship_validation, triple_edges, triple_drop_counts, alias_union_upsert, alias_prepend_upsert, edge_upsert_chunkids, node_upsert, insert_if_absent, detach_delete,
-        csv_style_node_union, link_names, orphan_endpoints, token_subset_match,
+        csv_style_node_union, link_names, orphan_endpoints, token_subset_match, triple_edges_whole, triple_drop_counts_whole, orphan_endpoints_whole, token_subset_match_whole,
     )
 }
 SQL = {
