@@ -80,6 +80,13 @@ def edge_upsert_chunkids(spark, d):
     return m.select("src", "predicate", "dst", F.array_join(F.transform("chunkIds", lambda x: x.cast("string")), "|").alias("chunkIds"))
 
 
+def edge_upsert_chunkids_whole(spark, d):
+    """All lineitem edges; the SQL of edge_upsert_chunkids keeps those whose part key is a supplier's too."""
+    e = load(spark, d, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.col("l_returnflag").alias("predicate"), F.concat(F.lit("p"), "l_partkey").alias("dst"), F.col("l_orderkey").alias("chunk"))
+    n = load(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("id")).unionByName(load(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("id")))
+    return E.merge_edges(e, n).select("src", "predicate", "dst", F.array_join(F.transform("chunkIds", lambda x: x.cast("string")), "|").alias("chunkIds"))
+
+
 def node_upsert(spark, d):
     c = load(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
     return E.upsert(c.where("c_custkey % 3 != 0"), c.where("c_custkey % 2 = 0").withColumn("c_acctbal", F.lit(0.0)), ["c_custkey"]).groupBy((F.col("c_acctbal") == 0).alias("fresh")).agg(F.count(F.lit(1)).alias("n"), F.sum("c_custkey").alias("keys"))
@@ -160,7 +167,7 @@ _WS = "list_distinct(list_filter(regexp_split_to_array(lower({0}),'[^\\p{{L}}\\p
 QUERIES = {
     f.__name__: f
     for f in (
-        canonical_entities_global, canonical_entities_docscoped, typed_relationship_validation, triple_edges, triple_drop_counts, alias_union_upsert, alias_prepend_upsert, edge_upsert_chunkids, node_upsert, insert_if_absent, detach_delete,
+        canonical_entities_global, canonical_entities_docscoped, typed_relationship_validation, triple_edges, triple_drop_counts, alias_union_upsert, alias_prepend_upsert, edge_upsert_chunkids, edge_upsert_chunkids_whole, node_upsert, insert_if_absent, detach_delete,
         csv_style_node_union, link_names, orphan_endpoints, token_subset_match, triple_edges_whole, triple_drop_counts_whole, orphan_endpoints_whole, token_subset_match_whole,
     )
 }

@@ -33,3 +33,12 @@ def test_triples_know_all_parts(spark, tables):
     assert got == {e: (n, "|".join(sorted(said[e]))) for e, n in want.items()}
     assert tuple(EQ.triple_drop_counts_whole(spark, tables).first().asDict()[c] for c in ("raw", "unmatched", "self_ref")) == (7, 0, 1)
     assert EQ.orphan_endpoints_whole(spark, tables).count() == 0 and EQ.token_subset_match_whole(spark, tables).count() == 0
+
+
+def test_all_edges_are_merged(spark, tables):
+    want = {}
+    for o, s, p, flag, _ in LINES:
+        want.setdefault((f"s{s}", flag, f"p{p}"), set()).add(o)
+    got = {(r.src, r.predicate, r.dst): r.chunkIds for r in EQ.edge_upsert_chunkids_whole(spark, tables).collect()}
+    assert got == {k: "|".join(map(str, sorted(v))) for k, v in want.items()}
+    assert EQ.edge_upsert_chunkids(spark, tables).count() < len(got)
