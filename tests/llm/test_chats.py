@@ -73,6 +73,18 @@ def test_clock_offsets(spark):
     assert CV.judged(df, chats).first().reason == "broken" and CV.judged(df, chats, 600.0).first().reason is None
 
 
+def test_clock_pairs_cross_hours(spark):
+    at = lambda h, m: datetime(2024, 3, 1, h, m)
+    over = rows_of("c", ("user", "q", at(10, 59)), ("assistant", "a", at(11, 1)), ("user", "q", at(11, 10)), ("assistant", "a", at(11, 12)))
+    rng = random.Random(6)
+    more = [(f"d-{i}", "d", rng.choice(["user", "assistant"]), "x", None, T + timedelta(minutes=rng.randint(0, 600)), "k") for i in range(60)]
+    got = {r.chatId: r for r in CV.clock_offsets(CV.one_per_id(spark.createDataFrame(over + more, MSG)), 1e9).collect()}
+    assert (got["c"].constraints, got["c"].violated, got["c"].offset) == (2, 0, 0.0)
+    u, a = (sorted(m[5] for m in more if m[2] == r) for r in ("user", "assistant"))
+    late = [(x - y).total_seconds() for x, y in zip(u, a) if x > y]
+    assert (got["d"].constraints, got["d"].violated, got["d"].offset) == (min(len(u), len(a)), len(late), pytest.approx(sum(late) / max(len(late), 1)))
+
+
 Q = "Which decision covers the annual audit report of the branch?"
 AR = "ما هو القرار الذي يغطي تقرير التدقيق السنوي؟"
 
