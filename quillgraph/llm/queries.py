@@ -42,6 +42,10 @@ def p2_repaired(spark: SparkSession, d: str) -> DataFrame:
     return SC.repaired(_load(spark, d, "parsed_elements"))
 
 
+def p2_repaired_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return SC.repaired_chunks(_load(spark, d, "parsed_elements"), _load(spark, d, "chunks"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return PA.pair_defects(_load(spark, d, "messages"))
 
@@ -69,7 +73,10 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_one_form(spark: SparkSession, d: str) -> DataFrame:
-    return LA.normalise(_load(spark, d, "chunks").select("chunkId", "text").distinct(), "text", "text")
+    """Chunks and messages in their one form: ``tab, id, text``."""
+    sides = [("chunks", "chunkId", "text"), ("messages", "id", "content")]
+    a, b = (_load(spark, d, t).select(F.lit(t).alias("tab"), F.col(k).alias("id"), F.col(c).alias("text")).distinct() for t, k, c in sides)
+    return LA.normalise(a.unionByName(b), "text", "text")
 
 
 def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
@@ -106,7 +113,7 @@ def p8_overlaps(spark: SparkSession, d: str) -> DataFrame:
     return LE.overlaps(_load(spark, d, "documents"), _load(spark, d, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_entities, p1_chunk_mentions, p2_found, p2_repaired, p3_found, p3_defect_counts, p5_found, p5_conversations, p5_clock_offsets, p6_found, p6_one_form, p7_containers, p7_fill, p8_found, p8_overlaps, p9_mixture, p9_shares, p10_found, p10_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_entities, p1_chunk_mentions, p2_found, p2_repaired, p2_repaired_chunks, p3_found, p3_defect_counts, p5_found, p5_conversations, p5_clock_offsets, p6_found, p6_one_form, p7_containers, p7_fill, p8_found, p8_overlaps, p9_mixture, p9_shares, p10_found, p10_statistics)}
 _P5 = r"""
 WITH x AS (
   SELECT id, chatId, createdAt AS ts, coalesce(regexp_matches(content, '[\p{L}\p{N}]'), false) AS said,

@@ -19,15 +19,16 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillgraph.runtime import cut
 
 #: A word is vocabulary from this share of all words on (and five times at least); its misreadings are at least RATIO times rarer.
 SHARE, LEAST, RATIO = 4e-5, 5, 20
-#: Probability of one confusion; weight of bigrams against single words; log-probability of a word outside the vocabulary.
-CONFUSION, BIGRAM, OUTSIDE = 0.01, 0.9, math.log(1e-9)
-#: Rows of a lookup table up to which it is broadcast (some 50 MB); beyond, the join shuffles.
-SMALL = 500_000
+#: Greatest probability of one confusion, and that of one never seen alone; weight of bigrams against single words.
+CONFUSION, UNSEEN, BIGRAM = 0.01, 1e-7, 0.9
+#: Rows of a lookup table up to which it is broadcast (some 10 MB); beyond, the join shuffles.
+SMALL = 100_000
 
 # Letters taken for each other; what some letters are read as when they fall apart or change places.
 WIDE = {"w": "vv", "u": "ii", "m": "rn", "d": "cl", "h": "li", "\u0644\u0627": "\u0627\u0644"}
@@ -61,26 +62,25 @@ def _fold(w: str) -> str:
     return w.translate({ord(x): k[0] for k in CLASSES for x in k[1:]})
 
 
-def confusions(word: str, seen: str) -> int:
-    """Fewest confusions that turn ``word`` into ``seen``; 99 where none do."""
+def confused(word: str, seen: str) -> list[str] | None:
+    """Fewest confusions that turn ``word`` into ``seen``, each as ``read:as``; None where none do."""
     same = {x: k[0] for k in CLASSES for x in k}
     steps = [(a, b) for a, b in WIDE.items()] + [(b, a) for a, b in WIDE.items()]
-    best = {(0, 0): 0}
+    best: dict[tuple[int, int], tuple[int, tuple[str, ...]]] = {(0, 0): (0, ())}
     for i in range(len(word) + 1):
         for j in range(len(seen) + 1):
-            v = best.get((i, j))
-            if v is None:
+            if (i, j) not in best:
                 continue
-            moves = [(a, b, 1) for a, b in steps if word.startswith(a, i) and seen.startswith(b, j)]
-            if i < len(word) and j < len(seen):
-                if word[i] == seen[j]:
-                    moves.append((word[i], seen[j], 0))
-                elif same.get(word[i], word[i]) == same.get(seen[j], seen[j]):
-                    moves.append((word[i], seen[j], 1))
-            for a, b, cost in moves:
+            n, path = best[i, j]
+            moves = [(a, b) for a, b in steps if word.startswith(a, i) and seen.startswith(b, j)]
+            if i < len(word) and j < len(seen) and same.get(word[i], word[i]) == same.get(seen[j], seen[j]):
+                moves.append((word[i], seen[j]))
+            for a, b in moves:
+                to = (n, path) if a == b else (n + 1, (*path, f"{a}:{b}"))
                 k = (i + len(a), j + len(b))
-                best[k] = min(best.get(k, 99), v + cost)
-    return best.get((len(word), len(seen)), 99)
+                best[k] = min(best.get(k, to), to)
+    got = best.get((len(word), len(seen)))
+    return None if got is None else list(got[1])
 
 
 #: Characters between words, as the complement of few ranges (cheaper to test than Unicode classes).
@@ -122,7 +122,7 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def lexicon(words: DataFrame, total: int) -> DataFrame:
-    """``seen, word, k``: rare words and the vocabulary words they may be misread from, with the number of confusions.
+    """``seen, word, ns, nv, how``: rare words, the vocabulary words they may be misread from, and the confusions between them.
 
     Vocabulary is judged by lower-case use, so proper names are none.
     """
@@ -131,12 +131,32 @@ def lexicon(words: DataFrame, total: int) -> DataFrame:
     vocab = folded.where(F.col("low") >= least).select("f", "word", F.col("n").alias("nv"))
     rare = folded.where((F.col("low") < least) & (F.length("word") >= 2)).select("f", F.col("word").alias("seen"), F.col("n").alias("ns"))
     pairs = rare.join(vocab, "f").where((F.col("nv") >= RATIO * F.col("ns")) & ((F.length("seen") >= 3) | F.col("seen").rlike("[0-9]")))
-    cost = F.pandas_udf(lambda a, b: pd.Series([confusions(x, y) for x, y in zip(a, b)]), "int")
-    return pairs.withColumn("k", cost("word", "seen")).where("k <= 3").select("seen", "word", "k")
+    how = F.pandas_udf(lambda a, b: pd.Series([confused(x, y) for x, y in zip(a, b)]), "array<string>")
+    return pairs.withColumn("how", how("word", "seen")).where("how is not null").select("seen", "word", "ns", "nv", "how")
 
 
-def odd_lines(paragraphs: DataFrame) -> DataFrame:
-    """Lines of paragraphs of several lines that could be page furniture: ``docName, elementId, page, line, no, key``.
+def glyphs() -> list[str]:
+    """Every glyph of the confusion tables, on either side; some seventy."""
+    return sorted({*"".join(CLASSES), *WIDE, *WIDE.values()})
+
+
+def channel(lex: DataFrame, words: DataFrame, total: int) -> dict[str, float]:
+    """Probability of each confusion, from all texts: misread forms of it over the places where it could happen.
+
+    Forms one confusion away count; half a case is added to each kind, and no
+    kind is likelier than ``CONFUSION``. As many numbers as there are kinds
+    of confusions come to the driver, whatever the data.
+    """
+    seen = {r["c"]: r["n"] for r in lex.where("size(how) = 1").groupBy(F.col("how")[0].alias("c")).agg(F.sum("ns").alias("n")).collect()}
+    vocab = words.where(F.col("low") >= max(LEAST, SHARE * total))
+    g = glyphs()
+    row = vocab.agg(*[F.sum(F.col("n") * (F.length("word") - F.length(F.replace("word", F.lit(x), F.lit("")))) / len(x)).alias(f"g{i}") for i, x in enumerate(g)]).first()
+    places = {x: float(row[f"g{i}"] or 0) for i, x in enumerate(g)}
+    return {c: min(CONFUSION, (n + 0.5) / (places.get(c.split(":")[0], 0.0) + 1)) for c, n in seen.items()}
+
+
+def odd_lines(paragraphs: DataFrame, page: str = "page") -> DataFrame:
+    """Lines of paragraphs that could be page furniture, a paragraph's only line too: ``docName, elementId, page, line, no, key``.
 
     ``no`` is the number of a line with nothing but a page number. Any other
     line may be a title, wherever it stands, as pages end inside paragraphs: it
@@ -144,7 +164,7 @@ def odd_lines(paragraphs: DataFrame) -> DataFrame:
     number at its end it is short. ``key`` is the title without its page number
     at either end, lower-cased and folded.
     """
-    ends = paragraphs.where(F.col("text").contains("\n")).select("docName", "elementId", "page", F.explode_outer(F.split("text", "\r?\n")).alias("line"))
+    ends = paragraphs.where(F.col("text").contains("\n") | (F.length("text") <= 90)).select("docName", "elementId", page, F.explode_outer(F.split("text", "\r?\n")).alias("line"))
     # cheap tests first: most lines are too long, or hold no number at either end
     number = rf"{_NUMBER}"
     ends = ends.where((F.length("line") <= 38) | ((F.length("line") <= 90) & (F.left("line", F.lit(9)).rlike(number) | F.right("line", F.lit(9)).rlike(number))))
@@ -155,7 +175,7 @@ def odd_lines(paragraphs: DataFrame) -> DataFrame:
     open_end = F.col("line").rlike(r"\p{L}") & ~F.col("line").rlike(rf"[.!?:;,،؛؟{_HYPHENS}]\s*$")
     lines = ends.withColumn("no", no).where(F.col("no").isNotNull() | open_end).withColumn("bare", F.when(F.col("no").isNull(), bare))
     key = F.when(title & short, fold(F.lower(F.regexp_replace("bare", r"\s+", " "))))
-    return lines.select("docName", "elementId", "page", "line", "no", key.alias("key")).where("no is not null or key is not null")
+    return lines.select("docName", "elementId", page, "line", "no", key.alias("key")).where("no is not null or key is not null")
 
 
 #: How a number at the end of a folded key looks: folding takes some digits for letters.
@@ -187,9 +207,14 @@ def western(c: Column) -> Column:
     return F.translate(c, "٠١٢٣٤٥٦٧٨٩", "0123456789").cast("int")
 
 
-def page_numbers(odd: DataFrame) -> DataFrame:
-    """Elements with a line of nothing but their page's number; any number will do where the page is null."""
-    return odd.where("no is not null").where(F.col("page").isNull() | (western(F.col("no")) == F.col("page"))).select("elementId").distinct()
+def page_numbers(odd: DataFrame, page: str = "page") -> DataFrame:
+    """Distinct ``elementId, line`` with nothing but the page's number; any number will do where the page is null.
+
+    ``page`` may also hold an array of pages.
+    """
+    no, p = western(F.col("no")), F.col(page)
+    own = F.array_contains(p, no) if odd.schema[page].dataType.typeName() == "array" else no == p
+    return odd.where("no is not null").where(p.isNull() | own).select("elementId", "line").distinct()
 
 
 def parted_words(paragraphs: DataFrame, words: DataFrame, bigrams: DataFrame) -> DataFrame:
@@ -210,25 +235,34 @@ def parted_words(paragraphs: DataFrame, words: DataFrame, bigrams: DataFrame) ->
     return p.where(~((F.col("mark") == "-") & F.col("left").rlike("[A-Za-z]"))).unionByName(own)
 
 
-_TOKEN = re.compile(r"[^\W_]+")
-_PARTED = re.compile(rf"([^\W\d_]+)[{_HYPHENS}][ \t]*\r?\n[ \t]*([^\W\d_]+)")
+_PARTED = re.compile(rf"([^\W\d_]+)([{_HYPHENS}])[ \t]*\r?\n[ \t]*([^\W\d_]+)")
 
 
-def viterbi(seen: list[str], options: dict[str, list[tuple[str, int]]], pair: dict[tuple[str, str], int], single: dict[str, int], total: int) -> list[str]:
-    """The likeliest words behind ``seen``: bigram model times confusion channel."""
+def viterbi(seen: list[str], options: dict[str, list[tuple[str, float, float]]], pair: dict[tuple[str, str], int], single: dict[str, int], total: int) -> list[str]:
+    """The likeliest words behind ``seen``: bigram model times confusion channel.
+
+    ``options`` gives a form's candidate words, each with the logarithm of the
+    channel's probability and the form's count over the word's. A form with
+    options is a candidate too, read rightly. What speaks for it is the word
+    before: it followed that one more often than its candidates do, times that
+    share, explain (by more than chance, three times the root). Its own occurrence
+    here never counts.
+    """
 
     def lm(a: str, b: str) -> float:
+        both, one = pair.get((a, b), 0), single.get(b, 0)
         if b in options:
-            return OUTSIDE
-        one = (single.get(b, 0) + 0.5) / (total + 1)
-        two = pair.get((a, b), 0) / max(1, single.get(a, 0))
-        return math.log(BIGRAM * two + (1 - BIGRAM) * one)
+            explained = sum(pair.get((a, w), 0) * x for w, _, x in options[b])
+            both, one = max(0.0, both - 1 - explained - 3 * math.sqrt(explained)), 0
+        own = 1 if a in options else 0
+        two = max(0, both - own) / max(1, single.get(a, 0) - own)
+        return math.log(BIGRAM * two + (1 - BIGRAM) * (one + 0.5) / (total + 1))
 
     layers: list[dict[str, tuple[float, str | None]]] = [{"": (0.0, None)}]
     for w in seen:
         layer = {}
-        for cand, k in [(w, 0), *options.get(w, [])]:
-            layer[cand] = max((v + lm(a, cand) + k * math.log(CONFUSION), a) for a, (v, _) in layers[-1].items())
+        for cand, log_p, _ in [(w, 0.0, 0.0), *options.get(w, [])]:
+            layer[cand] = max((v + lm(a, cand) + log_p, a) for a, (v, _) in layers[-1].items())
         layers.append(layer)
     word = max(layers[-1], key=lambda x: layers[-1][x][0])
     out = []
@@ -242,85 +276,116 @@ _GAP = re.compile(rf"(?<=[^\W\d_])[{_HYPHENS}][ \t]*\r?\n[ \t]*(?=[^\W\d_])")
 _RUN = re.compile("[" + _BETWEEN[2:-2].replace("\\x{10000}-\\x{10ffff}", "\U00010000-\U0010ffff") + "]+")
 
 
-def _suspect_rows(paragraphs: DataFrame, seen: DataFrame) -> DataFrame:
-    """Distinct elements that hold a token of ``seen`` (in its own case).
+def _suspect_rows(texts: DataFrame, seen: DataFrame) -> DataFrame:
+    """The rows whose text holds a token of ``seen`` (in its own case).
 
     Up to ``SMALL`` tokens go to the workers as a set and texts are tested in
     Arrow batches, which takes a quarter of the time of exploding all words;
     with more of them words are exploded and joined.
     """
-    p = paragraphs.select("elementId", "text")
     rows = seen.limit(SMALL + 1).collect()
     if len(rows) > SMALL:
-        flat = p.select("elementId", F.explode_outer(tokens(F.col("text"))).alias("a"))
-        return flat.join(seen, "a", "left_semi").select("elementId").distinct()
-    words = paragraphs.sparkSession.sparkContext.broadcast(frozenset(r["a"] for r in rows))
+        flat = texts.select("elementId", "rk", F.explode_outer(tokens(F.col("text"))).alias("a"))
+        return texts.join(flat.join(seen, "a", "left_semi").select("elementId", "rk").distinct(), ["elementId", "rk"], "left_semi")
+    words = texts.sparkSession.sparkContext.broadcast(frozenset(r["a"] for r in rows))
 
     def run(batches):
         known = words.value
         for b in batches:
-            hit = [not known.isdisjoint(_RUN.findall(_GAP.sub("", t) if "\n" in t else t)) for t in b["text"]]
-            yield b.loc[hit, ["elementId"]]
+            yield b[[not known.isdisjoint(_RUN.findall(_GAP.sub("", t) if "\n" in t else t)) for t in b["text"]]]
+
+    return texts.mapInPandas(run, texts.schema)
+
+
+def _clean(text: str, drop, cuts) -> str:
+    """``text`` without the lines of ``drop``; words parted between lines are joined, those of ``cuts`` without their hyphen."""
+    gone = set(drop) if drop is not None else set()
+    body = "\n".join(x for x in re.split(r"\r?\n", text) if x not in gone)
+    marks = set(cuts) if cuts is not None else set()
+    return _PARTED.sub(lambda g: g.group(1) + g.group(3) if g.group(1) + g.group(2) + g.group(3) in marks else g.group(1) + g.group(2) + g.group(3), body)
 
-    return p.mapInPandas(run, "elementId string").distinct()
 
+@F.pandas_udf(T.StringType())
+def _cleaned(text: pd.Series, drop: pd.Series, cuts: pd.Series) -> pd.Series:
+    return pd.Series([_clean(*x) for x in zip(text, drop, cuts)])
 
-def corrections(paragraphs: DataFrame, headers: DataFrame, bigrams: DataFrame, words: DataFrame, lex: DataFrame, seen: DataFrame, total: int) -> DataFrame:
-    """``elementId, seen, word``: misread words and what Viterbi reads them as, headers left out."""
-    ids = _small(cut(_suspect_rows(paragraphs, seen)))
-    h = headers.groupBy("elementId").agg(F.collect_set("line").alias("headers"))
-    rows = paragraphs.select("elementId", "text").join(ids, "elementId", "left_semi").distinct().join(h, "elementId", "left")
-    drop = F.expr("filter(split(text, '\\\\r?\\\\n'), l -> headers is null or not array_contains(headers, l))")
-    body = rows.select("elementId", F.array_join(drop, "\n").alias("body"))
-    lines = body.withColumn("t", F.filter(F.transform(tokens(F.col("body")), lambda x: F.when(x.rlike(rf"^{_NUMBER}+$"), "#").otherwise(F.lower(x))), lambda x: x != "")).select("elementId", F.monotonically_increasing_id().alias("row"), "t")
-    lines = cut(lines)  # the row numbers must not change when a lost task is run again
+
+def corrections(texts: DataFrame, furniture: DataFrame, cuts: DataFrame, model: Model) -> DataFrame:
+    """``elementId, rk, i, seen, word``: the misread words of ``texts`` (``elementId, rk, text``) and what Viterbi reads them as.
+
+    ``i`` is the place among the words of the text without page furniture and
+    with parted words joined, so one form may be read differently at two places.
+    """
+    rows = cut(_suspect_rows(texts.select("elementId", "rk", "text"), model.seen).distinct())
+    fed = rows.join(furniture, "elementId", "left").join(cuts, "elementId", "left")
+    body = fed.select("elementId", "rk", _cleaned("text", "drop", "cuts").alias("body"))
+    shaped = F.transform(F.filter(F.split("body", _BETWEEN), lambda x: x != ""), lambda x: F.when(x.rlike(rf"^{_NUMBER}+$"), "#").otherwise(F.lower(x)))
+    lines = cut(body.select("elementId", "rk", F.struct("elementId", "rk").alias("row"), shaped.alias("t")))
     at = lines.select("row", F.posexplode_outer("t").alias("i", "seen")).where("seen is not null")
-    spots = at.join(_small(lex), "seen")
+    spots = at.join(_small(model.lexicon), "seen")
     # the spots with their options and neighbours form the lattice; every edge asks the bigram table once
     near = spots.select("row", F.explode(F.expr("sequence(i - 1, i + 1)")).alias("i")).distinct().join(at, ["row", "i"])
     states = near.select("row", "i", F.col("seen").alias("w")).unionByName(spots.select("row", "i", F.col("word").alias("w"))).distinct()
     nxt = states.select("row", (F.col("i") - 1).alias("i"), F.col("w").alias("b"))
-    edges = states.withColumnRenamed("w", "a").join(nxt, ["row", "i"]).select("row", "a", "b").distinct().join(bigrams.select("a", "b", F.col("n").alias("ab")), ["a", "b"]).groupBy("row").agg(F.collect_set(F.struct("a", "b", "ab")).alias("pairs"))
-    singles = states.select("row", "w").distinct().join(words.select(F.col("word").alias("w"), "n"), "w").groupBy("row").agg(F.collect_set(F.struct("w", "n")).alias("singles"))
-    opts = spots.groupBy("row").agg(F.collect_set(F.struct("seen", "word", "k")).alias("options"))
-    fed = lines.join(opts, "row").join(singles, "row", "left").join(edges, "row", "left")
+    edges = states.withColumnRenamed("w", "a").join(nxt, ["row", "i"]).select("row", "a", "b").distinct().join(model.bigrams.select("a", "b", F.col("n").alias("ab")), ["a", "b"]).groupBy("row").agg(F.collect_set(F.struct("a", "b", "ab")).alias("pairs"))
+    singles = states.select("row", "w").distinct().join(model.words.select(F.col("word").alias("w"), "n"), "w").groupBy("row").agg(F.collect_set(F.struct("w", "n")).alias("singles"))
+    opts = spots.groupBy("row").agg(F.collect_set(F.struct("seen", "word", "ns", "nv", "how")).alias("options"))
+    fed = lines.select("row", "t").join(opts, "row").join(singles, "row", "left").join(edges, "row", "left")
+    rates, total = model.channel, model.total
 
     def run(batches):
         for b in batches:
             out = []
-            for e, t, o, s, p in zip(b["elementId"], b["t"], b["options"], b["singles"], b["pairs"]):
-                options: dict[str, list[tuple[str, int]]] = {}
+            for row, t, o, s, p in zip(b["row"], b["t"], b["options"], b["singles"], b["pairs"]):
+                options: dict[str, list[tuple[str, float, float]]] = {}
                 for x in o:
-                    options.setdefault(x["seen"], []).append((x["word"], x["k"]))
+                    log_p = sum(math.log(rates.get(c, UNSEEN)) for c in x["how"])
+                    options.setdefault(x["seen"], []).append((x["word"], log_p, x["ns"] / x["nv"]))
                 single = {x["w"]: x["n"] for x in s} if s is not None else {}
                 pair = {(x["a"], x["b"]): x["ab"] for x in p} if p is not None else {}
                 got = viterbi(list(t), options, pair, single, total)
-                out += [(e, x, y) for x, y in zip(t, got) if x != y]
-            yield pd.DataFrame(sorted(set(out)), columns=["elementId", "seen", "word"])
+                out += [(row["elementId"], row["rk"], i, x, y) for i, (x, y) in enumerate(zip(t, got)) if x != y]
+            yield pd.DataFrame(out, columns=["elementId", "rk", "i", "seen", "word"])
 
-    return fed.select("elementId", "t", "options", "singles", "pairs").mapInPandas(run, "elementId string, seen string, word string").distinct()
+    return fed.select("row", "t", "options", "singles", "pairs").mapInPandas(run, "elementId string, rk long, i int, seen string, word string")
 
 
 class Model:
-    """Statistics over all elements: bigrams, words, the lexicon of misreadings and the headers."""
+    """Statistics over all elements: bigrams, words, the lexicon of misreadings, the channel and the headers.
+
+    Words that only ``others`` (``text``) hold count as rare ones, so that their
+    misreadings are known too; copies of the elements' texts are not counted twice.
+    """
 
-    def __init__(self, elements: DataFrame) -> None:
+    def __init__(self, elements: DataFrame, others: DataFrame | None = None) -> None:
         e = elements.select("docName", "page", "elementType", "elementId", "text").where("text is not null")
         self.paragraphs = e.where("elementType = 'paragraph' and elementId is not null")
         raw = cut(raw_bigrams(e, "text"))
         self.bigrams = cut(bigram_counts(raw))
         self.words = cut(word_counts(self.bigrams))
         self.total = int(self.words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+        forms = raw.select("a").distinct()
+        if others is not None:
+            more = cut(others.select(F.explode(tokens(F.col("text"))).alias("a")).where("a != ''").distinct().join(forms, "a", "left_anti"))
+            new = more.select(_shape("a").alias("word")).distinct().join(self.words, "word", "left_anti")
+            self.words = cut(self.words.unionByName(new.select("word", F.lit(1).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("low"))))
+            forms = forms.unionByName(more)
         self.lexicon = cut(lexicon(self.words, self.total))
-        self.seen = cut(raw.select("a").distinct().join(self.lexicon.select(F.col("seen").alias("low")).distinct(), F.lower("a") == F.col("low"), "left_semi"))
+        self.channel = channel(self.lexicon, self.words, self.total)
+        self.seen = cut(forms.join(self.lexicon.select(F.col("seen").alias("low")).distinct(), F.lower("a") == F.col("low"), "left_semi"))
         self.odd = cut(odd_lines(self.paragraphs))
         self.headers = cut(header_lines(self.odd))
+        self.parted = cut(parted_words(self.paragraphs, self.words, self.bigrams))
+        self.pages = cut(page_numbers(self.odd))
+
+
+def _keyed(texts: DataFrame) -> DataFrame:
+    return texts.select("elementId", F.xxhash64("text").alias("rk"), "text")
 
-    def corrections(self) -> DataFrame:
-        return corrections(self.paragraphs, self.headers, self.bigrams, self.words, self.lexicon, self.seen, self.total)
 
-    def parted(self) -> DataFrame:
-        return parted_words(self.paragraphs, self.words, self.bigrams)
+def _lists(furniture: DataFrame, parted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Per element: the lines to ``drop`` and the joints to ``cuts``."""
+    return furniture.groupBy("elementId").agg(F.collect_set("line").alias("drop")), parted.groupBy("elementId").agg(F.collect_set(F.concat("left", "mark", "right")).alias("cuts"))
 
 
 def noise(elements: DataFrame) -> DataFrame:
@@ -330,11 +395,12 @@ def noise(elements: DataFrame) -> DataFrame:
     columns beyond docName, page, elementType, elementId and text are ignored.
     """
     m = Model(elements)
+    drop, cuts = _lists(m.headers.unionByName(m.pages), m.parted)
     kinds = [
-        ("line_break", m.parted().select("elementId")),
-        ("misread", m.corrections().select("elementId")),
-        ("running_header", m.headers.select("elementId")),
-        ("page_number", page_numbers(m.odd)),
+        ("line_break", m.parted),
+        ("misread", corrections(_keyed(m.paragraphs), drop, cuts, m)),
+        ("running_header", m.headers),
+        ("page_number", m.pages),
     ]
     out = None
     for name, ids in kinds:
@@ -343,36 +409,64 @@ def noise(elements: DataFrame) -> DataFrame:
     return out.distinct()
 
 
+def _restored(texts: DataFrame, furniture: DataFrame, parted: DataFrame, model: Model, lines: str) -> DataFrame:
+    """``elementId, text`` of ``texts`` repaired; ``lines`` is the pattern of line ends inside a paragraph.
+
+    Only texts with something to repair besides line ends go through Python.
+    """
+    texts = _keyed(texts)
+    drop, cuts = _lists(furniture, parted)
+    fixes = corrections(texts, drop, cuts, model).groupBy("elementId", "rk").agg(F.collect_set(F.struct("i", "word")).alias("fixes")).groupBy("elementId").agg(F.collect_list(F.struct("rk", "fixes")).alias("fixes"))
+    known = drop.join(cuts, "elementId", "full").join(fixes, "elementId", "full").withColumn("hit", F.lit(True))
+
+    @F.pandas_udf("string")
+    def restore(text: pd.Series, rk: pd.Series, drop: pd.Series, cuts: pd.Series, fixes: pd.Series) -> pd.Series:
+        out = []
+        for t, k, d, c, f in zip(text, rk, drop, cuts, fixes):
+            if t is None:
+                out.append(None)
+                continue
+            body = _clean(t, d, c)
+            at = {x["i"]: x["word"] for y in f if y["rk"] == k for x in y["fixes"]} if f is not None else {}
+            if at:
+                n = iter(range(len(body) + 1))
+                body = _RUN.sub(lambda g: _cased(g.group(0), at.get(next(n))), body)
+            out.append(body)
+        return pd.Series(out, dtype=object)
+
+    rows = texts.join(known, "elementId", "left")
+    # untouched texts stay in the JVM: Python is handed nulls for them
+    body = F.coalesce(restore(F.when(F.col("hit"), F.col("text")), "rk", "drop", "cuts", "fixes"), "text")
+    flat = F.when(body.contains("\n"), F.regexp_replace(body, lines, " ")).otherwise(body)
+    return rows.select("elementId", F.trim(flat).alias("text")).distinct()
+
+
 def repaired(elements: DataFrame) -> DataFrame:
     """``elementId, text`` of every paragraph as continuous text.
 
     Headers and page numbers are taken out, parted words joined, misread words
-    replaced and the remaining lines joined by blanks.
+    replaced place by place and the remaining lines joined by blanks.
     """
     m = Model(elements)
-    fixes = m.corrections().groupBy("elementId").agg(F.map_from_entries(F.collect_set(F.struct("seen", "word"))).alias("fixes"))
-    heads = m.headers.groupBy("elementId").agg(F.collect_set("line").alias("heads"))
-    keep = m.parted().groupBy("elementId").agg(F.collect_set(F.concat("left", "mark", "right")).alias("cuts"))
-    rows = m.paragraphs.select("elementId", "page", "text").distinct().join(heads, "elementId", "left").join(fixes, "elementId", "left").join(keep, "elementId", "left")
+    return _restored(m.paragraphs, m.headers.unionByName(m.pages), m.parted, m, r"\s*\n\s*")
 
-    @F.pandas_udf("string")
-    def fix(text: pd.Series, page: pd.Series, heads: pd.Series, fixes: pd.Series, cuts: pd.Series) -> pd.Series:
-        page_line = re.compile(PAGE_LINE.replace("(?m)", ""))
-        out = []
-        for t, p, h, f, c in zip(text, page, heads, fixes, cuts):
-            drop = set(h) if h is not None else set()
-            lines = [x for x in re.split(r"\r?\n", t) if x not in drop]
-            lines = [x for x in lines if not ((g := page_line.match(x)) and (pd.isna(p) or int(g.group(1)) == int(p)))]
-            body = "\n".join(lines)
-            marks = set(c) if c is not None else set()
-            body = _PARTED.sub(lambda g: g.group(1) + g.group(2) if g.group(1) + g.group(0)[len(g.group(1))] + g.group(2) in marks else g.group(0).replace("\n", ""), body)
-            if f is not None:
-                table = dict(f)
-                body = _TOKEN.sub(lambda g: _cased(g.group(0), table.get(g.group(0).lower())), body)
-            out.append(re.sub(r"\s*\n\s*", " ", body).strip())
-        return pd.Series(out)
-
-    return rows.select("elementId", fix("text", "page", "heads", "fixes", "cuts").alias("text")).distinct()
+
+def repaired_chunks(elements: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``chunkId, text`` of every chunk, repaired by the model of the elements.
+
+    A chunk's running headers are the lines that are headers of its document's
+    elements; its page numbers stand on a page that it covers. Paragraphs,
+    parted by empty lines, become continuous; lines of lists and tables stay.
+    Null ids and texts drop out.
+    """
+    m = Model(elements, chunks)
+    c = chunks.select(F.col("chunkId").alias("elementId"), "docName", "pages", "text").where("elementId is not null and text is not null")
+    heads = m.headers.join(m.paragraphs.select("elementId", "docName").distinct(), "elementId").select("docName", "line").distinct()
+    odd = cut(odd_lines(c, "pages"))
+    furniture = odd.join(heads, ["docName", "line"], "left_semi").select("elementId", "line").unionByName(page_numbers(odd, "pages")).distinct()
+    parted = parted_words(c, m.words, m.bigrams)
+    item = r"(?:[-*+•–□▪◦|]|\(?[0-9٠-٩]{1,3}[.)])"
+    return _restored(c, cut(furniture), cut(parted), m, rf"(?<![\n|])[ \t]*\r?\n[ \t]*(?![\r\n]|{item})").withColumnRenamed("elementId", "chunkId")
 
 
 def _cased(seen: str, word: str | None) -> str:

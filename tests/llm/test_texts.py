@@ -104,7 +104,7 @@ def test_tables_may_be_most_documents(spark):
 
 
 def test_confusions():
-    assert SC.confusions("decision", "decislon") == 1 and SC.confusions("settlement", "settlernent") == 1 and SC.confusions("cat", "dog") == 99
+    assert SC.confused("decision", "decislon") == ["i:l"] and SC.confused("settlement", "settlernent") == ["m:rn"] and SC.confused("cat", "dog") is None and SC.confused("cat", "cat") == []
     assert SC._fold("decislon") == SC._fold("decision") and SC._fold("circiilates") == SC._fold("circulates")
 
 
@@ -124,6 +124,35 @@ def test_scan_noise_and_repair(spark):
     assert fixed["doc-1001"] == base and fixed["doc-1006"] == "the committee"
 
 
+SCANNED = "docName string, page int, elementType string, elementId string, text string"
+
+
+def test_one_form_is_read_by_its_place(spark):
+    rows = [("d", 1, "paragraph", f"d-{i:04d}", "the fresh bait hangs on a hook while some silver balt coins lie in a chest") for i in range(60)]
+    rows += [("d", 2, "paragraph", "d-1000", "the fresh ba1t hangs on a hook while some silver ba1t coins lie in a chest"), ("d", 3, "paragraph", "d-1001", "- 3 -"), ("d", 3, "paragraph", "d-1002", "4")]
+    rows += [("d", 4, "paragraph", f"d-2{i:03d}", "a plain bart stays in this house") for i in range(5)]
+    df = spark.createDataFrame(rows, SCANNED)
+    assert {tuple(r) for r in SC.noise(df).collect()} == {("d-1000", "misread"), ("d-1001", "page_number")}
+    fixed = {r.elementId: r.text for r in SC.repaired(df).collect()}
+    assert fixed["d-1000"] == rows[0][4] and fixed["d-2000"] == rows[-1][4] and fixed["d-1001"] == "" and fixed["d-1002"] == "4"
+
+
+def test_a_rare_word_in_its_own_context_stays():
+    pair = {("of", "tor"): 6, ("of", "for"): 0, ("a", "for"): 900, ("a", "tor"): 3}
+    single = {"of": 50, "a": 4000, "for": 1000, "tor": 10}
+    options = {"tor": [("for", -4.6, 0.01)]}
+    assert SC.viterbi(["of", "tor"], options, pair, single, 10000) == ["of", "tor"]
+    assert SC.viterbi(["a", "tor"], options, pair, single, 10000) == ["a", "for"]
+
+
+def test_chunks_are_repaired_with_the_elements(spark):
+    base = "the committee shall review every decision and publish the annual report before the audit begins"
+    rows = [("d", 1, "paragraph", f"d-{i:04d}", base) for i in range(40)] + [("d", 2, "paragraph", f"d-{i}", f"Annual Report Circular 7\n{base}") for i in (100, 101)]
+    chunks = [("c1", "d", [2], f"Annual Report Circular 7\nthe committee shall review every decislon and\npub-\nlish the annual report\n2\n\n- one\n- two\n\n| a | b |\n| c | d |", 0), ("c2", "d", None, None, 1), (None, "d", [1], "x", 2), ("c3", None, None, "", 3)]
+    got = {r.chunkId: r.text for r in SC.repaired_chunks(spark.createDataFrame(rows, SCANNED), spark.createDataFrame(chunks, "chunkId string, docName string, pages array<int>, text string, line int")).collect()}
+    assert got == {"c1": "the committee shall review every decision and publish the annual report\n\n- one\n- two\n\n| a | b |\n| c | d |", "c3": ""}
+
+
 def test_document_statistics_nulls(spark):
     s = QU.document_statistics(spark.createDataFrame([(1, None), (2, "Word.\n\nTwo words!")], "doc_id long, text string")).collect()
     assert [(r.doc_id, r.lines, r.words) for r in s] == [(2, 2, 3)]
