@@ -1,25 +1,27 @@
 """Variant spellings of the names of persons and organisations (problem 1).
 
-A spelling is parsed into its head (a family's or a brand's word) and the words
-around it. Head words one typing error apart meet by what is left of them
-without one letter, which finds every such pair, and each word is led to its
-top neighbour that is more frequent. Among equally frequent ones the likeness
-of character 4-grams weighted by their rarity decides; a distributed sparse
-join gives it for every pair of words above a cosine threshold, of which only
-grams that such a pair must share take part (prefix filtering). Spellings with one head, their given names and kinds
-brought to full forms, are grouped by average-linkage clustering over a
-likeness of the words around the head (abbreviations, acronyms, initials,
-nicknames, order): members of a family and sister companies share the head and
-stay apart.
+A spelling is parsed into words; its head is the rarest of them that more than
+one spelling shares, up to typing errors (a family's or a brand's word). The
+vector of a spelling is the tensor product of its words' character n-gram
+vectors: grams of the head weighted by their rarity, times those of each word
+around it in order. The cosine of two spellings is then the product of their
+words' cosines, so one word that differs (a given name, a field) parts members of
+a family and sister companies that share all the rest. A distributed sparse
+join finds the pairs: heads meet on long grams, of which only those that a pair
+above the threshold must share take part (prefix filtering), or on the word
+without one letter; spellings meet on their heads and the letters of the next
+word, or its acronym. Pairs above a threshold are grouped by average linkage:
+in each round every cluster finds its top neighbour and the reciprocal pairs
+merge, which gives the same tree as one merge after the other and never brings
+a family into one task. Lists of given names, titles and fields only bring
+words to full forms.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,8 +29,10 @@ from pyspark.sql import types as T
 
 from quillgraph.runtime import cut
 
-#: Least cosine of a pair of head words, and least average likeness inside a cluster.
-COSINE, LINK = 0.2, 0.4
+#: Least cosine of a pair of head words, of a pair of spellings, and least average cosine of two clusters that merge.
+COSINE, PAIR, LINK = 0.3, 0.15, 0.22
+#: What a word that one of two spellings leaves out, and what an acronym for words, leave of their cosine.
+LEFT_OUT, ACRONYM = 0.9, 0.9
 
 # Titles, legal forms, kinds of organisations, given names with their short and other forms.
 TITLES = set("dr mr mrs ms miss prof eng sir madam professor doctor engineer الدكتور دكتور الدكتورة د م أ ا السيد السيدة المستشار المستشارة المهندس المهندسة الاستاذ الأستاذ الاستاذة استاذ الشيخ الحاج".split())
@@ -135,33 +139,6 @@ def edits(a: str, b: str, most: int = 2) -> int:
     return min(prev[-1], most + 1)
 
 
-def _typo(a: str, b: str) -> float:
-    """1 for equal words, less for typing errors, 0 for different words."""
-    if a == b:
-        return 1.0
-    n = min(len(a), len(b))
-    d = edits(a, b, 2)
-    if d == 1 and n >= 3:
-        return 0.9
-    return 0.7 if d == 2 and n >= 6 else 0.0
-
-
-def _given(a: str, b: str) -> float:
-    """Likeness of two given names: typing errors, short and foreign forms, initials."""
-    if a == b:
-        return 1.0
-    if len(a) == 1 or len(b) == 1:
-        full = b if len(a) == 1 else a
-        one = a if len(a) == 1 else b
-        return 0.75 if full[0] == one or any(f[0] == one for f in NICKS.get(full, ())) else 0.0
-    na, nb = _full(a), _full(b)
-    if na & nb:
-        return 0.95
-    if na and nb:  # two known names that differ are no typing errors of each other
-        return 0.0
-    return _typo(a, b)
-
-
 @lru_cache(maxsize=100_000)
 def _full(a: str) -> frozenset[str]:
     got = NICKS.get(a)
@@ -180,19 +157,6 @@ def _abbreviates(a: str, w: str) -> bool:
     return all(c in it for c in a) and not re.search("[aeiou]", a[1:])
 
 
-def _word(a: str, b: str) -> float:
-    if a == b:
-        return 1.0
-    if _abbreviates(a, b) or _abbreviates(b, a):
-        return 0.95
-    return _typo(a, b)
-
-
-def _initials(acronym: str, w: list[str]) -> bool:
-    letters = "".join(x[0] for x in w)
-    return acronym == letters or len(acronym) == len(letters) >= 2 and sorted(acronym) == sorted(letters)
-
-
 def _full_field(w: str) -> str:
     """The field or kind that a word stands for, itself where none or several do."""
     if w in FIELDS or w[0] == "=":
@@ -221,28 +185,47 @@ def around(kind: str, words: list[str], head: str) -> list[str]:
     return [next(iter(f)) if len(f := _full(w)) == 1 else w for w in rest]
 
 
-def alike(kind: str, ra: list[str], rb: list[str]) -> float:
-    """0 to 1: are two spellings with one head the same entity? Judged by the words around it, in order."""
+@lru_cache(maxsize=200_000)
+def word_vector(w: str) -> dict[str, float]:
+    """Unit vector of a word around the head: its first letter, and its 2- and 3-grams; that of a short form of several names lies between theirs."""
+    full = NICKS.get(w, ())
+    if len(full) > 1:
+        out: dict[str, float] = {}
+        for f in sorted(full):
+            for g, v in word_vector(f).items():
+                out[g] = out.get(g, 0.0) + v
+        norm = sum(v * v for v in out.values()) ** 0.5
+        return {g: v / norm for g, v in out.items()}
+    z = f"^{w}$"
+    grams = {z[i : i + n] for n in (2, 3) for i in range(len(z) - n + 1)}
+    return {**dict.fromkeys(grams, (0.7 / len(grams)) ** 0.5), "@" + w[0]: 0.3**0.5}
+
+
+@lru_cache(maxsize=500_000)
+def word_cosine(a: str, b: str) -> float:
+    """Cosine of two words around the head; an acronym has one with itself only."""
+    if a == b:
+        return 1.0
+    if "=" in (a[0], b[0]):
+        return 0.0
+    x, y = word_vector(a), word_vector(b)
+    return sum(v * y[g] for g, v in x.items() if g in y)
+
+
+def around_cosine(ra: list[str], rb: list[str]) -> float:
+    """Cosine of what stands around two heads: the product over the words in order, 0 where only one side has any."""
     if ra == rb:
         return 1.0
     if not ra or not rb:
         return 0.0
-    score = 1.0
-    if kind == "person":
-        for x, y in zip(ra, rb):
-            score *= _given(x, y)
-        return score * 0.9 ** abs(len(ra) - len(rb))
-    x, y = (ra, rb) if ra[0][0] == "=" else (rb, ra)
-    if x[0][0] == "=":
-        if y[0][0] == "=":
-            d = edits(x[0][1:], y[0][1:], 1)
-            return 1.0 if d == 0 else 0.8 if d == 1 and len(x[0]) > 4 else 0.0
-        return 0.9 if _initials(x[0][1:], y) else 0.0
-    if len(ra) != len(rb) and not re.search("[ء-ي]", ra[0] + rb[0]):
-        return 0.0
+    short = [r[0][0] == "=" for r in (ra, rb)]
+    if any(short):
+        letters = [sorted(r[0][1:]) if s else sorted(w[0] for w in r) for r, s in zip((ra, rb), short)]
+        return ACRONYM if letters[0] == letters[1] else 0.0
+    out = LEFT_OUT ** abs(len(ra) - len(rb))
     for x, y in zip(ra, rb):
-        score *= _word(x, y)
-    return score * 0.9 ** abs(len(ra) - len(rb))
+        out *= word_cosine(x, y)
+    return out
 
 
 def spans_of(tasks: DataFrame) -> DataFrame:
@@ -292,113 +275,117 @@ def _around(kind: pd.Series, words: pd.Series, head: pd.Series) -> pd.Series:
     return pd.Series([around(k, list(w), h) for k, w, h in zip(kind, words, head)])
 
 
-@F.pandas_udf(T.IntegerType())
-def _edits(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([edits(x, y, 1) for x, y in zip(a, b)])
+@F.pandas_udf(T.DoubleType())
+def _around_cosine(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([around_cosine(list(x), list(y)) for x, y in zip(a, b)], dtype="float64")
 
 
-def similar_words(words: DataFrame) -> DataFrame:
-    """All pairs ``a, b, cosine`` of different words of one kind with a cosine of ``COSINE`` or more.
-
-    ``words`` has unique ``kind, word``. Weights are inverse document
-    frequencies of the 4-grams. Grams are ordered from rare to common; the tail
-    whose weights have a norm below the threshold cannot by itself lift a pair
-    over it and is not joined, so the commonest grams never meet.
-    """
-    total = max(words.count(), 1)
-    grams = F.expr("array_distinct(transform(sequence(1, greatest(length(word) - 1, 1)), i -> substring(concat('^', word, '$'), i, 4)))")
+def _vectors(words: DataFrame, lengths: tuple[int, ...], total: int) -> DataFrame:
+    """``kind, word, v``: unit vectors of n-grams weighted by inverse document frequency, rare grams first."""
+    z = "concat('^', word, '$')"
+    grams = F.expr("array_distinct(concat(" + ", ".join(f"transform(sequence(1, greatest(length(word) + 3 - {n}, 1)), i -> substring({z}, i, {n}))" for n in lengths) + "))")
     g = words.select("kind", "word", F.explode_outer(grams).alias("g"))
     df = g.groupBy("kind", "g").agg(F.count(F.lit(1)).alias("df"))
     x = F.struct(F.log(F.lit(float(total + 1)) / F.col("df")).alias("w"), F.xxhash64("g").alias("g"))
     vec = g.join(df, ["kind", "g"]).groupBy("kind", "word").agg(F.sort_array(F.collect_list(x), asc=False).alias("v")).withColumn("norm", F.expr("greatest(sqrt(aggregate(v, 0D, (s, x) -> s + x.w * x.w)), 1e-9D)"))
-    vec = cut(vec.select("kind", "word", F.expr("transform(v, x -> struct(x.g as g, x.w / norm as w))").alias("v")))
+    return vec.select("kind", "word", F.expr("transform(v, x -> struct(x.g as g, x.w / norm as w))").alias("v"))
+
+
+def similar_words(words: DataFrame) -> DataFrame:
+    """Pairs ``kind, a, b, cosine``, ``a < b``, of different words with a cosine of ``COSINE`` or more.
+
+    ``words`` has unique ``kind, word``. The cosine is that of 2- and 3-grams.
+    Words meet on a 4-gram or on what is left of them without one letter (so any
+    two that are one typing error apart do). 4-grams are ordered from rare to
+    common; the tail whose weights have a norm below the threshold cannot by
+    itself lift a pair over it and is not joined.
+    """
+    total = max(words.count(), 1)
     # the square sum before each place tells where the rest falls below the threshold
     prefix = F.expr(
-        f"aggregate(v, named_struct('s', 0D, 'out', cast(array() as array<struct<g: bigint, w: double>>)), (a, x) -> named_struct('s', a.s + x.w * x.w, 'out', case when sqrt(greatest(1 - a.s, 0D)) >= {COSINE} then array_append(a.out, x) else a.out end), a -> a.out)"
+        f"aggregate(v, named_struct('s', 0D, 'out', cast(array() as array<bigint>)), (a, x) -> named_struct('s', a.s + x.w * x.w, 'out', case when sqrt(greatest(1 - a.s, 0D)) >= {COSINE} then array_append(a.out, x.g) else a.out end), a -> a.out)"
     )
-    pre = vec.select("kind", "word", F.explode_outer(prefix).alias("x")).where("x is not null").select("kind", "word", "x.g")
-    met = pre.alias("l").join(pre.alias("r"), (F.col("l.g") == F.col("r.g")) & (F.col("l.kind") == F.col("r.kind")) & (F.col("l.word") < F.col("r.word"))).select("l.kind", F.col("l.word").alias("a"), F.col("r.word").alias("b")).distinct()
+    less = F.expr("concat(array(xxhash64('-', word)), transform(sequence(1, length(word)), i -> xxhash64('-', concat(substring(word, 1, i - 1), substring(word, i + 1)))))")
+    long = _vectors(words, (4,), total).select("kind", "word", F.explode(prefix).alias("k"))
+    gapped = words.where("length(word) >= 3").select("kind", "word", F.explode(F.array_distinct(less)).alias("k"))
+    keys = long.unionByName(gapped)
+    met = keys.alias("l").join(keys.alias("r"), (F.col("l.k") == F.col("r.k")) & (F.col("l.kind") == F.col("r.kind")) & (F.col("l.word") < F.col("r.word"))).select("l.kind", F.col("l.word").alias("a"), F.col("r.word").alias("b")).distinct()
+    vec = cut(_vectors(words, (2, 3), total))
     both = met.join(vec.select("kind", F.col("word").alias("a"), F.col("v").alias("va")), ["kind", "a"]).join(vec.select("kind", F.col("word").alias("b"), F.col("v").alias("vb")), ["kind", "b"])
     dot = F.expr("aggregate(va, 0D, (s, x) -> s + x.w * coalesce(get(filter(vb, y -> y.g = x.g), 0).w, 0D))")
-    return both.withColumn("cosine", dot).where(F.col("cosine") >= COSINE).select("kind", "a", "b", "cosine")
+    return both.select("kind", "a", "b", dot.alias("cosine")).where(F.col("cosine") >= COSINE)
 
 
-def one_edit_pairs(words: DataFrame) -> DataFrame:
-    """All pairs ``kind, a, b`` of different words of three letters or more that are one typing error apart.
+def similar_spellings(spellings: DataFrame, near: DataFrame) -> DataFrame:
+    """Pairs ``a, b, s`` of keys, ``a < b``, with a cosine ``s`` of ``PAIR`` or more.
 
-    Two such words, swapped letters included, agree once at most one letter of
-    each is left out; a word has one row more than letters.
+    ``spellings`` has unique ``key, kind, head, rest``, ``near`` the pairs of
+    similar heads. Spellings with the same or similar heads meet where the next
+    words share one of their first two letters, or where the initials of one
+    are the other's acronym.
     """
-    keys = F.expr("array_distinct(concat(array(word), transform(sequence(1, length(word)), i -> concat(substring(word, 1, i - 1), substring(word, i + 1)))))")
-    k = words.where("length(word) >= 3").select("kind", "word", F.explode(keys).alias("k"))
-    met = k.alias("l").join(k.alias("r"), (F.col("l.k") == F.col("r.k")) & (F.col("l.kind") == F.col("r.kind")) & (F.col("l.word") < F.col("r.word")))
-    return met.select("l.kind", F.col("l.word").alias("a"), F.col("r.word").alias("b")).distinct().where(_edits("a", "b") <= 1)
-
-
-def leading_words(words: DataFrame) -> DataFrame:
-    """``kind, word, lead, n``: the spelling that each head word is taken for.
-
-    Of a word's neighbours one typing error away, the top one by frequency (then
-    likeness, then order) leads it if it comes before the word itself in that
-    order; leads are followed three steps.
+    first = "rest[0]"
+    tags = F.expr(
+        f"case when size(rest) = 0 then array() when startswith({first}, '=') then array(concat('#', array_join(array_sort(split(substring({first}, 2), '')), ''))) "
+        f"else concat(array('@' || substring({first}, 1, 1)), case when length({first}) > 1 then array('@' || substring({first}, 2, 1)) else array() end, array(concat('#', array_join(array_sort(transform(rest, w -> substring(w, 1, 1))), '')))) end"
+    )
+    t = spellings.withColumn("tag", F.explode(F.array_distinct(tags)))
+    pair = near.select("kind", F.col("a").alias("head"), F.col("b").alias("other"), "cosine")
+    same = spellings.select("kind", "head", F.col("head").alias("other"), F.lit(1.0).alias("cosine")).distinct()
+    heads_ = pair.unionByName(pair.select("kind", F.col("other").alias("head"), F.col("head").alias("other"), "cosine")).unionByName(same)
+    left = t.join(heads_, ["kind", "head"]).select("kind", F.col("other").alias("head"), "tag", F.col("key").alias("a"), F.col("rest").alias("ra"), "cosine")
+    right = t.select("kind", "head", "tag", F.col("key").alias("b"), F.col("rest").alias("rb"))
+    met = left.join(right, ["kind", "head", "tag"]).where("a < b").groupBy("a", "b").agg(F.first("ra").alias("ra"), F.first("rb").alias("rb"), F.max("cosine").alias("cosine"))
+    bare = spellings.where("size(rest) = 0").select("kind", "head", F.col("key").alias("b"))
+    alone = bare.join(heads_, ["kind", "head"]).select("kind", F.col("other").alias("head"), F.col("b").alias("a"), "cosine").join(bare, ["kind", "head"]).where("a < b").select("a", "b", F.col("cosine").alias("s"))
+    return met.select("a", "b", (F.col("cosine") * _around_cosine("ra", "rb")).alias("s")).unionByName(alone).where(F.col("s") >= PAIR)
+
+
+def average_linkage(nodes: DataFrame, links: DataFrame, least: float = LINK) -> DataFrame:
+    """``key, cluster`` of all ``nodes`` (``key``): average-linkage clusters over ``links`` (``a, b, s``, ``a < b``; other pairs count 0).
+
+    A round merges all pairs of clusters that are each other's top neighbour,
+    ties settled by a hash of the pair. Average linkage is reducible: other
+    merges cannot come between such a pair, so the clusters are those of the
+    greedy sequence. It ends when no average reaches ``least``.
     """
-    near = one_edit_pairs(words).join(similar_words(words), ["kind", "a", "b"], "left").fillna(0.0, ["cosine"])
-    both = near.select("kind", F.col("a").alias("word"), F.col("b").alias("to"), "cosine").unionByName(near.select("kind", F.col("b").alias("word"), F.col("a").alias("to"), "cosine"))
-    rated = both.join(words.select("kind", F.col("word").alias("to"), F.col("n").alias("nt")), ["kind", "to"]).join(words.select("kind", "word", "n"), ["kind", "word"])
-    up = rated.where("nt > n or (nt = n and to < word)").groupBy("kind", "word").agg(F.max(F.struct("nt", "cosine", "to")).alias("m")).select("kind", "word", F.col("m.to").alias("lead"))
-    up = cut(words.join(up, ["kind", "word"], "left").select("kind", "word", "n", F.coalesce("lead", "word").alias("lead")))
-    for _ in range(2):
-        step = up.select("kind", F.col("word").alias("lead"), F.col("lead").alias("further"))
-        up = up.join(step, ["kind", "lead"], "left").select("kind", "word", "n", F.coalesce("further", "lead").alias("lead"))
-    return cut(up)
-
-
-def linked(n: int, likeness: np.ndarray, least: float) -> np.ndarray:
-    """Average-linkage labels of ``n`` points with a symmetric likeness."""
-    s = likeness.copy()
-    size, label = np.ones(n), np.arange(n)
-    np.fill_diagonal(s, -1)
-    while n > 1:
-        i, j = divmod(int(s.argmax()), n)
-        if s[i, j] < least:
-            break
-        i, j = min(i, j), max(i, j)
-        s[i] = s[:, i] = (s[i] * size[i] + s[j] * size[j]) / (size[i] + size[j])
-        s[i, i] = -1
-        s[j] = s[:, j] = -1
-        size[i] += size[j]
-        label[label == j] = i
-    return label
-
-
-def _family(pdf: pd.DataFrame) -> pd.DataFrame:
-    kind, rest = pdf["kind"].iloc[0], [list(r) for r in pdf["rest"]]
-    n = len(rest)
-    s = np.zeros((n, n))
-    for i in range(n):
-        for j in range(i):
-            s[i, j] = s[j, i] = alike(kind, rest[i], rest[j])
-    return pd.DataFrame({"key": pdf["key"], "cluster": pdf["key"].to_numpy()[linked(n, s, LINK)]})
+    edges = cut(links.select("a", "b", "s", F.lit(1).cast("bigint").alias("na"), F.lit(1).cast("bigint").alias("nb")))
+    out = nodes.select("key", F.col("key").alias("cluster"))
+    while True:
+        rated = edges.withColumn("at", F.struct((F.col("s") / (F.col("na") * F.col("nb"))).alias("avg"), F.xxhash64("a", "b").alias("tie"), "a", "b", (F.col("na") + F.col("nb")).alias("n")))
+        top = rated.select(F.explode(F.array("a", "b")).alias("c"), "at").groupBy("c").agg(F.max("at").alias("at")).where(F.col("at.avg") >= least)
+        pairs = cut(top.groupBy("at").agg(F.count(F.lit(1)).alias("k")).where("k = 2").select("at.a", "at.b", "at.n"))
+        if pairs.isEmpty():
+            return out
+        moved = pairs.select(F.explode(F.array("a", "b")).alias("c"), F.col("a").alias("to"), "n")
+        out = out.join(pairs.select(F.col("b").alias("cluster"), F.col("a").alias("to")), "cluster", "left").select("key", F.coalesce("to", "cluster").alias("cluster"))
+        e = edges.join(moved.select(F.col("c").alias("a"), F.col("to").alias("ta"), F.col("n").alias("ma")), "a", "left").join(moved.select(F.col("c").alias("b"), F.col("to").alias("tb"), F.col("n").alias("mb")), "b", "left")
+        x = F.struct(F.coalesce("ta", "a").alias("c"), F.coalesce("ma", "na").alias("n"))
+        y = F.struct(F.coalesce("tb", "b").alias("c"), F.coalesce("mb", "nb").alias("n"))
+        e = e.select(F.least(x, y).alias("l"), F.greatest(x, y).alias("r"), "s").where("l.c != r.c")
+        edges = cut(e.groupBy(F.col("l.c").alias("a"), F.col("r.c").alias("b")).agg(F.sum("s").alias("s"), F.first("l.n").alias("na"), F.first("r.n").alias("nb")))
 
 
 def clusters(texts: DataFrame) -> DataFrame:
     """``text, cluster`` for distinct name texts; one cluster per person or organisation.
 
-    A family's spellings meet in one task, but only as distinct sequences of
-    full forms: given names, fields and initials, which a head's popularity
-    does not multiply.
+    Spellings that are alike once brought to full forms are one node; what
+    meets are nodes, so repeated spellings multiply nothing. Null texts drop out.
     """
-    parsed = texts.select("text", _parsed("text").alias("p")).select("text", "p.kind", "p.words").where(F.size("words") > 0)
+    parsed = texts.where("text is not null").select("text", _parsed("text").alias("p")).select("text", "p.kind", "p.words").where(F.size("words") > 0)
     parsed = cut(parsed.withColumn("heads", _heads("kind", "words")))
     options = parsed.select("text", "kind", F.explode("heads").alias("word"))
-    words = options.groupBy("kind", "word").agg(F.count(F.lit(1)).alias("n"))
-    lead = leading_words(words)
-    weight = lead.groupBy("kind", "lead").agg(F.sum("n").alias("all"))
-    head = options.join(lead.select("kind", "word", "lead"), ["kind", "word"]).join(weight, ["kind", "lead"]).groupBy("text").agg(F.max(F.struct("all", "word", "lead")).alias("h"))
-    # of several possible heads the one that more spellings share is the family's
-    keyed = parsed.join(head, "text").select("text", "kind", F.col("h.lead").alias("head"), _around("kind", "words", "h.word").alias("rest"))
+    words = cut(options.groupBy("kind", "word").agg(F.count(F.lit(1)).alias("n")))
+    near = cut(similar_words(words))
+    both = near.select("kind", F.col("a").alias("word"), F.col("b").alias("to")).unionByName(near.select("kind", F.col("b").alias("word"), F.col("a").alias("to")))
+    more = both.join(words.select("kind", F.col("word").alias("to"), "n"), ["kind", "to"]).select("kind", "word", "n")
+    weight = words.unionByName(more).groupBy("kind", "word").agg(F.sum("n").alias("all"))
+    # of several possible heads, the rarest that stands in more than one spelling
+    head = options.join(weight, ["kind", "word"]).groupBy("text").agg(F.min(F.struct((F.col("all") < 2).alias("lone"), "all", "word")).alias("h"))
+    keyed = parsed.join(head, "text").select("text", "kind", F.col("h.word").alias("head"), _around("kind", "words", "h.word").alias("rest"))
     keyed = cut(keyed.withColumn("key", F.xxhash64("kind", "head", "rest")))
-    got = keyed.select("kind", "head", "rest", "key").distinct().groupBy("kind", "head").applyInPandas(_family, "key long, cluster long")
+    spellings = keyed.select("key", "kind", "head", "rest").distinct()
+    got = average_linkage(spellings.select("key"), similar_spellings(spellings, near))
     return keyed.select("text", "key").join(got, "key").select("text", "cluster")
 
 

@@ -1,5 +1,6 @@
 """Names, packing, mixing and token counts."""
 
+import math
 import random
 from collections import Counter
 
@@ -47,22 +48,49 @@ def test_similar_words_equal_brute_force(spark):
     words |= {w[:3] + "z" + w[4:] for w in list(words)[:20]}
     df = spark.createDataFrame([("k", w, 1) for w in words], "kind string, word string, n int")
     got = {(r.a, r.b): r.cosine for r in NA.similar_words(df).collect()}
-    import math
-
-    grams = {w: {f"^{w}$"[i : i + 4] for i in range(len(w) - 1)} for w in words}
-    df_ = Counter(g for v in grams.values() for g in v)
-    wt = {g: math.log((len(words) + 1) / n) for g, n in df_.items()}
-    norm = {w: math.sqrt(sum(wt[g] ** 2 for g in v)) for w, v in grams.items()}
-    want = {(a, b): c for a in words for b in words if a < b and (c := sum(wt[g] ** 2 for g in grams[a] & grams[b]) / (norm[a] * norm[b])) >= NA.COSINE}
-    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in got)
-
-
-def test_edits_and_linkage():
-    import numpy as np
-
+    def unit(lengths):
+        grams = {w: {f"^{w}$"[i : i + n] for n in lengths for i in range(len(w) + 3 - n)} for w in words}
+        df_ = Counter(g for v in grams.values() for g in v)
+        wt = {g: math.log((len(words) + 1) / n) for g, n in df_.items()}
+        norm = {w: math.sqrt(sum(wt[g] ** 2 for g in v)) for w, v in grams.items()}
+        return lambda a, b: sum(wt[g] ** 2 for g in grams[a] & grams[b]) / (norm[a] * norm[b])
+
+    short, long = unit((2, 3)), unit((4,))
+    less = {w: {w, *(w[:i] + w[i + 1 :] for i in range(len(w)))} for w in words}
+    every = {(a, b): short(a, b) for a in words for b in words if a < b and short(a, b) >= NA.COSINE}
+    assert all(got[k] == pytest.approx(every[k]) for k in got)
+    # all that meet on a 4-gram vector above the threshold, or one letter apart, must be there
+    assert {k for k in every if long(*k) >= NA.COSINE or less[k[0]] & less[k[1]]} <= set(got)
+
+
+def greedy(n, sims, least):
+    groups = {i: [i] for i in range(n)}
+    while True:
+        best = max(((sum(sims.get((min(x, y), max(x, y)), 0.0) for x in groups[i] for y in groups[j]) / (len(groups[i]) * len(groups[j])), i, j) for i in groups for j in groups if i < j), default=(0, 0, 0))
+        if best[0] < least:
+            return {frozenset(g) for g in groups.values()}
+        groups[best[1]] += groups.pop(best[2])
+
+
+def test_linkage_equals_greedy_merges(spark):
+    rng = random.Random(8)
+    sims = {(i, j): rng.random() for i in range(30) for j in range(i + 1, 30) if rng.random() < 0.25}
+    links = spark.createDataFrame([(i, j, s) for (i, j), s in sims.items()], "a long, b long, s double")
+    nodes = spark.createDataFrame([(i,) for i in range(31)], "key long")
+    for least in (0.2, 0.5):
+        got = {}
+        for r in NA.average_linkage(nodes, links, least).collect():
+            got.setdefault(r.cluster, set()).add(r.key)
+        assert {frozenset(g) for g in got.values()} == greedy(31, sims, least)
+    assert NA.average_linkage(nodes, links.limit(0)).where("key != cluster").count() == 0
+
+
+def test_word_cosines():
     assert NA.edits("abcd", "abdc") == 1 and NA.edits("abcd", "acd") == 1 and NA.edits("abc", "xyz", 2) == 3
-    s = np.array([[1, 0.9, 0.1], [0.9, 1, 0.5], [0.1, 0.5, 1.0]])
-    assert list(NA.linked(3, s, 0.4)) == [0, 0, 2]
+    assert NA.word_cosine("omar", "omar") == 1 and NA.word_cosine("o", "omar") > 0.4 and NA.word_cosine("omar", "=om") == 0 and NA.word_cosine("daniel", "victoria") < 0.1
+    assert NA.word_cosine("حماده", "محمد") > 0.5
+    assert NA.around_cosine(["maritime", "bank"], ["=mb"]) == NA.ACRONYM and NA.around_cosine([], ["omar"]) == 0 == NA.around_cosine(["=mb"], ["=mf"])
+    assert NA.around_cosine(["maritime", "bank"], ["export", "bank"]) < NA.LINK < NA.around_cosine(["maritime", "bank"], ["martime", "bank"])
 
 
 def test_packing(spark):
@@ -122,13 +150,3 @@ def test_undotted_acronyms_are_organisations(spark):
     assert [NA.parse(t)[0] for t in ("Ahmed OMAR", "Dr. Salem AMIN", "J. Webu SAD", "AHMED HASSAN", "Daniel Guverelo JR")] == ["person"] * 5
     got = {r.text: r.cluster for r in NA.clusters(spark.createDataFrame([("Thebiweli CEIC",), ("Thebiweli C.E.I.C.",), ("Thebiweli Commercial Export Insurance Company",)], "text string")).collect()}
     assert len(set(got.values())) == 1
-
-
-def test_every_pair_one_edit_apart(spark):
-    rng = random.Random(8)
-    words = sorted({"ahmed", "amhed", "fevolato", "fevloato", "wefepos", "wefpeos", "abd", "bad"} | {"".join(rng.choice("abc") for _ in range(rng.randint(3, 5))) for _ in range(60)})
-    df = spark.createDataFrame([("person", w, 1 + (w in ("ahmed", "wefepos"))) for w in words], "kind string, word string, n long")
-    got = {(r.a, r.b) for r in NA.one_edit_pairs(df).collect()}
-    assert got == {(a, b) for a in words for b in words if a < b and NA.edits(a, b, 1) == 1} and ("ahmed", "amhed") in got
-    lead = {r.word: r.lead for r in NA.leading_words(df).collect()}
-    assert lead["amhed"] == "ahmed" and lead["wefpeos"] == "wefepos"
