@@ -1,32 +1,34 @@
 """Per-document text statistics and what is not prose (problem 10).
 
 Lines are exploded, measured with built-in expressions and summed per document
-(partial sums before the shuffle). Per script, the mean and covariance of prose
-are estimated robustly over the documents that stand mostly in running text, so
+(partial sums before the shuffle). A document's language follows from its script
+and function words. Per language, the mean and covariance of prose are
+estimated robustly over the documents that stand mostly in running text, so
 that the share of the others has no weight: a start by medians and median
 deviations, then concentration steps that keep the documents nearest to the
 current centre. A document's squared Mahalanobis distance splits into one
-contribution per statistic. Outliers whose lines are mostly no prose are listed
-with the form that their lines have.
+contribution per statistic. The distance alone decides which documents are
+listed; the shares of its lines then name the form.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from quillgraph.llm import languages as L
 from quillgraph.runtime import cut
 
-# Function words of the two languages.
-COMMON_EN = "the a an of to in and for on at by with from is are be was were shall must may will should would can which that this it its them they any each every no not under above after before during while where unless if or as has have had been within without into than but all we you he she his her their there what when who how".split()
-COMMON_AR = "في من على إلى عن أن إن فإن بعد قبل خلال لدى مع دون بموجب بشأن كل هذا هذه ذلك التي الذي الذين عند ثم إذا نحو بين فوق تحت كان كانت لها له عليها عليه أو لا ما قد لم لن به وفي ومن وعلى حتى حيث كما فور رقم لسنة لذلك وذلك تم يتم أي هل هي هو".split()
-
 #: The statistics that the distance is taken over.
 STATS = ["log_words", "mean_word_len", "symbol_ratio", "digit_ratio", "line_end_share", "log_line_words", "common_share", "distinct_share", "plain_share"]
-#: Share of documents that a concentration step keeps; squared distance beyond which a document is an outlier.
-KEEP, CUT = 0.75, 27.9
-#: Least share of characters in running text of a document that counts as prose.
+#: Least deviation of each statistic: prose may hold short lists and tables, be short or long, and wrap its lines anywhere.
+LEAST = {"log_words": 0.7, "mean_word_len": 0.4, "symbol_ratio": 0.02, "digit_ratio": 0.02, "line_end_share": 0.25, "log_line_words": 0.6, "common_share": 0.04, "distinct_share": 0.08, "plain_share": 0.1}
+#: Share of documents that a concentration step keeps; squared distance beyond which a document is an outlier (one in 10,000 of a normal sample, nine degrees of freedom).
+KEEP, CUT = 0.75, 33.7
+#: Least share of characters in running text of the documents that the model of prose is made from.
 PROSE = 0.5
 
 
@@ -48,16 +50,19 @@ def document_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text"
         "key", "line",
         F.length("line").alias("chars"),
         F.size("w").alias("words"),
-        F.size(F.filter("w", lambda x: x.isin(COMMON_EN + COMMON_AR))).alias("common"),
+        L.hits(F.col("w"), "en").alias("en"), L.hits(F.col("w"), "ar").alias("ar"), F.col("w"),
         F.size(F.array_distinct("w")).alias("kinds"),
         F.expr("aggregate(w, 0, (s, x) -> s + length(x))").alias("letters"),
         _count(F.col("line"), r"[0-9٠-٩]").alias("digits"),
         _count(F.col("line"), r"[^\p{L}\p{M}\p{N}\s]").alias("symbols"),
-        _count(F.col("line"), r"\t|\||\S {3,}(?=\S)").alias("gaps"),
+        _count(F.col("line"), r"\t|\||;(?=\S)|\S {3,}(?=\S)").alias("gaps"),
         F.when(F.col("line").rlike(r"^[^,]*(,[^,\s]*\d[^,\s]*){2,}$"), 2).otherwise(0).alias("commas"),
         F.col("line").rlike(r"[.!?:؟۔\u2026][\"')\]»\u201d]*$").cast("int").alias("ended"),
-        F.col("line").rlike(r"^([-*+\u2022\u25a1\u2013\u2014\u25e6\u25aa·\u2013]|[0-9٠-٩]+[.)]|\p{L}[.)])\s").cast("int").alias("marked"),
+        F.col("line").rlike(r"^([-*+\u2022\u25a1\u2013\u2014\u25e6\u25aa·\u2013]|[(]?[0-9٠-٩]+[.)]|[(]?\p{L}[.)])\s").cast("int").alias("marked"),
     ).where("chars > 0")
+    # other languages are only looked for in lines that have hardly any English or Arabic function words
+    known = F.col("en") + F.col("ar")
+    lines = lines.withColumns({k: F.when(known * 10 < F.col("words"), L.hits(F.col("w"), k)).otherwise(0) for k in L.LATIN}).withColumn("common", F.greatest(known, *L.LATIN))
     table = (F.col("gaps") + F.col("commas")) >= 2
     # a row of a table has few function words; running text with a wide gap keeps its own
     share = F.col("common") / F.greatest("words", F.lit(1))
@@ -70,12 +75,13 @@ def document_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text"
         F.sum("digits").alias("digits"), F.sum("symbols").alias("symbols"), F.sum("ended").alias("ended"), F.sum("marked").alias("marked"),
         chars(table).alias("t"), F.sum(table.cast("int")).alias("rows"), chars(plain).alias("p"), chars(shorted).alias("s"), F.sum(shorted.cast("int")).alias("entries"),
         F.approx_count_distinct("line", 0.02).alias("different"), F.sum(_count(F.col("line"), r"[؀-ۿ]")).alias("arabic"),
-        F.max("chars").alias("longest"), F.sum(F.when(F.col("words") > 0, F.col("letters") / F.col("words")).cast("double")).alias("wl"),
+        *[F.sum(k).alias(k) for k in ("en", *L.LATIN)],
     )
     per = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
+    spoken = L.most_spoken({k: F.col(k) for k in ("en", *L.LATIN)}, F.col("words"))
     stats = g.select(
         F.col("key").alias(key),
-        F.when(F.col("arabic") * 2 > F.col("letters"), "ar").otherwise("other").alias("script"),
+        F.when(F.col("arabic") * 2 > F.col("letters"), "ar").otherwise(spoken).alias("language"),
         F.col("lines"), F.col("words"), F.col("rows"), F.col("entries"), F.col("marked"),
         F.log1p("words").alias("log_words"),
         per("letters", "words").alias("mean_word_len"),
@@ -94,86 +100,93 @@ def document_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text"
 
 
 def _start(stats: DataFrame) -> dict[str, list[tuple[float, float]]]:
-    """Per script the median and scaled median deviation of every statistic."""
-    med = stats.groupBy("script").agg(F.array(*[F.percentile_approx(s, 0.5, 1000) for s in STATS]).alias("m")).collect()
-    centre = {r["script"]: r["m"] for r in med}
+    """Per language the median and scaled median deviation of every statistic."""
+    med = stats.groupBy("language").agg(F.array(*[F.percentile_approx(s, 0.5, 1000) for s in STATS]).alias("m")).collect()
+    centre = {r["language"]: r["m"] for r in med}
     if not centre:
         return {}
-    dev = stats.groupBy("script").agg(F.array(*[F.percentile_approx(F.abs(F.col(s) - _by_script(centre, i)), 0.5, 1000) for i, s in enumerate(STATS)]).alias("d")).collect()
-    return {r["script"]: [(m, max(1.4826 * d, 1e-3)) for m, d in zip(centre[r["script"]], r["d"])] for r in dev}
+    dev = stats.groupBy("language").agg(F.array(*[F.percentile_approx(F.abs(F.col(s) - _by_language(centre, i)), 0.5, 1000) for i, s in enumerate(STATS)]).alias("d")).collect()
+    return {r["language"]: [(m, max(1.4826 * d, LEAST[s])) for m, d, s in zip(centre[r["language"]], r["d"], STATS)] for r in dev}
 
 
-def _by_script(values: dict[str, list[float]], i: int) -> Column:
+def _by_language(values: dict[str, list[float]], i: int) -> Column:
     out = F.lit(None).cast("double")
-    for script, v in values.items():
-        out = F.when(F.col("script") == script, F.lit(float(v[i]))).otherwise(out)
+    for k, v in values.items():
+        out = F.when(F.col("language") == k, F.lit(float(v[i]))).otherwise(out)
     return out
 
 
-def _terms(model: dict[str, tuple[np.ndarray, np.ndarray]]) -> list[Column]:
-    """Contribution of each statistic to the squared distance."""
-    mean = {k: m for k, (m, _) in model.items()}
-    z = [F.col(s) - _by_script(mean, i) for i, s in enumerate(STATS)]
-    out = []
-    for i in range(len(STATS)):
-        col = F.lit(None).cast("double")
-        for script, (m, inv) in model.items():
-            dot = sum((F.col(STATS[j]) - F.lit(float(m[j]))) * F.lit(float(inv[i][j])) for j in range(len(STATS)))
-            col = F.when(F.col("script") == script, z[i] * dot).otherwise(col)
-        out.append(col)
-    return out
+def contributions(model: dict[str, tuple[np.ndarray, np.ndarray]]) -> Column:
+    """Each statistic's share of the squared distance as an array; null for a language without a model."""
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def split(language: pd.Series, *stats: pd.Series) -> pd.Series:
+        x = np.column_stack([s.to_numpy(dtype="float64") for s in stats])
+        out = pd.Series([None] * len(language), dtype=object)
+        for k, (mean, inverse) in model.items():
+            at = np.flatnonzero((language == k).to_numpy())
+            z = x[at] - mean
+            for i, row in zip(at, z * (z @ inverse)):
+                out[i] = row
+        return out
+
+    return split("language", *STATS)
+
+
+def _distance(c: str) -> Column:
+    return F.expr(f"aggregate({c}, 0D, (s, x) -> s + x)")
 
 
 def prose_model(stats: DataFrame, steps: int = 2) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Per script (mean, inverse covariance) of prose, from all documents with ``PROSE`` of running text.
+    """Per language (mean, inverse covariance) of prose, from all documents with ``PROSE`` of running text.
 
-    A script without any such document has no model. Only sums of products per script come to the driver: a few hundred numbers
-    whatever the number of documents.
+    A language without any such document has no model. Only sums of products per
+    language come to the driver: a few hundred numbers whatever the number of
+    documents.
     """
     stats = stats.where(F.col("plain_share") >= PROSE)
     start = _start(stats)
     model = {k: (np.array([m for m, _ in v]), np.diag([1 / s**2 for _, s in v])) for k, v in start.items()}
-    pairs = [(i, j) for i in range(len(STATS)) for j in range(i, len(STATS))]
+    if not model:
+        return {}
+    n_stats = len(STATS)
+    pairs = [(i, j) for i in range(n_stats) for j in range(i, n_stats)]
     for _ in range(steps):
-        d2 = sum(_terms(model), F.lit(0.0))
-        seen = stats.withColumn("d2", d2)
-        at = {r["script"]: [r["q"]] for r in seen.groupBy("script").agg(F.percentile_approx("d2", KEEP, 1000).alias("q")).collect()}
-        kept = seen.where(F.col("d2") <= _by_script(at, 0))
+        seen = stats.withColumn("c", contributions(model)).withColumn("d2", _distance("c"))
+        at = {r["language"]: [r["q"]] for r in seen.groupBy("language").agg(F.percentile_approx("d2", KEEP, 1000).alias("q")).collect()}
+        kept = seen.where(F.col("d2") <= _by_language(at, 0))
         centre = {k: m for k, (m, _) in model.items()}
-        shifted = kept.select("script", *[(F.col(s) - _by_script(centre, i)).alias(f"x{i}") for i, s in enumerate(STATS)])
-        sums = shifted.groupBy("script").agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"x{i}").alias(f"a{i}") for i in range(len(STATS))], *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"b{i}_{j}") for i, j in pairs]).collect()
+        shifted = kept.select("language", *[(F.col(s) - _by_language(centre, i)).alias(f"x{i}") for i, s in enumerate(STATS)])
+        sums = shifted.groupBy("language").agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"x{i}").alias(f"a{i}") for i in range(n_stats)], *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"b{i}_{j}") for i, j in pairs]).collect()
         for r in sums:
             n = max(r["n"], 1)
-            a = np.array([r[f"a{i}"] for i in range(len(STATS))]) / n
-            b = np.zeros((len(STATS), len(STATS)))
+            a = np.array([r[f"a{i}"] for i in range(n_stats)]) / n
+            b = np.zeros((n_stats, n_stats))
             for i, j in pairs:
                 b[i, j] = b[j, i] = r[f"b{i}_{j}"] / n
             # the kept share of a normal sample has less spread than the whole: the usual factor makes up for it
-            cov = (b - np.outer(a, a)) * 1.6 + np.diag([max(1e-4, (0.1 * s) ** 2) for _, s in start[r["script"]]])
-            model[r["script"]] = (model[r["script"]][0] + a, np.linalg.inv(cov))
+            cov = (b - np.outer(a, a)) * 1.6 + np.diag([LEAST[s] ** 2 for s in STATS])
+            model[r["language"]] = (model[r["language"]][0] + a, np.linalg.inv(cov))
     return model
 
 
 def scored(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Statistics with ``distance2``, one ``c_<statistic>`` each and ``form``.
 
-    ``form`` is null for prose. A document is listed where it is an outlier, or
-    its script has no prose to compare it with, and
-    less than half of its characters stand in running text: ``table`` where most
-    of the rest stands in at least two rows of columns, ``list`` where it stands
-    in at least two short entries that differ, ``junk`` otherwise. An empty
-    document is junk.
+    ``form`` is null for prose. A document is listed where its distance is
+    beyond ``CUT``, or its language has no prose to compare it with and less
+    than half of it is running text: ``table`` where most of the rest stands in
+    at least two rows of columns, ``list`` where it stands in at least two short
+    entries that differ, ``junk`` otherwise. An empty document is junk.
     """
     stats = cut(document_statistics(docs, key, text))
     model = prose_model(stats)
-    if not model:
-        out = stats.withColumns({c: F.lit(None).cast("double") for c in (*(f"c_{s}" for s in STATS), "distance2")})
-    else:
-        out = stats.withColumns({f"c_{s}": c for s, c in zip(STATS, _terms(model))})
-        out = out.withColumn("distance2", sum((F.col(f"c_{s}") for s in STATS), F.lit(0.0)))
+    out = stats.withColumn("_c", contributions(model) if model else F.lit(None).cast("array<double>"))
+    out = out.withColumns({f"c_{s}": F.col("_c")[i] for i, s in enumerate(STATS)}).withColumn("distance2", _distance("_c")).drop("_c")
     rest = F.greatest(1 - F.col("plain_share"), F.lit(1e-9))
+    prose = F.when(F.col("distance2").isNull(), F.col("plain_share") >= PROSE).otherwise(F.col("distance2") <= CUT)
     form = (
-        F.when((F.col("distance2") <= CUT) | (F.col("plain_share") >= PROSE), F.lit(None).cast("string"))
+        F.when(prose, F.lit(None).cast("string"))
         .when((F.col("rows") >= 2) & (F.col("table_share") >= 0.5 * rest), "table")
         .when((F.col("entries") >= 2) & (F.col("short_share") >= 0.5 * rest) & ((F.col("line_variety") >= 0.85) | (F.col("marked") * 2 >= F.col("lines"))), "list")
         .otherwise("junk")

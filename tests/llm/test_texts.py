@@ -92,6 +92,20 @@ def test_forms(spark):
     assert sum(s[f"c_{x}"] for x in QU.STATS) == pytest.approx(s.distance2)
 
 
+FRENCH = "Le conseil doit examiner le rapport annuel et le publier après la vérification dans le registre central. "
+
+
+def test_distance_decides_per_language(spark):
+    rng = random.Random(3)
+    prose = [(i, " ".join(rng.sample((PROSE * 3).split(), 30)) + ".\n" + PROSE, None) for i in range(60)] + [(100 + i, " ".join(rng.sample((FRENCH * 3).split(), 30)) + ".\n" + FRENCH, "x") for i in range(30)]
+    odd = [(500, " ".join(w + "#~%" for w in (PROSE * 4).split()), None), (501, "ledger;12;3.5;x\n" * 3 + "branch;7;1.5;y", None)]
+    df = spark.createDataFrame(prose + odd, "doc_id long, text string, language string")
+    got = {r.doc_id: r for r in QU.scored(df).collect()}
+    assert {k for k, r in got.items() if r.form} == {500, 501} == {k for k, r in got.items() if r.distance2 > QU.CUT}
+    assert got[500].plain_share >= 0.5 and got[500].c_symbol_ratio > got[500].distance2 / 2 and got[501].form == "table"
+    assert {r.language for k, r in got.items() if 100 <= k < 500} == {"fr"} and got[0].language == "en"
+
+
 def test_tables_may_be_most_documents(spark):
     rng = random.Random(2)
     prose = [(i, " ".join(rng.sample((PROSE * 3).split(), 30)) + ".\n" + PROSE) for i in range(40)]
