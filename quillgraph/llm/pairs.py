@@ -2,7 +2,8 @@
 
 Answers that directly follow a question are judged by a script and function
 word check against the question's language (or the one it asks for), a grammar
-of refusals, a pushdown parser for unfinished text, and greedy string tiling
+of refusals over all sentences, a pushdown parser of fences, brackets,
+quotations, markup and lists for unfinished text, and greedy string tiling
 against the question. Built-in expressions decide whatever a pattern can
 decide and pick out the few answers that need the parser or the tiling; those
 go to Arrow-batched Python.
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillgraph.llm import conversations as CV
+from quillgraph.llm import languages as L
 from quillgraph.llm import lookalikes as LA
 from quillgraph.runtime import cut
 
@@ -30,9 +32,10 @@ _EN_ACT = r"(?:say|answer|help|comment|repl(?:y|ies)|discuss|assist|provide|resp
 REFUSALS_EN = [
     rf"\bi {_EN_ABLE} (?:\w+ )?{_EN_ACT}\b",
     rf"\bi(?:'m| am) (?:not able|unable|not allowed|not permitted|not in a position) to (?:\w+ )?{_EN_ACT}\b",
-    r"\b(?:must|have to|will) (?:leave|decline) (?:this|the|that|your) (?:question|request)\b",
+    r"\bi (?:must|have to|will) (?:leave|decline) (?:this|the|that|your) (?:question|request)\b",
     r"\b(?:not a (?:subject|topic|matter|question) (?:that )?i (?:may|can|am allowed to))\b",
-    r"\b(?:beyond|outside) (?:my|the) (?:remit|scope|mandate|competence)\b",
+    r"\b(?:beyond|outside) my (?:remit|scope|mandate|competence)\b",
+    r"\b(?:beyond|outside) the (?:remit|scope|mandate|competence)\b",
     r"\b(?:nothing|none of what) (?:that )?i (?:was|have been) (?:shown|given)\b",
     r"\bi (?:have|see|find|found) no (?:basis|grounds|information|answer|passage|way)\b",
     r"\b(?:passages?|texts?|documents?|sources?)(?: \w+){0,3} (?:is|are) silent\b",
@@ -48,10 +51,11 @@ REFUSALS_AR = [
     r"لا شيء مما عرض علي",
     r"لا رد لدي|(?:أعتذر|اعتذر|نعتذر) عن (?:الإجابة|الرد|عدم)|أترك هذا السؤال|ترك هذا السؤال|بلا (?:جواب|إجابة|رد)|دون (?:جواب|إجابة)|لا (?:جواب|إجابة|رد) (?:يمكن|على|عن)|يتعذر علي|تعذر (?:علي|الرد|العثور)|لا تتوفر لدي|أمتنع عن",
 ]
-# Function words that tell languages of the Latin script apart.
-FRENCH = r"(?i)(?<!\p{L})(le|la|les|des|du|une|est|dans|pour|selon|doit|peut|par|sur|avec|sans|avant|chaque|qui|aux|cette|ou|ses|dès|et|ne|pas|à)(?!\p{L})|(?<!\p{L})[ldn]['’]\p{L}"
-ENGLISH = r"(?i)(?<!\p{L})(the|of|and|to|in|for|is|are|be|shall|must|may|which|that|with|on|at|by|a|an|it|how|what|who|after|before|yes|no|you|i|we)(?!\p{L})"
-_NAMES = {"ar": ("arabic", "ال?عربية"), "en": ("english", "ال?[إا]نجليزية|ال?[إا]نكليزية"), "fr": ("french", "ال?فرنسية")}
+# What languages are called in English and Arabic.
+_NAMES = {
+    "ar": ("arabic", "ال?عربية"), "en": ("english", "ال?[إا]نجليزية|ال?[إا]نكليزية"), "fr": ("french", "ال?فرنسية"), "de": ("german", "ال?[أا]لمانية"),
+    "es": ("spanish", "ال?[إا]سبانية"), "it": ("italian", "ال?[إا]يطالية"), "pt": ("portuguese", "ال?برتغالية"),
+}
 
 
 def plain_form(c: Column) -> Column:
@@ -64,20 +68,20 @@ def plain_form(c: Column) -> Column:
 
 
 def with_language(df: DataFrame, c: str, out: str) -> DataFrame:
-    """Column ``out``: ar, en, fr or other by script and function words; null without letters.
+    """Column ``out``: ar, a language in Latin script by its function words, or other; null without letters.
 
     Bracketed and quoted parts (citations, terms) count only where nothing else
     is left. Every step is a column of its own, so that none is worked out
-    twice; function words are counted only where a French one occurs.
+    twice.
     """
     bare = F.regexp_replace(c, r"\[[^\]]*\]?|«[^»]*»?|\([^)]*\)?", " ")
     df = df.withColumn("_b", F.when(F.col(c).rlike(r"[\[«(]"), bare).otherwise(F.col(c)))
     df = df.withColumn("_t", F.when(F.col("_b").rlike(r"\p{L}"), F.col("_b")).otherwise(F.col(c)))
     df = df.withColumns({"_ar": F.regexp_count("_t", F.lit(r"[ؠ-ي]")), "_la": F.regexp_count("_t", F.lit(r"[A-Za-zÀ-ɏ]")), "_le": F.regexp_count("_t", F.lit(r"\p{L}"))})
     latin = (F.col("_la") * 2 >= F.col("_le")) & (F.col("_le") > 0)
-    french = F.when(latin & F.col("_t").rlike(FRENCH), F.regexp_count("_t", F.lit(FRENCH)) > F.regexp_count("_t", F.lit(ENGLISH))).otherwise(F.lit(False))
-    lang = F.when(F.col("_le") == 0, F.lit(None).cast("string")).when(F.col("_ar") * 2 > F.col("_le"), "ar").when(latin, F.when(french, "fr").otherwise("en")).otherwise("other")
-    return df.withColumn(out, lang).drop("_b", "_t", "_ar", "_la", "_le")
+    df = df.withColumn("_w", F.when(latin, F.filter(F.split(F.lower("_t"), r"[^\p{L}\p{M}]+"), lambda w: w != "")))
+    lang = F.when(F.col("_le") == 0, F.lit(None).cast("string")).when(F.col("_ar") * 2 > F.col("_le"), "ar").when(F.col("_w").isNotNull(), L.latin_language(F.col("_w"))).otherwise("other")
+    return df.withColumn(out, lang).drop("_b", "_t", "_ar", "_la", "_le", "_w")
 
 
 def asked_language(c: Column) -> Column:
@@ -86,14 +90,28 @@ def asked_language(c: Column) -> Column:
     for code, (english, arabic) in _NAMES.items():
         said = c.rlike(rf"(?i)\b(?:answer|reply|respond|write|response|explain)\w*\b[^.?!؟]{{0,40}}\bin(?:to)? {english}\b|\({{0,1}}\bin {english}(?:,? please)?[).?!]*\s*$") | c.rlike(rf"(?:أجب|اجب|الرد|رد|اكتب|الإجابة|الاجابة|أجيبوا|الجواب|اشرح)[^.؟!]{{0,30}}\s(?:ب|باللغة |بال)(?:{arabic})")
         out = F.when(said, code).otherwise(out)
-    return F.when(c.rlike("(?i)arabic|english|french|عربية|نجليزية|نكليزية|فرنسية"), out)
+    return F.when(c.rlike("(?i)" + "|".join(f"{e}|{a}" for e, a in _NAMES.values())), out)
 
 
 def refuses(c: Column) -> Column:
-    """A refusal in the first 200 characters of an answer that says little else."""
-    head = F.lower(F.substring(c, 1, 200))
-    return F.when(F.length(c) <= 400, head.rlike("|".join(REFUSALS_EN + REFUSALS_AR))).otherwise(F.lit(False))
+    """Does an answer decline? Judged by all of its sentences, whatever their number.
 
+    It does if one of the first two sentences declines in the writer's own
+    name, or if at least half of all sentences, without
+    questions back and advice where to ask, decline in any way.
+    """
+    every, own = "|".join(REFUSALS_EN + REFUSALS_AR), "|".join(x for x in REFUSALS_EN + REFUSALS_AR if x not in _IMPERSONAL)
+    parts = F.filter(F.split(c, r"(?<=[.!?؟])\s+|\s*\n\s*"), lambda x: x.rlike(r"\p{L}"))
+    declines = F.transform(parts, lambda x: x.rlike(every))
+    first = F.exists(F.slice(parts, 1, 2), lambda x: x.rlike(own))
+    share = F.size(F.filter(declines, lambda x: x)) * 2 >= F.size(F.filter(parts, lambda x: x.rlike(every) | ~x.rlike(_COURTESY)))
+    return F.when(c.rlike(every), first | share).otherwise(F.lit(False))
+
+
+#: Patterns that a text may also use of its subject, not of itself.
+_IMPERSONAL = (REFUSALS_EN[5], REFUSALS_EN[8])
+#: Sentences of a refusal that say nothing on the subject: questions back and advice where to ask.
+_COURTESY = r"[?؟]\s*$|^\s*(?:please|kindly|you (?:may|could|can) (?:ask|try|contact)|من فضلك|يرجى|نرجو|أرجو|برجاء)(?!\p{L})"
 
 _CLOSE = {")": "(", "]": "[", "}": "{", "»": "«", "”": "“"}
 _ITEM = re.compile(r"^\s*(?:[-*+•–□▪◦]|\(?[0-9٠-٩]{1,3}[.)]|\(?[^\W\d_][.)])(?:\s+|$)")
@@ -102,22 +120,72 @@ _STOP = re.compile(r"[.!?؟۔][\"'”»)\]*_]*$")
 _ELLIPSIS = re.compile(r"(?:\.\.\.|…)$")
 
 
+# Elements of markup that have no end, and those whose end may be left out.
+_VOID = set("br hr img input meta link col wbr area base source".split())
+_LOOSE = set("li p td th tr dt dd option thead tbody".split())
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)(?:\s[^<>]*)?(/?)>")
+
+
+def _open_markup(t: str) -> bool:
+    """Is an element of markup left open, or a tag unfinished? A text without a whole tag has no markup."""
+    stack: list[str] = []
+    whole = False
+    for g in _TAG.finditer(t):
+        whole = True
+        end, name, alone = g.group(1), g.group(2).lower(), g.group(3)
+        if name in _VOID or alone:
+            continue
+        if not end:
+            stack.append(name)
+        elif name in stack:
+            while stack.pop() != name:
+                pass
+    return any(x not in _LOOSE for x in stack) or whole and re.search(r"</?[a-zA-Z][^<>]*$", t) is not None
+
+
+def _open_list(lines: list[str]) -> bool:
+    """Does a list stop early: an item announced by the last line, or a level opened by a colon that holds nothing?"""
+    stack: list[int] = []  # indents of the open levels
+    for x in lines:
+        g = _ITEM.match(x)
+        if not g:
+            continue
+        indent = len(x) - len(x.lstrip())
+        while stack and indent < stack[-1]:
+            stack.pop()
+        if not stack or indent > stack[-1]:
+            stack.append(indent)
+    last = lines[-1]
+    g = _ITEM.match(last)
+    if not g or not stack:
+        return False
+    body = last[g.end() :].strip()
+    return not body or body[-1] in ",،:;؛-–("
+
+
 def unfinished(text: str) -> bool:
-    """Does the text stop inside a fence, bracket, quotation, list or sentence?
+    """Does the text stop inside a fence, bracket, quotation, emphasis, markup, list or sentence?
 
     A pushdown parse: openers are pushed, a closer pops its opener (a closer
     without one, as in ``1)``, is passed over), and what is left on the stack
-    at the end is unfinished. The last line then has to be a whole list item, a
-    whole table row, or end a sentence; citations after the sentence are passed
-    over. One or two words are never unfinished.
+    at the end is unfinished. The last line then has to be a whole list item of
+    any level, a whole table row, an end tag, or end a sentence; citations after
+    the sentence are passed over. One or two words are never unfinished.
     """
-    t = text.rstrip(" \t\r\n ​‌‍﻿")
+    t = text.rstrip(" \t\r\n\u200b\u200c\u200d\ufeff\u00a0")
     if not t:
         return False
     if t.count("```") % 2:
         return True
+    plain = re.sub(r"```.*?```", "", t, flags=re.S)
+    if "<" in plain:
+        if _open_markup(plain):
+            return True
+        plain = _TAG.sub("", plain)
+    if plain.count("**") % 2 or plain.count("`") % 2:
+        return True
     stack: list[str] = []
-    for ch in re.sub(r"```.*?```", "", t, flags=re.S):
+    for ch in plain:
         if ch in "([{«“":
             stack.append(ch)
         elif ch in _CLOSE:
@@ -130,13 +198,12 @@ def unfinished(text: str) -> bool:
                 stack.append(ch)
     if stack:
         return True
-    if t.endswith("```"):
+    if t.endswith("```") or re.search(r"</[a-zA-Z][a-zA-Z0-9]*\s*>$", t):
         return False
-    last = t.rsplit("\n", 1)[-1].strip()
-    item = _ITEM.match(last)
-    if item:
-        body = last[item.end() :].strip()
-        return not body or body[-1] in ",،:;؛-–("
+    lines = t.split("\n")
+    last = lines[-1].strip()
+    if _ITEM.match(lines[-1]):
+        return _open_list(lines)
     if last.startswith("|"):
         return not last.endswith("|")
     if _ELLIPSIS.search(t):
@@ -151,43 +218,75 @@ def unfinished(text: str) -> bool:
     return not _STOP.search(t) and len(t.split()) > 2
 
 
+_BASE, _MOD = 1_000_003, (1 << 61) - 1
+
+
+def _hashes(codes: list[int], n: int) -> list[int]:
+    """Rolling hashes of all runs of ``n``."""
+    if len(codes) < n:
+        return []
+    top, h, out = pow(_BASE, n - 1, _MOD), 0, []
+    for i, x in enumerate(codes):
+        if i >= n:
+            h = (h - codes[i - n] * top) % _MOD
+        h = (h * _BASE + x) % _MOD
+        if i >= n - 1:
+            out.append(h)
+    return out
+
+
 def tiles(a: list[str], b: list[str], least: int = 3) -> tuple[int, int]:
-    """Greedy string tiling: words of ``a`` and of ``b`` covered by maximal common runs.
+    """Greedy string tiling: words of ``a`` and of ``b`` covered by common runs.
 
     Runs have at least ``least`` words (or all of ``b``); a word belongs to one
     tile of ``a``, while ``b`` may be used again once all of it is used up.
+    Running hashes find the runs, long ones first: each level halves the
+    length that a run must have, is extended as far as it goes, and takes time
+    in proportion to the words.
     """
-    free_a, free_b, used_b = [True] * len(a), [True] * len(b), [False] * len(b)
     least = min(least, max(1, len(b)))
+    code: dict[str, int] = {}
+    ca, cb = ([code.setdefault(w, len(code) + 1) for w in x] for x in (a, b))
+    free_a, free_b, used_b = [True] * len(a), [True] * len(b), [False] * len(b)
+    levels = [least]
+    while levels[0] * 2 <= min(len(a), len(b)):
+        levels.insert(0, levels[0] * 2)
     while True:
-        best: list[tuple[int, int]] = []
-        top = least
-        for i in range(len(a)):
-            for j in range(len(b)):
-                k = 0
-                while i + k < len(a) and j + k < len(b) and free_a[i + k] and free_b[j + k] and a[i + k] == b[j + k]:
+        found = False
+        for n in levels:
+            at: dict[int, list[int]] = {}
+            for j, h in reversed(list(enumerate(_hashes(cb, n)))):
+                at.setdefault(h, []).append(j)
+            hashes, i = _hashes(ca, n), 0
+            while i < len(hashes):
+                starts = at.get(hashes[i])
+                if not starts or not free_a[i] or not free_a[i + n - 1]:
+                    i += 1
+                    continue
+                while starts and not (free_b[starts[-1]] and free_b[starts[-1] + n - 1]):
+                    starts.pop()
+                if not starts:
+                    i += 1
+                    continue
+                j, k = starts.pop(), 0
+                while i + k < len(a) and j + k < len(b) and free_a[i + k] and free_b[j + k] and ca[i + k] == cb[j + k]:
                     k += 1
-                if k > top or k == top and not best:
-                    best, top = [(i, j)], k
-        if not best:
-            if all(free_b) or not any(free_a):
-                break
-            free_b = [True] * len(b)
-            if not _has_run(a, b, free_a, least):
-                break
-            continue
-        i, j = best[0]
-        for k in range(top):
-            free_a[i + k] = free_b[j + k] = False
-            used_b[j + k] = True
+                if k < n:
+                    i += 1
+                    continue
+                found = True
+                free_a[i : i + k] = [False] * k
+                free_b[j : j + k] = [False] * k
+                used_b[j : j + k] = [True] * k
+                i += k
+        if not found or not any(free_a):
+            break
+        if any(free_b):
+            break
+        free_b = [True] * len(b)
     return free_a.count(False), used_b.count(True)
 
 
-def _has_run(a: list[str], b: list[str], free: list[bool], least: int) -> bool:
-    runs = {tuple(b[j : j + least]) for j in range(len(b) - least + 1)}
-    return any(all(free[i : i + least]) and tuple(a[i : i + least]) in runs for i in range(len(a) - least + 1))
-
-
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -225,16 +324,16 @@ def defects_of(pairs: DataFrame) -> DataFrame:
     copy nor language can be said. Empty excludes all else, copy all but
     itself, a refusal is not also truncated.
     """
-    words = lambda c: F.array_distinct(F.split(F.lower(c), r"[^\p{L}\p{N}]+"))
+    words = lambda c: F.filter(F.array_distinct(F.split(F.lower(c), r"[^\p{L}\p{N}]+")), lambda w: w != "")
     p = pairs.select("id", plain_form(F.coalesce("question", F.lit(""))).alias("q"), plain_form(F.coalesce("answer", F.lit(""))).alias("a"))
     p = with_language(with_language(p, "a", "la"), "q", "lq")
-    near = (F.length("a") <= 2.3 * F.length("q") + 60) & F.col("lq").isNotNull()
-    p = p.withColumns({"aw": F.when(near, words(F.col("a"))), "qw": F.when(near, words(F.col("q")))})
-    maybe_copy = F.coalesce((F.size("aw") >= 3) & (F.size(F.array_intersect("aw", "qw")) >= 0.6 * F.size("aw")), F.lit(False))
+    p = p.withColumns({"aw": words(F.col("a")), "qw": F.when(F.col("lq").isNotNull(), words(F.col("q")))})
+    # whatever its length: an answer may repeat the question many times
+    maybe_copy = F.coalesce((F.size("aw") >= 1) & (F.size("aw") <= 2 * F.size("qw") + 3) & (F.size(F.array_intersect("aw", "qw")) >= 0.6 * F.size("aw")), F.lit(False))
     # complete without parsing: ends a sentence, and nothing that could be open
-    sure = F.col("a").rlike(r"[.!?؟]\s*$") & ~F.col("a").rlike(r"[\[({«“\"`]|(\.\.\.|…)\s*$|\n\s*\S{1,4}[.)]\s*$")
+    sure = F.col("a").rlike(r"[.!?؟]\s*$") & ~F.col("a").rlike(r"[\[({«“\"`]|(\.\.\.|…)\s*$|\n\s*\S{1,4}[.)]\s*$|<|\*\*")
     judged = p.select(
-        "id", "a", "q", (~F.col("a").rlike(r"[\p{L}\p{N}]")).alias("is_empty"), maybe_copy.alias("maybe_copy"), sure.alias("sure"), refuses(F.col("a")).alias("no"), "la", F.coalesce(asked_language(F.col("q")), F.col("lq")).alias("lq")
+        "id", "a", "q", (~F.col("a").rlike(r"[\p{L}\p{N}]")).alias("is_empty"), maybe_copy.alias("maybe_copy"), sure.alias("sure"), refuses(F.lower("a")).alias("no"), "la", F.coalesce(asked_language(F.col("q")), F.col("lq")).alias("lq")
     )
     hard = "not is_empty and (maybe_copy or not sure)"
     # written once: all three branches below read these figures, and only the hard answers keep their texts

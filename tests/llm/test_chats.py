@@ -96,6 +96,11 @@ AR = "ما هو القرار الذي يغطي تقرير التدقيق الس
         (Q, "The decision covers the audit and the", {"truncated"}), (Q, "The decision covers it. [circ", {"truncated"}), (Q, "The decision covers it. [circular-c01]", set()), (Q, "Steps:\n1. First item\n2.", {"truncated"}), (Q, "Steps:\n1. First item\n2. Second", set()),
         (Q, "I'm afraid I can't say anything about audits.", {"refusal"}), (Q, "A branch cannot refuse such a request.", set()), (Q, "Sorry for the confusion. The decision covers the audit.", set()), (AR, "للأسف لا يسعني الحديث عن التدقيق.", {"refusal"}),
         (Q, "القرار رقم خمسة يغطي التقرير.", {"language"}), (Q + " Please reply in Arabic.", "القرار رقم خمسة يغطي التقرير.", set()), (Q, "Selon la décision, le service doit vérifier les dossiers.", {"language"}), (AR + " (أجب بالإنجليزية)", "Decision five.", set()), ("???", "Yes.", set()), (None, "Yes.", set()),
+        (Q, "I am sorry, but I cannot answer this question. " + "The branch keeps its ledgers in order and files them every month. " * 8, {"refusal"}), (Q, "The decision covers the audit. " * 9 + "A transfer beyond the scope of this rule is void.", set()),
+        (Q, "Sorry, but the passages are silent on the matter. Please ask the treasury desk. Anything else?", {"refusal"}),
+        (Q, "<ul><li>First point of the rule is set out here.", {"truncated"}), (Q, "<ul><li>First point of the rule.</li></ul>", set()), (Q, "<p>The rule is set out in <b>clause 5</b>.", set()), (Q, "The levels:\n1. First:\n   - one\n   - two\n2. Second:", {"truncated"}), (Q, "The levels:\n1. First:\n   - one\n   - two", set()),
+        (Q, "Die Entscheidung betrifft den Bericht und wird von der Bank nach der Prüfung veröffentlicht.", {"language"}), (Q, "La decisión cubre el informe y debe ser publicada por el banco después de la auditoría.", {"language"}), (Q + " Please answer in German.", "Die Entscheidung betrifft den Bericht und wird von der Bank veröffentlicht.", set()),
+        (Q, "\n".join([Q] * 9), {"copy"}), (Q, "The **decision covers the audit.", {"truncated"}),
     ],
 )
 def test_defects(spark, q, a, want):
@@ -113,3 +118,6 @@ def test_pairs_skip_system_rows_and_undated_chats(spark):
 def test_parser():
     assert PA.unfinished("```\ncode") and not PA.unfinished("```\ncode\n```") and PA.unfinished('He said "yes.') and not PA.unfinished("1) ok\n2) fine.") and not PA.unfinished("OK") and PA.unfinished("one two three")
     assert PA.tiles("a b c d".split(), "x a b c".split()) == (3, 3)
+    assert PA.tiles("a b c a b c".split(), "a b c".split()) == (6, 3) and PA.tiles("a b".split(), "a b".split()) == (2, 2) and PA.tiles("a x b y".split(), "a b x".split()) == (0, 0)
+    words = [f"w{i % 977}" for i in range(40_000)]
+    assert PA.tiles(words, words) == (40_000, 40_000)
