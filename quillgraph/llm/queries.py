@@ -62,6 +62,10 @@ def p5_conversations(spark: SparkSession, d: str) -> DataFrame:
     return CV.ordered_turns(_load(spark, d, "messages"), _load(spark, d, "chats"))
 
 
+def p5_rescued(spark: SparkSession, d: str) -> DataFrame:
+    return CV.rescued(_load(spark, d, "messages"), _load(spark, d, "chats"), 600.0)
+
+
 def p5_clock_offsets(spark: SparkSession, d: str) -> DataFrame:
     return CV.clock_offsets(CV.one_per_id(_load(spark, d, "messages")), 600.0)
 
@@ -113,7 +117,7 @@ def p8_overlaps(spark: SparkSession, d: str) -> DataFrame:
     return LE.overlaps(_load(spark, d, "documents"), _load(spark, d, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_entities, p1_chunk_mentions, p2_found, p2_repaired, p2_repaired_chunks, p3_found, p3_defect_counts, p5_found, p5_conversations, p5_clock_offsets, p6_found, p6_one_form, p7_containers, p7_fill, p8_found, p8_overlaps, p9_mixture, p9_shares, p10_found, p10_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_entities, p1_chunk_mentions, p2_found, p2_repaired, p2_repaired_chunks, p3_found, p3_defect_counts, p5_found, p5_conversations, p5_clock_offsets, p5_rescued, p6_found, p6_one_form, p7_containers, p7_fill, p8_found, p8_overlaps, p9_mixture, p9_shares, p10_found, p10_statistics)}
 _P5 = r"""
 WITH x AS (
   SELECT id, chatId, createdAt AS ts, coalesce(regexp_matches(content, '[\p{L}\p{N}]'), false) AS said,

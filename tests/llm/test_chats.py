@@ -78,11 +78,34 @@ def test_clock_pairs_cross_hours(spark):
     over = rows_of("c", ("user", "q", at(10, 59)), ("assistant", "a", at(11, 1)), ("user", "q", at(11, 10)), ("assistant", "a", at(11, 12)))
     rng = random.Random(6)
     more = [(f"d-{i}", "d", rng.choice(["user", "assistant"]), "x", None, T + timedelta(minutes=rng.randint(0, 600)), "k") for i in range(60)]
-    got = {r.chatId: r for r in CV.clock_offsets(CV.one_per_id(spark.createDataFrame(over + more, MSG)), 1e9).collect()}
-    assert (got["c"].constraints, got["c"].violated, got["c"].offset) == (2, 0, 0.0)
-    u, a = (sorted(m[5] for m in more if m[2] == r) for r in ("user", "assistant"))
-    late = [(x - y).total_seconds() for x, y in zip(u, a) if x > y]
-    assert (got["d"].constraints, got["d"].violated, got["d"].offset) == (min(len(u), len(a)), len(late), pytest.approx(sum(late) / max(len(late), 1)))
+    got = {r.chatId: r for r in CV.clock_offsets(CV.one_per_id(spark.createDataFrame(over + more, MSG)), 1e9, 40).collect()}
+    assert (got["c"].constraints, got["c"].violated, got["c"].offset, got["c"].feasible) == (3, 0, 0.0, True)
+    u, a = ([(x - T).total_seconds() for x in sorted(m[5] for m in more if m[2] == r)] for r in ("user", "assistant"))
+    lo, hi = [x - y for x, y in zip(u, a)], [x - y for x, y in zip(u[1:], a)]
+    assert (got["d"].constraints, got["d"].violated, got["d"].feasible) == (len(lo) + len(hi), sum(x > 0 for x in lo) + sum(x < 0 for x in hi), False)
+    cost = lambda d: sum(max(0, x - d) ** 2 for x in lo) + sum(max(0, d - x) ** 2 for x in hi)
+    best = min(cost(d * 10.0) for d in range(-4000, 4000))
+    assert cost(got["d"].offset) <= best * 1.0001
+
+
+def test_planted_skew_is_found_and_rescued(spark):
+    rng = random.Random(4)
+    rows, skew = [], {}
+    for n in range(30):
+        c, skew[c] = f"c{n:02d}", rng.choice([0, 0, -90, -240, 120, 5000])
+        t = T + timedelta(minutes=rng.randint(0, 600))
+        for i in range(6):
+            t += timedelta(seconds=rng.randint(20, 80))
+            rows.append((f"{c}-{i}", c, "user" if i % 2 == 0 else "assistant", "text", None, t + timedelta(seconds=skew[c] if i % 2 else 0), "k"))
+    df, chats = spark.createDataFrame(rows, MSG), spark.createDataFrame([(c,) for c in skew], "id string")
+    got = {r.chatId: r for r in CV.clock_offsets(CV.one_per_id(df), 600.0).collect()}
+    assert all(r.feasible for r in got.values())
+    dropped = {r.chatId for r in CV.judged(df, chats).where("reason is not null").collect()}
+    assert dropped and {c for c in skew if skew[c] == 0}.isdisjoint(dropped)
+    saved = {r.chatId for r in CV.rescued(df, chats, 600.0).collect()}
+    assert saved == {c for c in dropped if abs(skew[c]) < 600}
+    turns = CV.ordered_turns(df, chats, 600.0).collect()
+    assert all(r.id == f"{r.chatId}-{r.turn - 1}" for r in turns) and {r.chatId for r in turns} == saved | set(skew) - dropped
 
 
 Q = "Which decision covers the annual audit report of the branch?"
