@@ -81,7 +81,7 @@ def test_clock_pairs_cross_hours(spark):
     got = {r.chatId: r for r in CV.clock_offsets(CV.one_per_id(spark.createDataFrame(over + more, MSG)), 1e9, 40).collect()}
     assert (got["c"].constraints, got["c"].violated, got["c"].offset, got["c"].feasible) == (3, 0, 0.0, True)
     u, a = ([(x - T).total_seconds() for x in sorted(m[5] for m in more if m[2] == r)] for r in ("user", "assistant"))
-    lo, hi = [x - y for x, y in zip(u, a)], [x - y for x, y in zip(u[1:], a)]
+    lo, hi = [x - y for x, y in zip(u, a)], [x - y - 1e-6 for x, y in zip(u[1:], a)]
     assert (got["d"].constraints, got["d"].violated, got["d"].feasible) == (len(lo) + len(hi), sum(x > 0 for x in lo) + sum(x < 0 for x in hi), False)
     cost = lambda d: sum(max(0, x - d) ** 2 for x in lo) + sum(max(0, d - x) ** 2 for x in hi)
     best = min(cost(d * 10.0) for d in range(-4000, 4000))
