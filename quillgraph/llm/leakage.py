@@ -23,10 +23,8 @@ MASKS = ((0, 1, 2, 4, 7, 9, 10), (0, 2, 3, 5, 6, 8, 10))
 SPAN = 11
 #: Share of a paragraph's words that must be found, and of a question's: "whole" but for one word in twenty-five (questions of a kind differ in two or three).
 PARAGRAPH_SHARE, QUESTION_SHARE = 0.4, 0.96
-#: Share of a text's seeds that a pair must hit to be verified; far below what PARAGRAPH_SHARE leaves after exchanged words.
+#: Share of a paragraph's words whose number of seeds a pair must hit to be verified; far below what PARAGRAPH_SHARE leaves after exchanged words.
 HIT_SHARE = 0.04
-#: Seeds found in more test texts than this are no evidence on their own.
-COMMON_SEED = 3
 
 
 def words(text: Column) -> Column:
@@ -61,17 +59,17 @@ def test_texts(items: DataFrame) -> DataFrame:
 
 
 def _seed_table(texts: DataFrame) -> DataFrame:
-    """Distinct ``seed, item_id, kind`` that count as evidence, with ``need``.
+    """Distinct ``seed, item_id, kind`` with the hits that a pair with the text ``need``s.
 
-    A seed that more than ``COMMON_SEED`` items share says little about any of
-    them and is left to the verification, unless a text has hardly any other:
-    then all of its seeds count.
+    A question may have lost but a few words, each of which spoils at most
+    ``WEIGHT`` seeds of a mask: all others have to be there. Seeds that many
+    items share count like any other.
     """
     all_ = _seeds(texts).select("item_id", "kind", "n", F.explode_outer("seed").alias("seed")).where("seed is not null").distinct()
-    often = all_.groupBy("seed").agg(F.count_distinct("item_id").alias("items"))
-    known = all_.join(often, "seed")
-    share = known.groupBy("item_id", "kind").agg(F.avg((F.col("items") <= COMMON_SEED).cast("int")).alias("own"))
-    return known.join(share, ["item_id", "kind"]).where((F.col("items") <= COMMON_SEED) | (F.col("own") < 0.3)).select("seed", "item_id", "kind", F.greatest(F.lit(2), F.floor(F.col("n") * HIT_SHARE)).alias("need"))
+    size = all_.groupBy("item_id", "kind").agg(F.count(F.lit(1)).alias("seeds"))
+    lost = F.col("n") - F.ceil(F.col("n") * QUESTION_SHARE)
+    need = F.when(F.col("kind") == "question", F.greatest(F.lit(1), F.col("seeds") - lost * len(MASKS[0]) * len(MASKS))).otherwise(F.greatest(F.lit(2), F.floor(F.col("n") * HIT_SHARE)))
+    return all_.join(size, ["item_id", "kind"]).select("seed", "item_id", "kind", need.alias("need"))
 
 
 def candidates(docs: DataFrame, texts: DataFrame, key: str) -> DataFrame:
@@ -82,6 +80,24 @@ def candidates(docs: DataFrame, texts: DataFrame, key: str) -> DataFrame:
     return hits.groupBy(key, "item_id", "kind", "need").agg(F.count_distinct("seed").alias("hits")).where("hits >= need").select(key, "item_id", "kind")
 
 
+def short_overlaps(docs: DataFrame, texts: DataFrame, key: str) -> DataFrame:
+    """``key, item_id, kind, words, n`` for texts shorter than a seed's span.
+
+    Such a question has to be there word for word, and of such a paragraph two
+    fifths of the words in a row: runs of these lengths (at most ten different
+    ones) are hashed and joined, and no other check is needed.
+    """
+    short = texts.where(f"n between 1 and {SPAN - 1}").withColumn("k", F.when(F.col("kind") == "question", F.col("n")).otherwise(F.ceil(F.col("n") * PARAGRAPH_SHARE)).cast("int"))
+    lengths = sorted(r["k"] for r in short.select("k").distinct().collect())
+    runs = lambda k: f"case when size(h) >= {k} then transform(sequence(0, size(h) - {k}), i -> xxhash64({k}, slice(h, i + 1, {k}))) end"
+    out = None
+    for k in lengths:
+        wanted = short.where(F.col("k") == k).select("item_id", "kind", "n", F.explode(F.expr(runs(k))).alias("run")).distinct()
+        got = docs.select(key, F.explode_outer(F.expr(runs(k))).alias("run")).where("run is not null").join(wanted, "run").select(key, "item_id", "kind", F.lit(k).alias("words"), "n").distinct()
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
 def chained_words(doc: np.ndarray, text: np.ndarray) -> int:
     """Equal words in the best chain of overlaps, none of them below eight words.
 
@@ -140,17 +156,19 @@ def _verify(key: str, kind_of: str):
 def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Verified pairs ``key, item_id, kind, words, n``: equal words of ``n``.
 
-    Null and empty texts overlap with nothing; texts under a seed's span have
-    no seeds and are not looked for; repeated rows count once.
+    Null and empty texts overlap with nothing; repeated rows count once.
     """
     d = docs.select(key, F.col(text).alias("text")).where(F.col(key).isNotNull())
     t = test_texts(items)
-    pairs = candidates(d.select(key, hashed_words(words(F.col("text"))).alias("h")), t, key)
+    hashed = d.select(key, hashed_words(words(F.col("text"))).alias("h"))
+    pairs = candidates(hashed, t, key)
     # texts travel as they are, which is shorter than their word hashes, and meet only documents that have candidates
     fed = d.join(pairs, key).withColumn("h", hashed_words(words(F.col("text")))).drop("text").join(t.withColumnRenamed("h", "text_h"), ["item_id", "kind"])
     kind = docs.schema[key].dataType.simpleString()
     ikind = items.schema["item_id"].dataType.simpleString()
-    return fed.select(key, "item_id", "kind", "n", "h", "text_h").mapInPandas(_verify(key, kind), f"{key} {kind}, item_id {ikind}, kind string, words int, n int").distinct()
+    long = fed.select(key, "item_id", "kind", "n", "h", "text_h").mapInPandas(_verify(key, kind), f"{key} {kind}, item_id {ikind}, kind string, words int, n int").distinct()
+    short = short_overlaps(hashed, t, key)
+    return long if short is None else long.unionByName(short)
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:

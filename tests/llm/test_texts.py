@@ -73,6 +73,15 @@ def test_leaks(spark):
     assert got == {(1, 0), (3, 1), (5, 0)}
 
 
+def test_short_items_and_common_seeds(spark):
+    rng = random.Random(9)
+    shared = " ".join(rng.choice(WORDS) for _ in range(40))
+    items = [(i, f"{shared} tail{i}", None) for i in range(6)] + [(10, "Who may sign?", "w1x w2x w3x w4x w5x"), (11, "", "one")]
+    docs = [(1, f"see {shared}"), (2, f"see {shared} tail3."), (3, "x who may, sign it"), (4, "w2x w3x and"), (5, "who sign may")]
+    got = {tuple(r) for r in LE.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, question string, paragraph_text string")).collect()}
+    assert got == {(1, i) for i in range(6)} | {(2, i) for i in range(6)} | {(3, 10), (4, 10)}
+
+
 PROSE = "The board shall review the annual report and publish it after the audit in the central ledger. "
 
 
