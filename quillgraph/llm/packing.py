@@ -120,13 +120,15 @@ def _lanes(capacity: int):
     return run
 
 
-def containers(items: DataFrame, capacity: int = 512) -> DataFrame:
+def containers(items: DataFrame, capacity: int = 512, targets: DataFrame | None = None) -> DataFrame:
     """Containers of all items: ``grp, container, used, fill, items``.
 
     ``items`` has ``grp, lane, item, source, tokens``. Every row is an item,
     also where rows repeat; a null group, source or item becomes the text
-    ``none``; null or negative tokens count as 0. Target shares are the
-    group's own shares of tokens per source. An empty table gives no row.
+    ``none``; null or negative tokens count as 0. Target shares are those of
+    ``targets`` (``source, share``; of one source the largest counts, others
+    get none), brought to a sum of 1 among the group's sources, or else the
+    group's own shares of tokens. An empty table gives no row.
     """
     i = items.select(
         F.coalesce("grp", F.lit("none")).alias("grp"), F.coalesce("lane", F.lit(0)).cast("bigint").alias("lane"), F.coalesce("item", F.lit("none")).alias("item"), F.coalesce("source", F.lit("none")).alias("source"),
@@ -134,7 +136,10 @@ def containers(items: DataFrame, capacity: int = 512) -> DataFrame:
     )
     per = i.groupBy("grp", "lane", "source").agg(F.sum("tokens").alias("t"))
     whole = per.groupBy("grp", "source").agg(F.sum("t").alias("st"))
-    share = whole.withColumn("share", F.col("st") / F.greatest(F.sum("st").over(W.Window.partitionBy("grp")), F.lit(1))).select("grp", "source", "share")
+    if targets is not None:
+        t = targets.groupBy(F.coalesce("source", F.lit("none")).alias("source")).agg(F.max("share").alias("w"))
+        whole = whole.join(t, "source", "left").select("grp", "source", F.greatest(F.coalesce("w", F.lit(0.0)), F.lit(0.0)).alias("st"))
+    share = whole.withColumn("share", F.col("st") / F.nullif(F.sum("st").over(W.Window.partitionBy("grp")).cast("double"), F.lit(0.0))).select("grp", "source", F.coalesce("share", F.lit(0.0)).alias("share"))
     lanes = per.groupBy("grp", "lane").agg(F.sum("t").alias("lt"))
     grid = lanes.join(share, "grp").join(per, ["grp", "lane", "source"], "left").withColumn("gap", F.col("share") * F.col("lt") - F.coalesce("t", F.lit(0)))
     owed = grid.withColumn("owed", F.coalesce(F.sum("gap").over(W.Window.partitionBy("grp", "source").orderBy("lane").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0.0)))
@@ -148,7 +153,8 @@ def element_items(elements: DataFrame, chars_per_token: int = 4) -> DataFrame:
     """Parsed elements as items: grouped by document, in lanes of their reading order, one source per element type."""
     seq = F.regexp_extract("elementId", r"([0-9]{1,18})$", 1).try_cast("bigint")
     # elements without a number have no order and are dealt over hash lanes of their own
-    lane = F.coalesce(F.floor(seq / LANE), -1 - F.pmod(F.xxhash64("elementId"), F.lit(64)))
+    plain = elements.where(seq.isNull()).agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    lane = F.coalesce(F.floor(seq / LANE), -1 - F.pmod(F.xxhash64("elementId"), F.lit(max(1, -(-plain // LANE)))))
     return elements.select(
         F.col("docName").alias("grp"), lane.alias("lane"), F.col("elementId").alias("item"), F.col("elementType").alias("source"), F.ceil(F.length(F.coalesce("text", F.lit(""))) / chars_per_token).alias("tokens")
     )
@@ -160,6 +166,22 @@ def chunk_items(chunks: DataFrame, lanes: int, chars_per_token: int = 4) -> Data
     return chunks.select(F.lit("v2_chunks").alias("grp"), F.pmod(F.xxhash64("chunk_id", "token_estimate"), F.lit(lanes)).alias("lane"), F.col("chunk_id").alias("item"), F.col("element_type").alias("source"), est.alias("tokens"))
 
 
-def fill_report(packed: DataFrame) -> DataFrame:
-    """Per group: containers, tokens, mean fill and the share of room left over."""
-    return packed.groupBy("grp").agg(F.count(F.lit(1)).alias("containers"), F.sum("used").alias("tokens"), F.avg("fill").alias("mean_fill"), (1 - F.avg("fill")).alias("left_over"))
+def fill_report(packed: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """Per group: containers, tokens, mean fill, the share of room left over, and how far containers are from the target shares.
+
+    ``share_error`` is the mean, over containers with tokens, of the share of
+    their tokens that would have to come from other sources (half the sum of
+    the differences); items that are large against the capacity bound it from
+    below. ``targets`` as in :func:`containers`, else the group's own shares.
+    """
+    flat = packed.select("grp", "container", "used", F.explode("items").alias("x")).groupBy("grp", "container", "used", F.col("x.source").alias("source")).agg(F.sum("x.tokens").alias("t"))
+    whole = flat.groupBy("grp", "source").agg(F.sum("t").alias("w"))
+    if targets is not None:
+        t = targets.groupBy(F.coalesce("source", F.lit("none")).alias("source")).agg(F.max("share").alias("p"))
+        whole = whole.join(t, "source", "left").select("grp", "source", F.greatest(F.coalesce("p", F.lit(0.0)), F.lit(0.0)).alias("w"))
+    total = F.nullif(F.sum("w").over(W.Window.partitionBy("grp")).cast("double"), F.lit(0.0))
+    share = whole.withColumn("share", F.coalesce(F.col("w") / total, F.lit(0.0))).select("grp", "source", "share")
+    # the shares sum to 1 on both sides, so what is above its target tells the whole difference
+    over = flat.where("used > 0").join(share, ["grp", "source"]).groupBy("grp", "container").agg(F.sum(F.greatest(F.col("t") / F.col("used") - F.col("share"), F.lit(0.0))).alias("e")).groupBy("grp").agg(F.avg("e").alias("share_error"))
+    filled = packed.groupBy("grp").agg(F.count(F.lit(1)).alias("containers"), F.sum("used").alias("tokens"), F.avg("fill").alias("mean_fill"), (1 - F.avg("fill")).alias("left_over"))
+    return filled.join(over, "grp", "left")

@@ -150,3 +150,17 @@ def test_undotted_acronyms_are_organisations(spark):
     assert [NA.parse(t)[0] for t in ("Ahmed OMAR", "Dr. Salem AMIN", "J. Webu SAD", "AHMED HASSAN", "Daniel Guverelo JR")] == ["person"] * 5
     got = {r.text: r.cluster for r in NA.clusters(spark.createDataFrame([("Thebiweli CEIC",), ("Thebiweli C.E.I.C.",), ("Thebiweli Commercial Export Insurance Company",)], "text string")).collect()}
     assert len(set(got.values())) == 1
+
+
+def test_windows_follow_target_shares(spark):
+    rng = random.Random(2)
+    rows = [("g", i // 500, f"i{i}", rng.choice("aab"), rng.randint(5, 40)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "grp string, lane int, item string, source string, tokens int")
+    r = PK.fill_report(PK.containers(df)).first()
+    assert r.share_error < 0.05 and r.mean_fill > 0.93 and r.tokens == sum(x[4] for x in rows)
+    even = spark.createDataFrame([("a", 0.5), ("b", 0.5), ("z", 1.0), (None, None)], "source string, share double")
+    early = PK.containers(df, 512, even).where("container like 'g#0-0000%' and container < 'g#0-00008'").collect()
+    part = [sum(x.tokens for x in c["items"] if x.source == "a") / c.used for c in early]
+    assert all(abs(p - 0.5) < 0.1 for p in part)
+    none = PK.fill_report(PK.containers(df.limit(0)))
+    assert none.count() == 0
