@@ -25,6 +25,8 @@ SPAN = 11
 PARAGRAPH_SHARE, QUESTION_SHARE = 0.4, 0.96
 #: Share of a paragraph's words whose number of seeds a pair must hit to be verified; far below what PARAGRAPH_SHARE leaves after exchanged words.
 HIT_SHARE = 0.04
+#: Seeds that more test texts than this share say less of each: of them a paragraph needs so many more.
+COMMON_SEED, COMMON_SHARE = 3, 0.15
 
 
 def words(text: Column) -> Column:
@@ -59,25 +61,30 @@ def test_texts(items: DataFrame) -> DataFrame:
 
 
 def _seed_table(texts: DataFrame) -> DataFrame:
-    """Distinct ``seed, item_id, kind`` with the hits that a pair with the text ``need``s.
+    """Distinct ``seed, item_id, kind`` with ``rare``, and the hits that a pair with the text ``need``s.
 
     A question may have lost but a few words, each of which spoils at most
-    ``WEIGHT`` seeds of a mask: all others have to be there. Seeds that many
-    items share count like any other.
+    ``WEIGHT`` seeds of a mask: all others have to be there. A paragraph needs
+    hits of rare seeds for a few of its words, or of any seeds for
+    ``COMMON_SHARE`` of them, which two fifths of it have with every fourth
+    word exchanged.
     """
     all_ = _seeds(texts).select("item_id", "kind", "n", F.explode_outer("seed").alias("seed")).where("seed is not null").distinct()
     size = all_.groupBy("item_id", "kind").agg(F.count(F.lit(1)).alias("seeds"))
+    often = all_.groupBy("seed").agg((F.count_distinct("item_id") <= COMMON_SEED).alias("rare"))
     lost = F.col("n") - F.ceil(F.col("n") * QUESTION_SHARE)
-    need = F.when(F.col("kind") == "question", F.greatest(F.lit(1), F.col("seeds") - lost * len(MASKS[0]) * len(MASKS))).otherwise(F.greatest(F.lit(2), F.floor(F.col("n") * HIT_SHARE)))
-    return all_.join(size, ["item_id", "kind"]).select("seed", "item_id", "kind", need.alias("need"))
+    any_ = F.when(F.col("kind") == "question", F.greatest(F.lit(1), F.col("seeds") - lost * len(MASKS[0]) * len(MASKS))).otherwise(F.greatest(F.lit(2), F.floor(F.col("n") * COMMON_SHARE)))
+    few = F.when(F.col("kind") == "paragraph", F.greatest(F.lit(2), F.floor(F.col("n") * HIT_SHARE))).otherwise(any_)
+    return all_.join(size, ["item_id", "kind"]).join(often, "seed").select("seed", "item_id", "kind", "rare", F.struct(any_.alias("any"), few.alias("rare")).alias("need"))
 
 
 def candidates(docs: DataFrame, texts: DataFrame, key: str) -> DataFrame:
-    """``key, item_id, kind`` pairs with at least ``need`` distinct seeds in common."""
+    """``key, item_id, kind`` pairs with as many distinct seeds in common as they ``need``."""
     index = _seed_table(texts)
-    flat = _seeds(docs.select(key, "h")).select(key, F.explode_outer("seed").alias("seed")).where("seed is not null")
-    hits = flat.join(index, "seed")
-    return hits.groupBy(key, "item_id", "kind", "need").agg(F.count_distinct("seed").alias("hits")).where("hits >= need").select(key, "item_id", "kind")
+    flat = _seeds(docs.select(key, "h")).select(key, F.explode_outer(F.array_distinct("seed")).alias("seed")).where("seed is not null")
+    # rows that repeat a key count their seeds again, which can only add candidates for the verification
+    hits = flat.join(index, "seed").groupBy(key, "item_id", "kind", "need").agg(F.count(F.lit(1)).alias("any"), F.count_if("rare").alias("rare"))
+    return hits.where("any >= need.any or rare >= need.rare").select(key, "item_id", "kind")
 
 
 def short_overlaps(docs: DataFrame, texts: DataFrame, key: str) -> DataFrame:
