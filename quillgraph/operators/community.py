@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.operators.components import connected_components
+from quillgraph.operators.graph import numbered
 from quillgraph.operators.metrics import modularity, plurality_parent
 from quillgraph.runtime import cut
 
 
-def _moves(adj: DataFrame, labels: DataFrame, m2: float, gamma: float, rounds: int) -> DataFrame:
-    """Local moves by gain of modularity; in each round only half of the nodes (by hash) may move, so neighbours do not swap forever."""
-    deg = cut(adj.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("k")))
+def _moves(adj: DataFrame, labels: DataFrame, m2: float, gamma: float, rounds: int, degrees: DataFrame | None = None) -> DataFrame:
+    """Local moves by gain of modularity; in each round only half of the nodes (by hash) may move, so neighbours do not swap forever.
+
+    ``degrees`` (``node, k``) are those of the whole graph where ``adj`` holds but a part of its edges.
+    """
+    deg = cut(adj.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("k")) if degrees is None else degrees)
     cur = cut(labels.select("node", "label"))
     still = 0
     for r in range(rounds):
@@ -24,9 +30,9 @@ def _moves(adj: DataFrame, labels: DataFrame, m2: float, gamma: float, rounds: i
         o = options.join(own, "node").join(tot.withColumnRenamed("label", "to"), "to")
         stays = F.col("to") == F.col("label")
         gain = F.col("w") - gamma * F.col("k") * (F.col("tot") - F.when(stays, F.col("k")).otherwise(0.0)) / m2
-        best = o.withColumn("gain", F.round(gain, 10)).groupBy("node").agg(F.max(F.struct("gain", stays.cast("int").alias("s"), (-F.col("to")).alias("t"))).alias("m"), F.first("label").alias("label"), F.max(F.when(stays, F.col("gain"))).alias("g0"))
+        best = o.withColumn("gain", F.round(gain, 10)).groupBy("node").agg(F.min(F.struct((-F.col("gain")).alias("loss"), (~stays).cast("int").alias("s"), "to")).alias("m"), F.first("label").alias("label"), F.max(F.when(stays, F.col("gain"))).alias("g0"))
         turn = F.pmod(F.xxhash64("node", F.lit(r // 2)), F.lit(2)) == r % 2
-        nxt = cut(best.select("node", F.when(turn & (F.col("m.gain") > F.col("g0") + 1e-9), -F.col("m.t")).otherwise(F.col("label")).alias("label"), F.col("label").alias("was")))
+        nxt = cut(best.select("node", F.when(turn & (-F.col("m.loss") > F.col("g0") + 1e-9), F.col("m.to")).otherwise(F.col("label")).alias("label"), F.col("label").alias("was")))
         moved = nxt.where("label != was").limit(1).count()
         cur = nxt.select("node", "label")
         still = 0 if moved else still + 1
@@ -43,12 +49,43 @@ def _connected(adj: DataFrame, labels: DataFrame) -> DataFrame:
     return l.join(c, "node", "left").select("node", F.coalesce("component", "node").alias("label"))
 
 
+def _refined(adj: DataFrame, labels: DataFrame, m2: float, gamma: float, rounds: int) -> DataFrame:
+    """Refinement: inside every community its nodes start alone and move once more, to neighbours of the same community only; parts stay connected."""
+    l = cut(labels.select("node", "label"))
+    inner = adj.join(l.select(F.col("node").alias("src"), F.col("label").alias("a")), "src").join(l.select(F.col("node").alias("dst"), F.col("label").alias("b")), "dst").where("a = b").select("src", "dst", "weight")
+    inner = cut(inner)
+    deg = adj.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("k"))
+    alone = l.select("node", F.col("node").alias("label"))
+    return _connected(inner, _moves(inner, alone, m2, gamma, rounds, deg))
+
+
+def dense_labels(labels: DataFrame) -> DataFrame:
+    """``node, label`` with labels 0, 1, 2 ... in the order in which the nodes, sorted, first show them."""
+    first = labels.groupBy("label").agg(F.min("node").alias("first"))
+    at = numbered(first.select("first"), "first").select("first", F.col("idx").alias("dense"))
+    return labels.join(first.join(at, "first").select("label", "dense"), "label").select("node", F.col("dense").alias("label"))
+
+
+def sweep(adj: DataFrame, gammas: Sequence[float] = (0.2, 0.4, 0.6, 0.8, 1.0), rounds: int = 12) -> DataFrame:
+    """``gamma, communities, modularity`` of the finest partition at several resolutions."""
+    out = None
+    for g in gammas:
+        parts = hierarchy(adj, g, rounds)
+        if not parts:
+            raise ValueError("the graph has no edges")
+        p = parts[0]
+        row = p.agg(F.count_distinct("label").alias("communities")).crossJoin(modularity(adj, p)).select(F.lit(float(g)).alias("gamma"), "communities", "modularity")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def hierarchy(adj: DataFrame, gamma: float = 1.0, rounds: int = 12, levels: int = 10) -> list[DataFrame]:
-    """Partitions ``node, label`` from fine to coarse; nodes and labels are integers, ``adj`` holds both directions.
+    """Partitions ``node, label`` from fine to coarse; nodes may be integers or strings, ``adj`` holds both directions.
 
-    Per level: moves, refinement to connected communities, aggregation of
-    communities to the next level's nodes; it ends when modularity gains no
-    more. Every step is a join or an aggregate, no task holds the graph.
+    Per level: local moves; refinement by moves inside each community; the
+    refined parts become the next level's nodes, which start in the community
+    they came from. It ends when modularity gains no more. Every step is a join
+    or an aggregate, no task holds the graph.
     """
     adj = cut(adj.select("src", "dst", F.col("weight").cast("double").alias("weight")))
     m2 = adj.agg(F.sum("weight")).first()[0] or 0.0
@@ -57,19 +94,26 @@ def hierarchy(adj: DataFrame, gamma: float = 1.0, rounds: int = 12, levels: int
     base, level_adj, best = cut(nodes.select("node", F.col("node").alias("label"))), adj, None
     if not m2:
         return out
+    start = level_adj.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node"))
     for _ in range(levels):
-        start = level_adj.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node"))
         part = cut(_connected(level_adj, _moves(level_adj, start, m2, gamma, rounds)))
         flat = cut(base.join(part.select(F.col("node").alias("label"), F.col("label").alias("up")), "label").select("node", F.col("up").alias("label")))
         q = modularity(adj, flat, gamma).first()[0]
         if best is not None and q <= best + 1e-9:
             break
         out.append(flat)
-        best, base = q, flat
-        s, t = part.select(F.col("node").alias("src"), F.col("label").alias("a")), part.select(F.col("node").alias("dst"), F.col("label").alias("b"))
-        level_adj = cut(level_adj.join(s, "src").join(t, "dst").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("weight").alias("weight")))
+        best = q
         if part.where("node != label").limit(1).count() == 0:
             break
+        fine = cut(_refined(level_adj, part, m2, gamma, rounds))
+        base = cut(base.join(fine.select(F.col("node").alias("label"), F.col("label").alias("up")), "label").select("node", F.col("up").alias("label")))
+        # a refined part is a node of the next level and starts where its members are; communities are called by their smallest part
+        whole = fine.join(part.select("node", F.col("label").alias("up")), "node").groupBy(F.col("label").alias("part")).agg(F.min("up").alias("up"))
+        names = whole.groupBy("up").agg(F.min("part").alias("name"))
+        start = cut(whole.join(names, "up").select(F.col("part").alias("node"), F.col("name").alias("label")))
+        part = fine
+        s, t = part.select(F.col("node").alias("src"), F.col("label").alias("a")), part.select(F.col("node").alias("dst"), F.col("label").alias("b"))
+        level_adj = cut(level_adj.join(s, "src").join(t, "dst").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("weight").alias("weight")))
     return out
 
 
@@ -93,7 +137,7 @@ def parents(levels: DataFrame) -> DataFrame:
     up = levels.select((F.col("level") + 1).alias("level"), "node", F.col("label").alias("parent"))
     j = levels.select("level", "node", F.col("label").alias("child")).join(up, ["level", "node"])
     n = j.groupBy("level", "child", "parent").agg(F.count(F.lit(1)).alias("n"))
-    return n.groupBy("level", "child").agg(F.max(F.struct("n", (-F.col("parent")).alias("p"))).alias("m")).select("level", "child", (-F.col("m.p")).alias("parent"))
+    return n.groupBy("level", "child").agg(F.min(F.struct((-F.col("n")).alias("k"), "parent")).alias("m")).select("level", "child", "m.parent")
 
 
 def disconnected_share(adj: DataFrame, labels: DataFrame) -> DataFrame:
@@ -103,4 +147,10 @@ def disconnected_share(adj: DataFrame, labels: DataFrame) -> DataFrame:
     return c.agg(F.avg((F.col("parts") > 1).cast("double")).alias("disconnected"))
 
 
-__all__ = ["community_id", "disconnected_share", "hierarchy", "long_hierarchy", "modularity", "parents", "plurality_parent"]
+def community_of(c: str = "community"):
+    """``corpus, level, label`` of a community id."""
+    p = r"^(.*)-L([0-9]+)-c(.+)$"
+    return F.struct(F.regexp_extract(c, p, 1).alias("corpus"), F.regexp_extract(c, p, 2).cast("int").alias("level"), F.regexp_extract(c, p, 3).alias("label"))
+
+
+__all__ = ["community_id", "community_of", "dense_labels", "sweep", "disconnected_share", "hierarchy", "long_hierarchy", "modularity", "parents", "plurality_parent"]

@@ -10,16 +10,25 @@ from pyspark.sql import window as W
 
 from quillgraph.runtime import cut
 
+#: Entities above which a chunk is split in the co-mention join.
+HOT = 2_000
 
-def comention_edges(mentions: DataFrame, chunk: str = "chunk", entity: str = "entity") -> DataFrame:
+
+def comention_edges(mentions: DataFrame, chunk: str = "chunk", entity: str = "entity", parts: int = 8) -> DataFrame:
     """Entities that share a chunk: ``src < dst`` with the number of shared chunks as weight.
 
-    The self-join is keyed by chunk; repeated mentions count once. A chunk with
-    m entities gives m(m-1)/2 rows, so the pairs are summed before the shuffle.
+    The self-join is keyed by chunk and, for chunks of more than ``HOT``
+    entities, by a cell of their left side too, so that the m(m-1)/2 pairs of a
+    hot chunk come from ``parts`` tasks. Repeated mentions count once; pairs are
+    summed before the shuffle.
     """
     m = mentions.select(F.col(chunk).alias("c"), F.col(entity).alias("e")).where("c is not null and e is not null").distinct()
-    pairs = m.alias("a").join(m.alias("b"), (F.col("a.c") == F.col("b.c")) & (F.col("a.e") < F.col("b.e")))
-    return pairs.groupBy(F.col("a.e").alias("src"), F.col("b.e").alias("dst")).agg(F.count(F.lit(1)).alias("weight"))
+    hot = m.groupBy("c").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("c", F.lit(parts).alias("k"))
+    k = F.coalesce("k", F.lit(1))
+    m = m.join(hot, "c", "left")
+    left = m.select("c", "e", F.pmod(F.xxhash64("e"), k).cast("int").alias("cell"))
+    right = m.select("c", F.col("e").alias("f"), F.explode(F.sequence(F.lit(0), k - 1)).alias("cell"))
+    return left.join(right, ["c", "cell"]).where("e < f").groupBy(F.col("e").alias("src"), F.col("f").alias("dst")).agg(F.count(F.lit(1)).alias("weight"))
 
 
 def edges_of(df: DataFrame, src: str, dst: str, weight: str | None = None) -> DataFrame:
@@ -39,18 +48,23 @@ def degrees(adj: DataFrame) -> DataFrame:
     return adj.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("degree"), F.count(F.lit(1)).alias("neighbours"))
 
 
-def node_index(edges: DataFrame) -> DataFrame:
-    """``node, idx``: contiguous positions over the sorted distinct endpoints.
+def numbered(values: DataFrame, column: str) -> DataFrame:
+    """``column, idx``: contiguous positions from 0 over the sorted, distinct, non-null values.
 
     Positions are a range's offset (prefix sum of range sizes) plus the place
     inside the range, so no single task numbers all nodes.
     """
-    nodes = edges.select("src").union(edges.select("dst")).where("src is not null").distinct().withColumnRenamed("src", "node")
-    ranged = cut(nodes.repartitionByRange("node").withColumn("part", F.spark_partition_id()))
+    v = values.select(column).where(F.col(column).isNotNull()).distinct()
+    ranged = cut(v.repartitionByRange(column).withColumn("part", F.spark_partition_id()))
     sizes = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.withColumn("before", F.coalesce(F.sum("n").over(W.Window.orderBy("part").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0))).select("part", "before")
-    place = ranged.withColumn("place", F.row_number().over(W.Window.partitionBy("part").orderBy("node")) - 1)
-    return place.join(before, "part").select("node", (F.col("before") + F.col("place")).cast("bigint").alias("idx"))
+    place = ranged.withColumn("place", F.row_number().over(W.Window.partitionBy("part").orderBy(column)) - 1)
+    return place.join(before, "part").select(column, (F.col("before") + F.col("place")).cast("bigint").alias("idx"))
+
+
+def node_index(edges: DataFrame) -> DataFrame:
+    """``node, idx``: contiguous positions over the sorted distinct endpoints."""
+    return numbered(edges.select(F.col("src").alias("node")).union(edges.select("dst")), "node")
 
 
 def neighbours(edges: DataFrame) -> DataFrame:
@@ -110,6 +124,23 @@ def hop_label(hop: Column) -> Column:
     return F.when(hop == 0, "seed").when(hop == 1, "1").otherwise("2+")
 
 
+def pick(nodes: DataFrame, node: str = "node", seed: int = 1) -> DataFrame:
+    """One node at random by a seeded hash: the same one for the same nodes and seed."""
+    return nodes.select(node).orderBy(F.xxhash64(F.lit(seed), node), node).limit(1)
+
+
+def expanded(nodes: DataFrame, more: DataFrame, key: str = "id") -> DataFrame:
+    """Nodes shown so far and new ones, one row per key; those shown stay as they are."""
+    return nodes.unionByName(more.join(nodes.select(key), key, "left_anti").dropDuplicates([key]).select(nodes.columns))
+
+
+def path_filter(paths: DataFrame, edges: DataFrame, every: list[str] | None = None, none: list[str] | None = None) -> DataFrame:
+    """Paths all of whose edges have a type of ``every``, and none of whose edges has one of ``none``."""
+    on = paths.select("path_id", F.explode("edges").alias("edge_id")).join(edges.select("edge_id", "type"), "edge_id")
+    bad = on.where((~F.col("type").isin(every) if every is not None else F.lit(False)) | (F.col("type").isin(none) if none is not None else F.lit(False)))
+    return paths.join(bad.select("path_id").distinct(), "path_id", "left_anti")
+
+
 def scoped(df: DataFrame, scope: str | list[str] | None, *columns: str) -> DataFrame:
     """Keeps rows whose columns all lie in the scope: none filters nothing, a list means any of it."""
     for c in columns:

@@ -88,7 +88,7 @@ def rank_above(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
 def plurality_parent(children: DataFrame) -> DataFrame:
     """Most frequent ``parent`` per ``child`` over nodes; the smaller one on ties."""
     n = children.groupBy("child", "parent").agg(F.count(F.lit(1)).alias("n"))
-    return n.groupBy("child").agg(F.max(F.struct("n", (-F.col("parent")).alias("p"))).alias("m")).select("child", (-F.col("m.p")).alias("parent"), "m.n")
+    return n.groupBy("child").agg(F.min(F.struct((-F.col("n")).alias("k"), "parent", "n")).alias("m")).select("child", "m.parent", "m.n")
 
 
 def stratified_sample(df: DataFrame, strata: str, key: str, n: int, groups: int, seed: int = 42) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from quillgraph.operators import graph as G
+from quillgraph.operators import ppr as P
 from quillgraph.operators import vector as V
 
 # Access levels from open to closed, and the one of documents that name none.
@@ -74,14 +75,27 @@ def chunk_max(paths: DataFrame, chunks_of: DataFrame, best: int = 3) -> DataFram
     return hit.withColumn("rn", rn).groupBy("chunk").agg(F.max("score").alias("score"), F.expr(f"transform(array_sort(collect_list(struct(rn, path_id)) filter (where rn <= {best})), x -> x.path_id)").alias("paths"))
 
 
+def chunks_of_paths(paths: DataFrame, mentions: DataFrame, best: int = 3) -> DataFrame:
+    """Chunk score = best path through any of its entities: ``paths`` has ``path_id, nodes, score``.
+
+    Each entity first keeps its own ``best`` paths; those of a chunk are among
+    its entities' ones, so the many paths never meet the mentions.
+    """
+    e = paths.where("score > 0").select("path_id", "score", F.explode(F.array_distinct("nodes")).alias("entity"))
+    rn = F.row_number().over(W.Window.partitionBy("entity").orderBy(F.desc("score"), "path_id"))
+    few = e.withColumn("rn", rn).where(F.col("rn") <= best).drop("rn")
+    hit = few.join(mentions.select("entity", "chunk").distinct(), "entity").select("chunk", "path_id", "score").distinct()
+    rn = F.row_number().over(W.Window.partitionBy("chunk").orderBy(F.desc("score"), "path_id"))
+    return hit.withColumn("rn", rn).groupBy("chunk").agg(F.max("score").alias("score"), F.expr(f"transform(array_sort(collect_list(struct(rn, path_id)) filter (where rn <= {best})), x -> x.path_id)").alias("paths"))
+
+
 def khop_chunks(edges: DataFrame, mentions: DataFrame, entities: DataFrame, query: DataFrame, seeds: int = 8, depth: int = 2, top: int = 10) -> DataFrame:
     """k-hop retrieval: seed entities by cosine, trails from them, a path's mean entity cosine, best path per chunk of its entities."""
     scores = V.scored(entities, query).select("id", "score")
     start = scores.orderBy(F.desc("score"), "id").limit(seeds).select(F.col("id").alias("node"))
     p = G.trail_paths(edges, start, depth).withColumn("path_id", F.array_join(F.transform("nodes", lambda x: x.cast("string")), ">"))
     p = path_scores(p.select("path_id", "nodes").distinct(), scores)
-    c = p.select("path_id", F.explode(F.array_distinct("nodes")).alias("entity")).join(mentions, "entity").select("path_id", "chunk")
-    return chunk_max(p, c).orderBy(F.desc("score"), "chunk").limit(top)
+    return chunks_of_paths(p, mentions).orderBy(F.desc("score"), "chunk").limit(top)
 
 
 def seed_entities(entities: DataFrame, query: DataFrame, mentions: DataFrame, chunks: DataFrame, k: int = 8) -> DataFrame:
@@ -110,6 +124,28 @@ def graph_search(edges: DataFrame, relations: DataFrame, entities: DataFrame, me
     return chunk_max(scored, through).orderBy(F.desc("score"), "chunk").limit(k)
 
 
+def ppr_retrieve(adj: DataFrame, mentions: DataFrame, entities: DataFrame, texts: DataFrame, query: DataFrame, k: int = 10, seeds: int = 5, alpha: float = 0.5, iterations: int = 100, tolerance: float | None = 1e-9, specificity: bool = True, eps: float = 1e-6) -> DataFrame:
+    """``chunk, score, contributors, text``: the whole retriever. The query's nearest entities are the seeds, by specificity if wanted; PageRank; entity scores summed by chunk; texts looked up.
+
+    A query whose seeds lie outside the graph gives no hits.
+    """
+    nodes = adj.select(F.col("src").alias("node")).distinct()
+    s = V.seed_masses(entities, query, seeds).select(F.col("id").alias("node"), "mass")
+    s = P.seed_vector(s, nodes)
+    if specificity:
+        s = P.node_specificity(s, mentions)
+    scores = P.personalized_pagerank(adj, s, alpha, iterations, tolerance)
+    top = P.chunk_scores(scores, mentions, eps).orderBy(F.desc("score"), "chunk").limit(k)
+    return lookup(top, texts, "chunk")
+
+
+def lookup(hits: DataFrame, texts: DataFrame, key: str) -> DataFrame:
+    """Hits with the other columns of ``texts``, the first row of a key that occurs twice; unknown keys keep nulls."""
+    rest = [c for c in texts.columns if c != key]
+    one = texts.join(hits.select(key).distinct(), key, "left_semi")
+    return hits.join(one.groupBy(key).agg(F.min(F.struct(*rest)).alias("_t")).select(key, "_t.*"), key, "left")
+
+
 def retrieve(mode: str, k: int, clearance: str, searches: dict[str, Callable[[int, str], DataFrame]], empty: DataFrame) -> DataFrame:
     """The dispatcher: an unknown mode or clearance gives no hits."""
     if mode not in searches or clearance not in LEVELS:

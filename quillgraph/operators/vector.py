@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from quillgraph.functions import text as X
 from quillgraph.functions.vectors import cosine, dot, unit
 
 
@@ -67,7 +68,7 @@ def similar_pairs(vectors: DataFrame, least: float, block: str = "type", parts:
 
 
 def nearest(vectors: DataFrame, base: DataFrame) -> DataFrame:
-    """For every vector the id of the nearest of ``base`` (the smaller id on ties) and the cosine.
+    """For every vector the id of the nearest of ``base`` (the smaller id on ties), itself left out, and the cosine.
 
     ``base`` is met in the same grid as in ``similar_pairs``; the best per
     vector is kept inside each task before it is shuffled.
@@ -75,8 +76,8 @@ def nearest(vectors: DataFrame, base: DataFrame) -> DataFrame:
     parts = 4
     v = vectors.where("vector is not null").select("id", unit(F.col("vector")).alias("u"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("cell"))
     b = base.where("vector is not null").select(F.col("id").alias("near"), unit(F.col("vector")).alias("v"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("cell"))
-    s = v.join(b, "cell").withColumn("score", dot(F.col("u"), F.col("v")))
-    return s.groupBy("id").agg(F.max(F.struct("score", (-F.col("near")).alias("n"))).alias("m")).select("id", (-F.col("m.n")).alias("near"), "m.score")
+    s = v.join(b, "cell").where("id != near").withColumn("score", dot(F.col("u"), F.col("v")))
+    return s.groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("s"), "near")).alias("m")).select("id", "m.near", (-F.col("m.s")).alias("score"))
 
 
 def search_all(queries: DataFrame, base: DataFrame, k: int, parts: int = 8) -> DataFrame:
@@ -94,9 +95,23 @@ def search_all(queries: DataFrame, base: DataFrame, k: int, parts: int = 8) -> D
     return local.withColumn("rn", F.row_number().over(W.Window.partitionBy("query").orderBy(*order))).where(F.col("rn") <= k).drop("rn", "cell")
 
 
-def tier(score: Column) -> Column:
-    """Half-open similarity tiers at .80 .85 .90 .95."""
-    return F.when(score >= 0.95, "0.95+").when(score >= 0.90, "0.90-0.95").when(score >= 0.85, "0.85-0.90").when(score >= 0.80, "0.80-0.85").otherwise("<0.80")
+def synonyms(entities: DataFrame, least: float = 0.85, parts: int = 4) -> DataFrame:
+    """``src, dst, weight``: entities of one type, near by cosine, the words of one name among the other's.
+
+    ``entities`` has ``id, name, type, vector``.
+    """
+    w = entities.select("id", X.word_set(F.col("name")).alias("w"))
+    p = similar_pairs(entities, least, "type", parts)
+    p = p.join(w.select(F.col("id").alias("a"), F.col("w").alias("wa")), "a").join(w.select(F.col("id").alias("b"), F.col("w").alias("wb")), "b")
+    return p.where(token_subset(F.col("wa"), F.col("wb"))).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("score").alias("weight"))
+
+
+def tier(score: Column, bounds: tuple[float, ...] = (0.80, 0.85, 0.90, 0.95)) -> Column:
+    """Half-open similarity tiers between rising ``bounds``, and those below and above."""
+    out = F.lit(f"<{bounds[0]:.2f}")
+    for low, high in zip(bounds, (*bounds[1:], None)):
+        out = F.when(score >= low, f"{low:.2f}+" if high is None else f"{low:.2f}-{high:.2f}").otherwise(out)
+    return out
 
 
 def token_subset(a: Column, b: Column) -> Column:

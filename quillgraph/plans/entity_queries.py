@@ -39,24 +39,27 @@ def typed_relationship_validation(spark, d):
 
 
 def _triples(spark, d):
-    t = load(spark, d, "lineitem").join(load(spark, d, "part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey")).join(load(spark, d, "supplier").select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey"))
-    return t.select(F.upper("s_name").alias("subject"), F.col("l_returnflag").alias("predicate"), F.when(F.col("l_linenumber") == 7, F.col("s_name")).otherwise(F.col("p_name")).alias("object"))
+    t = load(spark, d, "lineitem").join(load(spark, d, "part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey")).join(load(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+    # some objects are their own subject, some a word of a part's name, some a nation, which no surface is
+    n = load(spark, d, "nation").select("n_nationkey", "n_name")
+    o = F.when(F.col("l_linenumber") == 7, F.col("s_name")).when(F.col("l_linenumber") == 6, F.substring_index("p_name", " ", 1)).when(F.col("l_linenumber") == 5, F.col("n_name")).otherwise(F.col("p_name"))
+    return t.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.upper("s_name").alias("subject"), F.col("l_returnflag").alias("predicate"), o.alias("object"))
 
 
-def _surfaces(spark, d, thinned=True):
-    """Surfaces of suppliers and parts; thinned, as in the SQL, to every fiftieth part."""
+def _surfaces(spark, d):
+    """Surfaces of all suppliers and parts."""
     s = load(spark, d, "supplier").select(F.lower("s_name").alias("surface"), F.concat(F.lit("s"), "s_suppkey").alias("id"))
-    p = load(spark, d, "part").where("p_partkey % 50 = 1" if thinned else "true").groupBy(F.lower("p_name").alias("surface")).agg(F.min("p_partkey").alias("k")).select("surface", F.concat(F.lit("p"), "k").alias("id"))
+    p = load(spark, d, "part").groupBy(F.lower("p_name").alias("surface")).agg(F.min("p_partkey").alias("k")).select("surface", F.concat(F.lit("p"), "k").alias("id"))
     return s.unionByName(p)
 
 
-def triple_edges(spark, d, thinned=True):
-    e, _ = E.triple_edges(_triples(spark, d), _surfaces(spark, d, thinned))
+def triple_edges(spark, d):
+    e, _ = E.triple_edges(_triples(spark, d), _surfaces(spark, d))
     return e.select("src", "dst", "weight", F.array_join("predicates", "|").alias("predicates"))
 
 
-def triple_drop_counts(spark, d, thinned=True):
-    return E.triple_edges(_triples(spark, d), _surfaces(spark, d, thinned))[1]
+def triple_drop_counts(spark, d):
+    return E.triple_edges(_triples(spark, d), _surfaces(spark, d))[1]
 
 
 def alias_union_upsert(spark, d):
@@ -74,14 +77,6 @@ def alias_prepend_upsert(spark, d):
 
 
 def edge_upsert_chunkids(spark, d):
-    e = load(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_returnflag").alias("predicate"), F.col("l_partkey").alias("dst"), F.col("l_orderkey").alias("chunk"))
-    n = load(spark, d, "supplier").select(F.col("s_suppkey").alias("id"))
-    m = E.merge_edges(e, n)
-    return m.select("src", "predicate", "dst", F.array_join(F.transform("chunkIds", lambda x: x.cast("string")), "|").alias("chunkIds"))
-
-
-def edge_upsert_chunkids_whole(spark, d):
-    """All lineitem edges; the SQL of edge_upsert_chunkids keeps those whose part key is a supplier's too."""
     e = load(spark, d, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.col("l_returnflag").alias("predicate"), F.concat(F.lit("p"), "l_partkey").alias("dst"), F.col("l_orderkey").alias("chunk"))
     n = load(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("id")).unionByName(load(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("id")))
     return E.merge_edges(e, n).select("src", "predicate", "dst", F.array_join(F.transform("chunkIds", lambda x: x.cast("string")), "|").alias("chunkIds"))
@@ -118,15 +113,15 @@ def link_names(spark, d):
     return load(spark, d, "orders").select(X.link_name(F.col("o_orderpriority")).alias("link"), X.link_name(F.concat(F.lit("--"), "o_orderstatus", F.lit(" .. "))).alias("status")).groupBy("link", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
-def orphan_endpoints(spark, d, thinned=True):
+def orphan_endpoints(spark, d):
     t = _triples(spark, d)
     ends = t.select(F.lower(F.trim("subject")).alias("surface")).union(t.select(F.lower(F.trim("object"))))
-    return ends.distinct().join(_surfaces(spark, d, thinned), "surface", "left_anti")
+    return ends.distinct().join(_surfaces(spark, d), "surface", "left_anti")
 
 
-def token_subset_match(spark, d, thinned=True):
-    o = orphan_endpoints(spark, d, thinned).select("surface", X.word_set(F.col("surface")).alias("t"))
-    e = _surfaces(spark, d, thinned).select("id", F.col("surface").alias("name"), X.word_set(F.col("surface")).alias("u"))
+def token_subset_match(spark, d):
+    o = orphan_endpoints(spark, d).select("surface", X.word_set(F.col("surface")).alias("t"))
+    e = _surfaces(spark, d).select("id", F.col("surface").alias("name"), X.word_set(F.col("surface")).alias("u"))
     w = o.select("surface", "t", F.explode("t").alias("w")).join(e.select("id", "name", "u", F.explode("u").alias("w")), "w").drop("w").distinct()
     sup = F.size(F.array_except("t", "u")) == 0
     sub = F.size(F.array_except("u", "t")) == 0
@@ -134,25 +129,6 @@ def token_subset_match(spark, d, thinned=True):
     return c.groupBy("surface").agg(F.min(F.struct("rank", "name")).alias("m")).select("surface", "m.rank", "m.name")
 
 
-# The SQL of the four queries on triples takes every fiftieth part as a surface; these take all.
-
-
-def triple_edges_whole(spark, d):
-    return triple_edges(spark, d, False)
-
-
-def triple_drop_counts_whole(spark, d):
-    return triple_drop_counts(spark, d, False)
-
-
-def orphan_endpoints_whole(spark, d):
-    return orphan_endpoints(spark, d, False)
-
-
-def token_subset_match_whole(spark, d):
-    return token_subset_match(spark, d, False)
-
-
 _SPANS = "sp AS (SELECT DISTINCT r.id AS seq, c AS chunkId, dn AS docName, r.value.text AS text, r.value.labels[1] AS type FROM (SELECT c, dn, unnest(p.result) AS r FROM (SELECT meta.chunkId AS c, meta.docName AS dn, unnest(predictions) AS p FROM ls_import)) WHERE c IS NOT NULL AND r.value.text IS NOT NULL)"
 _NORM = "trim(regexp_replace(translate(regexp_replace(text,'[\\x{064B}-\\x{065F}]','','g'),'أإآى','اااي'),'\\s+',' ','g'))"
 _TYPES = ",".join(repr(t) for t in E.TYPES)
@@ -160,15 +136,15 @@ _PT = "(['License','Document','Law','Article','Person'])[(p_partkey%5+1)::INT]"
 _STY = "(['RegulatoryBody','Person','BankingInstitution','Date'])[(s_suppkey%4+1)::INT]"
 _PR = "(['issued-by','GOVERNS','effective-from','unknown'])[(l_linenumber%4+1)::INT]"
 _RULES = " UNION ALL ".join(f"SELECT '{p}' AS p, {s!r} AS s, {o!r} AS o" for p, (s, o) in E.RELATIONS.items())
-_TRIP = "tr AS (SELECT upper(s_name) AS subject, l_returnflag AS predicate, CASE WHEN l_linenumber=7 THEN s_name ELSE p_name END AS object FROM lineitem JOIN part ON l_partkey=p_partkey JOIN supplier ON l_suppkey=s_suppkey), su AS (SELECT lower(s_name) AS surface, 's'||s_suppkey AS id FROM supplier UNION ALL SELECT lower(p_name), 'p'||min(p_partkey) FROM part WHERE p_partkey%50=1 GROUP BY 1), j AS (SELECT a.id AS src, b.id AS dst, predicate FROM tr LEFT JOIN su a ON a.surface=lower(trim(subject)) LEFT JOIN su b ON b.surface=lower(trim(object)))"
+_TRIP = "tr AS (SELECT upper(s_name) AS subject, l_returnflag AS predicate, CASE WHEN l_linenumber=7 THEN s_name WHEN l_linenumber=6 THEN split_part(p_name,' ',1) WHEN l_linenumber=5 THEN n_name ELSE p_name END AS object FROM lineitem JOIN part ON l_partkey=p_partkey JOIN supplier ON l_suppkey=s_suppkey JOIN nation ON s_nationkey=n_nationkey), su AS (SELECT lower(s_name) AS surface, 's'||s_suppkey AS id FROM supplier UNION ALL SELECT lower(p_name), 'p'||min(p_partkey) FROM part GROUP BY 1), j AS (SELECT a.id AS src, b.id AS dst, predicate FROM tr LEFT JOIN su a ON a.surface=lower(trim(subject)) LEFT JOIN su b ON b.surface=lower(trim(object)))"
 _ORPH = "en AS (SELECT DISTINCT lower(trim(subject)) AS surface FROM tr UNION SELECT lower(trim(object)) FROM tr), orp AS (SELECT surface FROM en WHERE surface NOT IN (SELECT surface FROM su))"
 _WS = "list_distinct(list_filter(regexp_split_to_array(lower({0}),'[^\\p{{L}}\\p{{N}}_]+'), lambda x: x<>''))"
 
 QUERIES = {
     f.__name__: f
     for f in (
-        canonical_entities_global, canonical_entities_docscoped, typed_relationship_validation, triple_edges, triple_drop_counts, alias_union_upsert, alias_prepend_upsert, edge_upsert_chunkids, edge_upsert_chunkids_whole, node_upsert, insert_if_absent, detach_delete,
-        csv_style_node_union, link_names, orphan_endpoints, token_subset_match, triple_edges_whole, triple_drop_counts_whole, orphan_endpoints_whole, token_subset_match_whole,
+        canonical_entities_global, canonical_entities_docscoped, typed_relationship_validation, triple_edges, triple_drop_counts, alias_union_upsert, alias_prepend_upsert, edge_upsert_chunkids, node_upsert, insert_if_absent, detach_delete,
+        csv_style_node_union, link_names, orphan_endpoints, token_subset_match,
     )
 }
 SQL = {
@@ -179,7 +155,7 @@ SQL = {
     "triple_drop_counts": f"WITH {_TRIP} SELECT count(*) AS raw, count(*) FILTER (WHERE src IS NULL OR dst IS NULL) AS unmatched, count(*) FILTER (WHERE src=dst) AS self_ref FROM j",
     "alias_union_upsert": "WITH o AS (SELECT p_brand AS b, list_sort(list(DISTINCT p_type)) AS t FROM part WHERE p_partkey%2=0 GROUP BY 1), n AS (SELECT p_brand AS b, list_sort(list(DISTINCT p_type)) AS t FROM part WHERE p_partkey%2=1 GROUP BY 1), c AS (SELECT p_brand AS b, count(DISTINCT p_partkey)::INT AS chunks FROM part GROUP BY 1) SELECT c.b AS canonicalId, array_to_string(list_concat(coalesce(o.t,[]), list_filter(coalesce(n.t,[]), lambda x: NOT list_contains(coalesce(o.t,[]),x))),'|') AS aliases, chunks FROM c LEFT JOIN o USING (b) LEFT JOIN n USING (b)",
     "alias_prepend_upsert": "WITH o AS (SELECT p_brand, list_sort(list(DISTINCT p_type)) AS t FROM part WHERE p_partkey%2=0 GROUP BY 1), n AS (SELECT p_brand, list_sort(list(DISTINCT p_type)) AS t FROM part WHERE p_partkey%2=1 GROUP BY 1) SELECT p_brand, array_to_string(list_concat(list_filter(n.t, lambda x: NOT list_contains(o.t,x)), o.t),'|') AS aliases FROM o JOIN n USING (p_brand)",
-    "edge_upsert_chunkids": "SELECT l_suppkey AS src, l_returnflag AS predicate, l_partkey AS dst, array_to_string(list_sort(list(DISTINCT l_orderkey)),'|') AS chunkIds FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier) AND l_partkey IN (SELECT s_suppkey FROM supplier) GROUP BY ALL",
+    "edge_upsert_chunkids": "SELECT 's'||l_suppkey AS src, l_returnflag AS predicate, 'p'||l_partkey AS dst, array_to_string(list_sort(list(DISTINCT l_orderkey)),'|') AS chunkIds FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier) AND l_partkey IN (SELECT p_partkey FROM part) GROUP BY ALL",
     "node_upsert": "WITH u AS (SELECT c_custkey, 0.0 AS c_acctbal FROM customer WHERE c_custkey%2=0 UNION ALL SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey%3<>0 AND c_custkey%2<>0) SELECT c_acctbal=0 AS fresh, count(*) AS n, sum(c_custkey)::BIGINT AS keys FROM u GROUP BY 1",
     "insert_if_absent": "WITH u AS (SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey%3<>0 UNION ALL SELECT c_custkey, -1.0 FROM customer WHERE c_custkey%3=0) SELECT c_acctbal=-1 AS fresh, count(*) AS n FROM u GROUP BY 1",
     "detach_delete": "WITH m AS (SELECT DISTINCT l_orderkey AS chunk, l_suppkey AS entity FROM lineitem), e AS (SELECT a.entity AS src, b.entity AS dst, count(*) AS weight FROM m a JOIN m b ON a.chunk=b.chunk AND a.entity<b.entity GROUP BY 1,2) SELECT (SELECT count(*) FROM supplier WHERE s_suppkey%7<>0) AS nodes, count(*) AS edges, sum(weight)::BIGINT AS weight FROM e WHERE src%7<>0 AND dst%7<>0",

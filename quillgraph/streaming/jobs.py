@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quillgraph.functions import text as X
 from quillgraph.operators import chat as C
-from quillgraph.sources.writers import merge_into
+from quillgraph.sources.writers import latest, merge_into, recover
 
 
 def files(spark: SparkSession, folder: str, schema, fmt: str = "parquet", per_trigger: int = 1) -> DataFrame:
@@ -20,14 +20,17 @@ def files(spark: SparkSession, folder: str, schema, fmt: str = "parquet", per_tr
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).format(fmt).load(folder)
 
 
-def publish(stream: DataFrame, path: str, keys: list[str], checkpoint: str, after: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
-    """Upserts every micro-batch by key (a repeated batch changes nothing) and runs the post-pass where it held rows."""
+def publish(stream: DataFrame, path: str, keys: list[str], checkpoint: str, after: Callable[[DataFrame, int], None] | None = None, version: str | None = None, partition: str | None = None) -> StreamingQuery:
+    """Upserts every micro-batch by key (a repeated batch changes nothing) and runs the post-pass where it held rows.
+
+    Of a key's rows in one batch the one with the greatest ``version`` counts; with ``partition`` only the partitions touched are rewritten.
+    """
 
     def each(batch: DataFrame, n: int) -> None:
-        rows = batch.dropDuplicates(keys)
+        rows = latest(batch, keys, version)
         if rows.isEmpty():
             return
-        merge_into(rows, path, keys)
+        merge_into(rows, path, keys, partition=partition)
         if after:
             after(rows, n)
 
@@ -78,9 +81,7 @@ def promote(messages: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
         if found.isEmpty():
             return
         spark = batch.sparkSession
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        known = spark.read.parquet(path) if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p) else None
+        known = spark.read.parquet(path) if recover(spark, path) else None
         merge_into(C.promoted(found, known), path, ["userId", "category", "key"])
 
     return messages.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

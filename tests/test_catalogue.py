@@ -9,7 +9,6 @@ import pytest
 from quillgraph.plans import catalogue
 
 D = "/root/testdata/sf0.001"
-SLOW = {"leiden_hierarchy", "part_components", "alignment_components", "merge_cluster", "ppr_converged"}
 
 
 def plain(v):
@@ -31,7 +30,7 @@ def duck():
 
 
 @pytest.mark.skipif(not os.path.isdir(D), reason="no test tables")
-@pytest.mark.parametrize("name", sorted(set(catalogue.SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalogue.SQL))
 def test_query_equals_sql(spark, duck, name):
     df = catalogue.QUERIES[name](spark, D)
     cols = sorted(df.columns)

@@ -46,20 +46,20 @@ def test_most_edges_are_light():
 
 
 def test_neighbours_and_hops(spark, tables):
-    assert rows(GQ.one_hop_neighbours_whole(spark, tables)) == Counter((a, b) for a in NEAR for b in NEAR[a])
-    assert rows(GQ.neighbour_degree_range_whole(spark, tables)) == Counter((a, len(n)) for a, n in NEAR.items() if 5 <= len(n) <= 50)
+    assert rows(GQ.one_hop_neighbours(spark, tables)) == Counter((a, b) for a in NEAR for b in NEAR[a])
+    assert rows(GQ.neighbour_degree_range(spark, tables)) == Counter((a, len(n)) for a, n in NEAR.items() if 5 <= len(n) <= 50)
     h0 = {100, 200, 300, 400}
     h1 = {x for s in h0 for x in NEAR.get(s, ())} - h0
     h2 = {x for s in h1 for x in NEAR[s]} - h0 - h1
-    assert rows(GQ.khop_subgraph_whole(spark, tables)) == Counter([(x, h, t) for h, t, s in ((0, "seed", h0), (1, "1", h1), (2, "2+", h2)) for x in s])
-    assert rows(GQ.induced_edges_whole(spark, tables)) == Counter((a, b, w) for (a, b), w in WEIGHT.items() if {a, b} <= h0 | h1)
+    assert rows(GQ.khop_subgraph(spark, tables)) == Counter([(x, h, t) for h, t, s in ((0, "seed", h0), (1, "1", h1), (2, "2+", h2)) for x in s])
+    assert rows(GQ.induced_edges(spark, tables)) == Counter((a, b, w) for (a, b), w in WEIGHT.items() if {a, b} <= h0 | h1)
 
 
 def test_trails(spark, tables):
     seeds = [100, 200, 300, 400]
-    assert rows(GQ.trail_paths_depth2_whole(spark, tables)) == Counter((n[0], n[-1], len(n) - 1, ">".join(map(str, n))) for n in trails(seeds, 2))
+    assert rows(GQ.trail_paths_depth2(spark, tables)) == Counter((n[0], n[-1], len(n) - 1, ">".join(map(str, n))) for n in trails(seeds, 2))
     want = Counter((n[0], n[-1], len(n) - 1) for n in trails(seeds, 3))
-    assert rows(GQ.trail_paths_depth3_whole(spark, tables)) == Counter((*k, n) for k, n in want.items())
+    assert rows(GQ.trail_paths_depth3(spark, tables)) == Counter((*k, n) for k, n in want.items())
 
 
 def test_components(spark, tables):
@@ -72,7 +72,7 @@ def test_components(spark, tables):
                 part[x] = n
                 todo += NEAR[x]
     sizes = Counter(part.values())
-    assert rows(GQ.part_components_whole(spark, tables)) == Counter((c, n, max(x for x in part if part[x] == c)) for c, n in sizes.items())
+    assert rows(GQ.part_components(spark, tables)) == Counter((c, n, max(x for x in part if part[x] == c)) for c, n in sizes.items())
 
 
 def test_communities_get_the_whole_graph(spark, tables, monkeypatch):
@@ -104,5 +104,5 @@ def test_retrieval(spark, tables):
         return out
 
     near = best(trails(sorted(score, key=lambda i: (-score[i], i))[:8], 2))
-    assert {r.chunk: r.score for r in VQ.khop_retrieval_whole(spark, tables).collect()} == pytest.approx({c: near[c] for c in sorted(near, key=lambda c: (-near[c], c))[:20]}, abs=1e-5)
-    assert {r.chunk: r.score for r in VQ.path_scores_chunk_max_whole(spark, tables).collect()} == pytest.approx(best(trails([100, 200, 300, 400], 2)), abs=1e-5)
+    assert {r.chunk: r.score for r in VQ.khop_retrieval(spark, tables).collect()} == pytest.approx({c: near[c] for c in sorted(near, key=lambda c: (-near[c], c))[:20]}, abs=1e-5)
+    assert {r.chunk: r.score for r in VQ.path_scores_chunk_max(spark, tables).collect()} == pytest.approx(best(trails([100, 200, 300, 400], 2)), abs=1e-5)
