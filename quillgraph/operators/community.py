@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillgraph.operators.components import connected_components
 from quillgraph.operators.graph import numbered
 from quillgraph.operators.metrics import modularity, plurality_parent
-from quillgraph.runtime import cut
+from quillgraph.runtime import cut_in_loop as cut
 
 
 def _moves(adj: DataFrame, labels: DataFrame, m2: float, gamma: float, rounds: int, degrees: DataFrame | None = None) -> DataFrame:

@@ -52,6 +52,17 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def cut_in_loop(df: DataFrame) -> DataFrame:
+    """A checkpoint for loops: it also forgets the plan's estimates.
+
+    A plain checkpoint keeps the estimated size, which every join multiplies;
+    after some rounds the number has so many digits that planning never ends.
+    """
+    spark, done = df.sparkSession, cut(df)
+    jdf = spark._jsparkSession.internalCreateDataFrame(done._jdf.queryExecution().toRdd(), done._jdf.schema(), False)
+    return DataFrame(jdf, spark)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder of its own below the shared one, for tables that a job writes on its way."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
