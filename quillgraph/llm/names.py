@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillgraph.runtime import cut
+from quillgraph.runtime import cut, cut_in_loop
 
 #: Least cosine of a pair of head words, of a pair of spellings, and least average cosine of two clusters that merge.
 COSINE, PAIR, LINK = 0.3, 0.15, 0.22
@@ -349,12 +349,12 @@ def average_linkage(nodes: DataFrame, links: DataFrame, least: float = LINK) ->
     merges cannot come between such a pair, so the clusters are those of the
     greedy sequence. It ends when no average reaches ``least``.
     """
-    edges = cut(links.select("a", "b", "s", F.lit(1).cast("bigint").alias("na"), F.lit(1).cast("bigint").alias("nb")))
+    edges = cut_in_loop(links.select("a", "b", "s", F.lit(1).cast("bigint").alias("na"), F.lit(1).cast("bigint").alias("nb")))
     out = nodes.select("key", F.col("key").alias("cluster"))
     while True:
         rated = edges.withColumn("at", F.struct((F.col("s") / (F.col("na") * F.col("nb"))).alias("avg"), F.xxhash64("a", "b").alias("tie"), "a", "b", (F.col("na") + F.col("nb")).alias("n")))
         top = rated.select(F.explode(F.array("a", "b")).alias("c"), "at").groupBy("c").agg(F.max("at").alias("at")).where(F.col("at.avg") >= least)
-        pairs = cut(top.groupBy("at").agg(F.count(F.lit(1)).alias("k")).where("k = 2").select("at.a", "at.b", "at.n"))
+        pairs = cut_in_loop(top.groupBy("at").agg(F.count(F.lit(1)).alias("k")).where("k = 2").select("at.a", "at.b", "at.n"))
         if pairs.isEmpty():
             return out
         moved = pairs.select(F.explode(F.array("a", "b")).alias("c"), F.col("a").alias("to"), "n")
@@ -363,7 +363,7 @@ def average_linkage(nodes: DataFrame, links: DataFrame, least: float = LINK) ->
         x = F.struct(F.coalesce("ta", "a").alias("c"), F.coalesce("ma", "na").alias("n"))
         y = F.struct(F.coalesce("tb", "b").alias("c"), F.coalesce("mb", "nb").alias("n"))
         e = e.select(F.least(x, y).alias("l"), F.greatest(x, y).alias("r"), "s").where("l.c != r.c")
-        edges = cut(e.groupBy(F.col("l.c").alias("a"), F.col("r.c").alias("b")).agg(F.sum("s").alias("s"), F.first("l.n").alias("na"), F.first("r.n").alias("nb")))
+        edges = cut_in_loop(e.groupBy(F.col("l.c").alias("a"), F.col("r.c").alias("b")).agg(F.sum("s").alias("s"), F.first("l.n").alias("na"), F.first("r.n").alias("nb")))
 
 
 def clusters(texts: DataFrame) -> DataFrame:
