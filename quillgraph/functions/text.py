@@ -42,7 +42,8 @@ def normalize_arabic(c: Column) -> Column:
 
 
 def normalize_for_lookup(c: Column) -> Column:
-    return F.translate(F.regexp_replace(c, "[ؐ-ًً-ٟ]", ""), "أإآى", "اااي")
+    return F.translate(F.regexp_replace(c, r"[\u0610-\u061a\u064b-\u065f]", ""), "أإآى", "اااي")
+
 
 
 def slug(c: Column) -> Column:

@@ -126,7 +126,7 @@ def hop_label(hop: Column) -> Column:
 
 def pick(nodes: DataFrame, node: str = "node", seed: int = 1) -> DataFrame:
     """One node at random by a seeded hash: the same one for the same nodes and seed."""
-    return nodes.select(node).orderBy(F.xxhash64(F.lit(seed), node), node).limit(1)
+    return nodes.select(node).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(node).cast("string"))), node).limit(1)
 
 
 def expanded(nodes: DataFrame, more: DataFrame, key: str = "id") -> DataFrame:

@@ -122,3 +122,14 @@ def ingest_counts(elements: DataFrame, chunks: DataFrame, mentions: DataFrame) -
     c = chunks.groupBy("docName").agg(F.count_distinct("chunkId").alias("chunks"))
     m = mentions.groupBy("docName").agg(F.count_distinct("text").alias("entities"))
     return e.join(c, "docName", "full").join(m, "docName", "full").na.fill(0, ["elements", "chunks", "entities"])
+
+
+def token_accuracy(tokens: DataFrame, gold: str = "gold", found: str = "found") -> DataFrame:
+    """One row: the share of tokens whose found label is the true one, null labels counting as wrong."""
+    return tokens.agg(F.count(F.lit(1)).alias("tokens"), F.avg(F.coalesce(F.col(gold) == F.col(found), F.lit(False)).cast("double")).alias("accuracy"))
+
+
+def distribution(df: DataFrame, label: str) -> DataFrame:
+    """``label, n, share`` of every label, null included."""
+    n = df.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    return n.crossJoin(n.agg(F.sum("n").alias("all"))).select("label", "n", (F.col("n") / F.col("all")).alias("share"))  # one row

@@ -15,6 +15,12 @@ def per_document(df: DataFrame, path: str, fmt: str = "json") -> None:
     df.write.mode("overwrite").partitionBy("docName").format(fmt).save(path)
 
 
+def json_documents(df: DataFrame, path: str, by: str = "docName") -> None:
+    """One JSON array per document, each in a folder of its own."""
+    rows = df.groupBy(by).agg(F.to_json(F.collect_list(F.struct(*df.columns))).alias("value"))
+    rows.withColumn("part", F.sha2(F.col(by), 256)).select("part", "value").write.mode("overwrite").partitionBy("part").text(path)
+
+
 def markdown_of(pages: DataFrame) -> DataFrame:
     """``docName, markdown``: pages in order, joined by a rule."""
     g = pages.groupBy("docName").agg(F.array_sort(F.collect_list(F.struct("page", "markdown"))).alias("p"))
