@@ -14,6 +14,8 @@ from quillgraph.functions import text as X
 
 #: Tokens below which a running chunk takes a table in; tokens of overlap with the previous chunk.
 TABLE_MERGE, OVERLAP = 50, 100
+#: Places of a document's reading order that one block holds.
+BLOCK = 4096
 
 
 def doc_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -49,13 +51,23 @@ def section_islands(elements: DataFrame) -> DataFrame:
     """Body elements with ``island``: consecutive ones of one section path share a number (from 1 per document).
 
     A path that comes back later opens a new island. Repeated rows of an
-    element count once.
+    element count once. A document is cut into blocks of its reading order;
+    islands are numbered inside a block and by a prefix sum over the blocks'
+    ends, so the heaviest document is spread like any other.
     """
     e = elements.where("elementType != 'heading'").dropDuplicates(["elementId"]).withColumn("seq", sequence_of(F.col("elementId")))
-    w = W.Window.partitionBy("docName").orderBy("seq", "elementId")
-    first = F.lag("sectionPath").over(w)
-    new = F.when(F.row_number().over(w) == 1, 1).when(first.eqNullSafe(F.col("sectionPath")), 0).otherwise(1)
-    return e.withColumn("new", new).withColumn("island", F.sum("new").over(w)).drop("new")
+    e = e.withColumn("_b", F.coalesce(F.floor(F.col("seq") / BLOCK), F.lit(-1)))
+    w = W.Window.partitionBy("docName", "_b").orderBy("seq", "elementId")
+    opens = F.when(F.row_number().over(w) == 1, 0).when(F.lag("sectionPath").over(w).eqNullSafe(F.col("sectionPath")), 0).otherwise(1)
+    e = e.withColumn("_n", opens)
+    at = F.struct("seq", "elementId")
+    ends = e.groupBy("docName", "_b").agg(F.min_by("sectionPath", at).alias("head"), F.max_by("sectionPath", at).alias("tail"), F.sum("_n").alias("inside"))
+    o = W.Window.partitionBy("docName").orderBy("_b")
+    ends = ends.withColumn("start", F.when(F.row_number().over(o) == 1, 1).when(F.lag("tail").over(o).eqNullSafe(F.col("head")), 0).otherwise(1))
+    base = F.coalesce(F.sum(F.col("start") + F.col("inside")).over(o.rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0)) + F.col("start")
+    ends = ends.select(F.col("docName").alias("_d"), F.col("_b").alias("_k"), base.alias("_base"))
+    e = e.withColumn("_run", F.sum("_n").over(w))
+    return e.join(ends, e["docName"].eqNullSafe(ends["_d"]) & (e["_b"] == ends["_k"])).withColumn("island", F.col("_base") + F.col("_run")).drop("_b", "_n", "_d", "_k", "_base", "_run")
 
 
 def default_tokens(t: str) -> int:
@@ -128,31 +140,50 @@ def chunk_elements(elements: DataFrame, budget: int = 400, count: Callable[[str]
     numbers run through the document by a prefix sum over its sections. Null
     texts count as empty; null pages are left out.
     """
-    isl = section_islands(elements)
+    isl = section_islands(elements).select("docName", "island", "seq", "elementId", "elementType", "sectionPath", "page", "text", "accessLevel")
+    columns = ["docName", "island", "n", "sectionPath", "pages", "text", "elementIds", "accessLevel"]
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["seq", "elementId"])
-        by = {r.elementId: r for r in pdf.itertuples()}
-        path = pdf["sectionPath"].iloc[0]
+    def pack(rows: list[tuple]) -> list[tuple]:
+        by = {r[3]: r for r in rows}
+        doc, island, path = rows[0][0], rows[0][1], rows[0][5]
         path = [] if path is None else list(path)
         out, before = [], ""
-        for n, g in enumerate(pack_section([(r.elementId, r.elementType, r.text or "") for r in pdf.itertuples()], budget, count)):
+        for n, g in enumerate(pack_section([(r[3], r[4], r[7] or "") for r in rows], budget, count)):
             body = "\n\n".join(t for _, _, t in g)
             pages: list[int] = []
             for i, _, _ in g:
-                p = by[i].page
+                p = by[i][6]
                 if not pd.isna(p) and int(p) not in pages:
                     pages.append(int(p))
             text = (path[-1] + ": " if path else "") + (before + "\n\n" if before else "") + body
-            out.append((pdf["docName"].iloc[0], int(pdf["island"].iloc[0]), n, path, pages, text, [i for i, _, _ in g], by[g[0][0]].accessLevel))
+            out.append((doc, int(island), n, path, pages, text, [i for i, _, _ in g], by[g[0][0]][8]))
             before = tail_of(body, overlap, count) if overlap else ""
-        return pd.DataFrame(out, columns=["docName", "island", "n", "sectionPath", "pages", "text", "elementIds", "accessLevel"])
+        return out
 
-    packed = isl.select("docName", "island", "seq", "elementId", "elementType", "sectionPath", "page", "text", "accessLevel").groupBy("docName", "island").applyInPandas(
-        pack, "docName string, island long, n int, sectionPath array<string>, pages array<int>, text string, elementIds array<string>, accessLevel string"
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # rows come sorted by section; one that goes on in the next batch is carried over
+        rest: list[tuple] = []
+        for b in batches:
+            out = []
+            for r in b.itertuples(index=False, name=None):
+                if rest and (rest[0][0] != r[0] or rest[0][1] != r[1]):
+                    out += pack(rest)
+                    rest = []
+                rest.append(r)
+            yield pd.DataFrame(out, columns=columns)
+        if rest:
+            yield pd.DataFrame(pack(rest), columns=columns)
+
+    packed = isl.repartition("docName", "island").sortWithinPartitions("docName", "island", "seq", "elementId").mapInPandas(
+        run, "docName string, island long, n int, sectionPath array<string>, pages array<int>, text string, elementIds array<string>, accessLevel string"
     )
-    number = F.row_number().over(W.Window.partitionBy("docName").orderBy("island", "n"))
-    return packed.withColumn("k", number).select(X.chunk_id(F.col("docName"), F.col("k")).alias("chunkId"), "docName", "sectionPath", "pages", "text", "elementIds", "accessLevel")
+    packed = packed.withColumn("_b", F.floor(F.col("island") / BLOCK))
+    counts = packed.groupBy("docName", "_b").agg(F.count(F.lit(1)).alias("c"))
+    before = F.coalesce(F.sum("c").over(W.Window.partitionBy("docName").orderBy("_b").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(F.col("docName").alias("_d"), F.col("_b").alias("_k"), before.alias("_before"))
+    number = F.row_number().over(W.Window.partitionBy("docName", "_b").orderBy("island", "n"))
+    numbered = packed.withColumn("k", number).join(counts, F.col("docName").eqNullSafe(F.col("_d")) & (F.col("_b") == F.col("_k")))
+    return numbered.select(X.chunk_id(F.col("docName"), F.col("k") + F.col("_before")).alias("chunkId"), "docName", "sectionPath", "pages", "text", "elementIds", "accessLevel")
 
 
 def table_text(cells: DataFrame, key: str = "table_id") -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from quillgraph.runtime import cut
+
 
 def ratio(a, b):
     """a / b, 0 where b is 0."""
@@ -81,8 +83,20 @@ def percentiles(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
 
 
 def rank_above(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Rank as the number of strictly greater values plus one."""
-    return df.withColumn("rank", F.rank().over(W.Window.partitionBy(*by).orderBy(F.desc(value))))
+    """Rank as the number of strictly greater values plus one; a null value has none.
+
+    Over all rows, distinct values are counted, dealt over ranges and their
+    counts prefix-summed, so no task sees every row.
+    """
+    if by:
+        return df.withColumn("rank", F.when(F.col(value).isNotNull(), F.rank().over(W.Window.partitionBy(*by).orderBy(F.desc_nulls_last(value)))))
+    n = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("n"))
+    ranged = cut(n.repartitionByRange(F.desc("_v")).withColumn("part", F.spark_partition_id()))
+    sums = ranged.groupBy("part").agg(F.sum("n").alias("all"))
+    before = sums.select("part", F.coalesce(F.sum("all").over(W.Window.orderBy("part").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    inside = F.coalesce(F.sum("n").over(W.Window.partitionBy("part").orderBy(F.desc("_v")).rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0))
+    ranks = ranged.withColumn("inside", inside).join(before, "part").select("_v", (F.col("before") + F.col("inside") + 1).alias("rank"))
+    return df.join(ranks, F.col(value) == F.col("_v"), "left").drop("_v")
 
 
 def plurality_parent(children: DataFrame) -> DataFrame:
@@ -133,3 +147,8 @@ def distribution(df: DataFrame, label: str) -> DataFrame:
     """``label, n, share`` of every label, null included."""
     n = df.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
     return n.crossJoin(n.agg(F.sum("n").alias("all"))).select("label", "n", (F.col("n") / F.col("all")).alias("share"))  # one row
+
+
+def value_stats(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """Number of rows, least, most, mean and total of a value."""
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), F.avg(value).alias("mean"), F.sum(value).alias("total"))

@@ -13,6 +13,7 @@ from pyspark.sql import window as W
 
 from quillgraph.functions import text as X
 
+# Fixed value: what counts as one token.
 _TOKEN = re.compile(r"[\d٠-٩]+(?:-[\d٠-٩]+)+|[؀-ۿݐ-ݿﭐ-﷿ﹰ-﻿a-zA-Z0-9]+|\S")
 
 
@@ -95,3 +96,18 @@ def grouped_by_n(df: DataFrame, order: str, n: int, by: str) -> DataFrame:
 
 def flags(word: Column, org: Sequence[str], money: Sequence[str], months: Sequence[str]) -> dict[str, Column]:
     return {"is_org_trigger": word.isin(list(org)), "in_money_trigger": word.isin(list(money)), "in_month": word.isin(list(months))}
+
+
+# Fixed value: the same tokens without single characters of other kinds told apart, as a pattern of the JVM.
+WORD_PATTERN = "([0-9٠-٩]+-[0-9٠-٩]+(?:-[0-9٠-٩]+)*|[؀-ۿa-zA-Z0-9]+|[^\\s])"
+
+
+def token_windows(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
+    """``keys, i, w_2, w_1, w, w1, w2``: each token with two on either side, ``__START__`` and ``__END__`` beyond the ends.
+
+    A text's tokens are one array, so neighbours are looked up in place without a shuffle.
+    """
+    t = df.select(*keys, F.regexp_extract_all(text, F.lit(WORD_PATTERN), F.lit(1)).alias("_t")).where(F.size("_t") > 0)
+    p = F.concat(F.array(F.lit("__START__"), F.lit("__START__")), "_t", F.array(F.lit("__END__"), F.lit("__END__")))
+    five = F.expr("transform(sequence(1, size(_p) - 4), i -> named_struct('w_2', _p[i - 1], 'w_1', _p[i], 'w', _p[i + 1], 'w1', _p[i + 2], 'w2', _p[i + 3]))")
+    return t.withColumn("_p", p).select(*keys, F.posexplode(five).alias("i", "_x")).select(*keys, "i", "_x.*")

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
 from quillgraph.functions import text as X
 from quillgraph.operators import chunking as C
 from quillgraph.operators import metrics as M
+from quillgraph.operators import ner as N
 from quillgraph.sources.tables import load
 
 
@@ -61,7 +61,8 @@ def normalised_ids(spark, d):
 
 
 def _words(spark, d):
-    t = load(spark, d, "chunks").select(F.explode("sectionPath").alias("t")).distinct()
+    """The distinct words of all chunk texts."""
+    t = load(spark, d, "chunks").select(F.translate("text", "\n\t", "  ").alias("t"))
     return t.select(F.explode(F.split("t", " ")).alias("w")).where("w != ''").distinct()
 
 
@@ -79,17 +80,14 @@ def morph_features(spark, d):
 
 
 def token_window_features(spark, d):
-    t = load(spark, d, "chunks").select("chunkId", F.element_at("sectionPath", -1).alias("t")).distinct()
-    p = t.select("chunkId", "t", F.posexplode(F.regexp_extract_all("t", F.lit("([0-9٠-٩]+-[0-9٠-٩]+(?:-[0-9٠-٩]+)*|[؀-ۿa-zA-Z0-9]+|[^\\s])"), F.lit(1))).alias("i", "w"))
-    w = W.Window.partitionBy("chunkId", "t").orderBy("i")
-    at = lambda k: F.coalesce(F.lag("w", -k).over(w) if k > 0 else F.lag("w", -k).over(w), F.lit("__END__" if k > 0 else "__START__"))
-    f = p.select("chunkId", "i", "w", at(-2).alias("w_2"), at(-1).alias("w_1"), F.coalesce(F.lead("w", 1).over(w), F.lit("__END__")).alias("w1"), F.coalesce(F.lead("w", 2).over(w), F.lit("__END__")).alias("w2"))
+    t = load(spark, d, "chunks").select("chunkId", F.col("text").alias("t")).distinct()
+    f = N.token_windows(t, ["chunkId", "t"], "t")
     return f.groupBy("w_2", "w_1", "w", "w1", "w2").agg(F.count(F.lit(1)).alias("n"))
 
 
 def chunk_stats(spark, d):
-    v = load(spark, d, "v2_chunks")
-    return v.groupBy("element_type").agg(F.count(F.lit(1)).alias("n"), F.min("token_estimate").alias("least"), F.max("token_estimate").alias("most"), F.round(F.avg("token_estimate"), 6).alias("mean"), F.sum("token_estimate").alias("total"))
+    s = M.value_stats(load(spark, d, "v2_chunks"), "token_estimate", ["element_type"])
+    return s.withColumn("mean", F.round("mean", 6))
 
 
 def url_functions(spark, d):
@@ -110,7 +108,7 @@ def context_blocks(spark, d):
 _ST = "regexp_replace({0},'^\\s+|\\s+$','','g')"
 _BL = "bl AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text,'\\n\\s*\\n'), lambda b: regexp_replace(b,'^\\s+|\\s+$','','g')), lambda b: b<>'') AS b FROM documents WHERE text IS NOT NULL), e AS (SELECT doc_id, unnest(b) AS block, generate_subscripts(b,1)-1 AS pos FROM bl)"
 _KIND = "CASE WHEN starts_with(block,'#') THEN 'heading' WHEN starts_with(block,'|') THEN 'table' WHEN regexp_matches(split_part(block,chr(10),1),'^([-*+]|[0-9]+\\.)\\s') THEN 'list' ELSE 'paragraph' END"
-_W = "t AS (SELECT DISTINCT unnest(sectionPath) AS t FROM chunks), w AS (SELECT DISTINCT w FROM (SELECT unnest(string_split(t,' ')) AS w FROM t) WHERE w<>'')"
+_W = "t AS (SELECT translate(text, chr(10)||chr(9), '  ') AS t FROM chunks), w AS (SELECT DISTINCT w FROM (SELECT unnest(string_split(t,' ')) AS w FROM t) WHERE w<>'')"
 _TOK = "CASE WHEN regexp_replace(coalesce(content,''),'^\\s+|\\s+$','','g')='' THEN 0 ELSE len(regexp_split_to_array(regexp_replace(content,'^\\s+|\\s+$','','g'),'\\s+')) END"
 _PRE = "CASE " + " ".join(f"WHEN starts_with(w,'{p}') THEN substr(w,{len(p) + 1})" for p in X.PREFIXES) + " " + " ".join(f"WHEN starts_with(w,'{p}') AND length(w)>{len(p) + 1} THEN substr(w,{len(p) + 1})" for p in X.CLITICS) + " ELSE w END"
 _U = "u AS (SELECT 'https://host.example/-/laws/'||replace(chunkId,' ','%20')||CASE WHEN length(chunkId)%3=0 THEN '.pdf?pageNo=4&x=1#top' WHEN length(chunkId)%3=1 THEN '?pageNo=19' ELSE '.png.pdf' END AS u FROM (SELECT DISTINCT docName, chunkId FROM chunks))"
@@ -133,7 +131,7 @@ SQL = {
     "char_ngrams": f"WITH {_W}, g AS (SELECT DISTINCT w, 'c2_'||substr(w,i,2) AS gram FROM w, range(1,60) r(i) WHERE i<=length(w)-1 UNION SELECT DISTINCT w, 'c3_'||substr(w,i,3) FROM w, range(1,60) r(i) WHERE i<=length(w)-2) SELECT gram, count(*) AS n FROM g GROUP BY 1",
     "script_features": f"WITH {_W}, x AS (SELECT w FROM w UNION SELECT regexp_extract(chunkId,'([^_]*)$',1) FROM message_citations WHERE chunkId IS NOT NULL) SELECT w, regexp_matches(w,'^[٠-٩]+$') AS is_arabic_num, regexp_matches(w,'^[0-9]+$') AS is_western_num, regexp_matches(w,'[a-zA-Z]') AS contains_latin, regexp_matches(w,'^[0-9٠-٩]+-[0-9٠-٩]+(-[0-9٠-٩]+)*$') AS is_clause_ref, regexp_matches(w,'^[A-Z]{{2,6}}$') AS is_abbreviation, coalesce(len(regexp_extract_all(w,'[\\x{{0600}}-\\x{{06FF}}]'))/nullif(len(regexp_extract_all(w,'\\p{{L}}')),0)>=0.1,false) AS is_arabic FROM x WHERE w<>''",
     "morph_features": f"WITH {_W}, s AS (SELECT w, {_PRE} AS st FROM w) SELECT w, starts_with(st,'ال') AS has_def_art, regexp_matches(w,'^(بال|لل|كال|وال|فال|ب|ل|ك|و|ف)') AS has_prep_clitic, CASE WHEN starts_with(st,'ال') THEN substr(st,3) ELSE st END AS stem FROM s",
-    "token_window_features": "WITH t AS (SELECT DISTINCT chunkId, sectionPath[-1] AS t FROM chunks), x AS (SELECT chunkId, t, regexp_extract_all(t,'([0-9٠-٩]+-[0-9٠-٩]+(?:-[0-9٠-٩]+)*|[\\x{0600}-\\x{06FF}a-zA-Z0-9]+|[^\\s])',1) AS ws FROM t), p AS (SELECT chunkId, t, unnest(ws) AS w, generate_subscripts(ws,1) AS i FROM x), f AS (SELECT w, coalesce(lag(w,2) OVER o,'__START__') AS w_2, coalesce(lag(w,1) OVER o,'__START__') AS w_1, coalesce(lead(w,1) OVER o,'__END__') AS w1, coalesce(lead(w,2) OVER o,'__END__') AS w2 FROM p WINDOW o AS (PARTITION BY chunkId,t ORDER BY i)) SELECT w_2,w_1,w,w1,w2,count(*) AS n FROM f GROUP BY ALL",
+    "token_window_features": "WITH t AS (SELECT DISTINCT chunkId, text AS t FROM chunks), x AS (SELECT chunkId, t, regexp_extract_all(t,'([0-9٠-٩]+-[0-9٠-٩]+(?:-[0-9٠-٩]+)*|[\\x{0600}-\\x{06FF}a-zA-Z0-9]+|[^\\s])',1) AS ws FROM t), p AS (SELECT chunkId, t, unnest(ws) AS w, generate_subscripts(ws,1) AS i FROM x), f AS (SELECT w, coalesce(lag(w,2) OVER o,'__START__') AS w_2, coalesce(lag(w,1) OVER o,'__START__') AS w_1, coalesce(lead(w,1) OVER o,'__END__') AS w1, coalesce(lead(w,2) OVER o,'__END__') AS w2 FROM p WINDOW o AS (PARTITION BY chunkId,t ORDER BY i)) SELECT w_2,w_1,w,w1,w2,count(*) AS n FROM f GROUP BY ALL",
     "chunk_stats": "SELECT element_type, count(*) AS n, min(token_estimate) AS least, max(token_estimate) AS most, round(avg(token_estimate),6) AS mean, sum(token_estimate)::BIGINT AS total FROM v2_chunks GROUP BY 1",
     "url_functions": f"WITH {_U} SELECT u, regexp_replace(u,'#.*$','') AS bare, (NOT regexp_matches(split_part(lower(u),'?',1),'\\.(png|jpg|jpeg|gif|svg)') AND (ends_with(split_part(lower(u),'?',1),'.pdf') OR contains(split_part(lower(u),'?',1),'/-/media/'))) AS pdf, CASE WHEN regexp_matches(u,'pageNo=[0-9]+') THEN regexp_extract(u,'^(.*?pageNo=)[0-9]+',1)||(regexp_extract(u,'pageNo=([0-9]+)',1)::BIGINT+1)||regexp_extract(u,'pageNo=[0-9]+(.*)$',1) END AS next FROM u",
     "stratified_sample": "WITH c AS (SELECT coalesce(lower(trim(source)),'_') AS source, least(count(*),5) AS n FROM documents GROUP BY 1) SELECT source, n FROM c",
