@@ -40,10 +40,10 @@ def _target(ch: str) -> str:
 
 @lru_cache(maxsize=1)
 def mapping_rows() -> list[tuple[str, list[tuple[str, int]]]]:
-    """(code point, [(code point, combining class)]) for every code point that a rule touches, and for all marks."""
+    """(code point, [(code point, combining class)]) for every code point that a rule touches, and for all marks; Hangul syllables become their letters, which stay apart."""
     rows = []
     for n in range(0x110000):
-        if 0xD800 <= n <= 0xDFFF or 0xAC00 <= n <= 0xD7A3 or 0xE000 <= n <= 0xF8FF or n > 0x2FA1F and n < 0xE0000 or n > 0xE01FF:
+        if 0xD800 <= n <= 0xDFFF or 0xE000 <= n <= 0xF8FF or n > 0x2FA1F and n < 0xE0000 or n > 0xE01FF:
             continue
         ch = chr(n)
         to = _target(ch)

@@ -37,7 +37,9 @@ def budgets(records: DataFrame, targets: DataFrame) -> DataFrame:
     more than ``max_repeats`` times its tokens. Sources with a share but no
     tokens cannot be met by any size; they get none and do not bound the rest.
     """
-    t = targets.select(source_of(F.col("source")).alias("source"), "target_share", "max_repeats").where("source is not null and target_share > 0").dropDuplicates(["source"])
+    t = targets.select(source_of(F.col("source")).alias("source"), "target_share", "max_repeats").where("source is not null and target_share > 0")
+    # a source named twice has its greatest share
+    t = t.groupBy("source").agg(F.max(F.struct("target_share", "max_repeats")).alias("t")).select("source", "t.*")
     have = records.groupBy("source").agg(F.count(F.lit(1)).alias("records"), F.sum("tokens").alias("have"))
     b = t.join(have, "source", "left").select("source", "target_share", "max_repeats", F.coalesce("records", F.lit(0)).alias("records"), F.coalesce("have", F.lit(0)).alias("have"))
     size = b.where("have > 0").agg(F.min(F.col("max_repeats") * F.col("have") / F.col("target_share")).alias("size"))
@@ -54,22 +56,15 @@ def mixture(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str
     """
     rec = cut(counted(docs, key, text, path, seed))
     plan = cut(budgets(rec, targets))
-    # one row per target source, whatever the number of records
-    rows = plan.select("source", "budget", "have", "records", "max_repeats").collect()
-    buckets = max(1, -(-max([r["records"] for r in rows], default=1) // BUCKET))
+    buckets = max(1, -(-(plan.agg(F.max("records")).first()[0] or 1) // BUCKET))
     b = rec.withColumn("b", F.floor((F.col("h").cast("double") / 2.0**64 + 0.5) * buckets).cast("bigint"))
-    full = F.lit(0)
-    rest = F.lit(None).cast("bigint")
-    for r in rows:
-        epochs = min(r["max_repeats"], r["budget"] // r["have"]) if r["have"] else 0
-        left = r["budget"] - epochs * r["have"] if r["have"] and epochs < r["max_repeats"] else 0
-        full = F.when(F.col("source") == r["source"], F.lit(int(epochs))).otherwise(full)
-        rest = F.when(F.col("source") == r["source"], F.lit(int(left))).otherwise(rest)
-    used = b.where(F.col("source").isin([r["source"] for r in rows])).withColumns({"epochs": full, "rest": rest})
+    epochs = F.expr("case when have > 0 then least(max_repeats, budget div have) else 0 end").cast("int")
+    rest = F.expr("case when have > 0 and epochs < max_repeats then budget - epochs * have else 0 end").cast("bigint")
+    used = b.join(plan.withColumn("epochs", epochs).select("source", "epochs", rest.alias("rest")), "source")
     sums = used.groupBy("source", "b").agg(F.sum("tokens").alias("t"), F.first("rest").alias("rest"))
     upto = sums.withColumn("upto", F.sum("t").over(W.Window.partitionBy("source").orderBy("b").rowsBetween(W.Window.unboundedPreceding, 0)))
     at = upto.groupBy("source").agg(F.min(F.when(F.col("upto") > F.col("rest"), F.col("b"))).alias("cut"), F.coalesce(F.max(F.when(F.col("upto") <= F.col("rest"), F.col("upto"))), F.lit(0)).alias("before"))
-    placed = used.join(F.broadcast(at), "source")  # a row per target source
+    placed = used.join(at, "source")
     inside = placed.where("b = cut").withColumn("run", F.col("before") + F.sum("tokens").over(W.Window.partitionBy("source").orderBy("h", key).rowsBetween(W.Window.unboundedPreceding, 0))).withColumn("more", (F.col("run") <= F.col("rest")).cast("int")).drop("run")
     outside = placed.where("cut is null or b != cut").withColumn("more", (F.col("cut").isNull() | (F.col("b") < F.col("cut"))).cast("int"))
     # with nothing left beyond whole epochs, empty records before the cut would still be repeated once more

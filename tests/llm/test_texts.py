@@ -35,6 +35,12 @@ def test_pairs_differ_but_look_the_same(spark):
     assert got == want and ("k00", "k01") in got and ("k00", "zz") not in got
 
 
+def test_hangul_in_syllables_and_letters(spark):
+    rows = [("a", "한글 글"), ("b", unicodedata.normalize("NFD", "한글 글")), ("c", "한글 굴")]
+    got = {tuple(r) for r in LA.same_looking(spark.createDataFrame(rows, "id string, text string"), "id", "text").collect()}
+    assert got == {("a", "b")}
+
+
 def test_empty_tables(spark):
     assert LA.same_looking(spark.createDataFrame([], "id string, text string"), "id", "text").count() == 0
     assert LE.leaks(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, question string, paragraph_text string")).count() == 0
