@@ -35,15 +35,21 @@ def node_specificity(seeds: DataFrame, mentions: DataFrame, entity: str = "entit
     return seed_vector(m, m)
 
 
-def personalized_pagerank(adj: DataFrame, seeds: DataFrame, alpha: float = 0.5, iterations: int = 100, tolerance: float | None = 1e-9, checkpoint_every: int = 5) -> DataFrame:
+def transition_table(adj: DataFrame) -> DataFrame:
+    """The stored, row-normalised matrix, partitioned by source."""
+    return cut(row_normalised(adj).repartition("src"))
+
+
+def personalized_pagerank(adj: DataFrame, seeds: DataFrame, alpha: float = 0.5, iterations: int = 100, tolerance: float | None = 1e-9, checkpoint_every: int = 5, transitions: DataFrame | None = None) -> DataFrame:
     """``node, score`` after r <- (1 - alpha) M'r + alpha s from r = s.
 
     Stops when the L1 change falls below ``tolerance`` (``None``: always runs
     all iterations). The transition table is partitioned by source once and
     kept; an iteration joins it with the scores and sums by target, with
-    partial sums before the shuffle. Lineage is cut every few rounds.
+    partial sums before the shuffle. Lineage is cut every few rounds. A graph
+    that is asked often keeps its ``transitions`` (:func:`transition_table`).
     """
-    m = cut(row_normalised(adj).repartition("src"))
+    m = transition_table(adj) if transitions is None else transitions
     s = cut(seeds.select("node", "mass"))
     r = s.select("node", F.col("mass").alias("score"))
     for i in range(1, iterations + 1):

@@ -155,6 +155,17 @@ def manifest_counts(spark, d):
     return WR.status_counts(load(spark, d, "orders").select(s.alias("status")))
 
 
+def evaluation_versions(spark, d):
+    """Two versions of a report beside each other."""
+    out = shared_folder(spark, "eval")
+    rows = load(spark, d, "eval_items").select("item_id", "lang")
+    WR.evaluation_report(rows, out, "1", mode="vector", k="5")
+    WR.evaluation_report(rows.where("item_id % 2 = 0"), out, "2", mode="graph")
+    back = spark.read.schema("item_id long, lang string").json(out + "/v*/rows").withColumn("version", F.regexp_extract(F.col("_metadata.file_path"), "/v([0-9]+)/rows", 1))
+    config = spark.read.schema("version string, config map<string,string>").json(out + "/v*/config").select("version", F.col("config")["mode"].alias("mode"))
+    return back.groupBy("version").agg(F.count(F.lit(1)).alias("n")).join(config, "version")
+
+
 def element_ids(spark, d):
     e = load(spark, d, "parsed_elements").select("docName", C.sequence_of(F.col("elementId")).alias("n"), "elementId").distinct()
     return e.select("elementId", X.element_id(F.col("docName"), F.col("n")).alias("made"), X.chunk_id(F.col("docName"), F.col("n")).alias("chunk"))
@@ -419,7 +430,7 @@ _MERGE = MQ._EN + ", rr AS (SELECT cl.id, first_value(en.id) OVER (PARTITION BY
 QUERIES = {
     f.__name__: f
     for f in (
-        json_dump_roundtrip, jsonl_scan, csv_graph_scan, docx_elements, upload_routes, page_links, linked_documents, crawl_depths, conll_sentences, labelled_edges, markdown_dump, edge_partitions, partitioned_upsert, manifest_counts, element_ids, table_texts,
+        json_dump_roundtrip, jsonl_scan, csv_graph_scan, docx_elements, upload_routes, page_links, linked_documents, crawl_depths, conll_sentences, labelled_edges, markdown_dump, edge_partitions, partitioned_upsert, manifest_counts, evaluation_versions, element_ids, table_texts,
         path_types, scoped_edges, explorer_expand, seed_pick, pending_embeddings, chunk_lookup, gazetteer_flags, type_map, token_accuracy, label_distribution, disconnected_share, dense_relabel, community_ids, lookup_forms, seed_entities, graph_search,
         ppr_retriever, retrieve_dispatch, merged_entities, merged_edges, synonym_edges, chat_listing, chat_lifecycle, memory_upsert, session_flow, message_projection, question_prompts, summary_prompts, routed_questions, sse_events, document_discovery,
         trigger_filter, late_events,
@@ -454,6 +465,7 @@ SQL = {
     "edge_partitions": "SELECT 'A' AS type, count(DISTINCT (l_suppkey,l_partkey)) AS n FROM lineitem WHERE l_returnflag='A' UNION ALL SELECT l_returnflag, count(*) FROM lineitem WHERE l_returnflag NOT IN ('A','N') GROUP BY 1",
     "partitioned_upsert": "SELECT (o_orderkey%4)::INT AS part, CASE WHEN o_orderkey%4=1 THEN 'X' ELSE o_orderstatus END AS status, count(*) AS n FROM orders GROUP BY 1,2",
     "manifest_counts": "SELECT count(*) FILTER (WHERE o_orderstatus='F') AS ok, count(*) FILTER (WHERE o_orderstatus='O') AS exists, count(*) FILTER (WHERE o_orderstatus NOT IN ('F','O')) AS fail FROM orders",
+    "evaluation_versions": "SELECT '1' AS version, count(*) AS n, 'vector' AS mode FROM eval_items UNION ALL SELECT '2', count(*) FILTER (WHERE item_id%2=0), 'graph' FROM eval_items",
     "element_ids": "WITH e AS (SELECT DISTINCT docName, nullif(regexp_extract(elementId,'([0-9]{1,18})$',1),'')::BIGINT AS n, elementId FROM parsed_elements) SELECT elementId, printf('%s-%04d',docName,n) AS made, printf('%s-c%04d',docName,n) AS chunk FROM e",
     "table_texts": "WITH l AS (SELECT l_orderkey AS k, l_linenumber AS r, min(l_partkey) AS p, min(l_suppkey) AS s FROM lineitem GROUP BY 1,2), c AS (SELECT k, max(r) AS e FROM l GROUP BY 1) SELECT k AS table_id, md5(CASE WHEN e>1 THEN string_agg('part: '||p||', supplier: '||s, chr(10) ORDER BY r) ELSE 'part: supplier, '||string_agg(p||': '||s, ', ' ORDER BY r) END) AS text FROM l JOIN c USING (k) GROUP BY k, e",
     "path_types": f"WITH {_RG}, step AS (SELECT src, dst, type, src||'-'||dst AS e FROM rg UNION ALL SELECT dst, src, type, src||'-'||dst FROM rg), p AS (SELECT src||'>'||dst AS path_id, [type] AS ts FROM step WHERE src IN (SELECT src FROM rg) UNION ALL SELECT a.src||'>'||a.dst||'>'||b.dst, [a.type,b.type] FROM step a JOIN step b ON a.dst=b.src AND a.e<>b.e WHERE a.src IN (SELECT src FROM rg)) SELECT path_id, 'all' AS rule FROM p WHERE NOT list_contains(ts,'MENTIONED_IN') UNION ALL SELECT path_id, 'none' FROM p WHERE NOT list_has_any(ts,['MENTIONED_IN','LIES_IN'])",

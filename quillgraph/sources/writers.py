@@ -113,9 +113,13 @@ def append_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def evaluation_report(rows: DataFrame, path: str, **config: str) -> None:
-    """One JSON document: the settings and all rows."""
-    rows.agg(F.collect_list(F.struct("*")).alias("rows")).select(F.create_map(*[F.lit(x) for kv in config.items() for x in kv]).alias("config") if config else F.lit(None).cast("map<string,string>").alias("config"), "rows").write.mode("overwrite").json(path)
+def evaluation_report(rows: DataFrame, path: str, version: str = "1", **config: str) -> None:
+    """A version of an evaluation: its settings as one JSON object and its rows as JSON lines, both below ``path/v<version>``."""
+    spark = rows.sparkSession
+    pairs = [F.lit(x) for kv in sorted(config.items()) for x in kv]
+    settings = F.create_map(*pairs) if pairs else F.lit(None).cast("map<string,string>")
+    spark.range(1).select(F.lit(version).alias("version"), settings.alias("config")).coalesce(1).write.mode("overwrite").json(f"{path}/v{version}/config")
+    rows.write.mode("overwrite").json(f"{path}/v{version}/rows")
 
 
 def status_counts(manifest: DataFrame) -> DataFrame:
