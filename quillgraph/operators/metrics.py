@@ -126,7 +126,7 @@ def majority_share(labels: DataFrame, found: str = "found", true: str = "true")
 
 def train_split(df: DataFrame, key: str, share: float = 0.8, seed: int = 42) -> DataFrame:
     """Column ``part``: train or test by the hash of the key, so that a row never changes sides when rows are added."""
-    h = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(10_000))
+    h = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), 1, 8), 16, 10).cast("bigint") % 10_000
     return df.withColumn("part", F.when(h < int(share * 10_000), "train").otherwise("test"))
 
 

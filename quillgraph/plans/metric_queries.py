@@ -216,6 +216,7 @@ SQL = {
     "alignment_components": f"WITH RECURSIVE {_EN} SELECT id, cluster FROM cl",
     "merge_cluster": f"WITH RECURSIVE {_EN}, r AS (SELECT cl.id, cluster, first_value(en.id) OVER (PARTITION BY cluster ORDER BY mentions DESC, length(name) DESC, en.id) AS canonical FROM cl JOIN en USING (id)) SELECT id, canonical FROM r",
     "majority_share": "WITH n AS (SELECT vec_id%7 AS f, label, count(*) AS n FROM embeddings GROUP BY 1,2), g AS (SELECT f, max(n) AS m, sum(n) AS a FROM n GROUP BY 1) SELECT round(sum(m)/sum(a),9) AS share FROM g",
+    "train_split": "SELECT CASE WHEN ('0x'||substr(md5('42:'||doc_id),1,8))::BIGINT%10000 < 8000 THEN 'train' ELSE 'test' END AS part, count(*) AS n FROM documents GROUP BY 1",
     "ingest_counts": f"WITH {_SP}, e AS (SELECT docName, count(DISTINCT elementId) AS elements FROM parsed_elements GROUP BY 1), c AS (SELECT docName, count(DISTINCT chunkId) AS chunks FROM chunks GROUP BY 1), m AS (SELECT docName, count(DISTINCT text) AS entities FROM sp GROUP BY 1), a AS (SELECT docName FROM e UNION SELECT docName FROM c UNION SELECT docName FROM m WHERE docName IS NOT NULL) SELECT a.docName, coalesce(elements,0) AS elements, coalesce(chunks,0) AS chunks, coalesce(entities,0) AS entities FROM a LEFT JOIN e USING (docName) LEFT JOIN c USING (docName) LEFT JOIN m USING (docName)",
     "report_members": f"WITH {_CO}, dg AS (SELECT src AS node, sum(w) AS degree FROM adj GROUP BY 1), j AS (SELECT s_suppkey AS node, s_nationkey AS label, degree, s_suppkey%9+1 AS words FROM supplier LEFT JOIN dg ON node=s_suppkey), r AS (SELECT *, row_number() OVER w AS rank, sum(words) OVER (w ROWS UNBOUNDED PRECEDING) AS used FROM j WINDOW w AS (PARTITION BY label ORDER BY degree DESC NULLS LAST, node)) SELECT label, node, rank::INT AS rank FROM r WHERE used<=12",
     "unknown_phrases": f"WITH {_SP}, c AS (SELECT DISTINCT chunkId, unnest(sectionPath) AS phrase FROM chunks), n AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM sp WHERE sp.chunkId=c.chunkId AND sp.text=c.phrase)) SELECT phrase, count(*) AS n, count(DISTINCT chunkId)::INT AS chunks FROM n GROUP BY 1 HAVING count(*)>=3",
