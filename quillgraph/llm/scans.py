@@ -434,18 +434,20 @@ def _restored(texts: DataFrame, furniture: DataFrame, parted: DataFrame, model:
             out.append(body)
         return pd.Series(out, dtype=object)
 
-    rows = texts.join(known, "elementId", "left")
+    # one shuffle of the texts serves both the repeated rows and the join
+    rows = texts.repartition("elementId").dropDuplicates(["elementId", "rk"]).join(known, "elementId", "left")
     # untouched texts stay in the JVM: Python is handed nulls for them
     body = F.coalesce(restore(F.when(F.col("hit"), F.col("text")), "rk", "drop", "cuts", "fixes"), "text")
     flat = F.when(body.contains("\n"), F.regexp_replace(body, lines, " ")).otherwise(body)
-    return rows.select("elementId", F.trim(flat).alias("text")).distinct()
+    return rows.select("elementId", F.trim(flat).alias("text"))
 
 
 def repaired(elements: DataFrame) -> DataFrame:
     """``elementId, text`` of every paragraph as continuous text.
 
     Headers and page numbers are taken out, parted words joined, misread words
-    replaced place by place and the remaining lines joined by blanks.
+    replaced place by place and the remaining lines joined by blanks. Equal rows
+    count once; an element stored with different texts has a row for each.
     """
     m = Model(elements)
     return _restored(m.paragraphs, m.headers.unionByName(m.pages), m.parted, m, r"\s*\n\s*")
