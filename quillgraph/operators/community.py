@@ -4,14 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.operators import local_communities as LC
 from quillgraph.operators.components import connected_components
 from quillgraph.operators.graph import numbered
 from quillgraph.operators.metrics import modularity, plurality_parent
 from quillgraph.runtime import cut_in_loop as cut
 
+#: Edges that one task may hold as arrays (some 300 MB). Larger connected parts are worked on in distributed rounds until they have shrunk to this.
+LOCAL = 2_000_000
+
 
 def _moves(adj: DataFrame, labels: DataFrame, m2: float, gamma: float, rounds: int, degrees: DataFrame | None = None) -> DataFrame:
     """Local moves by gain of modularity; in each round only half of the nodes (by hash) may move, so neighbours do not swap forever.
@@ -20,7 +26,7 @@ def _moves(adj: DataFrame, labels: DataFrame, m2: float, gamma: float, rounds: i
     """
     deg = cut(adj.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("k")) if degrees is None else degrees)
     cur = cut(labels.select("node", "label"))
-    still = 0
+    moved = 0
     for r in range(rounds):
         own = cur.join(deg, "node")
         tot = own.groupBy("label").agg(F.sum("k").alias("tot"))
@@ -33,10 +39,9 @@ def _moves(adj: DataFrame, labels: DataFrame, m2: float, gamma: float, rounds: i
         best = o.withColumn("gain", F.round(gain, 10)).groupBy("node").agg(F.min(F.struct((-F.col("gain")).alias("loss"), (~stays).cast("int").alias("s"), "to")).alias("m"), F.first("label").alias("label"), F.max(F.when(stays, F.col("gain"))).alias("g0"))
         turn = F.pmod(F.xxhash64("node", F.lit(r // 2)), F.lit(2)) == r % 2
         nxt = cut(best.select("node", F.when(turn & (-F.col("m.loss") > F.col("g0") + 1e-9), F.col("m.to")).otherwise(F.col("label")).alias("label"), F.col("label").alias("was")))
-        moved = nxt.where("label != was").limit(1).count()
+        moved = nxt.where("label != was").limit(1).count() + (moved if r % 2 else 0)
         cur = nxt.select("node", "label")
-        still = 0 if moved else still + 1
-        if still >= 2:
+        if r % 2 and not moved:  # every node had its turn
             break
     return cur
 
@@ -79,23 +84,83 @@ def sweep(adj: DataFrame, gammas: Sequence[float] = (0.2, 0.4, 0.6, 0.8, 1.0), r
     return out
 
 
+def _finished(adj: DataFrame, start: DataFrame | None, bins: int, m2: float, gamma: float, rounds: int, levels: int) -> DataFrame:
+    """``node, labels``: the levels of graphs that fit into tasks, one label each. ``adj`` has ``own, lane`` (the task's key) too."""
+    kind = dict(adj.dtypes)["src"]
+    e = adj.where("src <= dst").select("own", "lane", "src", "dst", "weight", F.xxhash64("src").alias("hs"), F.xxhash64("dst").alias("ht"))
+    if start is not None:
+        for c, new in (("src", "ls"), ("dst", "lt")):
+            e = e.join(start.select(F.col("node").alias(c), F.col("label").alias(new)), c)
+    fresh = start is None
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = len(pdf)
+        ids, at = np.unique(np.concatenate([pdf["src"].to_numpy(), pdf["dst"].to_numpy()]), return_inverse=True)
+        h, begin = np.empty(len(ids), np.int64), np.arange(len(ids))
+        h[at[:m]], h[at[m:]] = pdf["hs"], pdf["ht"]
+        if not fresh:
+            begin[at[:m]], begin[at[m:]] = np.searchsorted(ids, pdf["ls"].to_numpy()), np.searchsorted(ids, pdf["lt"].to_numpy())
+        out = LC.levels(at[:m], at[m:], pdf["weight"].to_numpy(), h.view(np.uint64), begin, m2, gamma, rounds, levels, fresh)
+        labels = list(ids[np.array(out).T]) if out else [[]] * len(ids)
+        return pd.DataFrame({"node": ids, "labels": labels})
+
+    return cut(e.repartition(max(1, 2 * bins), "own", "lane").groupBy("own", "lane").applyInPandas(run, f"node {kind}, labels array<{kind}>"))
+
+
+def _steps(done: DataFrame) -> list[DataFrame]:
+    """``node, label`` per level; where a graph has ended its last level stands."""
+    n = done.agg(F.max(F.size("labels"))).first()[0] or 0
+    return [done.select("node", F.expr(f"labels[least({i}, size(labels) - 1)]").alias("label")) for i in range(n)]
+
+
 def hierarchy(adj: DataFrame, gamma: float = 1.0, rounds: int = 12, levels: int = 10) -> list[DataFrame]:
     """Partitions ``node, label`` from fine to coarse; nodes may be integers or strings, ``adj`` holds both directions.
 
     Per level: local moves; refinement by moves inside each community; the
     refined parts become the next level's nodes, which start in the community
-    they came from. It ends when modularity gains no more. Every step is a join
-    or an aggregate, no task holds the graph.
+    they came from. It ends when modularity gains no more. Connected parts of
+    the graph do not touch each other: those of up to ``LOCAL`` edges are
+    worked on as arrays, many tasks side by side. For larger ones every step is
+    a join or an aggregate until the level's graph is that small, so no task
+    holds a graph of unbounded size.
     """
     adj = cut(adj.select("src", "dst", F.col("weight").cast("double").alias("weight")))
-    m2 = adj.agg(F.sum("weight")).first()[0] or 0.0
-    nodes = adj.select(F.col("src").alias("node")).distinct()
+    size, m2 = adj.agg(F.sum((F.col("src") <= F.col("dst")).cast("bigint")), F.sum("weight")).first()
+    if not m2:
+        return []
+    one = (F.lit(None).cast("string").alias("own"), F.lit(0).alias("lane"))
+    if size <= LOCAL:
+        return _steps(_finished(adj.select("*", *one), None, 1, m2, gamma, rounds, levels))
+    c = connected_components(adj.where("src <= dst"))
+    e = cut(adj.join(c.select(F.col("node").alias("src"), "component"), "src"))
+    sizes = cut(e.where("src <= dst").groupBy("component").agg(F.count(F.lit(1)).alias("edges")))
+    # a part of an eighth of the bound has a task of its own, the others share tasks by hash
+    alone = F.col("edges") > LOCAL // 8
+    fits = F.col("edges") <= LOCAL
+    few, owns, rest = sizes.agg(F.count(F.when(fits, 1)), F.count(F.when(fits & alone, 1)), F.sum(F.when(~alone, F.col("edges")).otherwise(0))).first()
+    lanes = -(-2 * rest // LOCAL) if rest else 0
+    small = large = []
+    if few:
+        key = sizes.where(fits).select("component", F.when(alone, F.col("component").cast("string")).alias("own"), F.when(alone, -1).otherwise(F.pmod(F.xxhash64("component"), F.lit(max(1, lanes)))).cast("int").alias("lane"))
+        small = _steps(_finished(e.join(key, "component"), None, owns + lanes, m2, gamma, rounds, levels))
+    if few < sizes.count():
+        large = _large(cut(e.join(sizes.where(~fits), "component", "left_semi").select("src", "dst", "weight")), m2, gamma, rounds, levels)
+    n = max(len(small), len(large))
+    pairs = [[p[min(i, len(p) - 1)] for p in (small, large) if p] for i in range(n)]
+    return [p[0] if len(p) == 1 else p[0].unionByName(p[1]) for p in pairs]
+
+
+def _large(adj: DataFrame, m2: float, gamma: float, rounds: int, levels: int) -> list[DataFrame]:
+    """The levels of a graph that no task can hold, in distributed rounds; ``m2`` is the sum of weights of the graph that it belongs to."""
     out: list[DataFrame] = []
+    nodes = adj.select(F.col("src").alias("node")).distinct()
     base, level_adj, best = cut(nodes.select("node", F.col("node").alias("label"))), adj, None
-    if not m2:
-        return out
-    start = level_adj.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node"))
-    for _ in range(levels):
+    start = base
+    for level in range(levels):
+        if level and level_adj.where("src <= dst").count() <= LOCAL:
+            done = _finished(level_adj.select("*", F.lit(None).cast("string").alias("own"), F.lit(0).alias("lane")), start, 1, m2, gamma, rounds, levels - level)
+            last = cut(base.withColumnRenamed("label", "part").join(done.withColumnRenamed("node", "part"), "part").select("node", "labels"))
+            return out + _steps(last)
         part = cut(_connected(level_adj, _moves(level_adj, start, m2, gamma, rounds)))
         flat = cut(base.join(part.select(F.col("node").alias("label"), F.col("label").alias("up")), "label").select("node", F.col("up").alias("label")))
         q = modularity(adj, flat, gamma).first()[0]
@@ -111,8 +176,7 @@ def hierarchy(adj: DataFrame, gamma: float = 1.0, rounds: int = 12, levels: int
         whole = fine.join(part.select("node", F.col("label").alias("up")), "node").groupBy(F.col("label").alias("part")).agg(F.min("up").alias("up"))
         names = whole.groupBy("up").agg(F.min("part").alias("name"))
         start = cut(whole.join(names, "up").select(F.col("part").alias("node"), F.col("name").alias("label")))
-        part = fine
-        s, t = part.select(F.col("node").alias("src"), F.col("label").alias("a")), part.select(F.col("node").alias("dst"), F.col("label").alias("b"))
+        s, t = fine.select(F.col("node").alias("src"), F.col("label").alias("a")), fine.select(F.col("node").alias("dst"), F.col("label").alias("b"))
         level_adj = cut(level_adj.join(s, "src").join(t, "dst").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("weight").alias("weight")))
     return out
 
