@@ -20,6 +20,12 @@ WORDS = {k: v.split() for k, v in FUNCTION_WORDS.items()}
 LATIN = ("fr", "de", "es", "it", "pt")
 
 
+def function_words(words: Column) -> Column:
+    """The lower-cased ``words`` that are function words of any language."""
+    every = sorted({w for k in WORDS.values() for w in k})
+    return F.filter(words, lambda x: x.isin(every))
+
+
 def hits(words: Column, language: str) -> Column:
     """How many of the lower-cased ``words`` are function words of the language."""
     return F.size(F.filter(words, lambda x: x.isin(WORDS[language])))

@@ -30,10 +30,26 @@ LEAST = {"log_words": 0.7, "mean_word_len": 0.4, "symbol_ratio": 0.02, "digit_ra
 KEEP, CUT = 0.75, 33.7
 #: Least share of characters in running text of the documents that the model of prose is made from.
 PROSE = 0.5
+#: What parts the columns of a table; closing marks, and the end of a sentence before any of them.
+GAP = r"\t|\||;(?=\S)|\S {3,}(?=\S)"
+CLOSING = r"[\"')\]»\u201d]"
+END = rf"[.!?:؟۔\u2026]{CLOSING}*$"
 
 
-def _count(c: Column, pattern: str) -> Column:
-    return F.regexp_count(c, F.lit(pattern))
+def _taken(c: Column, pattern: str) -> Column:
+    """Characters in runs of ``pattern``; unlike ``regexp_count`` it makes no array of the matches."""
+    return F.length(c) - F.length(F.regexp_replace(c, pattern, ""))
+
+
+def _gapped(line: Column) -> Column:
+    """Whether ``GAP`` can match at all."""
+    return line.contains("\t") | line.contains("|") | line.contains(";") | line.contains("   ")
+
+
+def _ended(line: Column) -> Column:
+    """Whether the line ends as ``END`` says: read from its last characters, and from all of it where these are nothing but closing marks."""
+    tail = F.substring(line, -16, 16)
+    return tail.rlike(END) | (tail.rlike(rf"^{CLOSING}*$") & line.rlike(END))
 
 
 def document_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -44,37 +60,44 @@ def document_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text"
     in rows of at least three columns, ``short_share`` in other short lines,
     ``odd_share`` in the rest.
     """
-    lines = docs.select(F.col(key).alias("key"), F.explode_outer(F.split(F.coalesce(text, F.lit("")), "\n")).alias("raw")).withColumn("line", F.trim("raw"))
-    low = F.split(F.lower("line"), r"[^\p{L}\p{M}\p{N}]+")
-    lines = lines.withColumn("w", F.filter(low, lambda x: x != "")).select(
+    lines = docs.select(F.col(key).alias("key"), F.explode_outer(F.split(F.coalesce(text, F.lit("")), "\n")).alias("raw")).select("key", F.trim("raw").alias("line")).where("length(line) > 0")
+    lines = lines.select(
         "key", "line",
         F.length("line").alias("chars"),
+        F.regexp_extract_all(F.lower("line"), F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0)).alias("w"),
+        F.regexp_replace("line", r"[\p{L}\p{M}\s]+", "").alias("rest"),
+    )
+    # most words are no function words: each language is only looked for among those that are
+    lines = lines.withColumn("said", L.function_words(F.col("w"))).select(
+        "key", "line", "chars", "said",
         F.size("w").alias("words"),
-        L.hits(F.col("w"), "en").alias("en"), L.hits(F.col("w"), "ar").alias("ar"), F.col("w"),
         F.size(F.array_distinct("w")).alias("kinds"),
-        F.expr("aggregate(w, 0, (s, x) -> s + length(x))").alias("letters"),
-        _count(F.col("line"), r"[0-9٠-٩]").alias("digits"),
-        _count(F.col("line"), r"[^\p{L}\p{M}\p{N}\s]").alias("symbols"),
-        _count(F.col("line"), r"\t|\||;(?=\S)|\S {3,}(?=\S)").alias("gaps"),
-        F.when(F.col("line").rlike(r"^[^,]*(,[^,\s]*\d[^,\s]*){2,}$"), 2).otherwise(0).alias("commas"),
-        F.col("line").rlike(r"[.!?:؟۔\u2026][\"')\]»\u201d]*$").cast("int").alias("ended"),
+        F.length(F.array_join("w", "")).alias("letters"),
+        L.hits(F.col("said"), "en").alias("en"), L.hits(F.col("said"), "ar").alias("ar"),
+        _taken(F.col("rest"), r"[0-9٠-٩]+").alias("digits"),
+        F.length(F.regexp_replace("rest", r"\p{N}+", "")).alias("symbols"),
+        F.when(F.octet_length("line") == F.col("chars"), 0).otherwise(_taken(F.col("line"), r"[؀-ۿ]+")).alias("arabic"),
+        F.when(_gapped(F.col("line")), F.regexp_count("line", F.lit(GAP))).otherwise(0).alias("gaps"),
+        _ended(F.col("line")).cast("int").alias("ended"),
         F.col("line").rlike(r"^([-*+\u2022\u25a1\u2013\u2014\u25e6\u25aa·\u2013]|[(]?[0-9٠-٩]+[.)]|[(]?\p{L}[.)])\s").cast("int").alias("marked"),
-    ).where("chars > 0")
+    )
     # other languages are only looked for in lines that have hardly any English or Arabic function words
     known = F.col("en") + F.col("ar")
-    lines = lines.withColumns({k: F.when(known * 10 < F.col("words"), L.hits(F.col("w"), k)).otherwise(0) for k in L.LATIN}).withColumn("common", F.greatest(known, *L.LATIN))
-    table = (F.col("gaps") + F.col("commas")) >= 2
+    lines = lines.withColumns({k: F.when(known * 10 < F.col("words"), L.hits(F.col("said"), k)).otherwise(0) for k in L.LATIN}).withColumn("common", F.greatest(known, *L.LATIN))
+    commas = F.when((F.col("digits") >= 2) & F.col("line").rlike(r"^[^,]*(,[^,\s]*\d[^,\s]*){2,}$"), 2).otherwise(0)
+    lines = lines.withColumn("table", (F.col("gaps") + commas) >= 2)
     # a row of a table has few function words; running text with a wide gap keeps its own
     share = F.col("common") / F.greatest("words", F.lit(1))
     arabic = F.col("line").rlike(r"[\u0621-\u064a]")
-    plain = ~table & (F.col("marked") == 0) & F.when(F.col("words") > 15, share >= F.when(arabic, 0.05).otherwise(0.12)).otherwise((share >= 0.1) | ((F.col("common") >= 1) & (F.col("words") >= 6)))
-    shorted = ~table & ~plain & (F.col("words") <= 12) & ~F.col("line").rlike(r"\S{31}")
-    chars = lambda c: F.sum(F.when(c, F.col("chars")).otherwise(0))
+    plain = ~F.col("table") & (F.col("marked") == 0) & F.when(F.col("words") > 15, (share >= 0.12) | ((share >= 0.05) & arabic)).otherwise((share >= 0.1) | ((F.col("common") >= 1) & (F.col("words") >= 6)))
+    lines = lines.withColumn("plain", plain)
+    lines = lines.withColumn("shorted", ~F.col("table") & ~F.col("plain") & (F.col("words") <= 12) & ~F.col("line").rlike(r"\S{31}"))
+    chars = lambda c: F.sum(F.when(F.col(c), F.col("chars")).otherwise(0))
     g = lines.groupBy("key").agg(
         F.count(F.lit(1)).alias("lines"), F.sum("words").alias("words"), F.sum("chars").alias("chars"), F.sum("letters").alias("letters"), F.sum("common").alias("common"), F.sum("kinds").alias("kinds"),
         F.sum("digits").alias("digits"), F.sum("symbols").alias("symbols"), F.sum("ended").alias("ended"), F.sum("marked").alias("marked"),
-        chars(table).alias("t"), F.sum(table.cast("int")).alias("rows"), chars(plain).alias("p"), chars(shorted).alias("s"), F.sum(shorted.cast("int")).alias("entries"),
-        F.approx_count_distinct("line", 0.02).alias("different"), F.sum(_count(F.col("line"), r"[؀-ۿ]")).alias("arabic"),
+        chars("table").alias("t"), F.sum(F.col("table").cast("int")).alias("rows"), chars("plain").alias("p"), chars("shorted").alias("s"), F.sum(F.col("shorted").cast("int")).alias("entries"),
+        F.approx_count_distinct("line", 0.02).alias("different"), F.sum("arabic").alias("arabic"),
         *[F.sum(k).alias(k) for k in ("en", *L.LATIN)],
     )
     per = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
