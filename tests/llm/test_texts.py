@@ -1,9 +1,11 @@
 """Look-alikes, scan noise, leakage and quality on small inputs, against brute force where it applies."""
 
 import random
+import re
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,6 +81,36 @@ def test_leaks(spark):
     assert got == {(1, 0), (3, 1), (5, 0)}
 
 
+def test_word_hashes_and_seeds_against_brute_force(spark, monkeypatch):
+    rng = random.Random(11)
+    texts = [None, "", "...", "One,\ntwo ONE", "كِتَابٌ كتاب أمر امر مسؤول مسوول شئ", "İx i\u0307x ΟΔΟΣ οδος", "soft\u00adware software", "word " * 40] + [" ".join(rng.choice(WORDS[:9]) for _ in range(n)) for n in (10, 11, 12, 60, 60, 60)] + [None]
+    marks = re.compile("[\u0610-\u061a\u0640\u064b-\u065f\u0670\u0621\u00ad\u200b-\u200f\u2060\ufeff]")
+    words = [re.findall(r"(?:[^\W_]|[\u0300-\u036f])+", marks.sub("", (t or "").lower()).translate(str.maketrans("أإآٱؤئىς", "ااااوييσ"))) for t in texts]
+    monkeypatch.setattr(LE, "_BLOCK", 100)
+    h, at = LE.word_hashes(pa.array(texts, pa.string()))
+    flat = [w for ws in words for w in ws]
+    assert np.diff(at).tolist() == [len(ws) for ws in words] and len(set(zip(flat, h.tolist()))) == len(set(flat)) == len(set(h.tolist()))
+    picks = [{(m, *(ws[i + k] for k in mask)) for m, mask in enumerate(LE.MASKS) for i in range(len(ws) - LE.SPAN + 1)} for ws in words]
+    seeds = LE.seed_hashes(h, at).to_pylist()
+    assert [len(s) for s in seeds] == [len(set(s)) for s in seeds] == [len(p) for p in picks]
+    assert len(set().union(*seeds)) == len(set().union(*picks)) and all(len({*a} & {*b}) == len(x & y) for a, x in zip(seeds, picks) for b, y in zip(seeds, picks))
+    items = spark.createDataFrame([(1, texts[-2], texts[7])], "item_id long, question string, paragraph_text string")
+    kept = LE.seed_hashes(h, at, LE.seed_bits(LE.test_texts(items))).to_pylist()
+    wanted = {*seeds[-2], *seeds[7]}
+    assert all({*s} & wanted <= {*k} <= {*s} for s, k in zip(seeds, kept)) and sum(map(len, kept)) < sum(map(len, seeds)) / 2
+
+
+def test_leaks_build_no_array_by_lambda_and_chain_only_what_can_reach(spark, monkeypatch):
+    rng = random.Random(13)
+    text = [rng.choice(WORDS) for _ in range(50)]
+    items = spark.createDataFrame([(1, " ".join(text[:20]), " ".join(text))], "item_id long, question string, paragraph_text string")
+    docs = spark.createDataFrame([(1, " ".join(text[:30]))], "doc_id long, text string")
+    assert "lambda" not in LE.leaks(docs, items)._jdf.queryExecution().executedPlan().toString()
+    a, b = np.arange(40, dtype=np.uint64), np.arange(20, 120, dtype=np.uint64)
+    monkeypatch.setattr(LE, "_PAIR_WORDS", 300)
+    assert LE.chains([a, b, a, a[:0], a, b], [b, b, a, a, a[:0], b], [20, 0, 41, 0, 0, 101]) == [20, 100, None, 0, 0, None] and LE.chained_words(a, b) == 20
+
+
 def test_short_items_and_common_seeds(spark):
     rng = random.Random(9)
     shared = " ".join(rng.choice(WORDS) for _ in range(40))
